@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from jadwal.llm.ann import op9_nearest
+from jadwal.llm.packing import op4_packing
 from jadwal.llm.sharding import op7_sharding
 from jadwal.llm.url_filter import OP10_SQL, op10_url_filter
 
 QUERIES = {
+    "op4_packing": op4_packing,
     "op7_sharding": op7_sharding,
+    "op9_nearest": op9_nearest,
     "op10_url_filter": op10_url_filter,
 }
 ORACLE = {"op10_url_filter": OP10_SQL}
