@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from jadwal.llm.ann import op9_nearest
 from jadwal.llm.packing import op4_packing
+from jadwal.llm.pii import op8_pii
 from jadwal.llm.sharding import op7_sharding
+from jadwal.llm.toxicity import op2_toxicity
 from jadwal.llm.url_filter import OP10_SQL, op10_url_filter
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op4_packing": op4_packing,
     "op7_sharding": op7_sharding,
+    "op8_pii": op8_pii,
     "op9_nearest": op9_nearest,
     "op10_url_filter": op10_url_filter,
 }
