@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jadwal.llm.common import table, written
+from jadwal.shipping import ship
 
 TREES = 40
 BITS = 24
@@ -88,6 +89,7 @@ def nearest(
     zero, or holds null or non-finite components take no part, nor do rows without an id or with
     another number of components than the query. Repeated ids count as one row per distinct vector.
     """
+    ship(data.sparkSession)
     rows = written(distinct_vectors(usable(data, id_col, vec_col).distinct(), k + 1), "vectors")
     asked = usable(queries, id_col, vec_col).distinct()
     blocks = max(1, -(-rows.count() // block_rows))

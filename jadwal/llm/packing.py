@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jadwal.llm.common import table, written
+from jadwal.shipping import ship
 
 LENGTH = 2048
 END_ID = 1
@@ -125,6 +126,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, with_ids: bool = False, l
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES + (", ids array<int>" if with_ids else ""))
 
 

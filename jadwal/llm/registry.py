@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from jadwal.llm.ann import op9_nearest
+from jadwal.llm.decontaminate import OP1_SQL, op1_decontaminate
+from jadwal.llm.license_scan import op6_license_scan
 from jadwal.llm.packing import op4_packing
 from jadwal.llm.pii import op8_pii
 from jadwal.llm.sharding import op7_sharding
@@ -10,11 +12,13 @@ from jadwal.llm.toxicity import op2_toxicity
 from jadwal.llm.url_filter import OP10_SQL, op10_url_filter
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_toxicity": op2_toxicity,
     "op4_packing": op4_packing,
+    "op6_license_scan": op6_license_scan,
     "op7_sharding": op7_sharding,
     "op8_pii": op8_pii,
     "op9_nearest": op9_nearest,
     "op10_url_filter": op10_url_filter,
 }
-ORACLE = {"op10_url_filter": OP10_SQL}
+ORACLE = {"op1_decontaminate": OP1_SQL, "op10_url_filter": OP10_SQL}
