@@ -5,6 +5,7 @@ from __future__ import annotations
 from jadwal.llm.ann import op9_nearest
 from jadwal.llm.decontaminate import OP1_SQL, op1_decontaminate
 from jadwal.llm.license_scan import op6_license_scan
+from jadwal.llm.near_dedup import op3_near_dedup
 from jadwal.llm.packing import op4_packing
 from jadwal.llm.pii import op8_pii
 from jadwal.llm.sharding import op7_sharding
@@ -14,6 +15,7 @@ from jadwal.llm.url_filter import OP10_SQL, op10_url_filter
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_toxicity": op2_toxicity,
+    "op3_near_dedup": op3_near_dedup,
     "op4_packing": op4_packing,
     "op6_license_scan": op6_license_scan,
     "op7_sharding": op7_sharding,
