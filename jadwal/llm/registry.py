@@ -9,6 +9,7 @@ from jadwal.llm.near_dedup import op3_near_dedup
 from jadwal.llm.packing import op4_packing
 from jadwal.llm.pii import op8_pii
 from jadwal.llm.sharding import op7_sharding
+from jadwal.llm.suffix_dedup import op5_suffix_dedup
 from jadwal.llm.toxicity import op2_toxicity
 from jadwal.llm.url_filter import OP10_SQL, op10_url_filter
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_near_dedup": op3_near_dedup,
     "op4_packing": op4_packing,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_license_scan": op6_license_scan,
     "op7_sharding": op7_sharding,
     "op8_pii": op8_pii,
