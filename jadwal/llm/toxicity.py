@@ -15,10 +15,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jadwal.llm.common import table
+from jadwal.shipping import ship
 
 ROWS, DIM, FILTERS, WIDTHS = 1 << 15, 16, 8, (1, 2, 3)
 PREFIXES = (4, 5, 6)  # bytes
@@ -242,9 +243,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] | None =
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id", "toxic")
     share = known.agg(F.avg("toxic")).first()[0]
     order = F.xxhash64(F.lit("sample"), "doc_id")
-    ranked = known.withColumn("n", F.row_number().over(Window.partitionBy("toxic").orderBy(order, "doc_id")))
-    limit = F.when(F.col("toxic") == 1, bounds[1]).otherwise(bounds[0])
-    ids = ranked.where((F.col("n") <= max(bounds.values())) & (F.col("n") <= limit)).select("doc_id", "toxic")
+    ids = None
+    for y, n in sorted(bounds.items()):
+        own = known.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(n)
+        ids = own if ids is None else ids.unionByName(own)
     rows = sorted(tuple(r) for r in docs.select("doc_id", "text", F.coalesce("lang", F.lit("")) if "lang" in docs.columns else F.lit("")).join(F.broadcast(ids), "doc_id").where("text is not null").collect())
     if not rows or share in (None, 0.0, 1.0):
         net = Network.start(np.random.default_rng(0))
@@ -278,6 +280,7 @@ def score_documents(docs: DataFrame, net: Network, bar: float = 0.3) -> DataFram
                 score = net.score(net.raw(*words.encode(part.column(at).to_pylist())))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score.astype("f8"))], [*part.schema.names, "toxicity"])
 
+    ship(docs.sparkSession)
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     out = docs.mapInArrow(work, f"{names}, toxicity double")
     limit = F.lit(bar)
