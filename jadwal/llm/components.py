@@ -30,9 +30,11 @@ def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
             return labels
         both = left.union(left.select("b", "a"))
         hook = both.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("y")).where("y < x")
-        for _ in range(2):
-            hook = written(hook, "hooks")
-            nxt = hook.select(F.col("x").alias("y"), F.col("y").alias("z"))
-            hook = hook.join(nxt, "y", "left").select("x", F.coalesce("z", "y").alias("y"))
         hook = written(hook, "hooks")
+        while True:  # to the end of each chain: a label must not hook itself
+            nxt = hook.select(F.col("x").alias("y"), F.col("y").alias("z"))
+            jumped = hook.join(nxt, "y", "left")
+            if jumped.where("z is not null").isEmpty():
+                break
+            hook = written(jumped.select("x", F.coalesce("z", "y").alias("y")), "hooks")
         labels = written(labels.join(hook, labels["label"] == hook["x"], "left").select("node", F.coalesce("y", "label").alias("label")), "labels")
