@@ -48,7 +48,7 @@ def fold(c: Column) -> Column:
     s = F.translate(F.regexp_replace(s, MARKS, ""), *LETTER_FORMS)
     s = F.regexp_replace(F.regexp_replace(s, SLASHES, "/"), DASHES, "-")
     s = F.regexp_replace(F.regexp_replace(s, NOISE_PUNCTUATION, " "), SPACE + "+", " ")
-    lines = F.filter(F.transform(F.split(s, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(s, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.array_join(lines, "\n")
 
 

@@ -1 +1 @@
-
+"""Sources: stored reader responses, cell reads and saved states."""
