@@ -4,10 +4,10 @@ A byte goes when it lies in a ``span``-byte string that also starts in a documen
 
 1. Exact copies of a document with a smaller id are repeated whole, and leave.
 2. Every span-byte window has an anchor: the gram with the smallest hash in it, so equal windows have equal
-   anchors at equal offsets. The windows of one anchor form a context. Anchors are dealt by hash over
-   buckets of bounded size; only contexts whose anchor occurs in two documents go on. A batch sends one entry for an anchor
-   that it already knows to be shared, so that a frequent line does not fill a bucket.
-3. Equal contexts collapse to their smallest document. A later document's context is repeated throughout.
+   anchors at equal offsets. The windows of one anchor form a context. Contexts are dealt by their anchor's hash
+   over buckets of bounded size.
+3. Equal contexts collapse to their smallest document, in each batch first, so that a frequent line sends a bucket one
+   entry a batch; a later document's context is repeated throughout.
 4. Where an anchor has several contexts, a window may also occur in another one. Those contexts are sharded by
    anchor; each shard's suffix array is built by induced sorting, and runs of suffixes whose permuted common
    prefixes reach the span are equal windows, whose smallest document decides. An anchor with very many contexts would
@@ -30,10 +30,10 @@ from jadwal.llm.suffix_array import permuted_common_prefixes, suffix_array
 from jadwal.shipping import ship
 
 SPAN = 50
-GRAM = 20
+GRAM = 16
 BATCH_BYTES = 1 << 19
 FLUSH_BYTES = 24 << 20
-BUCKET_BYTES = 8 << 20  # of input text a bucket
+BUCKET_BYTES = 16 << 20  # of input text a bucket
 SHARD_BYTES = 1 << 20
 MANY_CONTEXTS = 5000
 BROADCAST_ROWS = 1_000_000
@@ -109,47 +109,55 @@ def contexts(data: np.ndarray, starts: np.ndarray, span: int, gram: int) -> tupl
     return owner[new], h[a[new]], whole.view("i8"), first, last + span
 
 
-ENTRY = "bucket long, sure boolean, h array<int>, context array<long>, doc array<long>, tid array<long>, start array<int>, size array<int>"
-OCCURRENCE = "h long, context long, doc long, tid long, start int, size int"
+ENTRY = "place long, low array<int>, context array<long>, doc array<long>, tid array<int>, start array<int>, size array<tinyint>"
+MARKS = "doc long, tid int, first array<int>, end array<int>"
+FOUND = MARKS + ", h long, n int, start int, size int"
+
+
+def _by_document(doc: np.ndarray, tid: np.ndarray, first: np.ndarray, end: np.ndarray) -> dict[str, pa.Array]:
+    """MARKS: one row per document, overlapping intervals united."""
+    order = np.lexsort((first, tid, doc))
+    doc, tid, first, end = (c[order] for c in (doc, tid, first, end))
+    other = np.append(True, (doc[1:] != doc[:-1]) | (tid[1:] != tid[:-1]))[: len(doc)]
+    new = np.flatnonzero(other | np.append(True, first[1:] > end[:-1])[: len(doc)])  # contexts of a document end in the order in which they start
+    doc, tid, first, end = doc[new], tid[new], first[new], np.maximum.reduceat(end, new) if len(new) else end
+    row = np.flatnonzero(other[new])
+    offsets = pa.array(np.append(row, len(doc)), pa.int32())
+    lists = lambda c: pa.ListArray.from_arrays(offsets, pa.array(c.astype("i4")))
+    return {"doc": pa.array(doc[row]), "tid": pa.array(tid[row]), "first": lists(first), "end": lists(end)}
 
 
 def _entries(docs: DataFrame, buckets: int, span: int, gram: int) -> DataFrame:
-    """Rows of ENTRY: contexts by bucket of their anchor; ``sure`` ones are known to be shared and go anywhere.
+    """Rows of ENTRY: the contexts of each batch by bucket of their anchor, combined as far as the batch can.
 
-    An entry of size 0 only says that its anchor is shared.
+    Of equal contexts only those of the batch's smallest document go to the bucket. The others are repeated for certain;
+    their united intervals pass at a negative place, with the interval's end in ``low``.
     """
 
-    def flush(parts: list[tuple[np.ndarray, ...]], serial: int) -> Iterator[pa.RecordBatch]:
+    def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         doc, tid, h, context, start, size = (np.concatenate(c) for c in zip(*parts, strict=True))
-        order = np.argsort(h, kind="stable")
-        doc, tid, h, context, start, size = (c[order] for c in (doc, tid, h, context, start, size))
-        run = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        shared = np.minimum.reduceat(doc, run) < np.maximum.reduceat(doc, run)
-        sure = np.repeat(shared, np.diff(np.append(run, len(h))))
-        bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype("i8")
-        low = (h & np.uint64(0xFFFFFFFF)).astype("u4").view("i4")
-        told = run[shared]
-        zero = lambda dt: np.zeros(len(told), dt)
-        keep = np.flatnonzero(~sure)
-        rows = [
-            (False, np.append(bucket[keep], bucket[told]), np.append(low[keep], low[told]), np.append(context[keep], zero("i8")), np.append(doc[keep], zero("i8")), np.append(tid[keep], zero("i8")), np.append(start[keep], zero("i4")), np.append(size[keep], zero("i4"))),
-            (True, bucket[sure], low[sure], context[sure], doc[sure], tid[sure], start[sure], size[sure]),
-        ]
+        order = np.lexsort((doc, context, h))
+        run = np.flatnonzero(np.append(True, (h[order][1:] != h[order][:-1]) | (context[order][1:] != context[order][:-1])))
+        least = np.empty(len(h), "i8")
+        least[order] = np.repeat(doc[order][run], np.diff(np.append(run, len(h))))
+        gone, keep = np.flatnonzero(doc > least), np.flatnonzero(doc == least)
         out: list[tuple] = []
-        for is_sure, b, *columns in rows:
-            order = np.argsort(b, kind="stable")
-            cuts = np.flatnonzero(np.append(True, b[order][1:] != b[order][:-1])) if len(b) else []
-            for i, at in enumerate(cuts):
-                part = order[at : cuts[i + 1] if i + 1 < len(cuts) else len(b)]
-                # sure entries need no meeting place: they carry their bucket, and are dealt by batch
-                out.append((int(b[part[0]]), is_sure, *[c[part] for c in columns]))
-        if out:
-            types = [pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["bucket", "sure", "h", "context", "doc", "tid", "start", "size"])
+        low = (h & np.uint64(0xFFFFFFFF)).astype("u4").view("i4")
+        bucket = ((h[keep] >> np.uint64(32)) % np.uint64(buckets)).astype("i8")
+        by = np.argsort(bucket, kind="stable")  # in a bucket in order of documents, which shuffles small
+        for part in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
+            out.append((int(bucket[part[0]]), *[c[keep[part]] for c in (low, context, doc, tid, start, size)]))
+        if len(gone):
+            marks = _by_document(doc[gone], tid[gone], start[gone], start[gone] + size[gone])
+            repeats = np.diff(marks["first"].offsets.to_numpy())
+            columns = [marks["end"].flatten().to_numpy(), np.zeros(0, "i8"), np.repeat(marks["doc"].to_numpy(), repeats), np.repeat(marks["tid"].to_numpy(), repeats), marks["first"].flatten().to_numpy(), np.zeros(0, "i1")]
+            out.append((-1 - int(doc[gone[0]]) % buckets, *columns))
+        types = [pa.int64(), *[pa.list_(t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int8())]]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["place", "low", "context", "doc", "tid", "start", "size"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, ...]] = []
-        held = serial = 0
+        held = 0
         for batch in batches:
             ids, tids, raw = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
             sizes = np.array([len(x.as_py()) if x.is_valid else 0 for x in raw])
@@ -161,14 +169,14 @@ def _entries(docs: DataFrame, buckets: int, span: int, gram: int) -> DataFrame:
                 owner, h, context, first, end = contexts(data, starts, span, gram)
                 if len(h):
                     doc = at + owner
-                    parts.append((ids[doc], tids[doc], h, context, (first - starts[owner]).astype("i4"), (end - first).astype("i4")))
+                    parts.append((ids[doc], tids[doc], h, context, (first - starts[owner]).astype("i4"), (end - first).astype("i1")))
                 held += len(data)
                 at = to
                 if held >= FLUSH_BYTES and parts:
-                    yield from flush(parts, serial)
-                    parts, held, serial = [], 0, serial + 1
+                    yield from flush(parts)
+                    parts, held = [], 0
         if parts:
-            yield from flush(parts, serial)
+            yield from flush(parts)
 
     return docs.select("doc_id", "tid", F.col("text").cast("binary")).where(F.octet_length("text") >= span).mapInArrow(work, ENTRY)
 
@@ -179,42 +187,48 @@ def _flat(t: pa.Table, name: str, dtype: str) -> np.ndarray:
 
 
 def shared_contexts(docs: DataFrame, buckets: int, span: int, gram: int) -> DataFrame:
-    """OCCURRENCE rows: the contexts whose anchor occurs in at least two documents."""
+    """Rows of FOUND: intervals repeated because an earlier document has the whole context; and, with ``n`` contexts of its
+    anchor, each context of an anchor with several whose windows are still to be compared."""
 
     def meet(t: pa.Table) -> pa.Table:
-        h, context, doc, tid, start, size = (_flat(t, n, d) for n, d in (("h", "i4"), ("context", "i8"), ("doc", "i8"), ("tid", "i8"), ("start", "i4"), ("size", "i4")))
-        bucket = t.column("bucket")[0].as_py()
-        order = np.argsort(h, kind="stable")
-        hs = h[order]
-        run = np.flatnonzero(np.append(True, hs[1:] != hs[:-1])) if len(hs) else np.zeros(0, "i8")
-        told = size[order] == 0
-        lowest = np.minimum.reduceat(np.where(told, np.iinfo("i8").max, doc[order]), run) if len(run) else run
-        highest = np.maximum.reduceat(np.where(told, np.iinfo("i8").min, doc[order]), run) if len(run) else run
-        known = np.logical_or.reduceat(told, run) if len(run) else run.astype(bool)
-        keep = order[np.repeat(known | (lowest < highest), np.diff(np.append(run, len(hs)))) & ~told]
-        wide = (np.int64(bucket) << np.int64(32)) | h[keep].astype("i8") & np.int64(0xFFFFFFFF)
-        return pa.table({"h": wide, "context": context[keep], "doc": doc[keep], "tid": tid[keep], "start": start[keep], "size": size[keep]})
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                t = pa.Table.from_batches([batch.slice(i, 1)])
-                h, bucket = _flat(t, "h", "i8"), np.int64(t.column("bucket")[0].as_py())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((bucket << np.int64(32)) | h & np.int64(0xFFFFFFFF)), *[pa.array(_flat(t, n, d)) for n, d in (("context", "i8"), ("doc", "i8"), ("tid", "i8"), ("start", "i4"), ("size", "i4"))]],
-                    ["h", "context", "doc", "tid", "start", "size"],
-                )
-
-    entries = written(_entries(docs, buckets, span, gram), "entries")
-    met = entries.where("not sure").groupBy("bucket").applyInArrow(meet, OCCURRENCE)
-    return met.unionByName(entries.where("sure").mapInArrow(spread, OCCURRENCE))
+        low, doc, tid, start = (_flat(t, n, d) for n, d in (("low", "i8"), ("doc", "i8"), ("tid", "i4"), ("start", "i8")))
+        if t.column("place")[0].as_py() < 0:
+            marks, rest = _by_document(doc, tid, start, low), np.zeros(0, "i8")
+            h = n = size = rest
+        else:
+            context, size = _flat(t, "context", "i8"), _flat(t, "size", "i8")
+            h = (np.int64(t.column("place")[0].as_py()) << np.int64(32)) | low & np.int64(0xFFFFFFFF)
+            order = np.lexsort((doc, context, h))
+            new_h = np.append(True, h[order][1:] != h[order][:-1])
+            new = new_h | np.append(True, context[order][1:] != context[order][:-1])
+            run = np.flatnonzero(new)
+            least = np.empty(len(h), "i8")
+            least[order] = np.repeat(doc[order][run], np.diff(np.append(run, len(h))))
+            anchor = np.flatnonzero(new_h[run])  # each anchor's first context
+            many = np.diff(np.append(anchor, len(run)))
+            firsts = doc[order][run]
+            contested = (many > 1) & (np.minimum.reduceat(firsts, anchor) < np.maximum.reduceat(firsts, anchor))
+            per_anchor = np.diff(np.append(run[anchor], len(h)))
+            n_of, open_ = np.empty(len(h), "i8"), np.empty(len(h), bool)
+            n_of[order], open_[order] = np.repeat(many, per_anchor), np.repeat(contested, per_anchor)
+            gone = np.flatnonzero(doc > least)
+            marks = _by_document(doc[gone], tid[gone], start[gone], start[gone] + size[gone])
+            rest = np.flatnonzero(open_ & (doc == least))
+            n = n_of
+        none = lambda k, kind: pa.nulls(k, kind)
+        lists, k, m = pa.list_(pa.int32()), len(marks["doc"]), len(rest)
+        one = pa.table({**marks, "h": none(k, pa.int64()), "n": none(k, pa.int32()), "start": none(k, pa.int32()), "size": none(k, pa.int32())})
+        two = pa.table({"doc": doc[rest], "tid": tid[rest], "first": none(m, lists), "end": none(m, lists), "h": h[rest], "n": n[rest].astype("i4"), "start": start[rest].astype("i4"), "size": size[rest].astype("i4")})
+        return pa.concat_tables([one, two])
+
+    return _entries(docs, buckets, span, gram).groupBy("place").applyInArrow(meet, FOUND)
 
 
 def _marks_by_suffix_array(shards: DataFrame, span: int) -> DataFrame:
-    """h, context, marks: the windows of each context (shard, h, context, d0, body) that an earlier document has."""
+    """MARKS: the windows of contexts (shard, doc, tid, start, body) that a context of a smaller document has."""
 
     def search(t: pa.Table) -> pa.Table:
-        bodies, d0 = t.column("body").to_pylist(), t.column("d0").to_numpy()
+        bodies, doc, begin = t.column("body").to_pylist(), t.column("doc").to_numpy(), t.column("start").to_numpy()
         sizes = np.array([len(b) for b in bodies])
         text = np.frombuffer(b"".join(b + b"\0" for b in bodies), "u1").astype("u2") + 2
         ends = np.cumsum(sizes + 1) - 1
@@ -226,28 +240,22 @@ def _marks_by_suffix_array(shards: DataFrame, span: int) -> DataFrame:
         room = ends[owner] - np.arange(len(owner))
         order = order[order < len(owner)]
         order = order[room[order] >= span]  # windows, in suffix order; what stood between two equal ones was equal too
-        new = np.append(True, prefix[order[1:]] < span) if len(order) else np.zeros(0, bool)
-        run = np.flatnonzero(new)
-        least = np.repeat(np.minimum.reduceat(d0[owner[order]], run), np.diff(np.append(run, len(order)))) if len(run) else order
-        hit = np.sort(order[least < d0[owner[order]]])
-        first = ends - sizes
-        marks: list[list[dict]] = [[] for _ in bodies]
-        if len(hit):
-            cut = np.flatnonzero(np.append(True, (np.diff(hit) > 1) | (owner[hit[1:]] != owner[hit[:-1]])))
-            for a, b in zip(hit[cut].tolist(), hit[np.append(cut[1:], len(hit)) - 1].tolist(), strict=True):
-                marks[owner[a]].append({"first": int(a - first[owner[a]]), "last": int(b - first[owner[a]])})
-        kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-        return pa.table({"h": t.column("h"), "context": t.column("context"), "marks": pa.array(marks, kind)})
-
-    return shards.groupBy("shard").applyInArrow(search, "h long, context long, marks array<struct<first:int,last:int>>")
+        run = np.flatnonzero(np.append(True, prefix[order[1:]] < span))
+        least = np.repeat(np.minimum.reduceat(doc[owner[order]], run), np.diff(np.append(run, len(order))))
+        hit = np.sort(order[least < doc[owner[order]]])
+        at = owner[hit]
+        first = begin[at] + hit - (ends - sizes)[at]
+        return pa.table(_by_document(doc[at], t.column("tid").to_numpy()[at], first, first + span))
+
+    return shards.groupBy("shard").applyInArrow(search, MARKS)
 
 
 def _marks_by_content(many: DataFrame, span: int) -> DataFrame:
     """The same for anchors with very many contexts: windows grouped by their bytes."""
-    windows = many.select("h", "context", "d0", F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("body") - span + 1), lambda i: F.substring("body", i, F.lit(span)))).alias("at", "window"))
-    least = windows.groupBy("h", "window").agg(F.min("d0").alias("least"))
-    hit = windows.join(least, ["h", "window"]).where("least < d0")
-    return hit.groupBy("h", "context").agg(F.collect_list(F.struct(F.col("at").alias("first"), F.col("at").alias("last"))).alias("marks"))
+    windows = many.select("h", "doc", "tid", "start", F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("body") - span + 1), lambda i: F.substring("body", i, F.lit(span)))).alias("at", "window"))
+    least = windows.groupBy("h", "window").agg(F.min("doc").alias("least"))
+    hit = windows.join(least, ["h", "window"]).where("least < doc").select("doc", "tid", (F.col("start") + F.col("at")).alias("p"))
+    return hit.groupBy("doc", "tid").agg(F.array_sort(F.collect_set("p")).alias("first")).withColumn("end", F.transform("first", lambda p: p + span))
 
 
 def _bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -255,25 +263,17 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
 
 
 def repeated_intervals(docs: DataFrame, total_bytes: int, span: int = SPAN, gram: int = GRAM, many: int = MANY_CONTEXTS) -> DataFrame:
-    """doc_id, tid, spans (first, end): the repeated intervals of documents (doc_id, tid, text) with distinct texts."""
-    buckets = max(1, -(-total_bytes // BUCKET_BYTES))
-    found = written(shared_contexts(docs, buckets, span, gram), "occurrences")
-    groups = written(found.groupBy("h", "context").agg(F.min(F.struct("doc", "tid", "start", "size")).alias("of")).select("h", "context", F.col("of.doc").alias("d0"), F.col("of.tid").alias("tid"), F.col("of.start").alias("start"), F.col("of.size").alias("size")), "contexts")
-    several = groups.groupBy("h").agg(F.count("*").alias("n"), F.min("d0").alias("low"), F.max("d0").alias("high")).where("n > 1 and low < high").select("h", "n")
-    contested = groups.join(several, "h")
-    ids = written(contested.select(F.col("d0").alias("doc_id"), "tid").distinct(), "owners")
+    """doc_id, tid, spans (lists of first and end): the repeated intervals of documents (doc_id, tid, text) with distinct texts."""
+    found = written(shared_contexts(docs, max(1, -(-total_bytes // BUCKET_BYTES)), span, gram), "found")
+    contested = found.where("h is not null").select("h", "n", F.col("doc").alias("doc_id"), "tid", "start", "size")
+    ids = written(contested.select("doc_id", "tid").distinct(), "owners")
     own = docs.join(_bounded(ids, ids.count()), ["doc_id", "tid"], "left_semi").select("doc_id", "tid", F.col("text").cast("binary").alias("raw"))
-    bodies = contested.join(own.withColumnRenamed("doc_id", "d0"), ["d0", "tid"]).select("h", "n", "context", "d0", F.expr("substring(raw, start + 1, size)").alias("body"))
+    bodies = contested.join(own, ["doc_id", "tid"]).select("h", "n", F.col("doc_id").alias("doc"), "tid", "start", F.expr("substring(raw, start + 1, size)").alias("body"))
     bodies = written(bodies, "bodies")
     volume = bodies.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     shards = bodies.where(F.col("n") <= many).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(max(1, -(-volume // SHARD_BYTES)))))
-    marks = _marks_by_suffix_array(shards, span).unionByName(_marks_by_content(bodies.where(F.col("n") > many), span)).where(F.size("marks") > 0)
-    decided = groups.select("h", "context", "d0").join(marks, ["h", "context"], "left")
-    hits = found.join(decided, ["h", "context"]).where("doc > d0 or marks is not null")
-    whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("size") - span).alias("last")))
-    runs = hits.select("doc", "tid", "start", F.explode(F.when(F.col("doc") > F.col("d0"), whole).otherwise(F.col("marks"))).alias("m"))
-    spans = runs.select(F.col("doc").alias("doc_id"), "tid", F.struct((F.col("start") + F.col("m.first")).alias("first"), (F.col("start") + F.col("m.last") + span).alias("end")).alias("span"))
-    return spans.groupBy("doc_id", "tid").agg(F.array_sort(F.collect_set("span")).alias("spans"))
+    marks = found.where("h is null").select("doc", "tid", "first", "end").unionByName(_marks_by_suffix_array(shards, span)).unionByName(_marks_by_content(bodies.where(F.col("n") > many), span))
+    return marks.groupBy(F.col("doc").alias("doc_id"), "tid").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
 
 
 def cut_out(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
@@ -300,7 +300,7 @@ def without_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, many: i
     are not smaller than each other. Extra columns are ignored.
     """
     ship(docs.sparkSession)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tid", F.xxhash64("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tid", F.hash("text"))
     sizes = written(base.select("doc_id", "tid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "sizes")
     long_ones = sizes.where((F.col("n_bytes") >= span) & F.col("doc_id").isNotNull())
     first = long_ones.groupBy("sha").agg(F.min("doc_id").alias("d0"))
@@ -313,14 +313,14 @@ def without_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, many: i
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [cut_out(text.encode(), [(s["first"], s["end"]) for s in spans]) for text, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            rows = [cut_out(text.encode(), sorted(p for s in spans for p in zip(s["first"], s["end"], strict=True))) for text, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             columns = [batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[2]).hexdigest() for r in rows], pa.string())]
             if with_kept:
                 columns.append(pa.array([r[2] for r in rows], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tid", "n_removed", "n_spans", "kept_sha256", "kept"][: len(columns)])
 
     extra = ", kept binary" if with_kept else ""
-    changed = joined.select("doc_id", "tid", "text", "spans").mapInArrow(work, "doc_id long, tid long, n_removed long, n_spans long, kept_sha256 string" + extra)
+    changed = joined.select("doc_id", "tid", "text", "spans").mapInArrow(work, "doc_id long, tid int, n_removed long, n_spans long, kept_sha256 string" + extra)
     empty = F.lit(hashlib.sha256(b"").hexdigest())
     gone = copies.join(sizes.select("doc_id", "tid", "n_bytes").distinct(), ["doc_id", "tid"]).select("doc_id", "tid", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), empty.alias("kept_sha256"), *([F.lit(b"").alias("kept")] if with_kept else []))
     results = changed.unionByName(gone).dropDuplicates(["doc_id", "tid"])
