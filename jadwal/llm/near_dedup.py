@@ -136,18 +136,21 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
 def _stragglers(lists: DataFrame, labels: DataFrame, docs: DataFrame, width: int, percent: int, block: int = BLOCK) -> DataFrame:
     """Links (a, b) of the members of long lists (v, rep) that their list's main component did not take.
 
-    A list's members are dealt over blocks; its stragglers go to every block, and there each looks for one
-    linked member of every other component.
+    A list's members are dealt over blocks and its stragglers over chunks of the same size. In each pair of them a
+    straggler looks for one linked member of every other component, among those that share enough of its sketch.
     """
+    least = percent / 100 - ESTIMATE_SLACK
     own = written(lists.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("v", "rep", F.coalesce("label", "rep").alias("label")), "members")
     main = own.groupBy("v", "label").count().groupBy("v").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("size"))
     late = written(own.join(main, "v").where("label <> main").select("v", "rep", "label"), "late")
     if late.isEmpty():
         return docs.sparkSession.createDataFrame([], "a long, b long")
-    lists_left = own.join(late.select("v").distinct(), "v", "left_semi").join(main.select("v", F.ceil(F.col("size") / block).alias("blocks")), "v")
-    placed = lists_left.select("v", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), "rep", "label", F.lit(False).alias("late"))
-    asked = late.join(main.select("v", F.ceil(F.col("size") / block).alias("blocks")), "v").select("v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "rep", "label", F.lit(True).alias("late"))
-    every = written(placed.unionByName(asked), "straggler-rows")
+    parts = main.join(late.groupBy("v").agg(F.count("*").alias("n_late")), "v").select("v", F.ceil(F.col("size") / block).alias("blocks"), F.ceil(F.col("n_late") / block).alias("chunks"))
+    part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    every_part = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    placed = own.join(parts, "v").withColumn("block", part("blocks")).withColumn("chunk", every_part("chunks"))
+    asked = late.join(parts, "v").withColumn("chunk", part("chunks")).withColumn("block", every_part("blocks"))
+    every = written(placed.select("v", "block", "chunk", "rep", "label", F.lit(False).alias("late")).unionByName(asked.select("v", "block", "chunk", "rep", "label", F.lit(True).alias("late"))), "straggler-rows")
     ids = every.select(F.col("rep").alias("doc_id")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,20 +161,30 @@ def _stragglers(lists: DataFrame, labels: DataFrame, docs: DataFrame, width: int
     full = docs.join(_bounded(ids, ids.count()), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "rep long, set binary")
 
     def search(t: pa.Table) -> pa.Table:
-        reps, label, late_ = t.column("rep").to_pylist(), t.column("label").to_pylist(), t.column("late").to_pylist()
-        own = [np.frombuffer(s, "i8") for s in t.column("set").to_pylist()]
-        members = [i for i, x in enumerate(late_) if not x]
-        heads = [set(own[i][:K].tolist()) for i in range(len(own))]
+        reps, label, is_late = (t.column(c).to_numpy() for c in ("rep", "label", "late"))
+        sets = [np.frombuffer(s.as_buffer(), "i8") for s in t.column("set")]
+        sizes = np.array([len(s) for s in sets])
+        members = np.flatnonzero(~is_late.astype(bool))
+        heads = np.concatenate([sets[i][:K] for i in members]) if len(members) else np.zeros(0, "i8")
+        owner = np.repeat(np.arange(len(members)), np.minimum(sizes[members], K))
+        order = np.argsort(heads, kind="stable")
+        heads, owner = heads[order], owner[order]
         out = []
-        for y in (i for i, x in enumerate(late_) if x):
-            done = {label[y]}
-            for x in sorted(members, key=lambda i: -len(heads[i] & heads[y])):  # noqa: B023
-                if label[x] not in done and linked(own[y], own[x], percent):
+        for y in np.flatnonzero(is_late):
+            head = sets[y][:K]
+            spans = zip(np.searchsorted(heads, head, "left").tolist(), np.searchsorted(heads, head, "right").tolist(), strict=True)
+            common = np.bincount(np.concatenate([owner[i:j] for i, j in spans]), minlength=len(members))
+            need = least * np.minimum(K, np.maximum(sizes[members], sizes[y]))
+            near = np.flatnonzero((common >= need) & (label[members] != label[y]))
+            done = set()
+            for i in near[np.argsort(-common[near], kind="stable")]:
+                x = members[i]
+                if label[x] not in done and linked(sets[y], sets[x], percent):
                     done.add(label[x])
                     out.append((min(reps[x], reps[y]), max(reps[x], reps[y])))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    return every.join(full, "rep").groupBy("v", "block").applyInArrow(search, "a long, b long")
+    return every.join(full, "rep").groupBy("v", "block", "chunk").applyInArrow(search, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = K, long: int = LONG) -> DataFrame:
