@@ -14,8 +14,8 @@ def direction_vote(labels: DataFrame, group: list[str], position: str, value: st
     return counts.withColumn("step", F.when(F.col("inc") >= F.col("dec"), 1).otherwise(-1))
 
 
-def fill_gaps(lines: DataFrame, group: list[str], low: int = 1, high: int = 12) -> DataFrame:
-    """Labels of a line's positions (pos, label or null, is_data), rising by one a position.
+def fill_gaps(lines: DataFrame, group: list[str], low: int = 1, high: int = 12, step: str | None = None) -> DataFrame:
+    """Labels of a line's positions (pos, label or null, is_data), rising by one a position, or by column ``step``.
 
     A gap between two labels is filled when it fits exactly (confidence 0.55). Given two labels, those before the
     first and after the last are continued while positions hold data and numbers stay valid (0.5).
@@ -29,8 +29,9 @@ def fill_gaps(lines: DataFrame, group: list[str], low: int = 1, high: int = 12)
         .withColumn("n", F.count("label").over(every))
         .withColumn("hole_before", F.max(hole).over(up_to)).withColumn("hole_after", F.min(hole).over(from_here))
     )
-    ahead, back = F.col("a.label") + F.col("pos") - F.col("a.pos"), F.col("b.label") - (F.col("b.pos") - F.col("pos"))
-    inner = F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("b.label") - F.col("a.label") == F.col("b.pos") - F.col("a.pos"))
+    by = F.col(step) if step else F.lit(1)
+    ahead, back = F.col("a.label") + by * (F.col("pos") - F.col("a.pos")), F.col("b.label") - by * (F.col("b.pos") - F.col("pos"))
+    inner = F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("b.label") - F.col("a.label") == by * (F.col("b.pos") - F.col("a.pos")))
     after = F.col("b").isNull() & (F.col("n") >= 2) & (F.coalesce("hole_before", F.lit(-1)) < F.col("a.pos")) & ahead.between(low, high)
     before = F.col("a").isNull() & (F.col("n") >= 2) & (F.coalesce("hole_after", F.lit(1 << 30)) > F.col("b.pos")) & back.between(low, high)
     value = F.when(F.col("label").isNotNull(), F.col("label")).when(inner | after, ahead).when(before, back)
