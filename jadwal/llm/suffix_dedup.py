@@ -30,10 +30,10 @@ from jadwal.llm.suffix_array import permuted_common_prefixes, suffix_array
 from jadwal.shipping import ship
 
 SPAN = 50
-GRAM = 16
+GRAM = 24
 BATCH_BYTES = 1 << 19
-FLUSH_BYTES = 24 << 20
-BUCKET_BYTES = 16 << 20  # of input text a bucket
+FLUSH_BYTES = 20 << 20
+BUCKET_BYTES = 12 << 20  # of input text a bucket
 SHARD_BYTES = 1 << 20
 MANY_CONTEXTS = 5000
 BROADCAST_ROWS = 1_000_000
