@@ -36,7 +36,8 @@ ESTIMATE_SLACK = 0.38  # a pair is verified when its estimate is at least the th
 LEAD = 8  # smallest retained values whose long lists are searched in blocks
 BLOCK = 2048
 BROADCAST_ROWS = 1_000_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
+DOCS_AT_ONCE = 512
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -70,6 +71,13 @@ class Shingler:
         return np.unique((acc ^ (acc >> np.uint64(31))).view("i8"))
 
 
+def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that a worker holds few texts and sets as Python objects."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, DOCS_AT_ONCE):
+            yield batch.slice(i, DOCS_AT_ONCE)
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """100 * intersection >= percent * union; empty sets are linked with nothing."""
     if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
@@ -83,7 +91,7 @@ def shingle_sets(docs: DataFrame, width: int, k: int = K) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingler(width)
-        for batch in batches:
+        for batch in in_slices(batches):
             sets = [of(t) for t in batch.column(1).to_pylist()]
             n = pa.array([len(s) for s in sets], pa.int64())
             fp = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
@@ -126,7 +134,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingler(width)
-        for batch in batches:
+        for batch in in_slices(batches):
             keep = [linked(of(x), of(y), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -155,7 +163,7 @@ def _stragglers(lists: DataFrame, labels: DataFrame, docs: DataFrame, width: int
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingler(width)
-        for batch in batches:
+        for batch in in_slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([of(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["rep", "set"])
 
     full = docs.join(_bounded(ids, ids.count()), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "rep long, set binary")

@@ -30,7 +30,7 @@ from jadwal.shipping import ship
 LENGTH = 2048
 END_ID = 1
 GROUP_PIECES = 8192
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 DOCS_AT_ONCE = 512
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 

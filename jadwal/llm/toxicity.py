@@ -25,7 +25,7 @@ ROWS, DIM, FILTERS, WIDTHS = 1 << 15, 16, 8, (1, 2, 3)
 PREFIXES = (4, 5, 6)  # bytes
 TRAIN_PER_CLASS = {1: 1500, 0: 3000}  # the bound on the labelled sample
 LEAST_THRESHOLD_ROWS = 60
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 DOCS_AT_ONCE = 256
 NOT_WORD = re.compile(r"[\W_]+")
 
