@@ -2,8 +2,10 @@
 
 The base kinds (email, ip, card, phone) follow fixed rules and always stay. Wider generators propose
 further spans: tolerant forms of the base kinds and long key-like runs. Gradient-boosted trees score those by
-format and context; a span is added when it passes its kind's threshold, calibrated for precision on
-candidates that the trees have not seen, and does not overlap a chosen span.
+format and context; a span is added when it passes its kind's threshold and does not overlap a chosen span.
+
+The trees are fitted on a bounded number of candidates of each kind and label. The thresholds are set for
+precision from a histogram of the scores of all other candidates of all documents that could be added.
 
 The trees learn from weak labels: a candidate is positive when a base rule accepts its span, or, for key-like
 runs, when a word such as ``token`` stands just before it. The words that give a label are hidden from the
@@ -28,7 +30,8 @@ from jadwal.llm.common import table, written
 from jadwal.shipping import ship
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-TRAIN_DOCS = 3000
+TRAIN_SPANS = 2000  # the bound on the distinct candidates of one kind and label that the trees see
+BIN, FAR = 16, 12  # bins for each unit of log-odds, and the log-odds of the last bin
 PRECISION = 0.95
 CONTEXT = 24
 DOCS_AT_ONCE = 512
@@ -188,25 +191,61 @@ class SpanModel:
 
     @staticmethod
     def fit(texts: list[str], precision: float = PRECISION) -> SpanModel:
-        """Trees from even texts; per kind the lowest threshold that keeps ``precision`` on odd texts."""
-        rows: tuple[list, list] = ([], [])
-        for i, text in enumerate(texts):
-            accepted = set(base_spans(text))
-            rows[i % 2].extend((features(text, *c), weak_label(text, *c, accepted), c[2]) for c in candidates(text))
-        width = len(features("0", 0, 1, "card"))
-        as_x = lambda part: np.array([r[0] for r in part], "f8").reshape(-1, width)
-        trees = BoostedTrees.fit(as_x(rows[0]), np.array([r[1] for r in rows[0]], "f8"))
-        p, y = trees.predict(as_x(rows[1])), np.array([r[1] for r in rows[1]])
-        kinds = np.array([r[2] for r in rows[1]])
-        thresholds = {}
+        """Trees from even texts, thresholds from odd ones."""
+        even, odd = (rows_of(texts[i::2]) for i in (0, 1))
+        model = SpanModel(fit_trees([r.features for r in even], [r.label for r in even]), {})
+        free = [r for r in odd if r.free]
+        bins = model.bins([r.features for r in free])
+        model.calibrate([(r.kind, b, r.label, 1 - r.label) for r, b in zip(free, bins, strict=True)], precision)
+        return model
+
+    def bins(self, x: list) -> list[int]:
+        """Each candidate's bin of log-odds."""
+        p = np.clip(self.trees.predict(as_matrix(x)), 1e-9, 1 - 1e-9)
+        return np.clip(np.floor(np.log(p / (1 - p)) * BIN + 1e-6), -FAR * BIN, FAR * BIN).astype(int).tolist()
+
+    def calibrate(self, histogram: list[tuple[str, int, float, float]], precision: float = PRECISION) -> None:
+        """For each kind the lowest score that keeps ``precision``, from (kind, bin, positives, negatives)."""
         for kind in KINDS:
-            own = kinds == kind
-            order = np.argsort(-p[own], kind="stable")
-            good = np.cumsum(y[own][order]) >= precision * np.arange(1, own.sum() + 1)
-            ranked = np.append(p[own][order], 0.0)
-            last = np.flatnonzero(good)[-1] if good.any() else -1
-            thresholds[kind] = max(0.5, float(ranked[last] + ranked[last + 1]) / 2) if good.any() else 1.1
-        return SpanModel(trees, thresholds)
+            own = sorted(((b, pos, neg) for k, b, pos, neg in histogram if k == kind), reverse=True)
+            good, positives, total, cut = False, 0.0, 0.0, 0
+            for i, (b, pos, neg) in enumerate(own):
+                positives, total = positives + pos, total + pos + neg
+                if (i + 1 == len(own) or own[i + 1][0] != b) and total and positives >= precision * total:
+                    good, cut = True, b
+            self.thresholds[kind] = max(0.5, float(1 / (1 + np.exp(-cut / BIN))) - 1e-6) if good else 1.1
+
+
+@dataclass
+class Candidate:
+    kind: str
+    label: int
+    free: bool  # overlaps no base span, so it can be added
+    h: int
+    features: list[float]
+
+
+def rows_of(texts: list[str]) -> list[Candidate]:
+    """The candidates of these texts; equal ones with equal context have equal hashes."""
+    out = []
+    for text in texts:
+        found = candidates(text)
+        base = base_spans(text) if found else []
+        accepted = set(base)
+        for start, end, kind in found:
+            key = f"{kind} {start - max(0, start - CONTEXT)} {text[max(0, start - CONTEXT) : end + 4]}".encode("utf-8", "surrogatepass")
+            h = int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "big") >> 1
+            free = all(end <= s or start >= e for s, e, _ in base)
+            out.append(Candidate(kind, weak_label(text, start, end, kind, accepted), free, h, features(text, start, end, kind)))
+    return out
+
+
+def as_matrix(x: list) -> np.ndarray:
+    return np.array(x, "f8").reshape(-1, len(features("0", 0, 1, "card")))
+
+
+def fit_trees(x: list, y: list[int]) -> BoostedTrees:
+    return BoostedTrees.fit(as_matrix(x), np.array(y, "f8"))
 
 
 def all_spans(texts: list[str], model: SpanModel) -> list[tuple[list, list]]:
@@ -234,15 +273,61 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[at:]
 
 
-def train(docs: DataFrame, n: int = TRAIN_DOCS, seed: int = 5) -> SpanModel:
-    """The model from ``n`` distinct texts (fewer if there are not so many) with a digit or an at-sign.
+def candidate_rows(docs: DataFrame) -> DataFrame:
+    """kind, label, free, h and features of every candidate in the texts."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, DOCS_AT_ONCE):
+                rows = rows_of([t or "" for t in batch.column(0).slice(i, DOCS_AT_ONCE).to_pylist()])
+                columns = [pa.array([getattr(r, name) for r in rows], kind) for name, kind in fields]
+                yield pa.RecordBatch.from_arrays(columns, [name for name, _ in fields])
+
+    fields = [("kind", pa.string()), ("label", pa.int32()), ("free", pa.bool_()), ("h", pa.int64()), ("features", pa.list_(pa.float64()))]
+    ship(docs.sparkSession)
+    return docs.select("text").mapInArrow(work, "kind string, label int, free boolean, h long, features array<double>")
+
+
+def _histogram(rows: DataFrame, model: SpanModel) -> DataFrame:
+    """kind, bin, label and how many candidates: few rows for each batch, then added up."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            counts = Counter(zip(kinds, shared.value.bins(batch.column(2).to_pylist()), labels, strict=True))
+            columns = [pa.array([key[i] for key in counts], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts.values(), pa.int64())], ["kind", "bin", "label", "n"])
+
+    out = rows.select("kind", "label", "features").mapInArrow(work, "kind string, bin int, label int, n long")
+    return out.groupBy("kind", "bin", "label").agg(F.sum("n").alias("n"))
+
+
+def train(docs: DataFrame, n: int = TRAIN_SPANS) -> SpanModel:
+    """Trees from about ``n`` distinct candidates of each kind, label and freedom; thresholds from all documents.
 
-    They have the smallest hashes. Only hashes are sorted; the texts at or below the last chosen one are then read.
+    The sample has the smallest hashes among the even ones, so that rare kinds and labels are in it whatever else the
+    corpus holds. Every other candidate that could be added is scored and counted. The counts of a kind and label are
+    raised by the share that the trees have seen, so that precision is that of all documents.
     """
-    drawn = docs.where(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64(F.lit(seed), "text").alias("h"))
-    last = drawn.select("h").distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
-    picked = drawn.where(F.col("h") <= F.lit(last).cast("long")).select("text").distinct()
-    return SpanModel.fit([r["text"] for r in written(picked, "pii-sample").orderBy("text").collect()])
+    rows = written(candidate_rows(docs), "pii-candidates")
+    group = ["kind", "label", "free"]
+    even = F.col("h") % 2 == 0
+    sizes = rows.groupBy(*group).agg(F.approx_count_distinct(F.when(even, F.col("h"))).alias("d"), F.count("*").alias("total")).collect()
+    drawn = F.lit(False)
+    for r in sizes:
+        cut = min(2**63 - 1, 2**63 * n // max(1, r["d"]))
+        drawn = drawn | ((F.col("kind") == r["kind"]) & (F.col("label") == r["label"]) & (F.col("free") == r["free"]) & (F.col("h") <= F.lit(cut).cast("long")))
+    drawn = even & drawn
+    sample = rows.where(drawn).groupBy(*group, "h").agg(F.first("features").alias("features")).orderBy(*group, "h").collect()
+    model = SpanModel(fit_trees([r["features"] for r in sample], [r["label"] for r in sample]), {})
+    counted = [tuple(r) for r in _histogram(rows.where(F.col("free") & ~drawn), model).collect()]
+    unseen = Counter()
+    for kind, _, label, m in counted:
+        unseen[kind, label] += m
+    raised = {(r["kind"], r["label"]): r["total"] / max(1, unseen[r["kind"], r["label"]]) for r in sizes if r["free"]}
+    model.calibrate([(k, b, m * raised[k, y] * y, m * raised[k, y] * (1 - y)) for k, b, y, m in counted])
+    return model
 
 
 def _joined(spans: list[tuple[int, int, str]]) -> str:

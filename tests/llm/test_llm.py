@@ -315,6 +315,18 @@ def test_added_spans(span_model):
     assert base == [] and [(k, text[s:e]) for s, e, k in spans] == [("secret", "b44e15e09fd311c3cf3163b66d5a9875b883d8ce")] and none == []
 
 
+def test_rare_secrets_set_their_threshold_from_all_documents(spark):
+    r = random.Random(12)
+    key = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
+    secrets = [f'{words(20_000 + i, 3)} token = "{key()}" y' for i in range(12)]
+    rows = [(i, f"{words(i, 4)} number {r.randrange(10**6)} of {r.randrange(10**16):016d} parts") for i in range(40_000)] + [(50_000 + i, t) for i, t in enumerate(secrets)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.train(docs)
+    assert 0.5 <= model.thresholds["secret"] <= 1
+    assert sum("[SECRET]" in (x["redacted"] or "") for x in pii.scan(docs.where("doc_id >= 50000"), model).collect()) >= 11
+    assert pii.scan(docs.where("doc_id < 2000"), model).where("redacted like '%[SECRET]%'").count() == 0
+
+
 def test_boosting_learns_a_rule():
     r = np.random.default_rng(1)
     x = r.random((600, 4))
