@@ -7,9 +7,11 @@ format and context; a span is added when it passes its kind's threshold and does
 The trees are fitted on a bounded number of candidates of each kind and label. The thresholds are set for
 precision from a histogram of the scores of all other candidates of all documents that could be added.
 
-The trees learn from weak labels: a candidate is positive when a base rule accepts its span, or, for key-like
-runs, when a word such as ``token`` stands just before it. The words that give a label are hidden from the
-features of the kind that they label.
+The trees learn from weak labels. A candidate is positive when a base rule accepts its span. Tolerant forms, which
+no base rule accepts as they stand, are positive by other evidence: emails and ips when the base rule accepts them
+with plain signs in place of (at) and (dot), cards by the Luhn sum and groups of three digits or more (by a cue word too
+below 14 digits), phones by an international prefix or a cue word, emails with spaces round a plain at-sign by a cue word,
+and key-like runs by a word such as ``token`` just before. Cue words are hidden from the features of the kinds that they label.
 """
 
 from __future__ import annotations
@@ -44,13 +46,19 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 WIDE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]+(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?)[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]{1,4}(?:\.[0-9]{1,4}){3}"),
+    "ip": re.compile(r"[0-9]{1,4}(?:(?:\.|[(\[]\.[)\]]| ?(?:\(dot\)|\[dot\]) ?)[0-9]{1,4}){3}"),
     "card": re.compile(r"[0-9](?:[\x20./-]?[0-9]){11,20}"),
     "phone": re.compile(r"(?:\+|00)?\(?[0-9]{1,4}\)?(?:[\x20.-]?\(?[0-9]{2,4}\)?){2,5}"),
     "secret": re.compile(r"(?=[A-Za-z0-9_-]*[0-9])[A-Za-z0-9_-]{16,}"),
 }
 KEY_WORDS = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|key|bearer)\W{0,4}$")
 TALK_WORDS = re.compile(r"(?i)(?:phone|tel|call|mobile|fax|card|visa|mail|contact|addr|host|server|ip)\W{0,4}$")
+CUES = {
+    "email": re.compile(r"(?i)(?:mail|contact|write to|reach|addr(?:ess)?)\W{0,4}$"),
+    "card": re.compile(r"(?i)(?:card|visa|mastercard|amex|maestro|credit)(?: no| number)?\W{0,4}$"),
+    "phone": re.compile(r"(?i)(?:phone|tel|telephone|call|mobile|cell|fax)(?: no| number)?\W{0,4}$"),
+}
+AT, DOT = re.compile(r" ?(?:@|[(\[]at[)\]]) ?"), re.compile(r" ?[(\[](?:dot|\.)[)\]] ?")
 DIGIT = re.compile(r"[0-9]")
 
 
@@ -106,14 +114,34 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
     return [
         KINDS.index(kind), len(s), len(d), sum(c.isalpha() for c in s), len(s) - len(d) - sum(c.isalpha() for c in s), float(luhn(d)) if d else 0.0, s.count("."), s.count("-") + s.count(" "),
         float(s.startswith("+")), float("(" in s), entropy, len(groups), max(groups), min(groups), float(max((int(g[:6]) for g in re.findall(r"[0-9]+", s)), default=0) <= 255), s.rpartition(".")[2].isalpha() * len(s.rpartition(".")[2]),
-        float(before[-1:].isalnum()), float(after[:1].isalnum()), float(all(c in "0123456789abcdef" for c in s)), float(bool(TALK_WORDS.search(before))), 0.0 if kind == "secret" else float(bool(KEY_WORDS.search(before))), float(before[-1:] in "\"'"), float("=" in before[-4:]),
+        float(before[-1:].isalnum()), float(after[:1].isalnum()), float(all(c in "0123456789abcdef" for c in s)), 0.0 if kind in CUES else float(bool(TALK_WORDS.search(before))), 0.0 if kind == "secret" else float(bool(KEY_WORDS.search(before))), float(before[-1:] in "\"'"), float("=" in before[-4:]),
     ]
 
 
 def weak_label(text: str, start: int, end: int, kind: str, accepted: set[tuple[int, int, str]]) -> int:
+    before, s = text[max(0, start - CONTEXT) : start], text[start:end]
     if kind == "secret":
-        return int(bool(KEY_WORDS.search(text[max(0, start - CONTEXT) : start])))
-    return int((start, end, kind) in accepted)
+        return int(bool(KEY_WORDS.search(before)))
+    return int((start, end, kind) in accepted or _tolerant_fits(s, kind, kind in CUES and bool(CUES[kind].search(before)), before[-1:] + " " + text[end : end + 1]))
+
+
+def _tolerant_fits(s: str, kind: str, cued: bool, around: str) -> bool:
+    """Whether evidence other than the base rule as it stands speaks for a span; ``around`` has the signs next to it."""
+    if kind == "email":
+        plain = DOT.sub(".", AT.sub("@", s))
+        return bool(EMAIL.fullmatch(plain)) and len(end := plain.rpartition(".")[2]) >= 2 and end.isalpha() and ("at)" in s or "at]" in s or "dot" in s or cued)
+    if kind == "ip":
+        plain = DOT.sub(".", s)
+        return plain != s and bool(IP.fullmatch(plain)) and _ip_fits(plain)
+    d = _digits(s)
+    if any(c.isalnum() for c in around):  # a part of a longer run
+        return False
+    if kind == "card":
+        grouped = min(len(g) for g in re.findall(r"[0-9]+", s)) >= 3
+        return grouped and luhn(d) and (14 <= len(d) <= 19 or (12 <= len(d) <= 13 and cued))
+    if s.startswith("00") and 12 <= len(d) <= 17 and len(d) < len(s):
+        return bool(PHONE.fullmatch("+" + s[2:].lstrip()))
+    return cued and 7 <= len(d) <= 15
 
 
 @dataclass
@@ -205,15 +233,21 @@ class SpanModel:
         return np.clip(np.floor(np.log(p / (1 - p)) * BIN + 1e-6), -FAR * BIN, FAR * BIN).astype(int).tolist()
 
     def calibrate(self, histogram: list[tuple[str, int, float, float]], precision: float = PRECISION) -> None:
-        """For each kind the lowest score that keeps ``precision``, from (kind, bin, positives, negatives)."""
+        """For each kind the lowest threshold that keeps ``precision``, from (kind, bin, positives, negatives)."""
+        at = lambda edge: float(1 / (1 + np.exp(-edge / BIN)))
         for kind in KINDS:
-            own = sorted(((b, pos, neg) for k, b, pos, neg in histogram if k == kind), reverse=True)
-            good, positives, total, cut = False, 0.0, 0.0, 0
-            for i, (b, pos, neg) in enumerate(own):
-                positives, total = positives + pos, total + pos + neg
-                if (i + 1 == len(own) or own[i + 1][0] != b) and total and positives >= precision * total:
-                    good, cut = True, b
-            self.thresholds[kind] = max(0.5, float(1 / (1 + np.exp(-cut / BIN))) - 1e-6) if good else 1.1
+            sums: dict[int, list[float]] = {}
+            for k, b, pos, neg in histogram:
+                if k == kind:
+                    own = sums.setdefault(b, [0.0, 0.0])
+                    own[0], own[1] = own[0] + pos, own[1] + pos + neg
+            cut, positives, total = 1.1, 0.0, 0.0
+            order = sorted(sums, reverse=True)
+            for b, below in zip(order, [*order[1:], None], strict=False):
+                positives, total = positives + sums[b][0], total + sums[b][1]
+                if total and positives >= precision * total:  # midway to the next score below
+                    cut = max(0.5, (at(b) + (0.0 if below is None else at(below + 1))) / 2 - 1e-6)
+            self.thresholds[kind] = cut
 
 
 @dataclass

@@ -327,6 +327,32 @@ def test_rare_secrets_set_their_threshold_from_all_documents(spark):
     assert pii.scan(docs.where("doc_id < 2000"), model).where("redacted like '%[SECRET]%'").count() == 0
 
 
+def test_tolerant_emails_cards_and_phones_are_added(spark):
+    r = random.Random(21)
+
+    def card(n):
+        head = "".join(r.choice("123456789") for _ in range(n - 1))
+        return next(head + str(c) for c in range(10) if pii.luhn(head + str(c)))
+
+    def rows(at, n):
+        out = []
+        for i in range(at, at + n):
+            w, c, p = words(i, 3), card(16), f"{r.randrange(200, 999)}-{r.randrange(200, 999)}-{r.randrange(1000, 9999)}"
+            out += [f"{w} a{i} (at) host{i} (dot) org yes", f"{w} {c[:4]}.{c[4:8]}.{c[8:12]}.{c[12:]} yes", f"{w} call {p} yes", f"{w} 10[.]{i % 200}[.]7[.]9 yes"]
+            out += [f"{w} part {r.randrange(10**9)} on 12.5 of {r.randrange(10**11)} yes", f"{w} {i % 28 + 1}.12.2021 14:30 yes"]
+        return out
+
+    docs = spark.createDataFrame(list(enumerate(rows(0, 150))), "doc_id long, text string")
+    model = pii.train(docs)
+    want = ["EMAIL", "CARD", "PHONE", "IP", None, None]
+    fresh = rows(1000, 30)
+    right = defaultdict(list)
+    for i, (text, (base, spans)) in enumerate(zip(fresh, pii.all_spans(fresh, model), strict=True)):
+        assert base == []
+        right[want[i % 6]].append([k.upper() for _, _, k in spans] == ([want[i % 6]] if want[i % 6] else []))
+    assert all(np.mean(v) >= 0.9 for v in right.values()), {k: np.mean(v) for k, v in right.items()}
+
+
 def test_boosting_learns_a_rule():
     r = np.random.default_rng(1)
     x = r.random((600, 4))
