@@ -2,8 +2,9 @@
 
 A word is the sum of hashed embeddings of itself and of its first letters, so that unseen forms of a stem
 share its meaning. Filters of one, two and three words run over the whole text, each filter keeps its
-maximum, and a logistic layer scores the document. Scores are calibrated on labelled documents that the
-network has not seen, reweighted to the true share of toxic labels; thresholds are then set by language.
+maximum, and a logistic layer scores the document. Scores are calibrated on all labelled documents that are not
+held out and that the network has not seen, by a histogram, reweighted to the true share of toxic labels; thresholds
+are then set by language.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ TRAIN_PER_CLASS = {1: 1500, 0: 3000}  # the bound on the labelled sample
 LEAST_THRESHOLD_ROWS = 60
 CACHE_WORDS = 150_000
 DOCS_AT_ONCE = 256
+BIN = 32  # bins for each unit of the raw score
 NOT_WORD = re.compile(r"[\W_]+")
 
 
@@ -204,14 +206,22 @@ def _step(net: Network, opt: Adam, feats: np.ndarray, nums: np.ndarray, starts:
     net.out_bias -= opt.rate * float(g.sum()) * 4
 
 
-def calibrate(net: Network, texts: list[str], labels: np.ndarray, langs: list[str | None], share: float, bar: float = 0.3) -> None:
-    """Platt scaling reweighted to ``share`` of toxic rows, then each language's threshold by best F1."""
-    words = Words()
-    raw = np.concatenate([net.raw(*words.encode(texts[i : i + 64])) for i in range(0, len(texts), 64)])
-    now = labels.mean()
-    weight = np.where(labels == 1, share / now, (1 - share) / (1 - now)) if 0 < now < 1 else np.ones(len(labels))
+def calibrate(net: Network, histogram: list[tuple[str | None, int, int, int]], share: float, bar: float = 0.3) -> None:
+    """Platt scaling reweighted to ``share`` of toxic rows, then each language's threshold by best F1.
+
+    ``histogram`` has language, bin of the raw score, toxic rows and all rows.
+    """
+    cells = [(lang, k, y, toxic if y else total - toxic) for lang, k, toxic, total in histogram for y in (0, 1)]
+    cells = sorted(((lang or "", k, y, n) for lang, k, y, n in cells if n))
+    if not cells:
+        return
+    langs = np.array([c[0] for c in cells])
+    raw, labels, n = ((np.array([c[i] for c in cells], "f8") + 0.5 * (i == 1)) / (BIN if i == 1 else 1) for i in (1, 2, 3))
+    toxic, total = (n * labels).sum(), n.sum()
+    now = toxic / total
+    weight = n * (np.where(labels == 1, share / now, (1 - share) / (1 - now)) if 0 < now < 1 else 1.0)
     a, b = 1.0, 0.0
-    soft = np.where(labels == 1, 1 - 1 / (labels.sum() + 2), 1 / ((1 - labels).sum() + 2))
+    soft = np.where(labels == 1, 1 - 1 / (toxic + 2), 1 / (total - toxic + 2))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * raw + b, -30, 30)))
         d, s = weight * (p - soft), weight * p * (1 - p) + 1e-9
@@ -220,12 +230,13 @@ def calibrate(net: Network, texts: list[str], labels: np.ndarray, langs: list[st
         a, b = a - float(np.clip(step[0], -1, 1)), b - float(np.clip(step[1], -2, 2))
     net.scale = (max(a, 1e-3), b)
     score = net.score(raw)
-    for lang in sorted({x for x in langs if x}):
-        own = np.array([x == lang for x in langs])
-        if own.sum() >= LEAST_THRESHOLD_ROWS and 0 < labels[own].sum() < own.sum():
+    edge = net.score(raw - 0.5 / BIN)
+    for lang in sorted({x for x in langs.tolist() if x}):
+        own = langs == lang
+        if n[own].sum() >= LEAST_THRESHOLD_ROWS and 0 < (n * labels)[own].sum() < n[own].sum():
             s, y, w = score[own], labels[own], weight[own]
-            tried = np.unique(np.append(np.quantile(s, np.linspace(0.02, 0.98, 97)), bar))
-            f1 = [2 * (w * y * (s >= t)).sum() / ((w * y).sum() + (w * (s >= t)).sum()) for t in tried]
+            tried = np.unique(np.append(edge[own], bar))
+            f1 = [2 * (w * y * (s >= t)).sum() / ((w * y).sum() + (w * (s >= t)).sum() or 1) for t in tried]
             good = tried[np.flatnonzero(np.array(f1) >= max(f1) - 1e-9)]
             net.thresholds[lang] = float(np.clip(good[np.abs(good - bar).argmin()], 0.1, 0.9))
 
@@ -234,30 +245,62 @@ def held_out(doc_id) -> F.Column:  # type: ignore[name-defined]
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] | None = None) -> Network:
-    """A calibrated network from a bounded sample of the labelled rows that are not held out.
+def fitted(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] | None = None) -> tuple[Network, DataFrame, float | None]:
+    """A network that is not calibrated yet, the labels to calibrate it with, and the share of toxic labels.
 
-    Per class, the rows with the smallest hash of their id; four in five train, the rest calibrate.
+    Four in five labelled rows that are not held out may train: per class, those with the smallest hash of their id.
+    All others, also those beyond the bound, calibrate.
     """
     bounds = per_class or TRAIN_PER_CLASS
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id", "toxic")
     share = known.agg(F.avg("toxic")).first()[0]
     order = F.xxhash64(F.lit("sample"), "doc_id")
+    may = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(5)) < 4
     ids = None
     for y, n in sorted(bounds.items()):
-        own = known.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(n)
+        own = known.where((F.col("toxic") == y) & may).orderBy(order, "doc_id").limit(n)
         ids = own if ids is None else ids.unionByName(own)
-    rows = sorted(tuple(r) for r in docs.select("doc_id", "text", F.coalesce("lang", F.lit("")) if "lang" in docs.columns else F.lit("")).join(F.broadcast(ids), "doc_id").where("text is not null").collect())
+    rest = known.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_anti")
+    lang = F.coalesce("lang", F.lit("")) if "lang" in docs.columns else F.lit("")
+    rows = sorted(tuple(r) for r in docs.select("doc_id", "text", lang).join(F.broadcast(ids), "doc_id").where("text is not null").collect())
     if not rows or share in (None, 0.0, 1.0):
         net = Network.start(np.random.default_rng(0))
         net.scale = (1e-3, -4.0 if not share else 4.0)
-        return net
+        return net, rest, None
     rows.sort(key=lambda r: (zlib.crc32(b"order%d" % r[0]), r))
-    texts, langs, y = [r[1] for r in rows], [r[2] for r in rows], np.array([r[3] for r in rows])
-    cut = np.arange(len(rows)) % 5 == 4
-    pick = lambda seq, keep: [v for v, k in zip(seq, keep, strict=True) if k]
-    net = fit(pick(texts, ~cut), y[~cut])
-    calibrate(net, pick(texts, cut), y[cut], pick(langs, cut), share)
+    return fit([r[1] for r in rows], np.array([r[3] for r in rows])), rest, share
+
+
+def raw_scores(docs: DataFrame, net: Network) -> DataFrame:
+    """doc_id, lang and raw score of the documents, without their texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            for i in range(0, batch.num_rows, DOCS_AT_ONCE):
+                part = batch.slice(i, DOCS_AT_ONCE)
+                raw = shared.value.raw(*words.encode(part.column(2).to_pylist()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(raw.astype("f8"))], ["doc_id", "lang", "raw"])
+
+    ship(docs.sparkSession)
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
+    rows = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), lang, "text")
+    return rows.mapInArrow(work, "doc_id long, lang string, raw double")
+
+
+def histogram_of(raw: DataFrame, rest: DataFrame) -> list[tuple[str | None, int, int, int]]:
+    """Language, bin, toxic rows and all rows of the documents with labels in ``rest``."""
+    k = F.floor(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), "raw")) * BIN).cast("int").alias("k")
+    both = raw.join(rest, "doc_id").groupBy("lang", k).agg(F.sum(F.col("toxic").cast("long")).alias("toxic"), F.count("*").alias("total"))
+    return [tuple(r) for r in both.collect()]
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] | None = None) -> Network:
+    """A network from a bounded sample of the labels, calibrated on all other labels that are not held out."""
+    net, rest, share = fitted(docs, labels, per_class)
+    if share is not None:
+        calibrate(net, histogram_of(raw_scores(docs, net), rest), share)
     return net
 
 

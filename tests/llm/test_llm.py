@@ -382,6 +382,18 @@ def test_toxicity_on_held_out_words(spark):
     assert all(0 <= s["toxicity"] <= 1 for s in scored)
 
 
+def test_toxicity_thresholds_of_rare_languages(spark):
+    r = random.Random(9)
+    rows = []
+    for i in range(3000):
+        toxic = i % 5 == 0
+        ws = words(1000 + i, r.randint(5, 30)).split() + [r.choice(["gorp", "vilefoo"])] * (3 * toxic)
+        rows.append((i, " ".join(ws), "xx" if i % 16 == 0 else "en", int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    net = toxicity.train(docs.drop("toxic"), docs.select("doc_id", "toxic"), {1: 100, 0: 200})
+    assert set(net.thresholds) == {"en", "xx"}
+
+
 def test_toxicity_without_labels_or_texts(docs, empty, spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     net = toxicity.train(docs, labels)
