@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from jadwal.llm import ann, components, decontaminate, license_scan, near_dedup, packing, pii, sharding, suffix_array, suffix_dedup, toxicity, url_filter
+from jadwal.llm import ann, components, decontaminate, near_dedup, packing, pii, sharding, suffix_array, suffix_dedup, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label int, h string"
 
@@ -401,25 +401,6 @@ def test_toxicity_without_labels_or_texts(docs, empty, spark):
     assert toxicity.score_documents(empty, net).count() == 0
 
 
-# --- license scan
-
-
-def test_license_scan(docs, empty):
-    model = license_scan.fit([words(i, 20) for i in range(300)])
-    rows = {(r["doc_id"], r["paragraph"]): (r["family"], r["confirmed"]) for r in license_scan.scan(docs, model).collect()}
-    assert rows == {(17, 0): ("apache-2.0", True), (17, 1): ("proprietary", True)}
-    assert license_scan.scan(empty, model).count() == 0
-
-
-def test_license_scan_agrees_with_brute_force(spark):
-    model = license_scan.fit([words(i, 20) for i in range(300)])
-    lines = ["Released under the MIT License.", "the license of a driver", "This licensed taxi", "licensed under cc by nc 4 0", "reserved seats " + words(3, 9), "All rights reserved"]
-    got = {r["paragraph"]: (r["family"], r["probability"]) for r in license_scan.scan(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string"), model).collect()}
-    for i, line in enumerate(lines):
-        p = model.probabilities(line)[:-1]
-        assert got[i] == (list(license_scan.TEMPLATES)[p.argmax()] if p.max() >= model.least else "unknown", pytest.approx(p.max(), abs=1e-5))
-
-
 # --- nearest neighbours
 
 
