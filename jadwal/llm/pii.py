@@ -19,8 +19,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jadwal.llm.common import table, written
+from jadwal.llm.common import table, text_slices, written
 from jadwal.shipping import ship
 
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -38,18 +39,22 @@ PRECISION = 0.95
 CONTEXT = 24
 DOCS_AT_ONCE = 512
 
-# The contract's patterns.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# The contract's kinds of characters and patterns, in forms that never read a run of characters twice. An email is
+# found from its sign and widened to both sides, an ip starts where a run of digits starts; both give the leftmost matches.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+# What the generators propose besides; no candidate of digits is a part of a longer run of digits.
+WIDE_SIGN = re.compile(r" ?(?:@|\(at\)|\[at\]) ?")
+WIDE_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?)[A-Za-z0-9-]++)++")
 WIDE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]+(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?)[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"[0-9]{1,4}(?:(?:\.|[(\[]\.[)\]]| ?(?:\(dot\)|\[dot\]) ?)[0-9]{1,4}){3}"),
-    "card": re.compile(r"[0-9](?:[\x20./-]?[0-9]){11,20}"),
-    "phone": re.compile(r"(?:\+|00)?\(?[0-9]{1,4}\)?(?:[\x20.-]?\(?[0-9]{2,4}\)?){2,5}"),
-    "secret": re.compile(r"(?=[A-Za-z0-9_-]*[0-9])[A-Za-z0-9_-]{16,}"),
+    "card": re.compile(r"(?<![0-9])[0-9](?:[\x20./-]?[0-9]){11,20}(?![0-9])"),
+    "phone": re.compile(r"(?<![0-9])(?:\+|00)?\(?[0-9]{1,4}\)?(?:[\x20.-]?\(?[0-9]{2,4}\)?){2,5}(?![0-9])"),
+    "secret": re.compile(r"[A-Za-z0-9_-]{16,}"),
 }
 KEY_WORDS = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|key|bearer)\W{0,4}$")
 TALK_WORDS = re.compile(r"(?i)(?:phone|tel|call|mobile|fax|card|visa|mail|contact|addr|host|server|ip)\W{0,4}$")
@@ -74,6 +79,20 @@ def _digits(s: str) -> str:
     return "".join(DIGIT.findall(s))
 
 
+def emails(text: str, sign: re.Pattern[str] | str = "@", domain: re.Pattern[str] = DOMAIN) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping (start, end): characters of LOCAL, the sign, a domain."""
+    found = re.finditer(sign, text)
+    least = 0  # where the local part may start: after the last match and the last sign
+    for m in found:
+        start = least + len(text[least : m.start()].rstrip(LOCAL))
+        end = domain.match(text, m.end()) if least <= m.start() else None
+        if end and start < m.start():
+            yield start, end.end()
+            least = end.end()
+        else:
+            least = max(least, m.end())
+
+
 def _ip_fits(s: str) -> bool:
     parts = [p.lstrip("0") or "0" for p in s.split(".")]
     return all(len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -88,7 +107,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the base kinds, by start, then kind as listed."""
     out: list[tuple[int, int, str]] = []
     if "@" in text:
-        out += [(m.start(), m.end(), "email") for m in EMAIL.finditer(text)]
+        out += [(s, e, "email") for s, e in emails(text)]
     if DIGIT.search(text):
         out += [(m.start(), m.end(), "ip") for m in IP.finditer(text) if _ip_fits(m[0])]
         out += [(m.start(), m.end(), "card") for m in CARD.finditer(text) if _card_fits(m[0])]
@@ -101,7 +120,31 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     """Spans that the wide generators propose; they may overlap."""
     if not (DIGIT.search(text) or "@" in text or "at)" in text or "at]" in text):
         return []
-    return [(m.start(), m.end(), kind) for kind, pattern in WIDE.items() for m in pattern.finditer(text)]
+    out = [(s, e, "email") for s, e in emails(text, WIDE_SIGN, WIDE_DOMAIN)]
+    return out + [(m.start(), m.end(), kind) for kind, pattern in WIDE.items() for m in pattern.finditer(text) if kind != "secret" or DIGIT.search(m[0])]
+
+
+class Taken:
+    """Disjoint intervals of one text in order."""
+
+    def __init__(self, spans: Iterable[tuple[int, int, str]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end, _ in sorted(spans):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def free(self, start: int, end: int) -> bool:
+        i = bisect_left(self.starts, end)
+        return i == 0 or self.ends[i - 1] <= start
+
+    def take(self, start: int, end: int) -> None:
+        i = bisect_left(self.starts, start)
+        self.starts.insert(i, start)
+        self.ends.insert(i, end)
 
 
 def features(text: str, start: int, end: int, kind: str) -> list[float]:
@@ -129,7 +172,7 @@ def _tolerant_fits(s: str, kind: str, cued: bool, around: str) -> bool:
     """Whether evidence other than the base rule as it stands speaks for a span; ``around`` has the signs next to it."""
     if kind == "email":
         plain = DOT.sub(".", AT.sub("@", s))
-        return bool(EMAIL.fullmatch(plain)) and len(end := plain.rpartition(".")[2]) >= 2 and end.isalpha() and ("at)" in s or "at]" in s or "dot" in s or cued)
+        return next(emails(plain), None) == (0, len(plain)) and len(end := plain.rpartition(".")[2]) >= 2 and end.isalpha() and ("at)" in s or "at]" in s or "dot" in s or cued)
     if kind == "ip":
         plain = DOT.sub(".", s)
         return plain != s and bool(IP.fullmatch(plain)) and _ip_fits(plain)
@@ -265,12 +308,11 @@ def rows_of(texts: list[str]) -> list[Candidate]:
     for text in texts:
         found = candidates(text)
         base = base_spans(text) if found else []
-        accepted = set(base)
+        accepted, taken = set(base), Taken(base)
         for start, end, kind in found:
             key = f"{kind} {start - max(0, start - CONTEXT)} {text[max(0, start - CONTEXT) : end + 4]}".encode("utf-8", "surrogatepass")
             h = int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "big") >> 1
-            free = all(end <= s or start >= e for s, e, _ in base)
-            out.append(Candidate(kind, weak_label(text, start, end, kind, accepted), free, h, features(text, start, end, kind)))
+            out.append(Candidate(kind, weak_label(text, start, end, kind, accepted), taken.free(start, end), h, features(text, start, end, kind)))
     return out
 
 
@@ -287,9 +329,10 @@ def all_spans(texts: list[str], model: SpanModel) -> list[tuple[list, list]]:
     bases = [base_spans(t) for t in texts]
     found = [(i, c) for i, t in enumerate(texts) for c in candidates(t)]
     p = model.trees.predict(np.array([features(texts[i], *c) for i, c in found], "f8")) if found else []
-    chosen = [list(b) for b in bases]
+    chosen, taken = [list(b) for b in bases], [Taken(b) for b in bases]
     for q, i, (start, end, kind) in sorted(((float(q), i, c) for q, (i, c) in zip(p, found, strict=True)), key=lambda r: (-r[0], r[1], r[2])):
-        if q >= model.thresholds[kind] and all(end <= s or start >= e for s, e, _ in chosen[i]):
+        if q >= model.thresholds[kind] and taken[i].free(start, end):
+            taken[i].take(start, end)
             chosen[i].append((start, end, kind))
     return [(b, sorted(c, key=lambda s: (s[0], KINDS.index(s[2])))) for b, c in zip(bases, chosen, strict=True)]
 
@@ -312,8 +355,8 @@ def candidate_rows(docs: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, DOCS_AT_ONCE):
-                rows = rows_of([t or "" for t in batch.column(0).slice(i, DOCS_AT_ONCE).to_pylist()])
+            for part in text_slices(batch, 0, DOCS_AT_ONCE):
+                rows = rows_of([t or "" for t in part.column(0).to_pylist()])
                 columns = [pa.array([getattr(r, name) for r in rows], kind) for name, kind in fields]
                 yield pa.RecordBatch.from_arrays(columns, [name for name, _ in fields])
 
@@ -371,15 +414,15 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
 def scan(docs: DataFrame, model: SpanModel) -> DataFrame:
     """doc_id, counts and digest of the base spans, all spans as text, and the redacted text.
 
-    Null texts count as empty; every row gives one row, repeated rows too. Other columns are ignored.
+    Null texts count as empty; every row gives one row, repeated rows too. Other columns are ignored. Texts of any length
+    are read whole, in time in proportion to their length.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "redacted"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, DOCS_AT_ONCE):
-                part = batch.slice(i, DOCS_AT_ONCE)
+            for part in text_slices(batch, 1, DOCS_AT_ONCE):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 found = all_spans(texts, shared.value)
                 counts = [Counter(k for _, _, k in base) for base, _ in found]
@@ -401,8 +444,7 @@ def redact_documents(docs: DataFrame, model: SpanModel) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, DOCS_AT_ONCE):
-                part = batch.slice(i, DOCS_AT_ONCE)
+            for part in text_slices(batch, at, DOCS_AT_ONCE):
                 texts = part.column(at).to_pylist()
                 found = all_spans([t or "" for t in texts], shared.value)
                 clean = [t if not spans else redact(t, spans) for t, (_, spans) in zip(texts, found, strict=True)]
