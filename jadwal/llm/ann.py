@@ -1,12 +1,14 @@
 """Nearest neighbours by a hash-prefix forest.
 
 Equal vectors are collapsed to one (with their smallest ids; more than k + 1 of them can never be
-asked for), and the distinct vectors are dealt evenly over blocks. A block holds, per tree, the sorted
-array of its vectors' hash strings: bits of random projections. A query descends every tree to its
+asked for), and the distinct vectors are dealt evenly over blocks of bounded size. A block holds, per tree, the sorted
+array of its vectors' hash strings. A string's symbols are each the largest of ``WIDTH`` random projections with its
+sign, so that vectors at a small angle often share a long prefix. A query descends every tree to its
 longest matching prefix and then ascends all trees together, one bit at a time, until the ranges under
-the common prefix length hold enough candidates. Candidates are scored exactly, in double precision.
+the common prefix length hold ``LEAST`` entries, a fixed number for every query. Candidates are scored exactly, in
+double precision.
 
-The queries are cut into chunks; each (chunk, block) pair is one small task, which is the stated query
+The queries are cut into chunks; each (chunk, block) pair is one task, which is the stated query
 set against all rows in blocks. Every row is indexed.
 """
 
@@ -22,12 +24,12 @@ from pyspark.sql import functions as F
 from jadwal.llm.common import table, written
 from jadwal.shipping import ship
 
-TREES = 40
-BITS = 24
-FRACTION = 0.8  # of a block's vectors that the ranges may hold, counted over all trees with repetition
-LEAST = 256
-BLOCK_ROWS = 8192
-CHUNK_QUERIES = 1024
+TREES = 224
+WIDTH, SYMBOLS = 32, 4
+LEAST = 4096  # entries that the ranges of all trees hold together, counted with repetition
+BLOCK_ROWS = 65_536
+CHUNK_QUERIES = 16_384
+QUERIES_AT_ONCE = 512
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -43,84 +45,102 @@ def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
     return ranked.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
-def hash_strings(x: np.ndarray, trees: int, bits: int, seed: int) -> np.ndarray:
-    """(trees, rows) hash strings: the signs of ``bits`` random projections a tree, first bit highest."""
-    planes = np.random.default_rng([seed, x.shape[1]]).standard_normal((x.shape[1], trees * bits))
-    signs = (x @ planes > 0).reshape(len(x), trees, bits)
-    return (signs @ (1 << np.arange(bits - 1, -1, -1))).T.astype("i8")
-
-
 class Forest:
-    """Sorted arrays of hash strings over some vectors."""
-
-    def __init__(self, x: np.ndarray, trees: int = TREES, bits: int = BITS, seed: int = 11):
-        self.x, self.trees, self.bits, self.seed = x, trees, bits, seed
-        self.unit = x / np.sqrt((x * x).sum(1))[:, None]
-        keys = hash_strings(self.unit, trees, bits, seed)
-        self.order = np.argsort(keys, axis=1, kind="stable")
-        self.keys = np.take_along_axis(keys, self.order, 1)
-
-    def candidates(self, q: np.ndarray, least: int) -> Iterator[np.ndarray]:
-        """For each unit query, the vectors under the longest common prefix length with ``least`` entries."""
-        keys = hash_strings(q, self.trees, self.bits, self.seed)
-        lo = np.zeros((self.bits + 1, self.trees, len(q)), "i8")
-        hi = np.zeros_like(lo)
-        for depth in range(self.bits + 1):
+    """Sorted arrays of hash strings over some vectors, one array a tree."""
+
+    def __init__(self, x: np.ndarray, trees: int = TREES, seed: int = 11):
+        self.n, self.bits = len(x), SYMBOLS * (2 * WIDTH - 1).bit_length()
+        self.planes = [np.random.default_rng([seed, x.shape[1], t]).standard_normal((x.shape[1], SYMBOLS * WIDTH)).astype("f4") for t in range(trees)]
+        single = x.astype("f4")
+        self.order, self.keys = np.empty((trees, self.n), "i4"), np.empty((trees, self.n), "i4")
+        for t in range(trees):
+            keys = self.strings(single, t)
+            self.order[t] = np.argsort(keys, kind="stable")
+            self.keys[t] = keys[self.order[t]]
+
+    def strings(self, x: np.ndarray, t: int) -> np.ndarray:
+        """The hash strings of the rows of ``x`` in tree ``t``, first symbol highest."""
+        y = (x @ self.planes[t]).reshape(len(x), SYMBOLS, WIDTH)
+        best = np.abs(y).argmax(2)
+        code = 2 * best + (np.take_along_axis(y, best[:, :, None], 2)[:, :, 0] > 0)
+        return (code << np.arange((SYMBOLS - 1) * (2 * WIDTH - 1).bit_length(), -1, -(2 * WIDTH - 1).bit_length())).sum(1).astype("i4")
+
+    def candidates(self, q: np.ndarray, least: int = LEAST) -> Iterator[np.ndarray]:
+        """For each query, the vectors under the longest common prefix length with ``least`` entries."""
+        trees, single = len(self.planes), q.astype("f4")
+        keys = np.stack([self.strings(single, t) for t in range(trees)])
+        lo, hi = np.zeros((trees, len(q)), "i4"), np.full((trees, len(q)), self.n, "i4")
+        open_ = np.arange(len(q))
+        for depth in range(self.bits, 0, -1):
             drop = self.bits - depth
-            for t in range(self.trees):
-                first = keys[t] >> drop << drop
-                lo[depth, t] = np.searchsorted(self.keys[t], first, "left")
-                hi[depth, t] = np.searchsorted(self.keys[t], first + (1 << drop), "left")
-        enough = (hi - lo).sum(1) >= min(least, self.trees * len(self.x))
-        depth = self.bits - np.argmax(enough[::-1], axis=0)
-        for i, d in enumerate(depth):
-            seen = np.zeros(len(self.x), bool)
-            for t in range(self.trees):
-                seen[self.order[t, lo[d, t, i] : hi[d, t, i]]] = True
+            first = keys[:, open_] >> drop << drop
+            for t in range(trees):
+                lo[t, open_] = np.searchsorted(self.keys[t], first[t], "left")
+                hi[t, open_] = np.searchsorted(self.keys[t], first[t] + ((1 << drop) - 1), "right")
+            short = (hi[:, open_] - lo[:, open_]).sum(0) < least
+            open_ = open_[short]
+            if not len(open_):
+                break
+        lo[:, open_], hi[:, open_] = 0, self.n  # at the root
+        for i in range(len(q)):
+            seen = np.zeros(self.n, bool)
+            for t in np.flatnonzero(hi[:, i] > lo[:, i]):
+                seen[self.order[t, lo[t, i] : hi[t, i]]] = True
             yield np.flatnonzero(seen)
 
 
-def nearest(
-    data: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int = 5, trees: int = TREES, bits: int = BITS, fraction: float = FRACTION, block_rows: int = BLOCK_ROWS, seed: int = 11
-) -> DataFrame:
+def matrices(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The vectors of a list column by their number of components: (rows, one vector a row)."""
+    lists = column.combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    starts, flat = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py(), lists.flatten().to_numpy(zero_copy_only=False)
+    out = {}
+    for dim in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == dim)
+        out[dim] = (rows, flat[starts[rows][:, None] + np.arange(dim)])
+    return out
+
+
+def nearest(data: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int = 5, trees: int = TREES, least: int = LEAST, block_rows: int = BLOCK_ROWS, chunk_queries: int = CHUNK_QUERIES, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id, score: for each query row its ``k`` nearest found rows by cosine.
 
     A row is never its own neighbour; equal scores go by the smaller id. Rows whose vector is null,
     zero, or holds null or non-finite components take no part, nor do rows without an id or with
     another number of components than the query. Repeated ids count as one row per distinct vector.
+    Other columns are ignored.
     """
     ship(data.sparkSession)
     rows = written(distinct_vectors(usable(data, id_col, vec_col).distinct(), k + 1), "vectors")
     asked = usable(queries, id_col, vec_col).distinct()
     blocks = max(1, -(-rows.count() // block_rows))
     dealt = rows.select(F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int").alias("block"), "v", "ids")
-    chunks = max(1, -(-asked.count() // CHUNK_QUERIES))
+    chunks = max(1, -(-asked.count() // chunk_queries))
     spread = asked.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def search(q: pa.Table, d: pa.Table) -> pa.Table:
         out: list[tuple[int, int, float]] = []
-        qv, dv = q.column("v").to_pylist(), d.column("v").to_pylist()
-        for dim in {len(v) for v in qv}:
-            qi, di = [i for i, v in enumerate(qv) if len(v) == dim], [i for i, v in enumerate(dv) if len(v) == dim]
-            if not di:
+        names, held, known = q.column("id").to_pylist(), d.column("ids").combine_chunks(), matrices(d.column("v"))
+        for dim, (qi, ys) in matrices(q.column("v")).items():
+            if dim not in known:
                 continue
-            x, y = np.array([dv[i] for i in di]), np.array([qv[i] for i in qi])
-            forest = Forest(x, trees, bits, seed)
-            norms, unit = np.sqrt((x * x).sum(1)), y / np.sqrt((y * y).sum(1))[:, None]
-            ids, names = [d.column("ids")[i].as_py() for i in di], [q.column("id")[i].as_py() for i in qi]
-            least = max(LEAST, int(fraction * len(x)))
-            for i, found in enumerate(forest.candidates(unit, least)):
-                near = forest.unit[found] @ unit[i]
-                n = min(len(found), k + 1)
-                edge = np.partition(near, len(near) - n)[len(near) - n] - 1e-9
-                found = found[near >= edge]
-                score = (x[found] * y[i]).sum(1) / (norms[found] * np.sqrt((y[i] * y[i]).sum()))
-                best = sorted((-s, v) for s, f in zip(score.tolist(), found, strict=True) for v in ids[f] if v != names[i])[:k]
-                out += [(names[i], v, -s) for s, v in best]
+            di, x = known[dim]
+            norms = np.sqrt((x * x).sum(1))
+            forest = Forest(x / norms[:, None], trees, seed)
+            for at in range(0, len(qi), QUERIES_AT_ONCE):
+                part = ys[at : at + QUERIES_AT_ONCE]
+                unit = part / np.sqrt((part * part).sum(1))[:, None]
+                for i, found in enumerate(forest.candidates(unit, least)):
+                    y, name = part[i], names[qi[at + i]]
+                    near = (x[found] @ unit[i]) / norms[found]
+                    n = min(len(found), k + 1)
+                    found = found[near >= np.partition(near, len(near) - n)[len(near) - n] - 1e-9]
+                    score = (x[found] * y).sum(1) / (norms[found] * np.sqrt((y * y).sum()))
+                    best = sorted((-s, v) for s, f in zip(score.tolist(), found, strict=True) for v in held[int(di[f])].as_py() if v != name)[:k]
+                    out += [(name, v, -s) for s, v in best]
         return pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
 
-    if not blocks or rows.isEmpty():
+    if rows.isEmpty():
         return data.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     pairs = spread.groupBy("block", "chunk").cogroup(dealt.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).groupBy("block", "chunk"))
     found = pairs.applyInArrow(search, "query_id long, vec_id long, score double")

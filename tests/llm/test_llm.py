@@ -428,6 +428,20 @@ def test_nearest(spark):
     assert ann.nearest(table.limit(0), table, "vec_id", "embedding").count() == ann.nearest(table, table.limit(0), "vec_id", "embedding").count() == 0
 
 
+@pytest.mark.parametrize("n", [5_000, 40_000])
+def test_a_forest_reaches_its_recall_with_a_fixed_number_of_candidates(n):
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    q = x[:n:50][:100]
+    hits = total = 0
+    for y, found in zip(q, ann.Forest(x).candidates(q), strict=True):
+        score = x @ y
+        want = np.argpartition(-score, 5)[:6]
+        hits, total = hits + np.isin(want, found).sum(), total + len(found)
+    assert hits / (6 * len(q)) >= 0.9 and total / len(q) <= 8_192
+
+
 # --- url filter
 
 
