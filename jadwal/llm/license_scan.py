@@ -278,8 +278,12 @@ def windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def train(docs: DataFrame, n: int = SAMPLE_WINDOWS) -> LicenseModel:
-    """A model whose unknown class also sees at most ``n`` windows of the texts, drawn by a hash."""
-    plain = windows(docs).select(F.filter("w", lambda x: F.length(x) <= LONGEST_WORD).alias("w")).where(F.size("w") > 0)
+    """A model whose unknown class also sees at most ``n`` windows of about 4 * ``n`` different texts, drawn by a hash."""
+    texts = docs.where("length(text) > 0")
+    share = min(1.0, 4 * n / max(1, texts.count()))
+    h = F.xxhash64(F.lit("texts"), "text")
+    drawn = texts.where(F.shiftrightunsigned(h, 33) <= int(share * (2**31 - 1))).groupBy(h.alias("doc_id")).agg(F.first("text").alias("text"))
+    plain = windows(drawn).select(F.filter("w", lambda x: F.length(x) <= LONGEST_WORD).alias("w")).where(F.size("w") > 0)
     rows = written(plain.select("w", F.xxhash64(F.lit("ordinary"), "w").alias("h")).orderBy("h", "w").limit(n), "ordinary").collect()
     return fit([list(r["w"]) for r in sorted(rows, key=lambda r: (r["h"], r["w"]))])
 
