@@ -4,12 +4,12 @@ Every document's set of word shingles is hashed once; equal sets collapse to the
 set retains its k smallest hash values. Inverted lists of retained values generate pairs, the union of two
 sketches estimates their similarity, and exact Jaccard on the full sets verifies. With similarity s, each of
 the k smallest values of a union is shared with probability s, so the chance that a linked pair shares too few
-is below 1e-6 at the defaults; sets of at most k shingles are their own sketches and exact.
+is below 1e-6 at the defaults (``miss_bound``); sets of at most k shingles are their own sketches and exact.
 
 Long lists never become all pairs:
 
-* a document with at least half of its retained values in short lists is found through those alone,
-  since a link leaves at most 1 - s of the union unshared;
+* a document with at most RICH of its retained values in long lists is found through its other values alone,
+  since a link leaves about 1 - s of the union unshared;
 * the other documents consist mostly of frequent text. In a long list they are compared with one hub; those
   that the hub's component does not take are compared in blocks of the list, exactly, until they link.
 
@@ -19,6 +19,7 @@ Of the pairs from short lists, each document's best one is verified first, then
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,17 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jadwal.llm.common import table, written
+from jadwal.llm.common import table, text_slices, written
 from jadwal.llm.components import components
 from jadwal.shipping import ship
 
 K = 32
 LONG = 64  # entries of a list that may become all pairs
-ESTIMATE_SLACK = 0.38  # a pair is verified when its estimate is at least the threshold less this
-LEAD = 8  # smallest retained values whose long lists are searched in blocks
-BLOCK = 2048
-BROADCAST_ROWS = 1_000_000
-CACHE_WORDS = 150_000
+RICH = 3 / 8  # a document with a greater share of its retained values in long lists takes part in the search of those
+ESTIMATE_SLACK = 0.41  # a pair is verified when its estimate is at least the threshold less this
+LEAD = 10  # smallest retained values whose long lists are searched in blocks
+BLOCK = 512
+BROADCAST_ROWS = 500_000  # of at most four numbers each
+MEMBERS, BUCKET_SHINGLES, SALTS = 256, 500_000, 16
+CACHE_WORDS, CACHE_BYTES = 150_000, 16 << 20  # the words that a worker keeps
 DOCS_AT_ONCE = 512
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -46,7 +49,7 @@ class Shingler:
     """Sorted distinct 64-bit hashes of a text's word shingles."""
 
     def __init__(self, width: int):
-        self.width, self.cache = width, {}
+        self.width, self.cache, self.held = width, {}, 0
 
     def __call__(self, text: str | None) -> np.ndarray:
         import xxhash
@@ -55,11 +58,13 @@ class Shingler:
         if not words:
             return np.zeros(0, "i8")
         cache = self.cache
-        if len(cache) > CACHE_WORDS:
+        if len(cache) > CACHE_WORDS or self.held > CACHE_BYTES:
             cache.clear()
+            self.held = 0
         for w in words:
             if w not in cache:
                 cache[w] = xxhash.xxh64_intdigest(w)
+                self.held += len(w)
         h = np.array([cache[w] for w in words], "u8")
         width = min(self.width, len(words))
         n = len(words) - width + 1
@@ -71,13 +76,6 @@ class Shingler:
         return np.unique((acc ^ (acc >> np.uint64(31))).view("i8"))
 
 
-def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in slices, so that a worker holds few texts and sets as Python objects."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, DOCS_AT_ONCE):
-            yield batch.slice(i, DOCS_AT_ONCE)
-
-
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """100 * intersection >= percent * union; empty sets are linked with nothing."""
     if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
@@ -86,12 +84,22 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def miss_bound(s: float, k: int = K) -> float:
+    """At most the chance that a pair of similarity ``s`` is not found, for sets of more than ``k`` shingles.
+
+    It is missed if its sketches share too few values for the estimate; if all that they share lies in long lists and one of
+    them takes no part in those; or if none of the LEAD smallest values is shared.
+    """
+    at_most = lambda m: sum(math.comb(k, i) * s**i * (1 - s) ** (k - i) for i in range(m + 1))
+    return at_most(math.ceil((s - ESTIMATE_SLACK) * k) - 1) + at_most(int(RICH * k)) + (1 - s) ** LEAD
+
+
 def shingle_sets(docs: DataFrame, width: int, k: int = K) -> DataFrame:
     """doc_id, n, fp (of the whole set), sketch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingler(width)
-        for batch in in_slices(batches):
+        for batch in (part for whole in batches for part in text_slices(whole, 1, DOCS_AT_ONCE)):
             sets = [of(t) for t in batch.column(1).to_pylist()]
             n = pa.array([len(s) for s in sets], pa.int64())
             fp = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
@@ -125,20 +133,49 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The linked ones of ``pairs`` (a, b), from the full sets of both texts."""
-    pairs = written(pairs.select("a", "b"), "asked")
-    sides = pairs.select(F.col("a").alias("doc_id"), "a", "b", F.lit(0).alias("side")).union(pairs.select(F.col("b"), "a", "b", F.lit(1)))
-    texts = docs.join(_bounded(sides, pairs.count()), "doc_id")
-    both = texts.groupBy("a", "b").agg(F.max(F.when(F.col("side") == 0, F.col("text"))).alias("ta"), F.max(F.when(F.col("side") == 1, F.col("text"))).alias("tb"))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Shingler(width)
-        for batch in in_slices(batches):
-            keep = [linked(of(x), of(y), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The linked ones of ``pairs`` (a, b), from the full sets of both texts.
 
-    return written(both.mapInArrow(work, "a long, b long"), "links")
+    Pairs are dealt by ``a``, in chunks of MEMBERS, over buckets of about BUCKET_SHINGLES; a bucket gets the text of each of its
+    ``a`` once, so that a hub's text is sent once for many members.
+    """
+    pairs = written(pairs.select("a", "b"), "asked")
+    many = pairs.groupBy("a").agg(F.count("*").alias("m")).where(F.col("m") > MEMBERS)
+    many = written(many, "hubs-asked")
+    volume = pairs.join(reps.select(F.col("rep").alias("b"), "n"), "b").agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, -(-volume // BUCKET_SHINGLES))
+    part = F.pmod(F.xxhash64("b"), F.ceil(F.coalesce("m", F.lit(1)) / MEMBERS))
+    dealt = pairs.join(_bounded(many, many.count()), "a", "left").select("a", "b", F.pmod(F.xxhash64("a", part), F.lit(buckets)).alias("bucket"))
+    dealt = written(dealt, "dealt")
+    sides = dealt.select(F.col("b").alias("doc_id"), "bucket", "a").union(dealt.select(F.col("a"), "bucket", F.lit(None).cast("long")).distinct())
+    texts = docs.join(_bounded(sides, 2 * pairs.count()), "doc_id").select("bucket", F.col("doc_id").alias("b"), "a", "text")
+
+    def work(t: pa.Table) -> pa.Table:
+        of, ids, others, text = Shingler(width), t.column("b").to_pylist(), t.column("a").to_pylist(), t.column("text")
+        own: dict[int, list[int]] = {}
+        for i, (b, a) in enumerate(zip(ids, others, strict=True)):
+            if a is None:
+                own.setdefault(b, []).append(i)
+        members: dict[int, list[int]] = {}
+        for i, a in enumerate(others):
+            if a is not None:
+                members.setdefault(a, []).append(i)
+        good = []
+        for a, rows in members.items():  # one set of ``a`` at a time
+            sets = [of(text[i].as_py()) for i in own.get(a, [])]
+            good += [i for i in rows if any(linked(of(text[i].as_py()), s, percent) for s in sets)]
+        return pa.table({"a": pa.array([others[i] for i in good], pa.int64()), "b": pa.array([ids[i] for i in good], pa.int64())})
+
+    return written(texts.groupBy("bucket").applyInArrow(work, "a long, b long").distinct(), "links")
+
+
+def _by_value(rows: DataFrame, values: DataFrame) -> DataFrame:
+    """``rows`` (v, rep and more) with the columns of ``values``, one row a value; a frequent value never fills one task."""
+    values = written(values, "values")
+    if values.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(values), "v")
+    salted = values.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(salted, ["v", "salt"]).drop("salt")
 
 
 def _stragglers(lists: DataFrame, labels: DataFrame, docs: DataFrame, width: int, percent: int, block: int = BLOCK) -> DataFrame:
@@ -150,20 +187,21 @@ def _stragglers(lists: DataFrame, labels: DataFrame, docs: DataFrame, width: int
     least = percent / 100 - ESTIMATE_SLACK
     own = written(lists.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("v", "rep", F.coalesce("label", "rep").alias("label")), "members")
     main = own.groupBy("v", "label").count().groupBy("v").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("size"))
-    late = written(own.join(main, "v").where("label <> main").select("v", "rep", "label"), "late")
+    main = written(main, "main")
+    late = written(_by_value(own, main).where("label <> main").select("v", "rep", "label"), "late")
     if late.isEmpty():
         return docs.sparkSession.createDataFrame([], "a long, b long")
-    parts = main.join(late.groupBy("v").agg(F.count("*").alias("n_late")), "v").select("v", F.ceil(F.col("size") / block).alias("blocks"), F.ceil(F.col("n_late") / block).alias("chunks"))
+    parts = main.select("v", "size").join(late.groupBy("v").agg(F.count("*").alias("n_late")), "v").select("v", F.ceil(F.col("size") / block).alias("blocks"), F.ceil(F.col("n_late") / block).alias("chunks"))
     part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
     every_part = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    placed = own.join(parts, "v").withColumn("block", part("blocks")).withColumn("chunk", every_part("chunks"))
-    asked = late.join(parts, "v").withColumn("chunk", part("chunks")).withColumn("block", every_part("blocks"))
+    placed = _by_value(own, parts).withColumn("block", part("blocks")).withColumn("chunk", every_part("chunks"))
+    asked = _by_value(late, parts).withColumn("chunk", part("chunks")).withColumn("block", every_part("blocks"))
     every = written(placed.select("v", "block", "chunk", "rep", "label", F.lit(False).alias("late")).unionByName(asked.select("v", "block", "chunk", "rep", "label", F.lit(True).alias("late"))), "straggler-rows")
     ids = every.select(F.col("rep").alias("doc_id")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingler(width)
-        for batch in in_slices(batches):
+        for batch in (part for whole in batches for part in text_slices(whole, 1, DOCS_AT_ONCE)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([of(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["rep", "set"])
 
     full = docs.join(_bounded(ids, ids.count()), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "rep long, set binary")
@@ -211,14 +249,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     reps = written(named.groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "reps")
 
     postings = reps.select(F.explode("sketch").alias("v"), "rep", "n")
-    counts = postings.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    shared = written(postings.join(counts, "v"), "postings")
-    frequent = shared.where(F.col("df") > long)
-    poor = frequent.groupBy("rep", "n").agg(F.count("*").alias("hot")).where(F.col("hot") * 2 > F.least(F.col("n"), F.lit(k))).select("rep")
-    hot = written(frequent.join(poor, "rep", "left_semi").select("v", "rep", "n"), "hot")
-    hubs = hot.groupBy("v").agg(F.count("*").alias("df"), F.min("rep").alias("hub"))
-    hot = hot.join(hubs, "v")
-    short = shared.where(F.col("df") <= long).select("v", "rep", "n").unionByName(hot.where((F.col("df") > 1) & (F.col("df") <= long)).select("v", "rep", "n"))
+    counts = written(postings.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "counts")
+    frequent_values = counts.where(F.col("df") > long)
+    frequent = written(_by_value(postings, frequent_values).select("v", "rep", "n"), "frequent")
+    plain = postings.join(_bounded(frequent_values.select("v"), frequent_values.count()), "v", "left_anti")
+    shared = plain.join(counts.where(F.col("df") <= long).select("v"), "v")
+    poor = frequent.groupBy("rep", "n").agg(F.count("*").alias("hot")).where(F.col("hot") > RICH * F.least(F.col("n"), F.lit(k))).select("rep")
+    hot = written(frequent.join(poor, "rep", "left_semi"), "hot")
+    hot = written(_by_value(hot, hot.groupBy("v").agg(F.count("*").alias("df"), F.min("rep").alias("hub"))), "hot-lists")
+    short = shared.select("v", "rep", "n").unionByName(hot.where((F.col("df") > 1) & (F.col("df") <= long)).select("v", "rep", "n"))
     long_lists = hot.where(F.col("df") > long)
     stars = long_lists.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     least = percent / 100 - ESTIMATE_SLACK
@@ -226,10 +265,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
 
     texts = source.where("doc_id is not null and text is not null")
     first = written(pairs.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a")).select("a", "b"), "first")
-    labels = components(_verified(first, texts, width, percent))
+    labels = components(_verified(first, reps, texts, width, percent))
     la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
     rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
-    labels = components(_verified(rest, texts, width, percent), labels)
+    labels = components(_verified(rest, reps, texts, width, percent), labels)
     lead = long_lists.select("v", "rep").join(reps.select("rep", F.slice("sketch", 1, LEAD).alias("lead")), "rep").where(F.array_contains("lead", F.col("v"))).select("v", "rep")
     lead = written(lead, "lead")
     if not lead.isEmpty():

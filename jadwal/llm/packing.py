@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jadwal.llm.common import table, written
+from jadwal.llm.common import table, text_slices, written
 from jadwal.shipping import ship
 
 LENGTH = 2048
 END_ID = 1
 GROUP_PIECES = 8192
-CACHE_WORDS = 150_000
+CACHE_WORDS, CACHE_BYTES = 150_000, 24 << 20  # the words and ids that a worker keeps
 DOCS_AT_ONCE = 512
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -62,6 +62,7 @@ class WordTokenizer:
         self.gap = ranks[GAP.encode()]
         self.words = tiktoken.Encoding("words", pat_str=f"[^{END}{GAP}]+{END}|{GAP}", mergeable_ranks=ranks, special_tokens={})
         self.cache: dict[str, bytes] = {}
+        self.held = 0
 
     def _parts(self, word: str) -> str | None:
         """The word's pre-tokens, each with an end mark; None where only the tokenizer itself is sure."""
@@ -78,15 +79,18 @@ class WordTokenizer:
         at = 0
         for (w, _), to in zip(known, np.flatnonzero(ids == self.gap), strict=True):
             self.cache[w] = ids[at:to].tobytes()
+            self.held += len(w) + 4 * (to - at)
             at = to + 1
         if odd := [w for w, p in parts if p is None]:
             for w, e in zip(odd, self.exact.encode_batch(odd, add_special_tokens=False), strict=True):
                 self.cache[w] = np.array(e.ids, "<u4").tobytes()
+                self.held += len(w) + 4 * len(e.ids)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.cache) > CACHE_WORDS:
+        if len(self.cache) > CACHE_WORDS or self.held > CACHE_BYTES:
             self.cache.clear()
+            self.held = 0
         get = self.cache
         self.learn({w for ws in split for w in ws if w not in get})
         return [b"".join([get[w] for w in ws]) for ws in split]
@@ -108,8 +112,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, with_ids: bool = False, l
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(tokenizer_path)
         for batch in batches:
-            for i in range(0, batch.num_rows, DOCS_AT_ONCE):
-                part = batch.slice(i, DOCS_AT_ONCE)
+            for part in text_slices(batch, 1, DOCS_AT_ONCE):
                 rows: list[tuple] = []
                 raw: list[bytes] = []
                 for doc_id, ids in zip(part.column(0).to_pylist(), tok.encode(part.column(1).to_pylist()), strict=True):

@@ -18,15 +18,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from jadwal.llm.common import table
+from jadwal.llm.common import table, text_slices
 from jadwal.shipping import ship
 
 ROWS, DIM, FILTERS, WIDTHS = 1 << 15, 16, 8, (1, 2, 3)
 PREFIXES = (4, 5, 6)  # bytes
 TRAIN_PER_CLASS = {1: 1500, 0: 3000}  # the bound on the labelled sample
 LEAST_THRESHOLD_ROWS = 60
-CACHE_WORDS = 150_000
+CACHE_WORDS, CACHE_BYTES = 150_000, 16 << 20  # the words that a worker keeps
 DOCS_AT_ONCE = 256
 BIN = 32  # bins for each unit of the raw score
 NOT_WORD = re.compile(r"[\W_]+")
@@ -37,6 +38,7 @@ class Words:
 
     def __init__(self) -> None:
         self.at: dict[str, int] = {"": 0}
+        self.held = 0
         self.table = np.zeros((1 << 16, 1 + len(PREFIXES)), "i4")  # row 0 is padding
 
     def _learn(self, words: set[str]) -> None:
@@ -44,6 +46,7 @@ class Words:
         crc = zlib.crc32
         for i, w in enumerate(words):
             self.at[w] = n + i
+            self.held += len(w)
             raw = (w if w.isalnum() else NOT_WORD.sub("", w)).encode()
             size = len(raw)
             new.append(1 + crc(raw) % (ROWS - 1) if size else 0)
@@ -55,8 +58,8 @@ class Words:
 
     def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(word numbers of all texts, each padded at its end; start of each text)."""
-        if len(self.at) > CACHE_WORDS:
-            self.at = {"": 0}
+        if len(self.at) > CACHE_WORDS or self.held > CACHE_BYTES:
+            self.at, self.held = {"": 0}, 0
         split = [(t or "").lower().split() for t in texts]
         at = self.at
         if new := {w for ws in split for w in ws if w not in at}:
@@ -166,7 +169,8 @@ def fit(texts: list[str], labels: np.ndarray, passes: int = 3, least_steps: int
     return net
 
 
-def _step(net: Network, opt: Adam, feats: np.ndarray, nums: np.ndarray, starts: np.ndarray, y: np.ndarray) -> None:
+def gradients(net: Network, feats: np.ndarray, nums: np.ndarray, starts: np.ndarray, y: np.ndarray) -> dict:
+    """Of the mean logistic loss, by parameter: ("f", width), ("b", width), "e", "o" and "c" (the last bias)."""
     x = net.emb[feats].sum(1)
     best, pooled = {}, []
     owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(nums))))
@@ -186,8 +190,7 @@ def _step(net: Network, opt: Adam, feats: np.ndarray, nums: np.ndarray, starts:
     p = 1 / (1 + np.exp(-np.clip(np.maximum(h, 0) @ net.out + net.out_bias, -30, 30)))
     g = (p - y) / len(y)
     dh = g[:, None] * net.out * (h > 0)
-    opt.t += 1
-    d_emb = np.zeros_like(net.emb)
+    out: dict = {"o": np.maximum(h, 0).T @ g, "c": float(g.sum()), "e": np.zeros_like(net.emb)}
     for k, w in enumerate(WIDTHS):
         d = dh[:, k * FILTERS : (k + 1) * FILTERS].astype("f4")
         df = np.zeros_like(net.filters[w])
@@ -197,13 +200,21 @@ def _step(net: Network, opt: Adam, feats: np.ndarray, nums: np.ndarray, starts:
             rows, col = np.nonzero(d)
             dx = d[rows, col][:, None] * net.filters[w][j].T[col]
             for f in feats[at[rows, col]].T:
-                np.add.at(d_emb, f, dx)
-        opt.step(("f", w), net.filters[w], df)
-        opt.step(("b", w), net.bias[w], d.sum(0))
-    d_emb[0] = 0
-    opt.step("e", net.emb, d_emb)
-    opt.step("o", net.out, np.maximum(h, 0).T @ g + 1e-4 * net.out)
-    net.out_bias -= opt.rate * float(g.sum()) * 4
+                np.add.at(out["e"], f, dx)
+        out["f", w], out["b", w] = df, d.sum(0)
+    out["e"][0] = 0
+    return out
+
+
+def _step(net: Network, opt: Adam, feats: np.ndarray, nums: np.ndarray, starts: np.ndarray, y: np.ndarray) -> None:
+    grad = gradients(net, feats, nums, starts, y)
+    opt.t += 1
+    for w in WIDTHS:
+        opt.step(("f", w), net.filters[w], grad["f", w])
+        opt.step(("b", w), net.bias[w], grad["b", w])
+    opt.step("e", net.emb, grad["e"])
+    opt.step("o", net.out, grad["o"] + 1e-4 * net.out)
+    net.out_bias -= opt.rate * grad["c"] * 4
 
 
 def calibrate(net: Network, histogram: list[tuple[str | None, int, int, int]], share: float, bar: float = 0.3) -> None:
@@ -278,8 +289,7 @@ def raw_scores(docs: DataFrame, net: Network) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            for i in range(0, batch.num_rows, DOCS_AT_ONCE):
-                part = batch.slice(i, DOCS_AT_ONCE)
+            for part in text_slices(batch, 2, DOCS_AT_ONCE):
                 raw = shared.value.raw(*words.encode(part.column(2).to_pylist()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(raw.astype("f8"))], ["doc_id", "lang", "raw"])
 
@@ -304,33 +314,32 @@ def train(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] | None =
     return net
 
 
-def score_documents(docs: DataFrame, net: Network, bar: float = 0.3) -> DataFrame:
-    """``docs`` with toxicity and toxic (by the language's threshold, else ``bar``).
+def score_documents(docs: DataFrame, net: Network, bar: float = 0.3, score: str = "toxicity", flag: str = "toxic") -> DataFrame:
+    """``docs`` with columns ``score`` and ``flag`` (the score reaches the language's threshold, else ``bar``).
 
-    The whole text is scored; null and empty texts have the score of a text without words. Own columns
-    named toxicity or toxic are replaced.
+    The whole text is scored; null and empty texts have the score of a text without words. Repeated rows, also those that
+    repeat a doc_id, are scored each; rows without a doc_id are scored too. Own columns of these two names are replaced,
+    all others stay.
     """
-    docs = docs.drop("toxicity", "toxic")
+    docs = docs.drop(score, flag)
     shared = docs.sparkSession.sparkContext.broadcast(net)
     at = docs.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            for i in range(0, batch.num_rows, DOCS_AT_ONCE):
-                part = batch.slice(i, DOCS_AT_ONCE)
+            for part in text_slices(batch, at, DOCS_AT_ONCE):
                 net = shared.value
-                score = net.score(net.raw(*words.encode(part.column(at).to_pylist())))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score.astype("f8"))], [*part.schema.names, "toxicity"])
+                value = net.score(net.raw(*words.encode(part.column(at).to_pylist())))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value.astype("f8"))], [*part.schema.names, score])
 
     ship(docs.sparkSession)
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = docs.mapInArrow(work, f"{names}, toxicity double")
+    out = docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))
     limit = F.lit(bar)
     if "lang" in docs.columns:
         for lang, t in sorted(net.thresholds.items()):
             limit = F.when(F.col("lang") == lang, t).otherwise(limit)
-    return out.withColumn("toxic", F.col("toxicity") >= limit)
+    return out.withColumn(flag, F.col(score) >= limit)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

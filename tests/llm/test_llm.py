@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -64,21 +65,26 @@ def empty(spark):
 # --- near duplicates
 
 
+def plain_set(text, width):
+    """Shingles as tuples of words, by the contract's own rule."""
+    ws = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(ws[i : i + width]) for i in range(len(ws) - width + 1)} or ({tuple(ws)} if ws else set())
+
+
 def brute_components(rows, width, percent):
-    of = near_dedup.Shingler(width)
     sets = defaultdict(list)
     for i, t in rows:
         if i is not None:
-            sets[i].append(of(t))
+            sets[i].append(plain_set(t, width))
     best = {i: i for i in sets}
+    link = {(a, b) for a in sets for b in sets if a < b and any(x and y and 100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b])}
     changed = True
     while changed:
         changed = False
-        for a in sets:
-            for b in sets:
-                if best[a] != best[b] and any(near_dedup.linked(x, y, percent) for x in sets[a] for y in sets[b]):
-                    best[a] = best[b] = min(best[a], best[b])
-                    changed = True
+        for a, b in link:
+            if best[a] != best[b]:
+                best[a] = best[b] = min(best[a], best[b])
+                changed = True
     return best
 
 
@@ -90,6 +96,8 @@ def test_near_duplicates(docs, width, percent, long):
     for r in got:
         assert r["component_id"] == (None if r["doc_id"] is None else want[r["doc_id"]])
         assert r["kept"] == (r["doc_id"] is None or r["doc_id"] == r["component_id"])
+    sizes = {(i, len(plain_set(t, width))) for i, t in ROWS}
+    assert {(r["doc_id"], r["n_shingles"]) for r in got} == sizes
 
 
 def test_near_duplicates_in_long_lists(spark):
@@ -105,6 +113,27 @@ def test_near_duplicates_in_long_lists(spark):
     assert got == brute_components(rows, 3, 85)
 
 
+def test_near_duplicates_without_broadcasts_and_in_small_blocks(spark, monkeypatch):
+    """Documents of a frequent part and an own part of any share, some linked only through long lists."""
+    for name, value in (("BROADCAST_ROWS", -1), ("BLOCK", 16), ("MEMBERS", 3), ("BUCKET_SHINGLES", 2_000), ("SALTS", 3)):
+        monkeypatch.setattr(near_dedup, name, value)
+    r = random.Random(6)
+    common = [words(70 + j, 120).split() for j in range(3)]
+    rows = []
+    for i in range(120):
+        ws = list(r.choice(common))
+        own = words(5000 + i, r.choice([0, 3, 20, 30, 60, 120])).split()
+        for _ in range(r.choice([0, 0, 1, 4])):
+            ws[r.randrange(len(ws))] = f"new{r.randrange(10**6)}"
+        rows.append((i, " ".join(own + ws)))
+    got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_duplicates(docs_of(spark, rows), 5, 80, long=8).collect()}
+    assert got == brute_components(rows, 5, 80)
+
+
+def test_the_chance_of_a_missed_pair():
+    assert near_dedup.miss_bound(0.8) < 1e-6 and near_dedup.miss_bound(0.85) < 1e-6
+
+
 def test_shingles_follow_the_word_rule():
     of = near_dedup.Shingler(3)
     assert len(of("a b")) == 1 and len(of("")) == len(of(None)) == len(of(" \t")) == 0
