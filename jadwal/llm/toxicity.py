@@ -27,6 +27,7 @@ ROWS, DIM, FILTERS, WIDTHS = 1 << 15, 16, 8, (1, 2, 3)
 PREFIXES = (4, 5, 6)  # bytes
 TRAIN_PER_CLASS = {1: 1500, 0: 3000}  # the bound on the labelled sample
 LEAST_THRESHOLD_ROWS = 60
+LEAST_DOCUMENTS = 3  # of the sample that hold a feature which is to have an embedding
 CACHE_WORDS, CACHE_BYTES = 150_000, 16 << 20  # the words that a worker keeps
 DOCS_AT_ONCE = 256
 BIN = 32  # bins for each unit of the raw score
@@ -153,6 +154,8 @@ def fit(texts: list[str], labels: np.ndarray, passes: int = 3, least_steps: int
     odds = np.log(seen[1] / total[1]) - np.log(seen[0] / total[0])
     sure = np.minimum(1, (seen[0] + seen[1] - 1) / 6)
     net.emb[1:, 0] += (0.5 * np.clip(odds * sure, -1, 4))[1:].astype("f4")
+    rare = seen[0] + seen[1] - 1 < LEAST_DOCUMENTS
+    net.emb[rare] = 0  # words that teach nothing say nothing, like those that were never seen
     for w in WIDTHS:
         net.filters[w][:, 0, : FILTERS // 4] += 0.5
     net.out.reshape(len(WIDTHS), FILTERS)[:, : FILTERS // 4] += 0.5
@@ -165,7 +168,7 @@ def fit(texts: list[str], labels: np.ndarray, passes: int = 3, least_steps: int
         rows, order = order[:batch], order[batch:]
         sizes = np.array([len(docs[r]) for r in rows])
         own = distinct(table, np.concatenate([docs[r] for r in rows]), np.cumsum(sizes) - sizes)
-        _step(net, opt, *own, labels[rows].astype("f4"))
+        _step(net, opt, *own, labels[rows].astype("f4"), rare)
     return net
 
 
@@ -206,8 +209,9 @@ def gradients(net: Network, feats: np.ndarray, nums: np.ndarray, starts: np.ndar
     return out
 
 
-def _step(net: Network, opt: Adam, feats: np.ndarray, nums: np.ndarray, starts: np.ndarray, y: np.ndarray) -> None:
+def _step(net: Network, opt: Adam, feats: np.ndarray, nums: np.ndarray, starts: np.ndarray, y: np.ndarray, still: np.ndarray) -> None:
     grad = gradients(net, feats, nums, starts, y)
+    grad["e"][still] = 0
     opt.t += 1
     for w in WIDTHS:
         opt.step(("f", w), net.filters[w], grad["f", w])

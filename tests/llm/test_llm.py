@@ -309,6 +309,31 @@ def test_weights_move_rows_only_into_the_changed_subtree(spark):
     assert abs(share - 3 / 14) < 0.03
 
 
+def test_descent_follows_the_smallest_draw(spark):
+    """Level by level in plain Python, with the draws' hashes taken from the session."""
+    tree = [sharding.Leaf(x.region, x.rack, x.shard, 1.0 + x.shard % 3) for x in sharding.layout(3, 2, 2)]
+    keys = spark.range(200).select(F.col("id").alias("k"))
+    got = {r["k"]: r["s"] for r in sharding.with_shard(keys, "k", tree, "s").collect()}
+    names = sorted({x.region for x in tree} | {x.rack for x in tree} | {str(x.shard) for x in tree})
+    hashes = {(r["k"], n): r[n] for r in keys.select("k", *[F.xxhash64("k", F.lit(n)).alias(n) for n in names]).collect() for n in names}
+
+    def draw(k, name, weight):
+        return -math.log((((hashes[k, name] & (2**64 - 1)) >> 11) + 1) / 2**53) / weight
+
+    def least(k, leaves, level):
+        groups = defaultdict(float)
+        for x in leaves:
+            groups[str(getattr(x, level))] += x.weight
+        return min((draw(k, n, w), n) for n, w in groups.items())[1]
+
+    for k, shard in got.items():
+        leaves = tree
+        for level in ("region", "rack", "shard"):
+            name = least(k, leaves, level)
+            leaves = [x for x in leaves if str(getattr(x, level)) == name]
+        assert shard == leaves[0].shard
+
+
 # --- personal data
 
 
@@ -411,6 +436,62 @@ def test_toxicity_on_held_out_words(spark):
     assert all(0 <= s["toxicity"] <= 1 for s in scored)
 
 
+def test_toxicity_gradients_are_those_of_the_loss():
+    r = np.random.default_rng(5)
+    net = toxicity.Network.start(r)
+    net.emb = net.emb.astype("f8") * 10
+    net.emb[0] = 0
+    net.filters = {w: f.astype("f8") for w, f in net.filters.items()}
+    net.bias = {w: 0.3 + r.normal(0, 0.1, toxicity.FILTERS) for w in toxicity.WIDTHS}
+    net.out = net.out.astype("f8")
+    coded = toxicity.Words().encode(["a few words here", "some other words follow", "", "unrelated"])
+    y = np.array([1.0, 0.0, 1.0, 0.0])
+
+    def loss():
+        p = 1 / (1 + np.exp(-net.raw(*coded)))
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    grad = toxicity.gradients(net, *coded, y)
+    used = np.unique(coded[0][coded[0] > 0])
+    places = [(net.emb, grad["e"], (int(i), int(j))) for i, j in zip(r.choice(used, 12), r.integers(0, toxicity.DIM, 12), strict=True)]
+    places += [(net.filters[w], grad["f", w], tuple(int(r.integers(0, n)) for n in net.filters[w].shape)) for w in toxicity.WIDTHS for _ in range(6)]
+    places += [(net.bias[w], grad["b", w], (int(r.integers(0, toxicity.FILTERS)),)) for w in toxicity.WIDTHS for _ in range(3)]
+    places += [(net.out, grad["o"], (int(i),)) for i in r.integers(0, len(net.out), 6)]
+    for values, g, at in places:
+        was = values[at]
+        values[at] = was + 1e-5
+        up = loss()
+        values[at] = was - 1e-5
+        down = loss()
+        values[at] = was
+        assert math.isclose((up - down) / 2e-5, g[at], rel_tol=1e-3, abs_tol=1e-6)
+
+
+def test_the_convolution_tells_what_single_words_cannot(spark):
+    """The same words in both classes; only their order differs."""
+    r = random.Random(3)
+    rows = []
+    for i in range(1600):
+        ws = words(3000 + i, 12).split()
+        pair = ["gorp", "fisk"] if i % 2 else ["fisk", "gorp"]
+        ws[r.randrange(10) : r.randrange(10)] = []
+        at = r.randrange(len(ws))
+        rows.append((i, " ".join([*ws[:at], *pair, *ws[at:]]), i % 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    net = toxicity.train(docs, docs.select("doc_id", "toxic"))
+    scored = toxicity.score_documents(docs, net, flag="flag").where(toxicity.held_out("doc_id")).select("toxicity", "toxic").collect()
+    assert len(scored) > 200 and np.mean([(s["toxicity"] >= 0.5) == (s["toxic"] == 1) for s in scored]) > 0.9
+
+
+def test_toxicity_of_repeated_and_contradictory_labels(spark, docs):
+    rows = [(i % 50, "gorp gorp" if i % 2 else words(i, 9)) for i in range(300)] + [(None, "gorp"), (7, None), (8, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("toxic", F.lit("own")).withColumn("raw", F.lit(1))
+    labels = spark.createDataFrame([(i % 50, i % 2) for i in range(100)] + [(i, 1 - i % 2) for i in range(10)] + [(None, 1), (3, None), (4, 9)], "doc_id long, toxic int")
+    net = toxicity.train(table, labels)
+    scored = toxicity.score_documents(table, net, score="s", flag="f")
+    assert scored.columns == [*table.columns, "s", "f"] and scored.count() == len(rows) and scored.where("s is null or s < 0 or s > 1 or toxic <> 'own'").count() == 0
+
+
 def test_toxicity_thresholds_of_rare_languages(spark):
     r = random.Random(9)
     rows = []
@@ -483,24 +564,3 @@ def test_url_filter(spark):
     big = url_filter.filter_urls(pages, url_filter.production_list(spark), broadcast_rows=0).orderBy("page_id").collect()
     assert [r["verdict"] for r in big] == [r["verdict"] for r in rows]
     assert url_filter.filter_urls(pages.limit(0), url_filter.production_list(spark)).count() == 0
-
-
-# --- pipeline
-
-
-def test_pipeline(spark, tmp_path):
-    import corpus_pipeline
-
-    rows = ROWS + [(30 + i, words(300 + i, 40)) for i in range(20)]
-    docs_of(spark, rows).drop("label", "h").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, 0, int(i == 8)) for i in range(1, 18)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    spark.createDataFrame([(100, PASSAGE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    kept = corpus_pipeline.drop_contaminated(spark, corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)), str(tmp_path))
-    assert kept.columns == docs.columns
-    best = brute_components(rows, 5, 80)
-    bad = {4, 5}
-    want = sorted((str(i) for i, _ in rows if i is None or (best[i] == i and i not in bad)))
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == want
-    packed = corpus_pipeline.run(spark, str(tmp_path))
-    assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0 and packed.count() > 0
