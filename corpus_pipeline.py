@@ -14,10 +14,20 @@ from jadwal.llm import decontaminate, near_dedup, packing, pii, toxicity
 from jadwal.llm.common import table, written
 
 
+def unused(name: str, docs: DataFrame) -> str:
+    """``name``, with underscores before it until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose score reaches their language's threshold; rows without text stay."""
     net = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_documents(docs, net).where(~F.col("toxic") | F.col("text").isNull()).select(*docs.columns)
+    score, flag = unused("toxicity", docs), unused("toxic", docs)
+    scored = toxicity.score_documents(docs, net, score=score, flag=flag)
+    return scored.where(~F.col(flag) | F.col("text").isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
