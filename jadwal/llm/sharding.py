@@ -6,8 +6,8 @@ key and the child's name, and the smallest draw wins. A child's draw depends on
 own name and its own weight, so a raised weight only pulls rows into that child, and movement stays in the
 subtrees whose weights change. A new shard is attached as a region of its own: rows move into it only.
 
-Slots are gapless within a shard without sorting a shard in one task: rows are numbered within
-(shard, bucket), and a small table of bucket counts gives each bucket its first slot.
+Slots are gapless within a shard without sorting a shard in one task: equal rows are counted, the counts are summed up within
+(shard, bucket), and a small table of bucket sizes gives each bucket its first slot.
 """
 
 from __future__ import annotations
@@ -17,7 +17,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from jadwal.llm.common import partitions, table
+from jadwal.llm.common import partitions, table, written
+
+BUCKET_ROWS = 65_536  # rows of a shard that are numbered together
+REPEATS = 65_536  # equal rows that one task writes
 
 
 @dataclass(frozen=True)
@@ -78,26 +81,38 @@ def with_shard(df: DataFrame, key: str, tree: list[Leaf], out: str) -> DataFrame
     return df.withColumn(out, shard["below"].cast("int"))
 
 
-def with_slot(df: DataFrame, shard: str, key: str, ties: list[str], out: str, buckets: int) -> DataFrame:
-    """Gapless numbers from 0 within each shard, in order of bucket, key and ``ties``."""
-    b = df.withColumn("__b", F.pmod(F.xxhash64(F.lit("slot"), F.col(key)), F.lit(buckets)).cast("int"))
-    counts = b.groupBy(shard, "__b").count()
-    first = counts.withColumn("__first", F.sum("count").over(Window.partitionBy(shard).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))).drop("count")
-    numbered = b.withColumn("__n", F.row_number().over(Window.partitionBy(shard, "__b").orderBy(key, *ties)))
-    return numbered.join(first, [shard, "__b"]).withColumn(out, (F.coalesce("__first", F.lit(0)) + F.col("__n") - 1).cast("long")).drop("__b", "__n", "__first")
-
+def with_slot(df: DataFrame, shard: str, keys: list[str], out: str, buckets: int) -> DataFrame:
+    """Gapless numbers from 0 within each shard, in order of bucket and ``keys``, which are all other columns.
 
-def shard_rows(df: DataFrame, tree: list[Leaf], key: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
+    Equal rows are counted first, so that neither a frequent key nor a repeated row makes a large bucket, and the numbers depend
+    on the rows alone.
+    """
+    groups = df.groupBy(*df.columns).agg(F.count("*").alias("__m")).withColumn("__b", F.pmod(F.xxhash64(F.lit("slot"), *keys), F.lit(buckets)).cast("int"))
+    groups = written(groups, "slots")
+    before = Window.partitionBy(shard).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    first = groups.groupBy(shard, "__b").agg(F.sum("__m").alias("__size")).select(shard, "__b", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__first"))
+    inside = Window.partitionBy(shard, "__b").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = groups.withColumn("__start", F.coalesce(F.sum("__m").over(inside), F.lit(0))).join(first, [shard, "__b"])
+    chunked = numbered.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("__m") - 1) / REPEATS))))
+    if not groups.where(F.col("__m") > REPEATS).isEmpty():
+        chunked = chunked.repartition(partitions(df.sparkSession))
+    last = F.least(F.col("__m"), (F.col("__chunk") + 1) * REPEATS) - 1
+    rows = chunked.withColumn("__i", F.explode(F.sequence(F.col("__chunk") * REPEATS, last)))
+    return rows.select(*df.columns, (F.col("__first") + F.col("__start") + F.col("__i")).cast("long").alias(out))
+
+
+def shard_rows(df: DataFrame, tree: list[Leaf], key: str = "doc_id", text: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Law ``key``: key, size, text_crc32, law, shard, slot, grown_shard for every row.
 
     The key and the tree alone decide, so equal keys stay together and every repeated row keeps its own
     slot. Null text: size 8 and checksum 0. Null keys share a shard. Other columns are ignored; an
-    empty table gives an empty result.
+    empty table gives an empty result. The same rows have the same slots however they are partitioned.
     """
     rows = df.select(F.col(key), (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"))
     rows = with_shard(with_shard(rows, key, tree, "shard"), key, grown(tree), "grown_shard")
-    buckets = buckets or 8 * partitions(df.sparkSession)
-    return with_slot(rows, "shard", key, ["size", "text_crc32"], "slot", buckets).select(key, "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    buckets = max(1, -(-df.count() // (bucket_rows * max(1, len(tree)))))
+    slots = with_slot(rows, "shard", [key, "size", "text_crc32"], "slot", buckets)
+    return slots.select(key, "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,14 @@
-"""Suffix arrays by induced sorting, vectorised bucket by bucket, with permuted common prefixes."""
+"""Suffix arrays by induced sorting, with permuted common prefixes.
+
+Induction goes bucket by bucket in numpy while the alphabet is small (bytes), and place by place over the names of a reduced
+text, whose buckets are many and small; both are linear and give the same order.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
-WIDE_ALPHABET = 4096
+FEW_BUCKETS = 1024
 
 
 def _induce(s: np.ndarray, low: np.ndarray, seeds: list[np.ndarray], sigma: int) -> np.ndarray:
@@ -59,41 +63,49 @@ def _seeds(s: np.ndarray, places: np.ndarray, sigma: int) -> list[np.ndarray]:
     return np.split(order, np.searchsorted(s[order], np.arange(1, sigma)))
 
 
-def _doubled(s: np.ndarray) -> np.ndarray:
-    """Suffix order by ranks of doubled prefixes, for texts of a wide alphabet."""
-    n, size = len(s), 1
-    rank = np.unique(s, return_inverse=True)[1].astype("i8")
-    while True:
-        after = np.zeros(n, "i8")
-        after[: n - size] = rank[size:] + 1
-        key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        new = np.zeros(n, "i8")
-        new[order] = np.cumsum(np.append(0, sorted_key[1:] != sorted_key[:-1]))
-        rank, size = new, 2 * size
-        if rank[order[-1]] == n - 1 or size >= n:
-            return order
+def _induce_by_place(s: np.ndarray, low: np.ndarray, seeds: np.ndarray, sigma: int) -> np.ndarray:
+    """The same as ``_induce``, for ``seeds`` in one array in order."""
+    n, text, small = len(s), s.tolist(), low.tolist()
+    ends = np.cumsum(np.bincount(s, minlength=sigma))
+    order, tail = [-1] * n, ends.tolist()
+    for p in reversed(seeds.tolist()):
+        c = text[p]
+        tail[c] -= 1
+        order[tail[c]] = p
+    head = [0, *ends[:-1].tolist()]
+    for i in range(n):
+        p = order[i] - 1
+        if p >= 0 and not small[p]:
+            c = text[p]
+            order[head[c]] = p
+            head[c] += 1
+    tail = ends.tolist()
+    for i in range(n - 1, -1, -1):
+        p = order[i] - 1
+        if p >= 0 and small[p]:
+            c = text[p]
+            tail[c] -= 1
+            order[tail[c]] = p
+    return np.array(order)
+
+
+def _induced(s: np.ndarray, low: np.ndarray, seeds: np.ndarray, sigma: int) -> np.ndarray:
+    """``seeds``: the leftmost-smaller places, in order within each symbol."""
+    return _induce(s, low, _seeds(s, seeds, sigma), sigma) if sigma <= FEW_BUCKETS else _induce_by_place(s, low, seeds, sigma)
 
 
 def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
-    """Suffixes of ``s`` in order; s holds 1..sigma-1 and ends with its only 0.
-
-    Bucket-by-bucket induction has no vector form over a wide alphabet, so a reduced text with more than
-    WIDE_ALPHABET names is ordered by doubling.
-    """
+    """Suffixes of ``s`` in order; s holds 1..sigma-1 and ends with its only 0."""
     n = len(s)
-    if n < 3 or sigma > WIDE_ALPHABET:
-        return _doubled(s)
+    if n < 3:
+        return np.arange(n)[::-1]
     differs = np.append(s[1:] != s[:-1], True)
     place = np.where(differs, np.arange(n), n)
     change = np.minimum.accumulate(place[::-1])[::-1]  # the end of each run of equal symbols
     low = s < s[np.minimum(change + 1, n - 1)]
     low[n - 1] = True
     lms = np.flatnonzero(low[1:] & ~low[:-1]) + 1
-    if len(lms) < 2:
-        return _doubled(s)
-    order = _induce(s, low, _seeds(s, lms, sigma), sigma)
+    order = _induced(s, low, lms, sigma)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     by_substring = order[is_lms[order]]
@@ -115,7 +127,7 @@ def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
     names = int(name[by_substring[-1]]) + 1
     if names < len(lms):
         by_substring = lms[suffix_array(name[lms], names)]
-    return _induce(s, low, _seeds(s, by_substring, sigma), sigma)
+    return _induced(s, low, by_substring, sigma)
 
 
 def permuted_common_prefixes(text: np.ndarray, order: np.ndarray, most: int, restart: np.ndarray | None = None) -> np.ndarray:

@@ -6,12 +6,14 @@ A byte goes when it lies in a ``span``-byte string that also starts in a documen
 2. Every span-byte window has an anchor: the gram with the smallest hash in it, so equal windows have equal
    anchors at equal offsets. The windows of one anchor form a context. Contexts are dealt by their anchor's hash
    over buckets of bounded size.
+   An anchor with very many contexts would fill its bucket: a first pass counts contexts by anchor, and the contexts of such
+   anchors are dealt by their own hash instead.
 3. Equal contexts collapse to their smallest document, in each batch first, so that a frequent line sends a bucket one
    entry a batch; a later document's context is repeated throughout.
 4. Where an anchor has several contexts, a window may also occur in another one. Those contexts are sharded by
    anchor; each shard's suffix array is built by induced sorting, and runs of suffixes whose permuted common
-   prefixes reach the span are equal windows, whose smallest document decides. An anchor with very many contexts would
-   make a shard of its own, so its windows are grouped by content instead, which gives the same.
+   prefixes reach the span are equal windows, whose smallest document decides. The windows of an anchor with very
+   many contexts, which would make a shard of its own, are grouped by content instead, which gives the same.
 5. The repeated intervals are united per document and cut out of its bytes.
 """
 
@@ -36,7 +38,9 @@ FLUSH_BYTES = 20 << 20
 BUCKET_BYTES = 12 << 20  # of input text a bucket
 SHARD_BYTES = 1 << 20
 MANY_CONTEXTS = 5000
-BROADCAST_ROWS = 1_000_000
+HEAVY_ANCHORS = 1_000_000  # at most so many anchors are counted as heavy, eight bytes each
+FREQUENT = 4096  # occurrences of a window whose rows are not shuffled by it
+BROADCAST_ROWS = 500_000  # of at most four numbers each
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -127,15 +131,66 @@ def _by_document(doc: np.ndarray, tid: np.ndarray, first: np.ndarray, end: np.nd
     return {"doc": pa.array(doc[row]), "tid": pa.array(tid[row]), "first": lists(first), "end": lists(end)}
 
 
-def _entries(docs: DataFrame, buckets: int, span: int, gram: int) -> DataFrame:
+def _context_batches(batches: Iterator[pa.RecordBatch], span: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(doc, tid, anchor hash, context hash, start, size) of the contexts of about FLUSH_BYTES of texts at a time."""
+    parts: list[tuple[np.ndarray, ...]] = []
+    held = 0
+    for batch in batches:
+        ids, tids, raw = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
+        sizes = np.array([len(x.as_py()) if x.is_valid else 0 for x in raw])
+        at = 0
+        while at < len(sizes):
+            to = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), BATCH_BYTES)) + at)
+            data = np.frombuffer(b"".join(x.as_py() for x in raw[at:to]), "u1")
+            starts = np.cumsum(sizes[at:to]) - sizes[at:to]
+            owner, h, context, first, end = contexts(data, starts, span, gram)
+            if len(h):
+                doc = at + owner
+                parts.append((ids[doc], tids[doc], h, context, (first - starts[owner]).astype("i4"), (end - first).astype("i1")))
+            held += len(data)
+            at = to
+            if held >= FLUSH_BYTES and parts:
+                yield tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+                parts, held = [], 0
+    if parts:
+        yield tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
+def _texts(docs: DataFrame, span: int) -> DataFrame:
+    return docs.select("doc_id", "tid", F.col("text").cast("binary")).where(F.octet_length("text") >= span)
+
+
+def heavy_anchors(docs: DataFrame, least: int, span: int, gram: int) -> np.ndarray:
+    """The hashes of the anchors with more than ``least`` contexts, in order.
+
+    Each batch counts its distinct contexts by anchor and passes on the counts of two and more, so an anchor that is left out has at
+    most ``least`` contexts and one more for each batch.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, h, context, _, _ in _context_batches(batches, span, gram):
+            order = np.lexsort((context, h))
+            h, context = h[order], context[order]
+            h = h[np.append(True, (h[1:] != h[:-1]) | (context[1:] != context[:-1]))]
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            n = np.diff(np.append(first, len(h)))
+            yield pa.RecordBatch.from_arrays([pa.array(h[first][n > 1].view("i8")), pa.array(n[n > 1])], ["h", "n"])
+
+    counts = _texts(docs, span).mapInArrow(work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") > least).select("h").toArrow().column("h").to_numpy()
+    return np.sort(found.astype("i8").view("u8"))
+
+
+def _entries(docs: DataFrame, buckets: int, heavy: np.ndarray, span: int, gram: int) -> DataFrame:
     """Rows of ENTRY: the contexts of each batch by bucket of their anchor, combined as far as the batch can.
 
     Of equal contexts only those of the batch's smallest document go to the bucket. The others are repeated for certain;
-    their united intervals pass at a negative place, with the interval's end in ``low``.
+    their united intervals pass at a negative place, with the interval's end in ``low``. Contexts of ``heavy`` anchors go to
+    the places from ``buckets`` on, by their own hash.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
-    def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        doc, tid, h, context, start, size = (np.concatenate(c) for c in zip(*parts, strict=True))
+    def flush(doc: np.ndarray, tid: np.ndarray, h: np.ndarray, context: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((doc, context, h))
         run = np.flatnonzero(np.append(True, (h[order][1:] != h[order][:-1]) | (context[order][1:] != context[order][:-1])))
         least = np.empty(len(h), "i8")
@@ -144,6 +199,10 @@ def _entries(docs: DataFrame, buckets: int, span: int, gram: int) -> DataFrame:
         out: list[tuple] = []
         low = (h & np.uint64(0xFFFFFFFF)).astype("u4").view("i4")
         bucket = ((h[keep] >> np.uint64(32)) % np.uint64(buckets)).astype("i8")
+        if len(shared.value):
+            at = np.searchsorted(shared.value, h[keep]).clip(0, len(shared.value) - 1)
+            by_context = buckets + (context[keep].view("u8") % np.uint64(buckets)).astype("i8")
+            bucket = np.where(shared.value[at] == h[keep], by_context, bucket)
         by = np.argsort(bucket, kind="stable")  # in a bucket in order of documents, which shuffles small
         for part in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
             out.append((int(bucket[part[0]]), *[c[keep[part]] for c in (low, context, doc, tid, start, size)]))
@@ -156,29 +215,10 @@ def _entries(docs: DataFrame, buckets: int, span: int, gram: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["place", "low", "context", "doc", "tid", "start", "size"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, ...]] = []
-        held = 0
-        for batch in batches:
-            ids, tids, raw = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
-            sizes = np.array([len(x.as_py()) if x.is_valid else 0 for x in raw])
-            at = 0
-            while at < len(sizes):
-                to = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), BATCH_BYTES)) + at)
-                data = np.frombuffer(b"".join(x.as_py() for x in raw[at:to]), "u1")
-                starts = np.cumsum(sizes[at:to]) - sizes[at:to]
-                owner, h, context, first, end = contexts(data, starts, span, gram)
-                if len(h):
-                    doc = at + owner
-                    parts.append((ids[doc], tids[doc], h, context, (first - starts[owner]).astype("i4"), (end - first).astype("i1")))
-                held += len(data)
-                at = to
-                if held >= FLUSH_BYTES and parts:
-                    yield from flush(parts)
-                    parts, held = [], 0
-        if parts:
-            yield from flush(parts)
-
-    return docs.select("doc_id", "tid", F.col("text").cast("binary")).where(F.octet_length("text") >= span).mapInArrow(work, ENTRY)
+        for found in _context_batches(batches, span, gram):
+            yield from flush(*found)
+
+    return _texts(docs, span).mapInArrow(work, ENTRY)
 
 
 def _flat(t: pa.Table, name: str, dtype: str) -> np.ndarray:
@@ -186,9 +226,10 @@ def _flat(t: pa.Table, name: str, dtype: str) -> np.ndarray:
     return (column.flatten() if len(column) else pa.array([], pa.int64())).to_numpy(zero_copy_only=False).astype(dtype)
 
 
-def shared_contexts(docs: DataFrame, buckets: int, span: int, gram: int) -> DataFrame:
+def shared_contexts(docs: DataFrame, buckets: int, span: int, gram: int, many: int) -> DataFrame:
     """Rows of FOUND: intervals repeated because an earlier document has the whole context; and, with ``n`` contexts of its
-    anchor, each context of an anchor with several whose windows are still to be compared."""
+    anchor, each context of an anchor with several whose windows are still to be compared (``h`` 0 for heavy anchors)."""
+    heavy = heavy_anchors(docs, max(many, buckets * BUCKET_BYTES // HEAVY_ANCHORS), span, gram)
 
     def meet(t: pa.Table) -> pa.Table:
         low, doc, tid, start = (_flat(t, n, d) for n, d in (("low", "i8"), ("doc", "i8"), ("tid", "i4"), ("start", "i8")))
@@ -197,7 +238,8 @@ def shared_contexts(docs: DataFrame, buckets: int, span: int, gram: int) -> Data
             h = n = size = rest
         else:
             context, size = _flat(t, "context", "i8"), _flat(t, "size", "i8")
-            h = (np.int64(t.column("place")[0].as_py()) << np.int64(32)) | low & np.int64(0xFFFFFFFF)
+            place = t.column("place")[0].as_py()
+            h = (np.int64(place) << np.int64(32)) | low & np.int64(0xFFFFFFFF)
             order = np.lexsort((doc, context, h))
             new_h = np.append(True, h[order][1:] != h[order][:-1])
             new = new_h | np.append(True, context[order][1:] != context[order][:-1])
@@ -205,12 +247,14 @@ def shared_contexts(docs: DataFrame, buckets: int, span: int, gram: int) -> Data
             least = np.empty(len(h), "i8")
             least[order] = np.repeat(doc[order][run], np.diff(np.append(run, len(h))))
             anchor = np.flatnonzero(new_h[run])  # each anchor's first context
-            many = np.diff(np.append(anchor, len(run)))
+            several = np.diff(np.append(anchor, len(run)))
             firsts = doc[order][run]
-            contested = (many > 1) & (np.minimum.reduceat(firsts, anchor) < np.maximum.reduceat(firsts, anchor))
+            contested = (several > 1) & (np.minimum.reduceat(firsts, anchor) < np.maximum.reduceat(firsts, anchor))
             per_anchor = np.diff(np.append(run[anchor], len(h)))
             n_of, open_ = np.empty(len(h), "i8"), np.empty(len(h), bool)
-            n_of[order], open_[order] = np.repeat(many, per_anchor), np.repeat(contested, per_anchor)
+            n_of[order], open_[order] = np.repeat(several, per_anchor), np.repeat(contested, per_anchor)
+            if place >= buckets:  # the anchor's other contexts are elsewhere
+                h, n_of, open_ = np.zeros_like(h), np.full(len(h), many + 1), np.ones(len(h), bool)
             gone = np.flatnonzero(doc > least)
             marks = _by_document(doc[gone], tid[gone], start[gone], start[gone] + size[gone])
             rest = np.flatnonzero(open_ & (doc == least))
@@ -221,7 +265,7 @@ def shared_contexts(docs: DataFrame, buckets: int, span: int, gram: int) -> Data
         two = pa.table({"doc": doc[rest], "tid": tid[rest], "first": none(m, lists), "end": none(m, lists), "h": h[rest], "n": n[rest].astype("i4"), "start": start[rest].astype("i4"), "size": size[rest].astype("i4")})
         return pa.concat_tables([one, two])
 
-    return _entries(docs, buckets, span, gram).groupBy("place").applyInArrow(meet, FOUND)
+    return _entries(docs, buckets, heavy, span, gram).groupBy("place").applyInArrow(meet, FOUND)
 
 
 def _marks_by_suffix_array(shards: DataFrame, span: int) -> DataFrame:
@@ -253,8 +297,17 @@ def _marks_by_suffix_array(shards: DataFrame, span: int) -> DataFrame:
 def _marks_by_content(many: DataFrame, span: int) -> DataFrame:
     """The same for anchors with very many contexts: windows grouped by their bytes."""
     windows = many.select("h", "doc", "tid", "start", F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("body") - span + 1), lambda i: F.substring("body", i, F.lit(span)))).alias("at", "window"))
-    least = windows.groupBy("h", "window").agg(F.min("doc").alias("least"))
-    hit = windows.join(least, ["h", "window"]).where("least < doc").select("doc", "tid", (F.col("start") + F.col("at")).alias("p"))
+    least = windows.groupBy("h", "window").agg(F.min("doc").alias("least"), F.max("doc").alias("last"), F.count("*").alias("times")).where("least < last")
+    least = written(least.drop("last"), "windows")
+    frequent = least.where(F.col("times") > FREQUENT)
+    n_frequent = frequent.count()
+    if n_frequent <= BROADCAST_ROWS:  # the rows of a frequent window stay where they are
+        often = windows.join(F.broadcast(frequent), ["h", "window"])
+        seldom = windows.join(F.broadcast(frequent), ["h", "window"], "left_anti").join(least.where(F.col("times") <= FREQUENT), ["h", "window"])
+        hit = often.unionByName(seldom)
+    else:
+        hit = windows.join(least, ["h", "window"])
+    hit = hit.where("least < doc").select("doc", "tid", (F.col("start") + F.col("at")).alias("p"))
     return hit.groupBy("doc", "tid").agg(F.array_sort(F.collect_set("p")).alias("first")).withColumn("end", F.transform("first", lambda p: p + span))
 
 
@@ -264,7 +317,7 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
 
 def repeated_intervals(docs: DataFrame, total_bytes: int, span: int = SPAN, gram: int = GRAM, many: int = MANY_CONTEXTS) -> DataFrame:
     """doc_id, tid, spans (lists of first and end): the repeated intervals of documents (doc_id, tid, text) with distinct texts."""
-    found = written(shared_contexts(docs, max(1, -(-total_bytes // BUCKET_BYTES)), span, gram), "found")
+    found = written(shared_contexts(docs, max(1, -(-total_bytes // BUCKET_BYTES)), span, gram, many), "found")
     contested = found.where("h is not null").select("h", "n", F.col("doc").alias("doc_id"), "tid", "start", "size")
     ids = written(contested.select("doc_id", "tid").distinct(), "owners")
     own = docs.join(_bounded(ids, ids.count()), ["doc_id", "tid"], "left_semi").select("doc_id", "tid", F.col("text").cast("binary").alias("raw"))

@@ -24,7 +24,7 @@ BROADCAST_ROWS = 100_000
 
 # The contract's rules, and the listed canonical URLs of the production query.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-LISTED = [(f"{name}.example.{end}", "/") for name in ("spam-farm", "casino-win", "ads-track") for end in ("com", "net", "org")]
+LISTED = [(f"{name}.example.{end}", "/") for name in ("spam-farm", "casino-win", "ads-track", "cheap-pills") for end in ("com", "net", "org")]
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -91,7 +91,11 @@ def filter_urls(urls: DataFrame, listed: DataFrame, url_col: str = "url", broadc
         .agg(F.min_by(F.struct("key", "verdict", "is_rule"), order).alias("best"))
         .select("host", "path", F.when(F.col("best.is_rule"), F.col("best.key")).alias("rule"), F.when(F.col("best.is_rule"), F.col("best.verdict")).otherwise("block").alias("verdict"))
     )
-    return src.join(found, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
+    # Urls without a host match nothing; keys of their own keep them from meeting in one task. Frequent urls are left to skew joins.
+    alone = F.concat(F.lit("?"), F.monotonically_increasing_id().cast("string"))
+    keyed = src.withColumn("__host", F.col("host")).withColumn("__path", F.when(F.col("host") == "", alone).otherwise(F.col("path")))
+    found = found.withColumnsRenamed({"host": "__host", "path": "__path"})
+    return keyed.join(found, ["__host", "__path"], "left").drop("__host", "__path").withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
 
 
 def production_list(spark: SparkSession) -> DataFrame:

@@ -173,6 +173,57 @@ def test_suffix_array_and_prefixes():
             assert shared[b] == k
 
 
+def doubled(s):
+    """Suffix order by ranks of doubled prefixes."""
+    n, size, rank = len(s), 1, np.unique(s, return_inverse=True)[1].astype("i8")
+    while True:
+        after = np.zeros(n, "i8")
+        after[: max(0, n - size)] = rank[size:] + 1
+        key = rank * (n + 2) + after
+        order = np.argsort(key, kind="stable")
+        rank = np.zeros(n, "i8")
+        rank[order] = np.cumsum(np.append(0, np.diff(key[order]) != 0))
+        size *= 2
+        if rank[order[-1]] == n - 1:
+            return order
+
+
+@pytest.mark.parametrize(("n", "sigma", "names"), [(150_000, 200, 20_000), (30_000, 2, 0), (20_000, 5_000, 0)])
+def test_suffix_array_of_wide_alphabets(n, sigma, names, monkeypatch):
+    seen = []
+    plain = suffix_array._induce_by_place
+    monkeypatch.setattr(suffix_array, "_induce_by_place", lambda s, low, seeds, sigma: seen.append(sigma) or plain(s, low, seeds, sigma))
+    r = np.random.default_rng(n)
+    s = r.integers(1, sigma + 1, n)
+    s[n // 2 : n // 2 + n // 4] = s[: n // 4]
+    s = np.append(s, 0)
+    assert np.array_equal(suffix_array.suffix_array(s, sigma + 1), doubled(s)) and max(seen, default=0) >= names
+
+
+def test_an_anchor_with_many_contexts_never_meets_in_one_group(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 1 << 18)
+    r = random.Random(8)
+    letters = "abcdefghij"
+    phrases = ["".join(r.choice(letters) for _ in range(24)) for _ in range(20_000)]
+    data = np.frombuffer("".join(phrases).encode(), "u1")
+    phrase = phrases[int(suffix_dedup.Grams(data).at(24)[::24].argmin())]
+    rows = []
+    for i in range(30_000):
+        left, right = ("".join(r.choice(letters) for _ in range(28)) for _ in range(2))
+        if i % 50 == 0 and rows:  # a window that an earlier document has
+            left, right = left[:10] + rows[-7 if len(rows) > 7 else 0][1][10:28], rows[-7 if len(rows) > 7 else 0][1][52:70] + right[:5]
+        rows.append((i, left + phrase + right))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    base = table.withColumn("tid", F.hash("text"))
+    heavy = suffix_dedup.heavy_anchors(base, 5000, 50, 24)
+    assert len(heavy) == 1
+    places = suffix_dedup._entries(base, 8, heavy, 50, 24).where("place >= 0").groupBy("place").agg(F.sum(F.size("low")).alias("n"))
+    assert places.agg(F.max("n")).first()[0] < 15_000  # the anchor alone has 30,000
+    got = suffix_dedup.without_repeats(table).collect()
+    want = brute_removal(rows)
+    assert sorted((tuple(x) for x in got), key=str) == want and sum(w[2] for w in want) > 20_000
+
+
 def brute_removal(rows, span=50):
     first: dict[bytes, int] = {}
     for i, t in rows:
@@ -208,16 +259,19 @@ def test_suffix_dedup_of_nothing(empty):
 
 
 def test_decontamination(spark, docs, empty):
-    items = [(100, PASSAGE), (101, words(50, 40)), (102, "one two"), (103, None), (None, PASSAGE), (104, " ".join(LONG.split()[4000:4040])), (105, " ".join(PASSAGE.split()[:50] + words(9, 10).split()))]
+    items = [(100, PASSAGE), (101, words(50, 40)), (102, "TWO words"), (106, "reserved"), (107, "two  words too"), (108, "?"), (103, None), (None, PASSAGE), (104, " ".join(LONG.split()[4000:4040])), (105, " ".join(PASSAGE.split()[:50] + words(9, 10).split()))]
     benchmark = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(5))
     pairs = {(r["doc_id"], r["item_id"]): r["containment"] for r in decontaminate.contained_items(docs, benchmark).collect()}
-    of = lambda t: {tuple((t or "").lower().split()[i : i + 5]) for i in range(len((t or "").split()) - 4)}
+    split = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    runs = lambda ws, n: {tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)}
     want = {}
     for i, t in ROWS:
-        for item, body in items:
-            if i is not None and item is not None and of(body) and len(of(t) & of(body)) / len(of(body)) >= 0.8:
-                want[i, item] = round(len(of(t) & of(body)) / len(of(body)), 6)
-    assert pairs == want and {(4, 100), (5, 100), (10, 104), (11, 104)} <= set(want)
+        for item in {k for k, _ in items if k is not None}:
+            asked = set().union(*[runs(ws, min(5, len(ws))) for k, body in items if k == item for ws in [split(body)] if ws])
+            held = set().union(*[runs(split(t), n) for n in range(1, 6)])
+            if i is not None and asked and len(asked & held) / len(asked) >= 0.8:
+                want[i, item] = round(len(asked & held) / len(asked), 6)
+    assert pairs == want and {(4, 100), (5, 100), (10, 104), (11, 104), (8, 102), (9, 102), (17, 106)} <= set(want)
     left = [r["doc_id"] for r in decontaminate.decontaminated(docs, benchmark).collect()]
     assert sorted(left, key=str) == sorted((i for i, _ in ROWS if i not in {d for d, _ in want}), key=str)
     assert decontaminate.contained_items(docs, benchmark.limit(0)).count() == decontaminate.contained_items(empty, benchmark).count() == 0
@@ -285,7 +339,7 @@ def test_packing_of_nothing(empty):
 
 def test_sharding_law_and_slots(docs, empty, spark):
     many = docs.select("doc_id", "text").unionByName(spark.range(100, 900).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")))
-    rows = sharding.shard_rows(many, sharding.layout(4, 3, 2), buckets=5).collect()
+    rows = sharding.shard_rows(many, sharding.layout(4, 3, 2), bucket_rows=8).collect()
     assert len(rows) == len(ROWS) + 800 and {r["shard"] for r in rows} == set(range(24))
     slots = defaultdict(list)
     for r in rows:
@@ -298,6 +352,25 @@ def test_sharding_law_and_slots(docs, empty, spark):
     assert sharding.shard_rows(empty, sharding.layout(4, 3, 2)).count() == 0
 
 
+def test_slots_do_not_depend_on_partitions_and_repeats_spread(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "REPEATS", 50)
+    one = spark.range(700).select(F.lit(5).cast("long").alias("doc_id"), F.when(F.col("id") < 400, F.lit("same")).otherwise(F.col("id").cast("string")).alias("text"))
+    rows = one.union(spark.range(1000, 1300).select("id", F.lit("t"))).union(spark.range(60).select(F.lit(None).cast("long"), F.col("id").cast("string")))
+    seen = []
+    for n in (4, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = sharding.shard_rows(rows.repartition(n), sharding.layout(4, 3, 2), bucket_rows=20)
+        seen.append(sorted((str(tuple(r)) for r in got.collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert seen[0] == seen[1] and len(seen[0]) == 1060
+    slots = defaultdict(list)
+    for r in got.collect():
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    spread = got.where("doc_id = 5 and size <> 12").select("slot").distinct().count()
+    assert spread == 300 and got.where("doc_id = 5 and size = 12").count() == 400
+
+
 def test_weights_move_rows_only_into_the_changed_subtree(spark):
     tree = sharding.layout(3, 2, 2)
     heavier = [sharding.Leaf(x.region, x.rack, x.shard, 3.0 if x.shard == 5 else 1.0) for x in tree]
