@@ -11,14 +11,18 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _sent: set[str] = set()
+BATCH_ROWS, USUAL = "1000", "10000"
 
 
 def ship(spark: SparkSession) -> None:
     """Add the package to the session's Python files, once per application.
 
-    Spark's file server reads the archive when an executor asks for it, so it stays until the driver ends.
+    Spark's file server reads the archive when an executor asks for it, so it stays until the driver ends. Arrow batches get fewer
+    rows, unless the session has a number of its own, since rows with whole texts are large and are buffered several times.
     """
-    context = spark.sparkContext
+    context, batch = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch, USUAL) == USUAL:
+        spark.conf.set(batch, BATCH_ROWS)
     if context.applicationId in _sent:
         return
     root = Path(__file__).resolve().parent
