@@ -29,16 +29,30 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([1 - osa_distance(x, y) / max(len(x), len(y), 1) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+MOST_ENTRIES = 10_000
+
+
+def similar_pairs(pairs: DataFrame, a: str, b: str, min_score: float) -> DataFrame:
+    """``pairs`` with ``score``, those of at least ``min_score``.
+
+    Lengths alone rule out most pairs. Plain edit distance, which runs in the JVM, is at most twice the distance with swaps and rules
+    out most others; only the rest goes to Python.
+    """
+    longer, shorter = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
+    near = pairs.where(shorter >= longer * min_score).where(F.levenshtein(a, b) <= 2 * (1 - min_score) * longer + 1e-9)
+    return near.withColumn("score", similarity(a, b)).where(F.col("score") >= min_score)
+
+
 def best_match(texts: DataFrame, text: str, lexicon: DataFrame, min_score: float) -> DataFrame:
     """text, key, variant, score: for each distinct text the lexicon entry most like it, if at least ``min_score``.
 
-    ``lexicon`` (key, variant, ord) is a fixed dimension of at most a few thousand rows, so each distinct text meets
-    all of it; entries whose length alone rules them out never reach the distance. The first of equal entries wins.
+    ``lexicon`` (key, variant, ord) is a fixed dimension of at most MOST_ENTRIES rows, which is checked, so each distinct text meets
+    all of it. The first of equal entries wins.
     """
     ship(texts.sparkSession)
+    if lexicon.limit(MOST_ENTRIES + 1).count() > MOST_ENTRIES:
+        raise ValueError(f"a lexicon has at most {MOST_ENTRIES} entries")
     own = texts.select(F.col(text).alias("text")).where(F.length(text) > 0).distinct()
-    longer, shorter = F.greatest(F.length("text"), F.length("variant")), F.least(F.length("text"), F.length("variant"))
-    pairs = own.crossJoin(F.broadcast(lexicon)).where(shorter >= longer * min_score)
-    scored = pairs.withColumn("score", similarity("text", "variant")).where(F.col("score") >= min_score)
+    scored = similar_pairs(own.crossJoin(F.broadcast(lexicon)), "text", "variant", min_score)
     best = F.max_by(F.struct("key", "variant", "score"), F.struct("score", -F.col("ord")))
     return scored.groupBy("text").agg(best.alias("m")).select("text", "m.key", "m.variant", "m.score")

@@ -75,6 +75,11 @@ def class_key(folded: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(folded, r"[ ]*[/\\-]+[ ]*", "/"), r"[ \n]+", " "))
 
 
+def design_key(folded: Column) -> Column:
+    """The designer's key, which takes bars and dashes for separators too."""
+    return F.trim(F.regexp_replace(F.regexp_replace(folded, r"[ ]*[/|\\–-]+[ ]*", "/"), r"[ \n]+", " "))
+
+
 def course_key(folded: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(folded, r"[ ]*[-/][ ]*", "-"), r"[ \n]+", " ")))
 
@@ -95,8 +100,34 @@ def parse_time(c: Column) -> Column:
 
 def format_time(minutes: Column) -> Column:
     """Twelve-hour clock without a suffix."""
-    h = F.pmod(F.floor(minutes / 60), F.lit(12))
-    return F.concat(F.when(h == 0, 12).otherwise(h).cast("string"), F.lit(":"), F.lpad(F.pmod(minutes, F.lit(60)).cast("string"), 2, "0"))
+    return F.concat(_hour12(F.floor(minutes / 60)), F.lit(":"), F.lpad(F.pmod(minutes, F.lit(60)).cast("string"), 2, "0"))
+
+
+def _hour12(hour: Column) -> Column:
+    h = F.pmod(hour, F.lit(12))
+    return F.when(h == 0, 12).otherwise(h).cast("int").cast("string")
+
+
+def format_hour(hour: Column) -> Column:
+    """Twelve-hour clock in Arabic digits."""
+    return to_arabic_digits(_hour12(hour))
+
+
+def input_time(minutes: Column) -> Column:
+    """``HH:MM`` of 24 hours, as a form field has it."""
+    two = lambda c: F.lpad(c.cast("int").cast("string"), 2, "0")
+    return F.concat(two(F.floor(minutes / 60)), F.lit(":"), two(F.pmod(minutes, F.lit(60))))
+
+
+def contrast_ink(hex_color: Column) -> Column:
+    """The dark or the light ink for a background, by its relative luminance in sRGB."""
+
+    def linear(at: int) -> Column:
+        x = F.conv(F.substring(F.translate(hex_color, "#", ""), at, 2), 16, 10).cast("int") / 255
+        return F.when(x <= 0.04045, x / 12.92).otherwise(F.pow((x + 0.055) / 1.055, 2.4))
+
+    # The two inks.
+    return F.when(0.2126 * linear(1) + 0.7152 * linear(3) + 0.0722 * linear(5) > 0.42, "#203c32").otherwise("#ffffff")
 
 
 def strip_noise(c: Column, words: list[str] | None = None) -> Column:

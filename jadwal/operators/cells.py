@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jadwal.functions import text
-from jadwal.functions.fuzzy import similarity
+from jadwal.functions.fuzzy import similar_pairs
 from jadwal.functions.lexicon import PERIOD_WORDS, SECTIONS, lexicon
 from jadwal.shipping import ship
 
 LEAST = 0.5
 TIME = r"(?<![A-Za-z0-9_])[0-9]{1,2}[ ]*[:.][ ]*[0-9]{2}(?![A-Za-z0-9_])"
+CLOCK_RANGE = r"[0-9]{1,2}[ ]*[:.][ ]*[0-9]{2}(?:[ ]*(?:ص|م|am|pm))?(?:[ ]*-[ ]*[0-9]{1,2}[ ]*[:.][ ]*[0-9]{2}(?:[ ]*(?:ص|م|am|pm))?)?"
 SECTION = "ابجدهوزحطي"
 AR = "ء-ي"
 MATCH = "struct<key:string,score:double>"
@@ -97,8 +98,7 @@ def matched(rows: DataFrame, key: str, words: dict[str, Column]) -> DataFrame:
         asked = own if asked is None else asked.unionByName(own)
     asked = asked.distinct()
     pairs = asked.select("category", "word").distinct().join(F.broadcast(lexicon(rows.sparkSession)), "category")
-    near = pairs.where(F.least(F.length("word"), F.length("variant")) >= F.greatest(F.length("word"), F.length("variant")) * LEAST)
-    scored = near.withColumn("score", similarity("word", "variant")).where(F.col("score") >= LEAST)
+    scored = similar_pairs(pairs, "word", "variant", LEAST)
     best = scored.groupBy("category", "word").agg(F.max_by(F.struct("key", "score"), F.struct("score", -F.col("ord"))).alias("m"))
     entries = asked.join(best, ["category", "word"]).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "category", "word"), "m"))).alias("__m"))
     return rows.join(entries, key, "left").withColumn("matches", F.coalesce("__m", F.create_map().cast(f"map<string,{MATCH}>"))).drop("__m")
@@ -281,6 +281,26 @@ def standby(cleaned: Column, matches: Column) -> Column:
     return F.when((word != "") & fits, F.when(number != "", F.concat(F.lit("منتظر "), text.to_arabic_digits(number))).otherwise("انتظار"))
 
 
+def labels(texts: DataFrame, body: str) -> DataFrame:
+    """For each distinct text what it is as a label: ``body``, name (of a class or standby, bare grades allowed), class_name and
+    class_score (bare grades not allowed), period, period_score, day, day_score, subject, subject_score, timed, letters, numbered."""
+    ship(texts.sparkSession)
+    t = texts.select(F.col(body).alias("raw")).where(F.col(body).isNotNull()).distinct().withColumn("norm", text.normalize_arabic(F.col("raw")))
+    norm, toks = F.col("norm"), text.tokens(flat(F.col("norm")))
+    words = F.transform(toks, lambda x: text.letters_only(x))
+    found = matched(t, "raw", {
+        "day": day_words(norm), "ordinal": F.flatten(F.transform(lines_of(norm), lambda x: F.transform(period_tokens(x), lambda p: text.letters_only(p)))), "grade": words, "stage": stage_words(toks),
+        "standby": F.array(F.regexp_extract(F.trim(flat(norm)), rf"^(?:حصه *)?([{AR}]{{3,8}}) *([0-9]{{1,2}})?$", 1)), "subject": F.transform(phrases(toks), lambda p: p["phrase"]),
+    })
+    m = F.col("matches")
+    read = found.select("raw", "norm", standby(norm, m).alias("w"), parse_class(norm, m, True).alias("b"), parse_class(norm, m).alias("c"), match_period(norm, m).alias("p"), match_day(norm, m).alias("d"), match_subject(norm, m).alias("s"))
+    return read.select(
+        F.col("raw").alias(body), F.coalesce("w", "b.name").alias("name"), F.col("c.name").alias("class_name"), F.col("c.score").alias("class_score"), "p.period", F.col("p.score").alias("period_score"), F.col("d.key").alias("day"),
+        F.col("d.score").alias("day_score"), F.col("s.key").alias("subject"), F.col("s.score").alias("subject_score"), norm.rlike("[0-9]{1,2}[:.][0-9]{2}").alias("timed"),
+        F.length(F.regexp_replace(norm, f"[^{AR}]", "")).alias("letters"), norm.rlike("[0-9]").alias("numbered"),
+    )
+
+
 def classify(cells: DataFrame, body: str = "text", ocr: str = "ocr_confidence") -> DataFrame:
     """``cells`` with kind, day, period, class_name, subject, room, minutes and parse_confidence.
 
@@ -289,6 +309,9 @@ def classify(cells: DataFrame, body: str = "text", ocr: str = "ocr_confidence")
     """
     ship(cells.sparkSession)
     texts = cells.select(F.col(body).alias("raw")).distinct().withColumn("norm", text.normalize_arabic(F.col("raw"))).withColumn("cleaned", text.strip_noise(F.col("norm")))
+    by_line = texts.select(F.posexplode(F.split(F.coalesce("raw", F.lit("")), "\n")).alias("i", "line"), "raw").withColumn("n", text.strip_noise(text.normalize_arabic(F.col("line"))))
+    line_norms = by_line.groupBy("raw").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "n"))), lambda x: x["n"]).alias("line_norms"))
+    texts = texts.join(line_norms, texts["raw"].eqNullSafe(line_norms["raw"]), "left").drop(line_norms["raw"])
     texts = texts.withColumn("id", F.sha2(F.coalesce("raw", F.lit("\x00")), 256))
     norm, cleaned = F.col("norm"), F.col("cleaned")
     toks = text.tokens(flat(cleaned))
@@ -298,7 +321,7 @@ def classify(cells: DataFrame, body: str = "text", ocr: str = "ocr_confidence")
         "standby": F.array(F.regexp_extract(F.trim(flat(cleaned)), rf"^(?:حصه *)?([{AR}]{{3,8}}) *([0-9]{{1,2}})?$", 1)),
     })
     m = F.col("matches")
-    first = first.select("id", "raw", "norm", "cleaned", match_day(norm, m).alias("d"), match_period(norm, m).alias("p"), parse_class(cleaned, m).alias("c"), worded_class(flat(cleaned), m, True).alias("bare"), standby(cleaned, m).alias("standby"), look(m, "header", text.letters_only(flat(norm)), 0.8).isNotNull().alias("header"))
+    first = first.select("id", "raw", "norm", "cleaned", "line_norms", match_day(norm, m).alias("d"), match_period(norm, m).alias("p"), parse_class(cleaned, m).alias("c"), worded_class(flat(cleaned), m, True).alias("bare"), standby(cleaned, m).alias("standby"), look(m, "header", text.letters_only(flat(norm)), 0.8).isNotNull().alias("header"))
     first = first.withColumn("rest", F.coalesce("c.rest", "cleaned"))
     second = matched(first, "id", {"subject": F.transform(phrases(text.tokens(flat(F.col("rest")))), lambda p: p["phrase"])})
     t = second.withColumn("s", match_subject(F.col("rest"), F.col("matches"))).drop("matches")
@@ -314,7 +337,14 @@ def classify(cells: DataFrame, body: str = "text", ocr: str = "ocr_confidence")
     remainder = F.coalesce(s["rest"], c["rest"])
     room = F.regexp_extract(remainder, rf"((?:غرفه|قاعه|معمل|مختبر|مصدر|فصل) *(?:[0-9]{{1,3}}|[{AR}]{{1,6}})?)", 1)
     left = F.filter(text.tokens(flat(remainder)), lambda x: (F.length(text.letters_only(x)) >= 2) | x.rlike("^[0-9]+$"))
-    title = F.when(F.length(text.letters_only(F.array_join(left, ""))) >= 3, F.substring(F.array_join(left, " "), 1, 60))
+    def as_read(words: Column) -> Column:
+        """The first line that holds all the words, else the words."""
+        spelled = F.array_join(words, " ")
+        raw = F.split(F.coalesce(body, F.lit("")), "\n")
+        whole = F.get(F.filter(raw, lambda x, i: F.forall(words, lambda w: F.contains(F.get(F.col("line_norms"), i), w))), F.lit(0))
+        return F.when(F.length(text.letters_only(spelled)) >= 3, F.substring(F.trim(F.regexp_replace(F.coalesce(whole, spelled), CLOCK_RANGE, "")), 1, 60))
+
+    title = let(left, as_read)
     no_digit = ~norm.rlike("[0-9]")
 
     def cell(kind: str, score: Column | float, **values: Column) -> Column:

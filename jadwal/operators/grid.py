@@ -33,8 +33,9 @@ def components(grid: DataFrame, width: int) -> DataFrame:
     Each round takes the smallest label next door and then that label's own label, and is written, until no label changes.
     """
     cells = grid.where("v = 1").select((F.col("y") * width + F.col("x")).cast("long").alias("id"), "y", "x")
-    near = cells.select(F.col("id").alias("to"), F.col("y").alias("ty"), F.col("x").alias("tx"))
-    edges = written(cells.join(near, F.expr("ty between y - 1 and y + 1 and tx between x - 1 and x + 1")).select("id", "to"), "edges")
+    steps = F.sequence(F.lit(-1), F.lit(1))
+    asked = cells.withColumn("dy", F.explode(steps)).withColumn("dx", F.explode(steps)).select(F.col("id").alias("to"), (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"))
+    edges = written(cells.join(asked, ["y", "x"]).select("id", "to"), "edges")
     labels = written(cells.select("id", F.col("id").alias("label")), "labels")
     while True:
         stepped = edges.join(labels.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("label").alias("label"))
@@ -44,3 +45,16 @@ def components(grid: DataFrame, width: int) -> DataFrame:
             break
         labels = new
     return cells.join(labels, "id").groupBy("label").agg(F.count("*").alias("area"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
+
+
+def corners(cells: DataFrame) -> DataFrame:
+    """label and the places (y, x) of the least and greatest x + y and x - y of labelled cells (label, y, x, ord)."""
+    at, up, down = F.struct("y", "x"), F.col("x") + F.col("y"), F.col("x") - F.col("y")
+    first = lambda c: F.struct(c, F.col("ord"))
+    last = lambda c: F.struct(c, -F.col("ord"))
+    return cells.groupBy("label").agg(F.min_by(at, first(up)).alias("top_left"), F.max_by(at, last(up)).alias("bottom_right"), F.max_by(at, last(down)).alias("top_right"), F.min_by(at, first(down)).alias("bottom_left"))
+
+
+def by_size(components: DataFrame) -> DataFrame:
+    """Components in falling order of their bounds' area."""
+    return components.orderBy(F.desc((F.col("y1") - F.col("y0") + 1) * (F.col("x1") - F.col("x0") + 1)), "label")

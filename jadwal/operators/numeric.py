@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+MOST_TEMPLATES = 10_000
+
+
 def upper_median(rows: DataFrame, key: str, value: str, bins: int = 4096) -> DataFrame:
     """Per key the element at place floor(n/2) of the sorted values.
 
@@ -16,12 +19,12 @@ def upper_median(rows: DataFrame, key: str, value: str, bins: int = 4096) -> Dat
     ends = rows.groupBy(key).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count("*").alias("n"))
     width = F.col("high") - F.col("low")
     place = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("low")) / width * bins))).otherwise(0)
-    binned = rows.join(F.broadcast(ends), key).withColumn("bin", place)
+    binned = rows.join(ends, key).withColumn("bin", place)
     upto = Window.partitionBy(key).orderBy("bin")
     cumulative = binned.groupBy(key, "bin", "n").count().withColumn("upto", F.sum("count").over(upto))
     target = F.floor(F.col("n") / 2)
     chosen = cumulative.where((F.col("upto") > target) & (F.col("upto") - F.col("count") <= target)).select(key, "bin", (target - F.col("upto") + F.col("count")).alias("skip"))
-    inside = binned.join(F.broadcast(chosen), [key, "bin"]).groupBy(key, "skip", value).count()
+    inside = binned.join(chosen, [key, "bin"]).groupBy(key, "skip", value).count()
     seen = inside.withColumn("upto", F.sum("count").over(Window.partitionBy(key).orderBy(value)))
     return seen.where((F.col("upto") > F.col("skip")) & (F.col("upto") - F.col("count") <= F.col("skip"))).select(key, F.col(value).alias("median"))
 
@@ -65,16 +68,23 @@ def peak_islands(profile: DataFrame, threshold: Column) -> DataFrame:
     return run.groupBy("run").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.max("v").alias("strength"), F.round(F.sum(F.col("pos") * F.col("v")) / F.sum("v"), 6).alias("centre")).drop("run")
 
 
-def clusters(rows: DataFrame, value: str, tolerance: float) -> DataFrame:
+def clusters(rows: DataFrame, value: str, tolerance: float, stretch: int = 4096) -> DataFrame:
     """Sorted values, cut where the gap to the previous one exceeds ``tolerance``: first, last, n, mean.
 
-    Values in one bin of the tolerance's width always belong together, so the window runs over bins, whose number is
-    bounded by range / tolerance, and never over rows.
+    Values in one bin of the tolerance's width always belong together. Bins are cut within stretches of ``stretch`` bins, and the
+    stretches' borders are joined up over one row a stretch, so no window sees all rows or all bins.
     """
-    bins = rows.where(F.col(value).isNotNull()).groupBy(F.floor(F.col(value) / tolerance).alias("bin")).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("n"), F.sum(F.col(value).cast("decimal(38,6)")).alias("total"))
-    w = Window.partitionBy().orderBy("bin")
-    cut = F.when(F.col("lo") - F.lag("hi").over(w) <= tolerance, 0).otherwise(1)
-    numbered = bins.withColumn("cut", cut).withColumn("cluster", F.sum("cut").over(w))
+    exact = F.col(value).cast("decimal(38,6)")
+    bins = rows.where(F.col(value).isNotNull()).groupBy(F.floor(F.col(value) / tolerance).alias("bin")).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("n"), F.sum(exact).alias("total"))
+    w = Window.partitionBy("part").orderBy("bin")
+    placed = bins.withColumn("part", F.floor(F.col("bin") / stretch))
+    cut = placed.withColumn("cut", F.when(F.col("lo") - F.lag("hi").over(w) > tolerance, 1).otherwise(0)).withColumn("inner", F.sum("cut").over(w))
+    ends = cut.groupBy("part").agg(F.min_by("lo", "bin").alias("lo"), F.max_by("hi", "bin").alias("hi"), F.sum("cut").alias("cuts"))
+    order = Window.partitionBy().orderBy("part")
+    border = F.when(F.col("lo") - F.lag("hi").over(order) > tolerance, 1).otherwise(0)
+    before = F.sum(F.col("border") + F.coalesce("earlier", F.lit(0))).over(order)
+    offsets = ends.withColumn("border", border).withColumn("earlier", F.lag("cuts").over(order)).select("part", before.alias("offset"))
+    numbered = cut.join(offsets, "part").withColumn("cluster", F.col("offset") + F.col("inner"))
     return numbered.groupBy("cluster").agg(F.min("lo").alias("first"), F.max("hi").alias("last"), F.sum("n").alias("n"), F.round(F.sum("total").cast("double") / F.sum("n"), 4).alias("mean")).drop("cluster")
 
 
@@ -88,8 +98,10 @@ def nearest(rows: DataFrame, value: str, centres: DataFrame) -> DataFrame:
 def template_scores(samples: DataFrame, templates: DataFrame, key: str, vector: str) -> DataFrame:
     """For each sample the template (label, t) with the best Dice score 2ab / (a² + b² + 1e-6); the lower label of equals.
 
-    Templates are a fixed dimension of a few hundred rows.
+    Templates are a fixed dimension of at most MOST_TEMPLATES rows, which is checked.
     """
+    if templates.limit(MOST_TEMPLATES + 1).count() > MOST_TEMPLATES:
+        raise ValueError(f"at most {MOST_TEMPLATES} templates")
     product = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     pairs = samples.select(key, vector).crossJoin(F.broadcast(templates.select("label", "t")))
     score = 2 * product(vector, "t") / (product(vector, vector) + product("t", "t") + 1e-6)

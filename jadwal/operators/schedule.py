@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jadwal.operators.axes import fill_gaps
+from jadwal.operators.axes import fill_gaps, rank_by_clock
 from jadwal.storage import written
 
 # The order of the days on an axis; Sunday to Thursday are school days.
@@ -46,6 +46,36 @@ def _vote(known: DataFrame, name: str) -> DataFrame:
     return votes.groupBy(*KEY).agg(F.count("*").alias(f"{name}_known"), F.min("pos").alias(f"{name}_first"), F.when(F.sum("up") >= 0, 1).when(F.sum("up") < 0, -1).alias(f"{name}_vote"))
 
 
+def _with_clock(lined: DataFrame, known: DataFrame) -> DataFrame:
+    """``known`` periods and those that their clock times give, on period lines where some position has no label."""
+    starts = F.col("pp") == F.when(F.col("o") == "days-in-rows", F.col("col")).otherwise(F.col("row"))
+    timed = lined.where("dp = period_line and minutes is not null and kind in ('other', 'period')").where(starts).select(*KEY, F.col("pp").alias("pos"), F.col("minutes").alias("minute"))
+    places = F.when(F.col("o") == "days-in-rows", F.col("cols")).otherwise(F.col("rows"))
+    full = lined.select(*KEY, places.alias("places")).distinct().join(known.groupBy(*KEY).agg(F.count("*").alias("n")), KEY).where("n >= places").select(*KEY)
+    headers = timed.join(full, KEY, "left_anti").join(known.select(*KEY, "pos", "label"), [*KEY, "pos"], "left")
+    ranked = rank_by_clock(headers, KEY).join(known.select(*KEY, "pos", "label"), [*KEY, "pos"], "left")
+    new = written(ranked.where("label is null or not ok").select(*KEY, "pos", F.col("value").alias("label"), F.lit(0.6).alias("sure")), "clock")
+    return known.join(new.select(*KEY, "pos"), [*KEY, "pos"], "left_anti").unionByName(new)
+
+
+def _adopted(axis: DataFrame, frame: DataFrame, grids: DataFrame) -> DataFrame:
+    """Unlabelled data lines of grids without ruled lines, with the label of the nearest labelled line (the first of equally near ones).
+
+    It may lie at most 0.45 of the labelled lines' median distance away. ``grids`` has method, row_lines and col_lines.
+    """
+    lines = grids.where("method <> 'lines'").select("doc_id", "row_lines", "col_lines")
+    edges = F.when(F.col("o") == "days-in-rows", F.col("row_lines")).otherwise(F.col("col_lines"))
+    centred = lambda df: df.join(lines, "doc_id").withColumn("__e", edges).withColumn("centre", (F.get("__e", F.col("pos")) + F.get("__e", F.col("pos") + 1)) / 2).drop("__e", "row_lines", "col_lines")
+    named = centred(axis).withColumn("gap", F.abs(F.col("centre") - F.lag("centre").over(Window.partitionBy(*KEY).orderBy("pos"))))
+    gaps = F.array_sort(F.collect_list("gap"))
+    spacing = named.groupBy(*KEY).agg(gaps.alias("gaps")).select(*KEY, F.get("gaps", F.floor(F.size("gaps") / 2).cast("int")).alias("spacing")).where("spacing is not null")
+    free = centred(frame.where("is_data").select(*KEY, "pos").join(axis.select(*KEY, "pos"), [*KEY, "pos"], "left_anti"))
+    near = free.select(*KEY, F.col("pos").alias("own"), F.col("centre").alias("at")).join(named.select(*KEY, "pos", "centre", "value", "confidence"), KEY)
+    best = near.groupBy(*KEY, "own", "at").agg(F.min_by(F.struct("centre", "value", "confidence"), F.struct(F.abs(F.col("centre") - F.col("at")), "pos")).alias("b"))
+    close = best.join(spacing, KEY).where(F.abs(F.col("b.centre") - F.col("at")) <= F.col("spacing") * 0.45)
+    return close.select(*KEY, F.col("own").alias("pos"), "b.value", F.lit(True).alias("inferred"), (F.col("b.confidence") * 0.9).alias("confidence"))
+
+
 def axes(at: DataFrame, grids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(days, periods, facts): the labelled positions of both orientations (pos, value, inferred, confidence), and per
     orientation what was read."""
@@ -55,6 +85,7 @@ def axes(at: DataFrame, grids: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     sure = F.col("parse_confidence") * 0.6 + F.col("ocr") * 0.4
     known_days = lined.where("day_best >= 2 and pp = day_line and kind = 'day'").select(*KEY, F.col("dp").alias("pos"), day_number(F.col("day")).alias("label"), sure.alias("sure"))
     known_periods = lined.where("period_best >= 2 and dp = period_line and kind = 'period' and period is not null").select(*KEY, F.col("pp").alias("pos"), F.col("period").alias("label"), sure.alias("sure"))
+    known_periods = _with_clock(lined, known_periods)
     facts = facts.join(_vote(known_days, "days"), KEY, "left").join(_vote(known_periods, "periods"), KEY, "left").na.fill(0, ["days_known", "periods_known"])
     in_rows = F.col("o") == "days-in-rows"
     facts = written(
@@ -80,14 +111,18 @@ def axes(at: DataFrame, grids: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
         if own == "days":
             ranked = ranked.where(F.col("n") == LAST_SCHOOL_DAY - FIRST_SCHOOL_DAY + 1)
         numbered = ranked.select(*KEY, "pos", F.col("i").alias("value"), F.lit(True).alias("inferred"), F.lit(0.4 if own == "days" else 0.45).alias("confidence"))
-        out.append(written(labelled.unionByName(numbered.join(labelled.select(*KEY, "pos"), [*KEY, "pos"], "left_anti")), f"axis-{own}"))
+        axis = labelled.unionByName(numbered.join(labelled.select(*KEY, "pos"), [*KEY, "pos"], "left_anti"))
+        if own == "days" and "method" in grids.columns:
+            axis = axis.unionByName(_adopted(axis, frame, grids))
+        out.append(written(axis, f"axis-{own}"))
     return out[0], out[1], facts
 
 
 def lessons(cells: DataFrame, grids: DataFrame) -> DataFrame:
     """doc_id, orientation, day, period, class_name, subject, room, raw_text, confidence, row, col.
 
-    ``cells`` are recognised cells with ``ord`` (their order) and ``text``; ``grids`` has doc_id, rows and cols.
+    ``cells`` are recognised cells with ``ord`` (their order) and ``text``; ``grids`` has doc_id, rows and cols, and method, row_lines
+    and col_lines where lines without a label may take that of their neighbour.
     """
     at = written(places(cells, grids), "places")
     days, periods, facts = axes(at, grids)
@@ -114,3 +149,14 @@ def lessons(cells: DataFrame, grids: DataFrame) -> DataFrame:
     confidence = (0.55 * parse + 0.45 * F.col("ocr")) * (0.85 + 0.15 * F.col("axis_sure"))
     day = F.get(F.array(*[F.lit(x) for x in DAY_ORDER]), F.col("day_no"))
     return slot.select("doc_id", F.col("o").alias("orientation"), day.alias("day"), F.col("period_no").alias("period"), name.alias("class_name"), "subject", "room", "raw_text", F.greatest(F.lit(0.05), F.least(F.lit(1.0), confidence)).alias("confidence"), "row", "col")
+
+
+def in_order(found: DataFrame) -> DataFrame:
+    """Lessons by document, day (Saturday first) and period."""
+    return found.orderBy("doc_id", day_number(F.col("day")), "period")
+
+
+def labels_read(found: DataFrame) -> DataFrame:
+    """doc_id, days and periods of the lessons, each in order."""
+    numbers = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(day_number(F.col("day")))).alias("d"), F.array_sort(F.collect_set("period")).alias("periods"))
+    return numbers.select("doc_id", F.transform("d", lambda i: F.get(F.array(*[F.lit(x) for x in DAY_ORDER]), i)).alias("days"), "periods")

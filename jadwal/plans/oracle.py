@@ -21,6 +21,7 @@ _GRID = """g AS (
   SELECT y, x, count(sched) AS v FROM (SELECT unnest(range(0, 7)) AS y) CROSS JOIN (SELECT unnest(range(0, 24)) AS x)
   LEFT JOIN slots ON day_idx = y AND minute // 60 = x GROUP BY y, x)"""
 _MASK = _GRID + ", mask AS (SELECT y, x, CASE WHEN v > (SELECT avg(v) FROM g) THEN 1 ELSE 0 END AS v FROM g)"
+# The designer's colours.
 _PALETTE = "['#8fd3ad', '#93b4f2', '#f6c65a', '#f29bbd', '#7fd0d6', '#c3a4f0', '#f5a07f', '#c9dd6e', '#86bde6', '#e2b58f']"
 
 
@@ -159,3 +160,12 @@ SELECT vec_id, label AS template, score FROM s QUALIFY row_number() OVER (PARTIT
         "SELECT sched, c % 7 AS day_idx, r % 12 + 1 AS period, arg_min(name, ord) FILTER (name <> '') AS name, round(avg(conf) FILTER (name <> ''), 6) AS conf, count(*) FILTER (name <> '') AS cells FROM t GROUP BY 1, 2, 3",
     ),
 }
+
+ORACLE["flagship"] = _q(
+    "s AS (" + "SELECT * FROM (" + ORACLE["cell_spans_to_slots"].replace("WITH " + SLOTS_SQL + ", ", "WITH ", 1) + ") WHERE name IS NOT NULL)",
+    r"k AS (SELECT *, regexp_replace(replace(name, '\', '/'), ' *[/-]+ *', '/', 'g') AS class_key, day_idx * 12 + period AS ord FROM s)",
+    "b AS (SELECT sched, class_key, arg_min(name, ord) FILTER (conf = top) AS label FROM (SELECT *, max(conf) OVER (PARTITION BY sched, class_key) AS top FROM k) GROUP BY 1, 2)",
+    f"n AS (SELECT sched, count(DISTINCT day_idx) AS days, count(DISTINCT period) AS periods, count(*) AS lessons, count(*) FILTER (conf >= 0.5) AS rec, count(*) FILTER (label <> '' AND conf >= 0.35) AS cls FROM k JOIN b USING (sched, class_key) WHERE {_VALID} GROUP BY 1)",
+    "q AS (SELECT *, 0.35::DOUBLE * least(1.0::DOUBLE, days / 5) + 0.25::DOUBLE * least(1.0::DOUBLE, periods / 5) + 0.4::DOUBLE * ((0.5::DOUBLE * rec + 0.5::DOUBLE * cls) / lessons) AS quality FROM n)",
+    "SELECT sched, days, periods, lessons, round(quality, 6) AS quality, days >= 3 AND periods >= 3 AND lessons >= 3 AND quality >= 0.45 AS ok FROM q",
+)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from jadwal.functions import fuzzy, text
 from jadwal.operators import axes, grid, lessons, numeric
-from jadwal.plans.oracle import ORACLE, TYPOS
+from jadwal.plans import readings
+from jadwal.plans.oracle import ORACLE as TABLE_SQL
+from jadwal.plans.oracle import TYPOS
 from jadwal.plans.slots import slots, table
 
 # The designer's colours.
@@ -30,7 +32,7 @@ def class_key_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 def section_style_fix(spark: SparkSession, d: str) -> DataFrame:
     first = lessons.first_wins(lessons.valid_slots(slots(spark, d)), SLOT, "class_name")
-    return lessons.fix_section_style(first, "sched", "class_name", alef="a", shown="A", one="1", letter="[a-z]+").select(*SLOT, "class_name", "fixed")
+    return lessons.fix_section_style(first, "sched", "class_name", alef="a", written="A", one="1", letter="[a-z]+").select(*SLOT, "class_name", "fixed")
 
 
 def digit_pair_swap(spark: SparkSession, d: str) -> DataFrame:
@@ -94,24 +96,20 @@ def _intervals(spark: SparkSession, d: str) -> DataFrame:
     return slots(spark, d).select("ord", "sched", "day_idx", F.col("minute").alias("start"), F.least(F.col("minute") + 50, F.lit(1440)).alias("end"))
 
 
-def _hours(rows: DataFrame) -> DataFrame:
-    first, last = F.floor(F.min("start") / 60), F.ceil(F.max("end") / 60)
-    return rows.groupBy("sched", "day_idx").agg(F.greatest(F.lit(0), first).cast("int").alias("start_hour"), F.least(F.lit(24), F.greatest(last, first + 1)).cast("int").alias("end_hour"))
-
-
 def hour_range(spark: SparkSession, d: str) -> DataFrame:
-    return _hours(_intervals(spark, d))
+    rows = _intervals(spark, d)
+    return lessons.hours(rows, rows, ["sched", "day_idx"])
 
 
 def active_days(spark: SparkSession, d: str) -> DataFrame:
-    used = slots(spark, d).select("sched", "day_idx").distinct()
-    base = used.select("sched").distinct().withColumn("day_idx", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    return base.unionByName(used.where("day_idx > 4"))
+    used = slots(spark, d).select("sched", "day_idx")
+    return lessons.active_days(used, used, "sched")
 
 
 def interval_clip_layout(spark: SparkSession, d: str) -> DataFrame:
     rows = _intervals(spark, d)
-    usual = F.broadcast(_hours(rows.where("start between 480 and 900")))
+    inside = rows.where("start between 480 and 900")
+    usual = lessons.hours(inside, inside, ["sched", "day_idx"])
     lo, hi = F.col("start_hour") * 60, F.col("end_hour") * 60
     top, bottom = F.greatest("start", lo), F.least("end", hi)
     return rows.join(usual, ["sched", "day_idx"]).where((F.col("end") > lo) & (F.col("start") < hi)).select("ord", "sched", "day_idx", (top - lo).alias("top"), F.greatest(bottom - top, F.lit(36)).alias("height"))
@@ -231,3 +229,5 @@ QUERIES = {
     )
 }
 QUERIES["flagship"] = flagship
+QUERIES |= readings.QUERIES
+ORACLE = TABLE_SQL | readings.ORACLE

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jadwal.functions import text
+from jadwal.operators import cells
 from jadwal.shipping import ship
+from jadwal.storage import written
 
 TEACHER = "ok boolean, error string, periodsCount double, notes string, lessons array<struct<day string, period double, className string, subject string>>"
 UNIVERSITY = "ok boolean, error string, notes string, lectures array<struct<day string, start string, end string, course string, room string, uncertain boolean>>"
@@ -40,30 +42,76 @@ def _squeezed(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), text.SPACE[:-1] + "\\n]+", " "))
 
 
+def _read_rows(responses: DataFrame, doc: str, body: str) -> DataFrame:
+    """doc_id, day, period, name, subject (both as read and trimmed) of valid slots, the first row of a slot."""
+    rows = responses.select(F.col(doc).alias("doc_id"), F.from_json(body, TEACHER).alias("r")).where("r.ok").select("doc_id", F.posexplode("r.lessons").alias("ord", "l"))
+    valid = rows.where(F.col("l.day").isin(SCHOOL_DAYS) & (F.col("l.period") == F.floor("l.period")) & F.col("l.period").between(1, 12))
+    first = valid.groupBy("doc_id", F.col("l.day").alias("day"), F.col("l.period").cast("int").alias("period")).agg(F.min_by("l", "ord").alias("l"))
+    return first.select("doc_id", "day", "period", F.trim(F.coalesce("l.className", F.lit(""))).alias("name"), F.trim(F.coalesce("l.subject", F.lit(""))).alias("subject"))
+
+
 def lessons(responses: DataFrame, doc: str = "doc_id", body: str = "json") -> DataFrame:
     """doc_id, day, day_idx, period, class_name, subject, raw_text, confidence: the teacher reader's lessons.
 
-    School days and whole periods 1 to 12 only; the first row of a slot stays. A subject of at most two words and 16
-    characters is kept as read.
+    School days and whole periods 1 to 12 only; the first row of a slot stays. Classes and subjects get their canonical names; a class
+    that none fits stays as read, and so does a subject of at most two words and 16 characters. Distinct texts are recognised once.
     """
-    rows = responses.select(F.col(doc).alias("doc_id"), F.from_json(body, TEACHER).alias("r")).where("r.ok").select("doc_id", F.posexplode("r.lessons").alias("ord", "l"))
-    valid = rows.where(F.col("l.day").isin(SCHOOL_DAYS) & (F.col("l.period") == F.floor("l.period")) & F.col("l.period").between(1, 12))
-    first = valid.groupBy("doc_id", F.col("l.day").alias("day"), F.col("l.period").cast("int").alias("period")).agg(F.min_by("l", "ord").alias("l"))
-    name, subject = F.trim(F.coalesce("l.className", F.lit(""))), F.trim(F.coalesce("l.subject", F.lit("")))
-    short = (subject != "") & (F.size(F.split(subject, r"\s+")) <= 2) & (F.length(subject) <= 16)
-    raw = F.array_join(F.filter(F.array(name, subject), lambda x: x != ""), "\n")
+    first = _read_rows(responses, doc, body)
+    known = cells.labels(first.select(F.explode(F.array("name", "subject")).alias("label")).where("label <> ''"), "label")
+    known = written(known.select("label", F.col("name").alias("as_class"), F.col("subject").alias("as_subject")), "labels")
+    named = first.join(known.select(F.col("label").alias("name"), "as_class"), "name", "left").join(known.select(F.col("label").alias("subject"), "as_subject"), "subject", "left")
+    short = (F.col("subject") != "") & (F.size(F.split("subject", r"\s+")) <= 2) & (F.length("subject") <= 16)
+    raw = F.array_join(F.filter(F.array("name", "subject"), lambda x: x != ""), "\n")
     place = F.array_position(F.array(*[F.lit(d) for d in SCHOOL_DAYS]), F.col("day")).cast("int") - 1
-    return first.select("doc_id", "day", place.alias("day_idx"), "period", name.alias("class_name"), F.when(short, subject).alias("subject"), raw.alias("raw_text"), F.lit(0.9).alias("confidence"))
+    return named.select(
+        "doc_id", "day", place.alias("day_idx"), "period", F.coalesce("as_class", "name").alias("class_name"), F.coalesce("as_subject", F.when(short, F.col("subject"))).alias("subject"),
+        raw.alias("raw_text"), F.lit(0.9).alias("confidence"),
+    )
 
 
 def outcomes(responses: DataFrame, doc: str = "doc_id", body: str = "json") -> DataFrame:
-    """doc_id, lessons, days, periods, quality, status of every response, those without lessons included."""
-    found = lessons(responses, doc, body).groupBy("doc_id").agg(F.count("*").alias("lessons"), F.count_distinct("day").alias("days"), F.max("period").alias("top"))
-    all_ = responses.select(F.col(doc).alias("doc_id"), F.from_json(body, TEACHER)["periodsCount"].alias("told"))
+    """doc_id, lessons, days, periods, quality, status of every response that is ok and has a list; others give null status."""
+    found = _read_rows(responses, doc, body).groupBy("doc_id").agg(F.count("*").alias("lessons"), F.count_distinct("day").alias("days"), F.max("period").alias("top"))
+    r = F.from_json(body, TEACHER)
+    all_ = responses.select(F.col(doc).alias("doc_id"), r["periodsCount"].alias("told"), F.coalesce(r["ok"] & r["lessons"].isNotNull(), F.lit(False)).alias("usable"))
     joined = all_.join(found, "doc_id", "left").na.fill(0, ["lessons", "days", "top"])
     ok = (F.col("lessons") >= 3) & (F.col("days") >= 3)
     periods = F.least(F.lit(12), F.greatest("top", F.coalesce("told", F.lit(0)))).cast("int")
-    return joined.select("doc_id", "lessons", "days", periods.alias("periods"), F.when(ok, 0.95).otherwise(0.3).alias("quality"), F.when(ok, "ok").otherwise("failed").alias("status"))
+    when = lambda c: F.when(F.col("usable"), c)
+    return joined.select("doc_id", "lessons", "days", periods.alias("periods"), when(F.when(ok, 0.95).otherwise(0.3)).alias("quality"), when(F.when(ok, "ok").otherwise("failed")).alias("status"))
+
+
+def cleaned(replies: DataFrame, doc: str = "doc_id", body: str = "text", most: int = 120) -> DataFrame:
+    """doc_id, json, error: a model's reply as a stored response.
+
+    A code fence round the JSON goes, rows without a day and a whole period (or, of lectures, a start) go, and the first ``most`` rows
+    stay, in the order of the list. What is no JSON object has the error ``unparseable``.
+    """
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce(body, F.lit("")), r"^```(?:json)?\s*", ""), r"\s*```$", "")
+    lesson, lecture = TEACHER.split("lessons ")[1], UNIVERSITY.split("lectures ")[1]
+    r = F.from_json(F.col("__plain"), f"periodsCount double, notes string, lessons {lesson}, lectures {lecture}")
+    t = replies.select(F.col(doc).alias("doc_id"), plain.alias("__plain")).withColumn("r", r)
+    fine = F.col("__plain").rlike(r"^\s*\{") & F.get_json_object("__plain", "$").isNotNull()
+    good = F.slice(F.filter("r.lessons", lambda x: x["day"].isNotNull() & (x["period"] == F.floor(x["period"]))), 1, most)
+    heard = F.slice(F.filter("r.lectures", lambda x: x["day"].isNotNull() & x["start"].isNotNull()), 1, most)
+    out = F.to_json(F.struct(F.lit(True).alias("ok"), F.col("r.periodsCount").alias("periodsCount"), F.coalesce("r.notes", F.lit("")).alias("notes"), good.alias("lessons"), heard.alias("lectures")))
+    return t.select("doc_id", F.when(fine, out).alias("json"), F.when(~fine, "unparseable").alias("error"))
+
+
+def acceptable_upload(image: Column, mime: Column) -> Column:
+    """Whether a stored request has an image of 100 to 8,000,000 characters and a type that the reader takes."""
+    return F.length(image).between(100, 8_000_000) & mime.isin("image/jpeg", "image/png", "image/webp", "image/heic")
+
+
+def routed(images: DataFrame, hosted: DataFrame, local: DataFrame, configured: bool = True, enabled: bool = True) -> DataFrame:
+    """doc_id, reader, status, skipped: the hosted outcome (doc_id, status, reason) where it is ok, else the local one (doc_id, status).
+
+    ``skipped`` says why the hosted reader was not taken: disabled, too-few, or its reason; null where none is configured.
+    """
+    both = images.select("doc_id").join(hosted.select("doc_id", F.col("status").alias("h"), F.col("reason")), "doc_id", "left").join(local.select("doc_id", F.col("status").alias("l")), "doc_id", "left")
+    taken = F.lit(configured and enabled) & F.coalesce(F.col("h") == "ok", F.lit(False))
+    why = F.when(F.col("h").isNotNull(), "too-few").otherwise(F.coalesce("reason", F.lit("unavailable"))) if enabled else F.lit("disabled")
+    return both.select("doc_id", F.when(taken, "smart").otherwise("local").alias("reader"), F.when(taken, F.col("h")).otherwise(F.col("l")).alias("status"), (F.when(~taken, why) if configured else F.lit(None).cast("string")).alias("skipped"))
 
 
 def lectures(responses: DataFrame, doc: str = "doc_id", body: str = "json") -> DataFrame:
@@ -91,10 +139,17 @@ def courses(rows: DataFrame, palette: list[str]) -> DataFrame:
     return seen.select("doc_id", "key", "label", F.get(F.array(*[F.lit(c) for c in palette]), F.pmod(place, F.lit(len(palette)))).alias("color"))
 
 
+def admission(images: DataFrame, most: int = 8, limit: int = 20 << 20) -> DataFrame:
+    """``binaryFile`` rows (upload, path, length) with ``refused``: not-an-image, too-large, too-many, or null for those that are
+    admitted, which are the first ``most`` images of each upload by path."""
+    fault = F.when(~F.lower("path").rlike(r"\.(png|jpe?g|webp|gif|bmp|heic)$"), "not-an-image").when(F.col("length") > limit, "too-large")
+    n = F.row_number().over(Window.partitionBy("upload", "refused").orderBy("path"))
+    return images.withColumn("refused", fault).withColumn("n", n).withColumn("refused", F.coalesce("refused", F.when(F.col("n") > most, "too-many"))).drop("n")
+
+
 def admitted(images: DataFrame, most: int = 8, limit: int = 20 << 20) -> DataFrame:
-    """The admissible files of ``binaryFile`` rows per upload: images of at most ``limit`` bytes, the first ``most`` by path."""
-    fine = images.where(F.lower("path").rlike(r"\.(png|jpe?g|webp|gif|bmp|heic)$") & (F.col("length") <= limit))
-    return fine.withColumn("n", F.row_number().over(Window.partitionBy("upload").orderBy("path"))).where(F.col("n") <= most).drop("n")
+    """The rows of ``images`` that ``admission`` refuses nothing of."""
+    return admission(images, most, limit).where("refused is null").drop("refused")
 
 
 def saved_designs(states: DataFrame, defaults: dict[str, object], body: str = "json") -> DataFrame:

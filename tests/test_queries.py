@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -22,7 +23,7 @@ def duck():
 
 
 def plain(v):
-    if v is None or v != v:
+    if v is None or pd.isna(v):
         return None
     if isinstance(v, str):
         return v
