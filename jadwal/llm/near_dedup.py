@@ -39,7 +39,7 @@ LEAD = 10  # smallest retained values whose long lists are searched in blocks
 BLOCK = 512
 BROADCAST_ROWS = 500_000  # of at most four numbers each
 MEMBERS, BUCKET_SHINGLES, SALTS = 256, 500_000, 16
-CACHE_WORDS, CACHE_BYTES = 150_000, 16 << 20  # the words that a worker keeps
+CACHE_WORDS, CACHE_BYTES = 80_000, 12 << 20  # the words that a worker keeps
 DOCS_AT_ONCE = 512
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))

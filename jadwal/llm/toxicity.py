@@ -28,7 +28,7 @@ PREFIXES = (4, 5, 6)  # bytes
 TRAIN_PER_CLASS = {1: 1500, 0: 3000}  # the bound on the labelled sample
 LEAST_THRESHOLD_ROWS = 60
 LEAST_DOCUMENTS = 3  # of the sample that hold a feature which is to have an embedding
-CACHE_WORDS, CACHE_BYTES = 150_000, 16 << 20  # the words that a worker keeps
+CACHE_WORDS, CACHE_BYTES = 80_000, 12 << 20  # the words that a worker keeps
 DOCS_AT_ONCE = 256
 BIN = 32  # bins for each unit of the raw score
 NOT_WORD = re.compile(r"[\W_]+")
