@@ -152,20 +152,6 @@ def schedule_lessons(spark: SparkSession, d: str) -> DataFrame:
     return schedule.lessons(cells.classify(reads.drop("words")), grids).select("doc_id", "orientation", "day", "period", "class_name")
 
 
-# class score 0.95 and reading 0.9; of the axes the period label is the less sure one, 0.6 * 0.95 + 0.4 * 0.9
-@query("lesson_confidence", expected("day, period, class_name, confidence", [("sun", 1, "١/أ", round((0.55 * 0.95 + 0.45 * 0.9) * (0.85 + 0.15 * (0.6 * 0.95 + 0.4 * 0.9)), 6))]))
-def lesson_confidence(spark: SparkSession, d: str) -> DataFrame:
-    reads, grids = read_tables(spark)
-    found = schedule.lessons(cells.classify(reads.where("doc_id = 'rows'").drop("words")), grids.where("doc_id = 'rows'"))
-    return found.where("day = 'sun' and period = 1").select("day", "period", "class_name", F.round("confidence", 6).alias("confidence"))
-
-
-@query("schedule_axes", expected("doc_id, days, periods", [("rows", "sun,mon", "1,2,3"), ("columns", "sun,mon", "1,2"), ("gap", "sun,mon,tue", "1,2,3,4"), ("unnumbered", "sun,mon,tue", "1,2,3"), ("clock", "sun,mon", "1,2,3,4"), ("near", "sun,mon", "1,2")]))
-def schedule_axes(spark: SparkSession, d: str) -> DataFrame:
-    found = schedule_lessons(spark, d)
-    return schedule.labels_read(found).select("doc_id", F.concat_ws(",", "days").alias("days"), F.concat_ws(",", F.col("periods").cast("array<string>")).alias("periods"))
-
-
 SPANNED = [
     ("a", 1, 0, 4, 1, 1, "الأحد\nالثلاثاء"), ("a", 0, 0, 1, 1, 2, "الأحد\nالاثنين"), ("b", 1, 0, 2, 1, 1, "الأحد\nالاثنين"), ("b", 3, 0, 2, 1, 2, "الخميس\nالأحد"), ("c", 0, 1, 1, 3, 5, "الاثنين\nالأربعاء"), ("c", 2, 0, 2, 1, 6, "x\ny"),
 ]
