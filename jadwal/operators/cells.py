@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jadwal.functions import text
+from jadwal.functions.columns import let
 from jadwal.functions.fuzzy import similar_pairs
 from jadwal.functions.lexicon import PERIOD_WORDS, SECTIONS, lexicon
 from jadwal.shipping import ship
@@ -25,11 +26,6 @@ AR = "ء-ي"
 MATCH = "struct<key:string,score:double>"
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once."""
-    return F.transform(F.array(value), lambda v: use(v))[0]
-
-
 def first_of(items: Column, good: Callable[[Column], Column]) -> Column:
     return F.get(F.filter(items, lambda x: good(x)), F.lit(0))
 

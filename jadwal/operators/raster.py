@@ -7,10 +7,13 @@ the work spreads over all images and is bounded by an image's side; box operator
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from jadwal.storage import written
+
 PIXEL = ["img", "y", "x"]
 FILL = {"y": "x", "x": "y"}
 
@@ -201,3 +204,82 @@ def segments(profile: DataFrame, threshold: float, gap: int, least: int) -> Data
     """Stretches of the profile (img, pos, v) above the threshold, ``gap`` empty places apart and ``least`` long, with ``before``: the boundary to the previous one (null for an image's first)."""
     found = runs(profile.where(F.col("v") > threshold), ["img"], "pos", gap - 1).where(F.col("last") - F.col("first") + 1 >= least)
     return found.select("img", "first", "last", ((F.lag("last").over(Window.partitionBy("img").orderBy("first")) + F.col("first")) / 2).alias("before"))
+
+
+def text_bands(profile: DataFrame, keys: list[str], gap: int = 3) -> DataFrame:
+    """``keys``, first, after: stretches of the profile (``keys``, pos, v) with ink, ``gap`` empty places apart.
+
+    In order, a band that is much shorter than the one before it (less than 0.35), or much longer, and near (within 0.6 of the longer one), joins
+    it; the joined band then decides about the next. The fold runs over one profile's bands.
+    """
+    bands = runs(profile.where("v > 0"), keys, "pos", gap - 1).select(*keys, F.struct("first", (F.col("last") + 1).alias("after")).alias("band"))
+    listed = bands.groupBy(*keys).agg(F.array_sort(F.collect_list("band")).alias("bands"))
+
+    def joined(done: Column, b: Column) -> Column:
+        last = F.element_at(done, -1)
+        high, before = b["after"] - b["first"], last["after"] - last["first"]
+        uneven = (high < before * 0.35) | (before < high * 0.35)
+        near = b["first"] - last["after"] <= F.greatest(high, before) * 0.6
+        one = F.struct(last["first"].alias("first"), b["after"].alias("after"))
+        return F.when(uneven & near, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(one))).otherwise(F.concat(done, F.array(b)))
+
+    merged = F.aggregate(F.slice("bands", 2, F.size("bands")), F.slice("bands", 1, 1), joined)
+    return listed.select(*keys, F.explode(merged).alias("b")).select(*keys, "b.first", "b.after")
+
+
+def otsu_levels(grid: DataFrame) -> DataFrame:
+    """img, level: each image's level that separates its two classes best, the first of equals; 127 where nothing separates."""
+    counts = grid.groupBy("img", "v").agg(F.count("*").alias("n"))
+    upto, every = Window.partitionBy("img").orderBy("v").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("img")
+    mass = F.col("n") * F.col("v")
+    t = counts.select("img", "v", F.sum("n").over(upto).alias("wb"), F.sum(mass).over(upto).alias("sb"), F.sum("n").over(every).alias("total"), F.sum(mass).over(every).alias("whole"))
+    wf = F.col("total") - F.col("wb")
+    apart = F.col("sb") / F.col("wb") - (F.col("whole") - F.col("sb")) / wf
+    between = F.when(wf > 0, F.round(F.col("wb").cast("double") * wf * apart * apart, 2))
+    best = F.max_by(F.when(F.col("between") > 0, F.col("v")), F.struct(F.coalesce("between", F.lit(-1.0)), -F.col("v")))
+    return t.withColumn("between", between).groupBy("img").agg(F.coalesce(best, F.lit(127)).alias("level"))
+
+
+def binarize(grid: DataFrame, constant: float = 10, window: int | None = None, radius: int | None = None, edge: int = 2) -> DataFrame:
+    """Ink of gray images: darker than the surroundings, but lighter than them inside large dark areas, whose outline is ink.
+
+    Areas are dark below the image's own threshold (150 at most) and thicker than twice ``radius``. Window and radius follow from an image's
+    longer side unless they are given; images of the same size are done together.
+    """
+    size = sides(grid).withColumn("dim", F.greatest("h", "w"))
+    wide = F.greatest(F.lit(15), F.floor(F.col("dim") / 40 + 0.5)) if window is None else F.lit(window)
+    thick = F.greatest(F.lit(4), F.floor(F.col("dim") * 0.004 + 0.5)) if radius is None else F.lit(radius)
+    size = size.select("img", (wide + (wide % 2 == 0).cast("int")).cast("int").alias("__window"), thick.cast("int").alias("__radius"))
+    level = F.least("level", F.lit(150))
+    known = grid.join(size, "img").join(otsu_levels(grid).select("img", level.alias("__level")), "img")
+    done = []
+    for r in size.select("__window", "__radius").distinct().collect():  # one row for each size class, not for each image
+        own = known.where((F.col("__window") == r["__window"]) & (F.col("__radius") == r["__radius"]))
+        plain = own.select(*PIXEL, "v")
+        dark, light = adaptive_mask(plain, r["__window"], constant), adaptive_mask(plain.withColumn("v", 255 - F.col("v")), r["__window"], constant)
+        solid = opened(own.select(*PIXEL, (F.col("v") < F.col("__level")).cast("int").alias("v")), r["__radius"])
+        name = lambda m, n: m.withColumnRenamed("v", n)
+        all_ = name(dark, "dark").join(name(light, "light"), PIXEL).join(name(dilate(solid, edge, edge), "outer"), PIXEL).join(name(erode(solid, edge, edge), "inner"), PIXEL)
+        done.append(all_.select(*PIXEL, F.when(F.col("inner") == 1, F.col("light")).when(F.col("outer") == 1, 1).otherwise(F.col("dark")).alias("v")))
+    return reduce(DataFrame.unionByName, done) if done else grid.select(*PIXEL, "v")
+
+
+def best_turn(grid: DataFrame, read: Callable[[DataFrame], DataFrame], angles: tuple[int, ...] = (180, 90, 270)) -> DataFrame:
+    """img, angle and what ``read`` finds: the accepted reading of every image.
+
+    ``read`` gives a row an image with days, periods, score and good. An image whose upright reading is good is settled; the others are turned by one angle after
+    the other. A later reading replaces the held one if it found two days and a period and scores higher, and an image whose held reading is good drops out:
+    each turn is made only for images that are still open.
+    """
+    held = written(read(grid).withColumn("angle", F.lit(0)), "readings")
+    settled = held.where("good")
+    open_ = held.where("not good")
+    for angle in angles:
+        if open_.isEmpty():
+            break
+        tried = read(rotate(grid.join(open_.select("img"), "img", "left_semi"), angle)).withColumn("angle", F.lit(angle))
+        better = (F.col("t.days") >= 2) & (F.col("t.periods") >= 1) & (F.col("t.score") > F.col("h.score"))
+        fields = [F.when(F.coalesce(better, F.lit(False)), F.col(f"t.{c}")).otherwise(F.col(f"h.{c}")).alias(c) for c in held.columns if c != "img"]
+        now = written(open_.alias("h").join(tried.alias("t"), F.col("h.img") == F.col("t.img"), "left").select(F.col("h.img").alias("img"), *fields), "readings")
+        settled, open_ = settled.unionByName(now.where("good")), now.where("not good")
+    return settled.unionByName(open_)

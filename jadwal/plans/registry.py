@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from jadwal.functions import fuzzy, text
 from jadwal.operators import axes, grid, lessons, numeric
-from jadwal.plans import readings
+from jadwal.plans import images, readings
 from jadwal.plans.oracle import ORACLE as TABLE_SQL
 from jadwal.plans.oracle import TYPOS
 from jadwal.plans.slots import slots, table
@@ -229,5 +229,5 @@ QUERIES = {
     )
 }
 QUERIES["flagship"] = flagship
-QUERIES |= readings.QUERIES
-ORACLE = TABLE_SQL | readings.ORACLE
+QUERIES |= images.QUERIES | readings.QUERIES
+ORACLE = TABLE_SQL | images.ORACLE | readings.ORACLE
