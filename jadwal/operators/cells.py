@@ -17,6 +17,7 @@ from jadwal.functions.columns import let
 from jadwal.functions.fuzzy import similar_pairs
 from jadwal.functions.lexicon import PERIOD_WORDS, SECTIONS, lexicon
 from jadwal.shipping import ship
+from jadwal.storage import written
 
 LEAST = 0.5
 TIME = r"(?<![A-Za-z0-9_])[0-9]{1,2}[ ]*[:.][ ]*[0-9]{2}(?![A-Za-z0-9_])"
@@ -86,18 +87,21 @@ def phrases(tokens: Column) -> Column:
 
 
 def matched(rows: DataFrame, key: str, words: dict[str, Column]) -> DataFrame:
-    """``rows`` (distinct by ``key``) with ``matches``: the best lexicon entry of every word asked for, by category."""
+    """``rows`` (distinct by ``key``) with ``matches``: the best lexicon entry of every word asked for, by category.
+
+    All categories' words are gathered in one pass, and compared with the lexicon once however many texts have them. Texts, words and matches are written
+    on the way: what follows reads plain columns, and its plan does not repeat how they came about.
+    """
     ship(rows.sparkSession)
-    asked = None
-    for category, column in words.items():
-        own = rows.select(key, F.lit(category).alias("category"), F.explode(column).alias("word")).where("length(word) > 1")
-        asked = own if asked is None else asked.unionByName(own)
-    asked = asked.distinct()
+    tagged = lambda category, column: F.transform(column, lambda w: F.struct(F.lit(category).alias("category"), w.alias("word")))
+    named = [tagged(*item) for item in words.items()]
+    asked = rows.select(key, F.explode(F.array_distinct(F.concat(*named))).alias("a")).select(key, "a.*").where("length(word) > 1")
+    asked = written(asked, "words")
     pairs = asked.select("category", "word").distinct().join(F.broadcast(lexicon(rows.sparkSession)), "category")
     scored = similar_pairs(pairs, "word", "variant", LEAST)
     best = scored.groupBy("category", "word").agg(F.max_by(F.struct("key", "score"), F.struct("score", -F.col("ord"))).alias("m"))
     entries = asked.join(best, ["category", "word"]).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "category", "word"), "m"))).alias("__m"))
-    return rows.join(entries, key, "left").withColumn("matches", F.coalesce("__m", F.create_map().cast(f"map<string,{MATCH}>"))).drop("__m")
+    return written(rows.join(entries, key, "left").withColumn("matches", F.coalesce("__m", F.create_map().cast(f"map<string,{MATCH}>"))).drop("__m"), "matches")
 
 
 # --- rules
@@ -281,7 +285,7 @@ def labels(texts: DataFrame, body: str) -> DataFrame:
     """For each distinct text what it is as a label: ``body``, name (of a class or standby, bare grades allowed), class_name and
     class_score (bare grades not allowed), period, period_score, day, day_score, subject, subject_score, timed, letters, numbered."""
     ship(texts.sparkSession)
-    t = texts.select(F.col(body).alias("raw")).where(F.col(body).isNotNull()).distinct().withColumn("norm", text.normalize_arabic(F.col("raw")))
+    t = written(texts.select(F.col(body).alias("raw")).where(F.col(body).isNotNull()).distinct().withColumn("norm", text.normalize_arabic(F.col("raw"))), "texts")
     norm, toks = F.col("norm"), text.tokens(flat(F.col("norm")))
     words = F.transform(toks, lambda x: text.letters_only(x))
     found = matched(t, "raw", {
@@ -304,11 +308,10 @@ def classify(cells: DataFrame, body: str = "text", ocr: str = "ocr_confidence")
     once. OCR confidence is 0 to 100.
     """
     ship(cells.sparkSession)
-    texts = cells.select(F.col(body).alias("raw")).distinct().withColumn("norm", text.normalize_arabic(F.col("raw"))).withColumn("cleaned", text.strip_noise(F.col("norm")))
-    by_line = texts.select(F.posexplode(F.split(F.coalesce("raw", F.lit("")), "\n")).alias("i", "line"), "raw").withColumn("n", text.strip_noise(text.normalize_arabic(F.col("line"))))
-    line_norms = by_line.groupBy("raw").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "n"))), lambda x: x["n"]).alias("line_norms"))
-    texts = texts.join(line_norms, texts["raw"].eqNullSafe(line_norms["raw"]), "left").drop(line_norms["raw"])
-    texts = texts.withColumn("id", F.sha2(F.coalesce("raw", F.lit("\x00")), 256))
+    texts = cells.select(F.col(body).alias("raw")).distinct().withColumn("plain", text.nfkc(F.col("raw")))
+    by_line = F.transform(F.split(F.coalesce("plain", F.lit("")), "\n"), lambda x: text.strip_noise(text.fold(x)))
+    texts = texts.select("raw", F.sha2(F.coalesce("raw", F.lit("\x00")), 256).alias("id"), text.fold(F.col("plain")).alias("norm"), by_line.alias("line_norms"))
+    texts = written(texts.withColumn("cleaned", text.strip_noise(F.col("norm"))), "texts")
     norm, cleaned = F.col("norm"), F.col("cleaned")
     toks = text.tokens(flat(cleaned))
     first = matched(texts, "id", {
@@ -318,11 +321,11 @@ def classify(cells: DataFrame, body: str = "text", ocr: str = "ocr_confidence")
     })
     m = F.col("matches")
     first = first.select("id", "raw", "norm", "cleaned", "line_norms", match_day(norm, m).alias("d"), match_period(norm, m).alias("p"), parse_class(cleaned, m).alias("c"), worded_class(flat(cleaned), m, True).alias("bare"), standby(cleaned, m).alias("standby"), look(m, "header", text.letters_only(flat(norm)), 0.8).isNotNull().alias("header"))
-    first = first.withColumn("rest", F.coalesce("c.rest", "cleaned"))
+    first = written(first.withColumn("rest", F.coalesce("c.rest", "cleaned")), "read-texts")
     second = matched(first, "id", {"subject": F.transform(phrases(text.tokens(flat(F.col("rest")))), lambda p: p["phrase"])})
     t = second.withColumn("s", match_subject(F.col("rest"), F.col("matches"))).drop("matches")
     lone = F.col("c").isNull() & F.col("s").isNotNull() & F.contains("cleaned", F.lit("\n"))
-    t = t.withColumn("c", F.coalesce("c", F.when(lone, F.col("bare"))))
+    t = written(t.withColumn("c", F.coalesce("c", F.when(lone, F.col("bare")))), "cell-texts")
     joined = cells.withColumn("id", F.sha2(F.coalesce(body, F.lit("\x00")), 256)).join(t.drop("raw"), "id")
 
     sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(ocr) / 100))

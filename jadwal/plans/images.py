@@ -86,9 +86,9 @@ def ruled_cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _separators(line: str, places: tuple[int, ...], along: str, marks: tuple[int, ...]) -> str:
-    return f"""SELECT img, l AS line, p AS part FROM (SELECT img, l, p, sum(v) / ({marks}[p + 2] - {marks}[p + 1]) AS coverage
+    return f"""SELECT img, l AS line, p AS part FROM (SELECT img, l, p, sum(v) / any_value({marks}[p + 2] - {marks}[p + 1]) AS coverage
   FROM ink, LATERAL (SELECT unnest(range(1, {len(places) - 1})) AS l), LATERAL (SELECT unnest(range({len(marks) - 1})) AS p)
-  WHERE {line} = {places}[l + 1] AND {along} >= {marks}[p + 1] AND {along} < {marks}[p + 2] GROUP BY ALL) WHERE coverage < 0.3"""
+  WHERE {line} = {places}[l + 1] AND {along} >= {marks}[p + 1] AND {along} < {marks}[p + 2] GROUP BY img, l, p) WHERE coverage < 0.3"""
 
 
 _R, _C = list(ROWS), list(COLUMNS)
@@ -296,7 +296,7 @@ SEARCHED_SQL = _sql(
     _COLUMNS_SQL,
     "cuts AS (SELECT img, x0, x1, i, greatest(5, floor(0.12 * w + 0.5)) AS apart FROM near WHERE w >= 12 AND i BETWEEN floor(0.12 * w) AND ceil(0.88 * w) AND (i - floor(0.12 * w)) % 2 = 0 AND n <= 0.85 * mean)",
     "ways AS (SELECT img, 2 AS n, i, -1 AS j, [[x0, x0 + i - 1], [x0 + i + 1, x1]] AS spans FROM cuts UNION ALL SELECT c.img, 3, c.i, e.i, [[c.x0, c.x0 + c.i - 1], [c.x0 + c.i + 1, c.x0 + e.i - 1], [c.x0 + e.i + 1, c.x1]] FROM cuts c JOIN cuts e ON c.img = e.img AND e.i - c.i >= c.apart)",
-    "parts AS (SELECT img, n, i, j, at, spans[at][1] AS a, spans[at][2] AS b FROM ways, LATERAL (SELECT unnest(range(1, n + 1)) AS at))",
+    "parts AS (SELECT img, n, i, j, nth, spans[nth][1] AS a, spans[nth][2] AS b FROM ways, LATERAL (SELECT unnest(range(1, n + 1)) AS nth))",
     "asked AS (SELECT DISTINCT img, a, b FROM parts)",
     "piece AS (" + _TIGHT_SQL.format(keys="img, a, b", spans="asked") + ")",
     _drawn_sql("piece", "img, a, b", SIDE),
@@ -305,7 +305,7 @@ SEARCHED_SQL = _sql(
     "dots AS (SELECT img, a, b, label, aspect, nt, sum(v * t[i + 1]) AS dot, sum(v * v) AS nv FROM drawn, norms GROUP BY ALL)",
     f"rated AS (SELECT d.*, round(2 * dot / (nv + nt + 1e-6) * (0.55 + 0.45 * least(r, aspect) / greatest(r, aspect)) * CASE WHEN (py1 - py0 + 1) / {HEIGHT} >= 0.4 THEN 1.0 ELSE 0.75 END, 9) AS score FROM dots d JOIN (SELECT *, (px1 - px0 + 1) / (py1 - py0 + 1) AS r FROM piece) USING (img, a, b))",
     "named AS (SELECT img, a, b, label, score FROM rated QUALIFY row_number() OVER (PARTITION BY img, a, b ORDER BY score DESC, label) = 1)",
-    "scored AS (SELECT img, n, i, j, string_agg(label::VARCHAR, '' ORDER BY at DESC) AS symbols, round(0.7 * avg(score) + 0.3 * min(score), 9) AS score FROM parts JOIN named USING (img, a, b) GROUP BY img, n, i, j HAVING count(*) = n)",
+    "scored AS (SELECT img, n, i, j, string_agg(label::VARCHAR, '' ORDER BY nth DESC) AS symbols, round(0.7 * avg(score) + 0.3 * min(score), 9) AS score FROM parts JOIN named USING (img, a, b) GROUP BY img, n, i, j HAVING count(*) = n)",
     "SELECT img, n, i, j, symbols, round(score, 6) AS score FROM scored QUALIFY row_number() OVER (PARTITION BY img, n ORDER BY scored.score DESC, i, j) = 1",
     times=2,
 )
