@@ -1,447 +1,481 @@
-"""Queries over small literal tables of cell readings, stored replies and edits, which the driver's tables do not have.
-
-The SQL of most of them states the expected rows, written by hand from the timetable rules; the others compute them in SQL.
-"""
+"""Queries that read the events and orders as cell texts, stored replies, designs and edits, each with its SQL."""
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jadwal.functions import text
 from jadwal.operators import cells, choices, lectures, lessons, raster, schedule, splits
+from jadwal.plans.images import HEIGHT, INK_SQL, PIXELS_SQL, WIDTH, ink, pixels
+from jadwal.plans.slots import SLOTS_SQL, slots, table
 from jadwal.sources import responses
 
-CELL = "doc_id string, row int, col int, row_span int, col_span int, ord long, text string, ocr_confidence double, words array<struct<text string, x0 double, x1 double, confidence double>>"
-GRID = "doc_id string, rows int, cols int, method string, row_lines array<double>, col_lines array<double>"
-
-
-def _sql(value: object) -> str:
-    if value is None:
-        return "NULL"
-    if isinstance(value, bool):
-        return str(value).lower()
-    if isinstance(value, float):
-        return f"{value!r}::DOUBLE"
-    if isinstance(value, int):
-        return str(value)
-    return "'" + str(value).replace("'", "''") + "'"
-
-
-def expected(columns: str, rows: list[tuple]) -> str:
-    """SQL that gives these rows."""
-    body = ", ".join("(" + ", ".join(_sql(v) for v in r) + ")" for r in rows)
-    return f"SELECT * FROM (VALUES {body}) AS t({columns})"
+REPLY_ROWS = 40  # events of one stored reply
 
+# Day keys, Arabic and English names, one-letter names.
+DAYS = ["sun", "mon", "tue", "wed", "thu", "fri", "sat"]
+ARABIC = ["الأحد", "الاثنين", "الثلاثاء", "الأربعاء", "الخميس", "الجمعة", "السبت"]
+ENGLISH = ["Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday"]
+LETTERS = "UMTWRFS"
+SPELLED = [("رياضيات", "رياضيات"), ("العلوم", "علوم"), ("لغه انجليزيه", "لغة إنجليزية"), ("الفقه", "فقه")]
+COLORS = ["#8fd3ad", "#93b4f2", "#f6c65a"]
 
 QUERIES, ORACLE = {}, {}
 
 
-def query(name: str, sql: str):
+def query(*parts: str):
+    """Registers a query under its function's name, with the SQL of the last part after the parts before it."""
+
     def keep(f):
-        QUERIES[name], ORACLE[name] = f, sql
+        QUERIES[f.__name__] = f
+        ORACLE[f.__name__] = "WITH RECURSIVE " + ", ".join([SLOTS_SQL, *parts[:-1]]) + " " + parts[-1]
         return f
 
     return keep
 
 
-# --- texts
+def pick(items: list, at: Column) -> Column:
+    return F.get(F.array(*[F.lit(x) for x in items]), at.cast("int"))
 
-NORMAL = [("٢/أ", "2/ا", "ا"), ("الأَحَد", "الاحد", "الاحد"), ("ثانيةٌ", "ثانيه", "ثانيه"), ("a – b", "a - b", "ab"), ("۳\\ب", "3/ب", "ب"), (" x  y \n\n z ", "x y\nz", "xyz"), ("«نص»؟", "نص", "نص"), ("", "", "")]
 
+def sql_list(items: list) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]"
+
+
+def arabic(name: Column) -> Column:
+    """A class as a timetable shows it."""
+    return F.translate(name, "123abcd", "١٢٣أبجد")
 
-@query("text_normal", expected("given, norm, letters", NORMAL))
-def text_normal(spark: SparkSession, d: str) -> DataFrame:
-    t = spark.createDataFrame([(g,) for g, _, _ in NORMAL], "given string").withColumn("norm", text.normalize_arabic(F.col("given")))
-    return t.withColumn("letters", text.letters_only(F.col("norm")))
 
+ARABIC_SQL = "translate({}, '123abcd', '١٢٣أبجد')"
+CLASS = ARABIC_SQL.format("class_name")
+DIGITS_SQL = "translate(({})::VARCHAR, '0123456789', '٠١٢٣٤٥٦٧٨٩')"
 
-KEYS = [("٢ / أ", "2/ا", "2/ا", "2-ا"), ("قصد 414 - 3", "قصد 414/3", "قصد 414/3", "قصد 414-3"), ("101  تقن", "101 تقن", "101 تقن", "101 تقن"), ("A–B", "A/B", "A/B", "a-b"), ("1//2", "1/2", "1/2", "1--2")]
+
+# --- texts
+
+
+@query("""SELECT ord, (ord % 1000) || '/' || ['ا', 'ا', 'ا', 'ه', 'ي'][ord % 5 + 1] || ' - x' AS norm, ['ا', 'ا', 'ا', 'ه', 'ي'][ord % 5 + 1] || 'x' AS letters FROM slots""")
+def text_normal(spark: SparkSession, d: str) -> DataFrame:
+    given = F.concat(F.lit(" "), text.to_arabic_digits(F.col("ord") % 1000), F.lit("\\"), pick(["أَ", "إ", "آ", "ة", "ى"], F.col("ord") % 5), F.lit("  – x\n\n"))
+    t = slots(spark, d).select("ord", given.alias("given")).withColumn("norm", text.normalize_arabic(F.col("given")))
+    return t.select("ord", "norm", text.letters_only(F.col("norm")).alias("letters"))
 
 
-@query("name_keys", expected("given, class_key, design_key, course_key", KEYS))
+@query("SELECT ord, class_name AS class_key, class_name AS design_key, replace(class_name, '/', '-') AS course_key FROM slots WHERE ord % 4 <> 2 UNION ALL SELECT ord, class_name, class_name, replace(class_name, '/', '-') FROM slots WHERE ord % 4 = 2")
 def name_keys(spark: SparkSession, d: str) -> DataFrame:
-    t = spark.createDataFrame([(r[0],) for r in KEYS], "given string").withColumn("n", text.normalize_arabic(F.col("given")))
-    return t.select("given", text.class_key(F.col("n")).alias("class_key"), text.design_key(F.col("n")).alias("design_key"), text.course_key(F.col("n")).alias("course_key"))
+    n = text.normalize_arabic(F.col("class_raw"))
+    return slots(spark, d).select("ord", text.class_key(n).alias("class_key"), text.design_key(n).alias("design_key"), text.course_key(n).alias("course_key"))
 
 
 @query(
-    "time_formats",
-    """WITH m AS (SELECT unnest(range(0, 1440, 7))::INT AS minutes), h AS (SELECT minutes, minutes // 60 AS hour, lpad((minutes % 60)::VARCHAR, 2, '0') AS mm FROM m)
-SELECT minutes, ((hour + 11) % 12 + 1) || ':' || mm AS shown, lpad(hour::VARCHAR, 2, '0') || ':' || mm AS input, minutes AS parsed,
-       translate(((hour + 11) % 12 + 1)::VARCHAR, '0123456789', '٠١٢٣٤٥٦٧٨٩') AS arabic_hour FROM h""",
+    "h AS (SELECT ord, minute, minute // 60 AS hour, lpad((minute % 60)::VARCHAR, 2, '0') AS mm FROM slots)",
+    "SELECT ord, ((hour + 11) % 12 + 1) || ':' || mm AS shown, lpad(hour::VARCHAR, 2, '0') || ':' || mm AS input, minute AS parsed, " + DIGITS_SQL.format("(hour + 11) % 12 + 1") + " AS arabic_hour FROM h",
 )
 def time_formats(spark: SparkSession, d: str) -> DataFrame:
-    m = spark.range(0, 1440, 7).select(F.col("id").cast("int").alias("minutes"))
-    t = m.select("minutes", text.format_time(F.col("minutes")).alias("shown"), text.input_time(F.col("minutes")).alias("input"), text.format_hour(F.floor(F.col("minutes") / 60)).alias("arabic_hour"))
+    m = F.col("minute")
+    t = slots(spark, d).select("ord", text.format_time(m).alias("shown"), text.input_time(m).alias("input"), text.format_hour(F.floor(m / 60)).alias("arabic_hour"))
     return t.withColumn("parsed", text.parse_time(F.col("input")))
 
 
-INKS = ["#8fd3ad", "#203c32", "#ffffff", "#000000", "#f29bbd", "#777777", "#b0b0b0", "#a9a9ad", "#ff0000", "#00ff00", "#0000ff"]
-
-
 @query(
-    "contrast_inks",
-    "WITH c AS (SELECT unnest(" + str(INKS) + """) AS color), v AS (SELECT color, list_transform([2, 4, 6], lambda i: ('0x' || substr(color, i, 2))::INT / 255) AS x FROM c),
-l AS (SELECT color, list_transform(x, lambda a: CASE WHEN a <= 0.04045 THEN a / 12.92 ELSE pow((a + 0.055) / 1.055, 2.4) END) AS y FROM v)
-SELECT color, CASE WHEN 0.2126 * y[1] + 0.7152 * y[2] + 0.0722 * y[3] > 0.42 THEN '#203c32' ELSE '#ffffff' END AS ink FROM l""",
-)
+    "c AS (SELECT o_orderkey, printf('%06x', o_orderkey * 7919 % 16777216) AS hex FROM orders)", "v AS (SELECT *, list_transform([1, 3, 5], lambda i: ('0x' || substr(hex, i, 2))::INT / 255) AS x FROM c)",
+    "l AS (SELECT *, list_transform(x, lambda a: CASE WHEN a <= 0.04045 THEN a / 12.92 ELSE pow((a + 0.055) / 1.055, 2.4) END) AS y FROM v)",
+    "SELECT o_orderkey, CASE WHEN 0.2126 * y[1] + 0.7152 * y[2] + 0.0722 * y[3] > 0.42 THEN '#203c32' ELSE '#ffffff' END AS ink FROM l",
+)
 def contrast_inks(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(c,) for c in INKS], "color string").withColumn("ink", text.contrast_ink(F.col("color")))
+    color = F.concat(F.lit("#"), F.lower(F.lpad(F.hex(F.col("o_orderkey") * 7919 % 16777216), 6, "0")))
+    return table(spark, d, "orders").select("o_orderkey", text.contrast_ink(color).alias("ink"))
 
 
 # --- cells
 
-KINDS = [
-    ("الأحد", "day", "sun"), ("يوم الاثنين", "day", "mon"), ("التلاتاء", "day", "tue"), ("الاربعاء", "day", "wed"), ("الخميس", "day", "thu"), ("السابعة", "period", "7"), ("الأولى", "period", "1"),
-    ("الأيام", "other", None), ("٣", "period", "3"), ("الحصة الرابعة", "period", "4"), ("الحصة ٧", "period", "7"), ("الثامنة 12:00", "period", "8"), ("الثانية", "period", "2"),
-    ("٢/أ", "lesson", "٢/أ"), ("أ/٢", "lesson", "٢/أ"), ("3/ب", "lesson", "٣/ب"), ("١/ا", "lesson", "١/أ"), ("٢-ب", "lesson", "٢/ب"), ("3/1", "lesson", "٣/١"), ("ثاني متوسط أ", "lesson", "ثاني متوسط أ"),
-    ("رياضيات ثاني متوسطب", "lesson", "ثاني متوسط ب"), ("الصف الثالث ب", "lesson", "ثالث ب"), ("ثالث ثانوي/أ", "lesson", "ثالث ثانوي أ"), ("اني متوسطأ", "lesson", "ثاني متوسط أ"),
-    ("منتظر ١", "lesson", "منتظر ١"), ("انتظار", "lesson", "انتظار"), ("", "empty", None), ("–", "empty", None), ("10:00", "other", None),
-]
+CELL = "doc_id long, row int, col int, row_span int, col_span int, ord long, text string, ocr_confidence double, words array<struct<text string, x0 double, x1 double, confidence double>>"
 
 
-@query("cell_kinds", expected("text, kind, value", KINDS))
-def cell_kinds(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(t, 90.0) for t, _, _ in KINDS], "text string, ocr_confidence double")
-    return cells.classify(rows).select("text", "kind", F.coalesce("day", F.col("period").cast("string"), "class_name").alias("value"))
+def _cell_texts(spark: SparkSession, d: str) -> DataFrame:
+    """sched, text: readings of nine kinds."""
+    k, shown = F.col("ord") % 9, arabic(F.col("class_name"))
+    kinds = [
+        shown, F.translate(shown, "١٢٣", "123"), pick(ARABIC, F.col("day_idx")), F.concat(F.lit("الحصة "), text.to_arabic_digits(F.col("period"))), text.input_time(F.col("minute")), F.lit(""),
+        F.concat(F.lit("رياضيات "), shown), F.concat(F.lit("منتظر "), F.col("period").cast("string")), F.lit("–"),
+    ]
+    return slots(spark, d).select("sched", F.coalesce(*[F.when(k == i, t) for i, t in enumerate(kinds)]).alias("text"), F.lit(90.0).alias("ocr_confidence"))
 
 
-SUBJECTS = [("رياضيات ٢/أ", "رياضيات", None), ("لغه انجليزيه", "لغة إنجليزية", None), ("٢/أ\nفيزياء", "فيزياء", None), ("٢/أ رياضيات غرفة 12", "رياضيات", "غرفه 12"), ("٣/ب\nطرخون  بقدونس 08:00", "طرخون  بقدونس", None)]
+@query(
+    f"told AS (SELECT sched, ['lesson', 'lesson', 'day', 'period', 'other', 'empty', 'lesson', 'lesson', 'empty'][ord % 9 + 1] AS kind, CASE ord % 9 WHEN 2 THEN {sql_list(DAYS)}[day_idx + 1] WHEN 3 THEN period::VARCHAR WHEN 7 THEN 'منتظر ' || {DIGITS_SQL.format('period')} WHEN 0 THEN {CLASS} WHEN 1 THEN {CLASS} WHEN 6 THEN {CLASS} END AS value FROM slots)",
+    "SELECT sched, kind, value, count(*) AS n FROM told GROUP BY ALL",
+)
+def cell_kinds(spark: SparkSession, d: str) -> DataFrame:
+    read = cells.classify(_cell_texts(spark, d))
+    return read.groupBy("sched", "kind", F.coalesce("day", F.col("period").cast("string"), "class_name").alias("value")).agg(F.count("*").alias("n"))
 
 
-@query("cell_subjects", expected("text, subject, room", SUBJECTS))
+@query(
+    f"SELECT {sql_list([s for _, s in SPELLED])}[ord % 4 + 1] AS subject, CASE WHEN ord % 3 = 0 THEN 'معمل ' || period END AS room, {CLASS} AS class_name, count(*) AS n FROM slots GROUP BY ALL",
+)
 def cell_subjects(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(t, 90.0) for t, _, _ in SUBJECTS], "text string, ocr_confidence double")
-    return cells.classify(rows).select("text", "subject", "room")
-
-
-TABLES = {
-    "rows": [["٣", "٢", "١", "اليوم"], ["", "٢/ب", "١/أ", "الأحد"], ["٣/أ", "", "٢/أ", "الاثنين"]],
-    "columns": [["الاثنين", "الأحد", "الحصة"], ["٢/أ", "١/أ", "الأولى"], ["", "٢/ب", "الثانية"]],
-    "gap": [["٤", "", "٢", "١", "اليوم"], ["١/أ", "٢/أ", "٣/أ", "١/ب", "الأحد"], ["", "١/أ", "", "٢/ب", "الاثنين"], ["٢/ب", "", "١/ب", "", "الثلاثاء"]],
-    "unnumbered": [["", "٢/ب", "١/أ", "الأحد"], ["٣/أ", "", "٢/أ", "الاثنين"], ["١/ب", "٢/أ", "", "الثلاثاء"]],
-    "clock": [["09:15", "08:30", "الثانية 07:45", "07:00", "اليوم"], ["٤/أ", "", "٢/أ", "١/أ", "الأحد"], ["", "٣/ب", "", "١/ب", "الاثنين"]],
-    "near": [["٢", "١", "اليوم"], ["", "١/أ", "الأحد"], ["٢/ب", "", ""], ["", "٣/أ", "الاثنين"]],
-    "nothing": [["x", "y"], ["", "z"]],
-}
-LESSONS = [
-    ("rows", "days-in-rows", "sun", 1, "١/أ"), ("rows", "days-in-rows", "sun", 2, "٢/ب"), ("rows", "days-in-rows", "mon", 1, "٢/أ"), ("rows", "days-in-rows", "mon", 3, "٣/أ"),
-    ("columns", "days-in-columns", "sun", 1, "١/أ"), ("columns", "days-in-columns", "sun", 2, "٢/ب"), ("columns", "days-in-columns", "mon", 1, "٢/أ"),
-    *[("gap", "days-in-rows", "sun", p, c) for p, c in ((1, "١/ب"), (2, "٣/أ"), (3, "٢/أ"), (4, "١/أ"))], ("gap", "days-in-rows", "mon", 1, "٢/ب"), ("gap", "days-in-rows", "mon", 3, "١/أ"),
-    ("gap", "days-in-rows", "tue", 2, "١/ب"), ("gap", "days-in-rows", "tue", 4, "٢/ب"),
-    ("unnumbered", "days-in-rows", "sun", 1, "١/أ"), ("unnumbered", "days-in-rows", "sun", 2, "٢/ب"), ("unnumbered", "days-in-rows", "mon", 1, "٢/أ"), ("unnumbered", "days-in-rows", "mon", 3, "٣/أ"),
-    ("unnumbered", "days-in-rows", "tue", 2, "٢/أ"), ("unnumbered", "days-in-rows", "tue", 3, "١/ب"),
-    ("clock", "days-in-rows", "sun", 1, "١/أ"), ("clock", "days-in-rows", "sun", 2, "٢/أ"), ("clock", "days-in-rows", "sun", 4, "٤/أ"), ("clock", "days-in-rows", "mon", 1, "١/ب"), ("clock", "days-in-rows", "mon", 3, "٣/ب"),
-    ("near", "days-in-rows", "sun", 1, "١/أ"), ("near", "days-in-rows", "sun", 2, "٢/ب"), ("near", "days-in-rows", "mon", 1, "٣/أ"),
-]
-
-
-def read_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    reads = [(name, r, c, 1, 1, r * 100 + c, t, 90.0, None) for name, rows in TABLES.items() for r, row in enumerate(rows) for c, t in enumerate(row)]
-    near = [0.0, 50.0, 100.0, 110.0, 210.0]
-    grids = [(n, len(t), len(t[0]), "projection" if n == "near" else "lines", near if n == "near" else None, None) for n, t in TABLES.items()]
-    return spark.createDataFrame(reads, CELL), spark.createDataFrame(grids, GRID)
-
-
-@query("schedule_lessons", expected("doc_id, orientation, day, period, class_name", LESSONS))
-def schedule_lessons(spark: SparkSession, d: str) -> DataFrame:
-    reads, grids = read_tables(spark)
-    return schedule.lessons(cells.classify(reads.drop("words")), grids).select("doc_id", "orientation", "day", "period", "class_name")
+    subject, shown = pick([s for s, _ in SPELLED], F.col("ord") % 4), arabic(F.col("class_name"))
+    room = F.when(F.col("ord") % 3 == 0, F.concat(F.lit(" معمل "), F.col("period").cast("string"))).otherwise("")
+    body = F.when(F.col("ord") % 2 == 0, F.concat(subject, F.lit(" "), shown, room)).otherwise(F.concat(shown, F.lit("\n"), subject, room))
+    read = cells.classify(slots(spark, d).select(body.alias("text"), F.lit(90.0).alias("ocr_confidence")))
+    return read.groupBy("subject", "room", "class_name").agg(F.count("*").alias("n"))
+
+
+def _week_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Each schedule as a table: a row a school day, periods 7 to 1 in columns, the days in the last column."""
+    first = lessons.first_wins(lessons.valid_slots(slots(spark, d)).where("period <= 7"), ["sched", "day_idx", "period"], "class_name")
+    cell = lambda row, col, body: F.struct(row.cast("int").alias("row"), col.cast("int").alias("col"), body.alias("text"))
+    head = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda c: cell(F.lit(0), c, F.when(c == 7, "اليوم").otherwise(text.to_arabic_digits(7 - c))))
+    days = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda r: cell(r, F.lit(7), pick(ARABIC, r - 1)))
+    docs = first.select(F.col("sched").alias("doc_id")).distinct()
+    frame = docs.select("doc_id", F.explode(F.concat(head, days)).alias("c")).select("doc_id", "c.*")
+    body = first.select(F.col("sched").alias("doc_id"), (F.col("day_idx") + 1).alias("row"), (7 - F.col("period")).alias("col"), arabic(F.col("class_name")).alias("text"))
+    every = frame.unionByName(body).select("doc_id", "row", "col", F.lit(1).alias("row_span"), F.lit(1).alias("col_span"), (F.col("row") * 100 + F.col("col")).cast("long").alias("ord"), "text", F.lit(90.0).alias("ocr_confidence"))
+    return every, docs.select("doc_id", F.lit(6).alias("rows"), F.lit(8).alias("cols"))
 
 
-SPANNED = [
-    ("a", 1, 0, 4, 1, 1, "الأحد\nالثلاثاء"), ("a", 0, 0, 1, 1, 2, "الأحد\nالاثنين"), ("b", 1, 0, 2, 1, 1, "الأحد\nالاثنين"), ("b", 3, 0, 2, 1, 2, "الخميس\nالأحد"), ("c", 0, 1, 1, 3, 5, "الاثنين\nالأربعاء"), ("c", 2, 0, 2, 1, 6, "x\ny"),
-]
-CUT = [
-    *[("a", 1 + i, 0, 1, 1, 64 + i, t) for i, t in enumerate(("الاحد", "الاثنين", "الثلاثاء", "الاربعاء"))], ("a", 0, 0, 1, 1, 128, "الأحد\nالاثنين"), ("b", 1, 0, 1, 1, 64, "الأحد"), ("b", 2, 0, 1, 1, 65, "الاثنين"),
-    ("b", 3, 0, 1, 1, 128, "الخميس"), ("b", 4, 0, 1, 1, 129, "الأحد"), *[("c", 0, 1 + i, 1, 1, 320 + i, t) for i, t in enumerate(("الاثنين", "الثلاثاء", "الاربعاء"))], ("c", 2, 0, 2, 1, 384, "x\ny"),
-]
+@query(
+    "SELECT sched AS doc_id, 'days-in-rows' AS orientation, " + sql_list(DAYS) + "[day_idx + 1] AS day, period, " + ARABIC_SQL.format("arg_min(class_name, ord)") + " AS class_name FROM slots WHERE day_idx BETWEEN 0 AND 4 AND period <= 7 GROUP BY sched, day_idx, period",
+)
+def schedule_lessons(spark: SparkSession, d: str) -> DataFrame:
+    reads, grids = _week_tables(spark, d)
+    return schedule.lessons(cells.classify(reads), grids).select("doc_id", "orientation", "day", "period", "class_name")
 
 
-@query("day_cells", expected('doc_id, "row", col, row_span, col_span, ord, "text"', CUT))
+@query(
+    "k AS (SELECT sched, count(*) % 4 + 2 AS days FROM slots GROUP BY 1)",
+    f"SELECT sched AS doc_id, (i + 1)::INT AS \"row\", 0 AS col, 1 AS row_span, 1 AS col_span, (sched * 64 + i)::BIGINT AS ord, {sql_list(ARABIC)}[i + 1] AS \"text\" FROM k, LATERAL (SELECT unnest(range(days)) AS i)",
+)
 def day_cells(spark: SparkSession, d: str) -> DataFrame:
-    t = spark.createDataFrame([(*r, 90.0, None) for r in SPANNED], CELL)
-    return splits.days_apart(t).drop("ocr_confidence", "words")
-
-
-WIDE = [
-    ("a", 0, 0, 1, 3, 1, "١ ٢ ٣", 80.0, [("١", 210.0, 220.0, 90.0), ("٢", 110.0, 130.0, 80.0), ("الثانية", 132.0, 140.0, 60.0), ("٣", 10.0, 20.0, 70.0), ("x", 400.0, 410.0, 10.0)]),
-    ("a", 1, 0, 1, 2, 2, "١/أ درس", 80.0, [("كلام", 10.0, 20.0, 50.0), ("١", 110.0, 120.0, 50.0)]), ("a", 1, 2, 1, 1, 3, "٥", 80.0, [("٥", 210.0, 220.0, 50.0)]),
-]
+    days = (F.count("*") % 4 + 2).cast("int")
+    k = slots(spark, d).groupBy(F.col("sched").alias("doc_id")).agg(days.alias("row_span"))
+    names = F.array_join(F.slice(F.array(*[F.lit(x) for x in ARABIC]), F.lit(1), F.col("row_span")), "\n")
+    wide = k.select("doc_id", F.lit(1).alias("row"), F.lit(0).alias("col"), "row_span", F.lit(1).alias("col_span"), F.col("doc_id").alias("ord"), names.alias("text"), F.lit(90.0).alias("ocr_confidence"), F.lit(None).cast(CELL.split("words ")[1]).alias("words"))
+    return splits.days_apart(wide).drop("ocr_confidence", "words")
 
 
-@query("label_cells", expected('"row", col, col_span, ord, "text", confidence', [(0, 0, 1, 64, "٣", 70.0), (0, 1, 1, 65, "٢ الثانية", 70.0), (0, 2, 1, 66, "١", 90.0), (1, 0, 2, 128, "١/أ درس", 80.0), (1, 2, 1, 192, "٥", 80.0)]))
+@query(
+    "k AS (SELECT sched, count(*) % 9 AS n FROM slots GROUP BY 1)",
+    f"SELECT sched AS doc_id, i::INT AS col, 1 AS col_span, (sched * 64 + i)::BIGINT AS ord, {DIGITS_SQL.format('(n + i) % 9 + 1')} AS \"text\", (50 + i)::DOUBLE AS confidence FROM k, range(3) AS r(i)",
+)
 def label_cells(spark: SparkSession, d: str) -> DataFrame:
-    grids = spark.createDataFrame([("a", 2, 3, "lines", None, [0.0, 100.0, 200.0, 300.0])], GRID)
-    return splits.labels_apart(spark.createDataFrame(WIDE, CELL), grids).select("row", "col", "col_span", "ord", "text", F.col("ocr_confidence").alias("confidence"))
+    k = slots(spark, d).groupBy(F.col("sched").alias("doc_id")).agg((F.count("*") % 9).cast("int").alias("n"))
+    word = lambda i: F.struct(text.to_arabic_digits((F.col("n") + i) % 9 + 1).alias("text"), (i * 100 + 30.0).alias("x0"), (i * 100 + 60.0).alias("x1"), (i + 50.0).alias("confidence"))
+    words = F.transform(F.sequence(F.lit(0), F.lit(2)), word)
+    wide = k.select("doc_id", F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit(1).alias("row_span"), F.lit(3).alias("col_span"), F.col("doc_id").alias("ord"), F.lit("").alias("text"), F.lit(80.0).alias("ocr_confidence"), words.alias("words"))
+    grids = k.select("doc_id", F.array(*[F.lit(100.0 * i) for i in range(4)]).alias("col_lines"))
+    return splits.labels_apart(wide, grids).select("doc_id", "col", "col_span", "ord", "text", F.col("ocr_confidence").alias("confidence"))
+
 
+@query(
+    "t AS (SELECT ord, ord % 3 AS k, conf FROM slots)",
+    "SELECT ord, CASE WHEN k = 0 AND conf >= 0.55 THEN 'الأحد' WHEN k = 1 AND conf > 0.9 THEN '٢/ب' WHEN k = 2 THEN 'x' ELSE '١/أ' END AS \"text\", CASE WHEN k = 2 OR (k = 0 AND conf >= 0.55) OR (k = 1 AND conf > 0.9) THEN round(conf * 100, 6) ELSE 90.0 END AS confidence FROM t",
+)
+def chosen_readings(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("ord") % 3
+    t = slots(spark, d).select(
+        "ord", pick(["الأحد", "٢/ب", "x"], k).alias("ocr_text"), F.round(F.col("conf") * 100, 6).alias("ocr_confidence"), F.when(k != 2, "١/أ").alias("short_text"), F.when(k != 2, 0.9).alias("short_confidence")
+    )
+    return choices.chosen(t).select("ord", "text", "confidence")
 
-CHOICES = [
-    (1, "الأحد", 80.0, "١/أ", 0.9, "الأحد", 80.0), (2, "xx", 30.0, "١/أ", 0.9, "١/أ", 90.0), (3, "٢/ب", 90.0, "١/أ", 0.3, "٢/ب", 90.0), (4, "٢/ب", 50.0, "١/أ", 0.9, "١/أ", 90.0), (5, "كلمات طويلة", 60.0, "١/أ", 0.8, "كلمات طويلة", 60.0),
-    (6, "كلمات طويلة", 85.0, "١/أ", 0.9, "كلمات طويلة", 85.0), (7, "x", 10.0, None, None, "x", 10.0), (8, "x", 10.0, "??", 0.9, "x", 10.0), (9, "٢/ب", 95.0, "١/أ", 0.4, "٢/ب", 95.0),
-]
 
+# --- stored replies: forty events each
 
-@query("chosen_readings", expected("id, text, confidence", [(r[0], r[5], r[6]) for r in CHOICES]))
-def chosen_readings(spark: SparkSession, d: str) -> DataFrame:
-    t = spark.createDataFrame([r[:5] for r in CHOICES], "id int, ocr_text string, ocr_confidence double, short_text string, short_confidence double")
-    return choices.chosen(t).select("id", "text", "confidence")
 
+def _listed(spark: SparkSession, d: str, row: Column) -> DataFrame:
+    """doc_id, rows: a list for every forty events, in order."""
+    at = F.struct("ord", row.alias("row"))
+    return slots(spark, d).groupBy(F.floor(F.col("ord") / REPLY_ROWS).alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list(at)), lambda x: x["row"]).alias("rows"))
 
-# --- stored replies
 
-TEACHER = {
-    "ok": True, "periodsCount": 7, "lessons": [
-        {"day": "sun", "period": 1, "className": "2/ب", "subject": "الرياضيات"}, {"day": "sun", "period": 3, "className": "ثاني/1", "subject": "حل أنظمة المتباينات"},
-        {"day": "mon", "period": 2, "className": "ثالث ابتدائي 2", "subject": "اللغة الإنجليزية"}, {"day": "tue", "period": 4, "className": "منتظر 1"}, {"day": "tue", "period": 4, "className": "duplicate ignored"},
-        {"day": "fri", "period": 1, "className": "weekend ignored"},
-    ],
-}
-FEW = {"ok": True, "lessons": [{"day": "sun", "period": 1, "className": "٢/أ"}, {"day": "mon", "period": 1.5, "className": "x"}]}
-REPLIES = [(1, TEACHER), (2, FEW), (3, {"ok": False, "error": "quota"}), (4, {"ok": True})]
+def _teacher_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Every eleventh reply is no JSON, every seventh is not ok."""
+    row = F.struct(pick(DAYS, F.col("day_idx")).alias("day"), F.col("period").cast("double").alias("period"), arabic(F.col("class_name")).alias("className"), F.lit("الرياضيات").alias("subject"))
+    body = F.to_json(F.struct((F.col("doc_id") % 7 != 6).alias("ok"), F.lit(7.0).alias("periodsCount"), F.col("rows").alias("lessons")))
+    return _listed(spark, d, row).select("doc_id", F.when(F.col("doc_id") % 11 == 10, "no answer").otherwise(body).alias("json"))
 
 
-def _replies(spark: SparkSession, rows: list) -> DataFrame:
-    return spark.createDataFrame([(i, json.dumps(b)) for i, b in rows], "doc_id int, json string")
+TAUGHT_SQL = f"taught AS (SELECT ord // 40 AS doc_id, day_idx, period, arg_min(class_name, ord) AS class_name FROM slots WHERE day_idx < 5 AND (ord // 40) % 7 <> 6 AND (ord // 40) % 11 <> 10 GROUP BY ALL)"  # noqa: F541
 
 
-@query("teacher_lessons", expected("doc_id, day, period, class_name, subject", [(1, "sun", 1, "٢/ب", "رياضيات"), (1, "sun", 3, "ثاني/١", None), (1, "mon", 2, "ثالث ابتدائي/٢", "لغة إنجليزية"), (1, "tue", 4, "منتظر ١", None), (2, "sun", 1, "٢/أ", None)]))
+@query(TAUGHT_SQL, f"SELECT doc_id, {sql_list(DAYS)}[day_idx + 1] AS day, period, {CLASS} AS class_name, 'رياضيات' AS subject FROM taught")
 def teacher_lessons(spark: SparkSession, d: str) -> DataFrame:
-    return responses.lessons(_replies(spark, REPLIES)).select("doc_id", "day", "period", "class_name", "subject")
+    return responses.lessons(_teacher_replies(spark, d)).select("doc_id", "day", "period", "class_name", "subject")
 
 
-@query("teacher_outcomes", expected("doc_id, lessons, days, periods, quality, status", [(1, 4, 3, 7, 0.95, "ok"), (2, 1, 1, 1, 0.3, "failed"), (3, 0, 0, 0, None, None), (4, 0, 0, 0, None, None)]))
+@query(
+    TAUGHT_SQL,
+    "k AS (SELECT doc_id, count(*) AS n, count(DISTINCT day_idx) AS d, max(period) AS top FROM taught GROUP BY 1)",
+    """SELECT doc_id, coalesce(n, 0) AS lessons, coalesce(d, 0) AS days, CASE WHEN doc_id % 11 = 10 THEN 0 ELSE least(12, greatest(7, coalesce(top, 0))) END AS periods,
+  CASE WHEN usable THEN CASE WHEN coalesce(n, 0) >= 3 AND coalesce(d, 0) >= 3 THEN 0.95 ELSE 0.3 END END AS quality, CASE WHEN usable THEN CASE WHEN coalesce(n, 0) >= 3 AND coalesce(d, 0) >= 3 THEN 'ok' ELSE 'failed' END END AS status
+  FROM (SELECT DISTINCT ord // 40 AS doc_id, (ord // 40) % 7 <> 6 AND (ord // 40) % 11 <> 10 AS usable FROM slots) LEFT JOIN k USING (doc_id)""",
+)
 def teacher_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    return responses.outcomes(_replies(spark, REPLIES))
-
+    return responses.outcomes(_teacher_replies(spark, d))
 
-UNIVERSITY = {
-    "ok": True, "lectures": [
-        {"day": "sun", "start": "08:00", "end": "09:50", "course": "101 تقن"}, {"day": "sun", "start": "08:00", "end": "09:50", "course": "101 تقن"},
-        {"day": "TUE", "start": "13:00", "end": "14:40", "course": "نفس 3K5-102", "room": "0.308 1.1.2", "uncertain": True}, {"day": "mon", "start": "10:00", "end": "09:00", "course": "bad end"},
-        {"day": "xxx", "start": "10:00", "end": "11:00", "course": "bad day"}, {"day": "wed", "start": "8", "end": "9", "course": "bad time"}, {"day": "Sunday", "start": "23:40", "course": " x  y "},
-    ],
-}
-HEARD = [("sun", 480, 590, "101 تقن", None, False), ("tue", 780, 880, "نفس 3K5-102", "0.308 1.1.2", True), ("mon", 600, 650, "bad end", None, False), ("sun", 1420, 1440, "x y", None, False)]
 
-
-@query("university_lectures", expected('day, start, "end", course, room, needs_review', HEARD))
+@query(
+    "said AS (SELECT ord // 40 AS doc_id, day_idx, minute, class_name, min(ord) AS ord FROM slots GROUP BY ALL)",
+    f"""SELECT doc_id, {sql_list(DAYS)}[day_idx + 1] AS day, minute AS start, CASE WHEN ord % 3 <> 0 AND least(minute + 70, 1439) > minute THEN least(minute + 70, 1439) ELSE least(minute + 50, 1440) END AS "end",
+  class_name AS course, CASE WHEN ord % 2 = 0 THEN 'r ' || period_ END AS room, ord % 5 = 0 AS needs_review FROM (SELECT *, (minute // 60) % 12 + 1 AS period_ FROM said)""",
+)
 def university_lectures(spark: SparkSession, d: str) -> DataFrame:
-    return responses.lectures(_replies(spark, [(1, UNIVERSITY), (2, {"ok": True, "lessons": []})])).select("day", "start", "end", "course", "room", F.coalesce("needs_review", F.lit(False)).alias("needs_review"))
+    end = F.when(F.col("ord") % 3 != 0, text.input_time(F.least(F.col("minute") + 70, F.lit(1439)))).otherwise("00:00")
+    room = F.when(F.col("ord") % 2 == 0, F.concat(F.lit("  r   "), F.col("period").cast("string")))
+    row = F.struct(pick(ENGLISH, F.col("day_idx")).alias("day"), text.input_time(F.col("minute")).alias("start"), end.alias("end"), F.col("class_name").alias("course"), room.alias("room"), (F.col("ord") % 5 == 0).alias("uncertain"))
+    body = F.to_json(F.struct(F.lit(True).alias("ok"), F.col("rows").alias("lectures")))
+    found = responses.lectures(_listed(spark, d, row).select("doc_id", body.alias("json")))
+    return found.select("doc_id", "day", "start", "end", "course", "room", F.coalesce("needs_review", F.lit(False)).alias("needs_review"))
 
 
-ALIASES = [("Sunday", "sun"), ("الأحد", "sun"), ("U", "sun"), ("thu", "thu"), ("R", "thu"), ("Wednesday", "wed"), ("ثن", "mon"), ("ر", "wed"), ("yesterday", None), (None, None)]
-
-
-@query("day_aliases", expected("given, day", ALIASES))
+@query(f"SELECT ord, CASE WHEN ord % 5 <> 4 THEN {sql_list(DAYS)}[day_idx + 1] END AS day FROM slots")
 def day_aliases(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(g,) for g, _ in ALIASES], "given string").withColumn("day", responses.normalize_day(F.col("given")))
-
+    i = F.col("day_idx")
+    given = F.coalesce(*[F.when(F.col("ord") % 5 == k, v) for k, v in enumerate((pick(ENGLISH, i), pick(list(LETTERS), i), pick(ARABIC, i), F.upper(F.concat(F.lit(" "), pick(DAYS, i))), F.lit("some day")))])
+    return slots(spark, d).select("ord", responses.normalize_day(given).alias("day"))
 
-MODEL = [
-    (1, "```json\n" + json.dumps({"periodsCount": 6, "lessons": [{"day": "sun", "period": i % 7 + 1.0, "className": str(i)} for i in range(150)] + [{"period": 1}]}) + "\n```"),
-    (2, '{"lectures": [{"day": "sun", "start": "8:00"}, {"day": "mon"}], "notes": "n"}'), (3, "sorry"), (4, '{"lessons": [{"day": "sun", "period": 1.5}, {"day": "mon", "period": 2}]}'),
-]
 
-
-@query("cleaned_replies", expected("doc_id, lessons, lectures, error", [(1, 120, -1, None), (2, -1, 1, None), (3, -1, -1, "unparseable"), (4, 1, -1, None)]))
+@query(
+    "k AS (SELECT ord // 40 AS doc_id, count(*) FILTER (ord % 3 <> 0 AND ord % 4 <> 0) AS n FROM slots GROUP BY 1)",
+    "SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN -1 ELSE least(n, 15) END AS lessons, CASE WHEN doc_id % 5 = 4 THEN 'unparseable' END AS error FROM k",
+)
 def cleaned_replies(spark: SparkSession, d: str) -> DataFrame:
-    t = responses.cleaned(spark.createDataFrame(MODEL, "doc_id int, text string"))
-    rows = lambda name: F.size(F.from_json(F.get_json_object("json", f"$.{name}"), "array<struct<day string>>"))
-    count = lambda name: F.when(F.get_json_object("json", f"$.{name}").isNotNull(), rows(name)).otherwise(-1).alias(name)
-    return t.select("doc_id", count("lessons"), count("lectures"), "error")
+    row = F.struct(F.when(F.col("ord") % 3 != 0, pick(DAYS, F.col("day_idx"))).alias("day"), (F.col("period") + F.when(F.col("ord") % 4 == 0, 0.5).otherwise(0.0)).alias("period"))
+    body = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.col("rows").alias("lessons"))), F.lit("\n```"))
+    replies = _listed(spark, d, row).select("doc_id", F.when(F.col("doc_id") % 5 == 4, "I could not read it").otherwise(body).alias("text"))
+    found = F.size(F.from_json(F.get_json_object("json", "$.lessons"), "array<struct<day string>>"))
+    return responses.cleaned(replies, most=15).select("doc_id", F.when(F.col("json").isNotNull(), found).otherwise(-1).alias("lessons"), "error")
 
 
-@query("routed_readers", expected("doc_id, reader, status, skipped", [(1, "smart", "ok", None), (2, "local", "ok", "too-few"), (3, "local", "failed", "quota"), (4, "local", "ok", "unavailable")]))
+@query(
+    "k AS (SELECT DISTINCT ord // 40 AS doc_id FROM slots)",
+    """SELECT doc_id, CASE WHEN h = 0 THEN 'smart' ELSE 'local' END AS reader, CASE WHEN h = 0 OR doc_id % 2 = 0 THEN 'ok' ELSE 'failed' END AS status, CASE h WHEN 1 THEN 'too-few' WHEN 2 THEN 'quota' WHEN 3 THEN 'unavailable' END AS skipped
+  FROM (SELECT doc_id, doc_id % 4 AS h FROM k)""",
+)
 def routed_readers(spark: SparkSession, d: str) -> DataFrame:
-    hosted = spark.createDataFrame([(1, "ok", None), (2, "failed", None), (3, None, "quota")], "doc_id int, status string, reason string")
-    local = spark.createDataFrame([(2, "ok"), (3, "failed"), (4, "ok")], "doc_id int, status string")
-    return responses.routed(spark.range(1, 5).select(F.col("id").cast("int").alias("doc_id")), hosted, local)
+    docs = slots(spark, d).select(F.floor(F.col("ord") / REPLY_ROWS).alias("doc_id")).distinct()
+    h = F.col("doc_id") % 4
+    hosted = docs.where(h != 3).select("doc_id", pick(["ok", "failed", None], h).alias("status"), F.when(h == 2, "quota").alias("reason"))
+    return responses.routed(docs, hosted, docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "ok").otherwise("failed").alias("status")))
 
 
-FILES = [("u", f"p{i}.png", 100, "too-many" if i > 2 else None) for i in range(1, 5)] + [("u", "a.txt", 5, "not-an-image"), ("u", "b.JPG", 30 << 20, "too-large"), ("v", "z.webp", 20 << 20, None)]
-
-
-@query("admitted_images", expected("upload, path, refused", [(u, p, r) for u, p, _, r in FILES]))
+@query(
+    "f AS (SELECT doc_id % 97 AS upload, 'd' || doc_id || ['.png', '.JPG', '.txt', '.webp'][doc_id % 4 + 1] AS path, doc_id % 4 AS k, n_chars * 4096 AS length FROM documents)",
+    "r AS (SELECT upload, path, CASE WHEN k = 2 THEN 'not-an-image' WHEN length > 20971520 THEN 'too-large' END AS refused FROM f)",
+    "SELECT upload, path, coalesce(refused, CASE WHEN row_number() OVER (PARTITION BY upload, refused ORDER BY path) > 3 THEN 'too-many' END) AS refused FROM r",
+)
 def admitted_images(spark: SparkSession, d: str) -> DataFrame:
-    t = spark.createDataFrame([f[:3] for f in FILES], "upload string, path string, length long")
-    return responses.admission(t, most=2).select("upload", "path", "refused")
+    i = F.col("doc_id")
+    path = F.concat(F.lit("d"), i.cast("string"), pick([".png", ".JPG", ".txt", ".webp"], i % 4))
+    files = table(spark, d, "documents").select((i % 97).alias("upload"), path.alias("path"), (F.col("n_chars") * 4096).alias("length"))
+    return responses.admission(files, most=3).select("upload", "path", "refused")
 
 
 # --- lessons
 
-READ = [
-    ("a", "sun", 1, "٢/أ", 0.9), ("a", "sun", 2, "2/ا", 0.6), ("a", "mon", 1, "١/ب", 0.95), ("b", "sun", 1, "١/٣", 0.9), ("b", "sun", 2, "٢/٣", 0.9), ("b", "mon", 3, "٤/٣", 0.4), ("b", "mon", 13, "x", 0.9),
-    ("c", "sun", 1, "٢/١", 0.9), ("c", "mon", 2, "٢/ب", 0.9), ("c", "tue", 3, "٣/ج", 0.9), ("c", "tue", 4, "١/د", 0.9), ("c", "wed", 4, "", 0.3),
-]
-
 
-def _validated(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    rows = spark.createDataFrame([(*r, i) for i, r in enumerate(READ)], "doc string, day string, period int, class_name string, conf double, ord int")
-    axes = spark.createDataFrame([("a", 5, 7), ("b", 2, 3), ("c", 4, 4), ("none", 1, 0)], "doc string, days int, periods int")
-    return lessons.validated(rows, axes, "doc")
+def _validated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = slots(spark, d).select("sched", (F.col("period") + F.when(F.col("ord") % 6 == 0, 1).otherwise(0)).alias("period"), arabic(F.col("class_raw")).alias("class_name"), "conf", "ord")
+    axes = slots(spark, d).where("day_idx < 5").groupBy("sched").agg(F.count_distinct("day_idx").alias("days"), F.count_distinct("period").alias("periods"))
+    return lessons.validated(rows, axes, "sched")
 
 
-FIXED = [("a", 0, "٢/أ"), ("a", 1, "٢/أ"), ("a", 2, "١/ب"), ("b", 3, "٣/١"), ("b", 4, "٣/٢"), ("b", 5, "٣/٤"), ("c", 7, "٢/أ"), ("c", 8, "٢/ب"), ("c", 9, "٣/ج"), ("c", 10, "١/د"), ("c", 11, "")]
+READ_SQL = "read AS (SELECT sched, ord, conf, class_name, period + CASE WHEN ord % 6 = 0 THEN 1 ELSE 0 END AS period, class_raw FROM slots)"
 
 
-@query("validated_lessons", expected("doc, ord, class_name", FIXED))
+@query(
+    READ_SQL,
+    "best AS (SELECT sched, class_name, class_raw AS label FROM read WHERE period <= 12 QUALIFY row_number() OVER (PARTITION BY sched, class_name ORDER BY conf DESC, ord) = 1)",
+    "named AS (SELECT r.sched, ord, label, replace(label, '\\', '/') AS plain FROM read r JOIN best b ON b.sched = r.sched AND b.class_name = r.class_name WHERE r.period <= 12)",
+    "pairs AS (SELECT sched, count(*) >= 3 AND count(DISTINCT split_part(plain, '/', 1)) >= 2 AND count(DISTINCT split_part(plain, '/', 2)) = 1 AS swap FROM named WHERE regexp_full_match(plain, '[0-9]/[0-9]') GROUP BY 1)",
+    "SELECT sched, ord, " + ARABIC_SQL.format("CASE WHEN swap AND regexp_full_match(plain, '[0-9]/[0-9]') THEN split_part(plain, '/', 2) || '/' || split_part(plain, '/', 1) ELSE label END") + " AS class_name FROM named LEFT JOIN pairs USING (sched)",
+)
 def validated_lessons(spark: SparkSession, d: str) -> DataFrame:
-    return _validated(spark)[0].select("doc", "ord", "class_name")
-
+    return _validated(spark, d)[0].select("sched", "ord", "class_name")
 
-WORTH = [("a", 3, 0, 1.0, True), ("b", 3, 1, round(0.35 * 0.4 + 0.25 * 0.6 + 0.4 * (0.5 * 2 + 0.5 * 3) / 3, 6), False), ("c", 5, 0, round(0.35 * 0.8 + 0.25 * 0.8 + 0.4 * 0.8, 6), True), ("none", 0, 0, 0.07, False)]
 
-
-@query("validated_verdicts", expected("doc, lessons, dropped, quality, ok", WORTH))
+@query(
+    READ_SQL,
+    "axes AS (SELECT sched, count(DISTINCT day_idx) AS days, count(DISTINCT period) AS periods FROM slots WHERE day_idx < 5 GROUP BY 1)",
+    "k AS (SELECT sched, count(*) FILTER (period <= 12) AS lessons, count(*) FILTER (period > 12) AS dropped, count(*) FILTER (period <= 12 AND conf >= 0.5) AS rec, count(*) FILTER (period <= 12 AND conf >= 0.35) AS cls FROM read GROUP BY 1)",
+    "q AS (SELECT *, 0.35::DOUBLE * least(1.0::DOUBLE, days / 5) + 0.25::DOUBLE * least(1.0::DOUBLE, periods / 5) + 0.4::DOUBLE * ((0.5::DOUBLE * rec + 0.5::DOUBLE * cls) / lessons) AS worth FROM axes JOIN k USING (sched))",
+    "SELECT sched, lessons, dropped, round(worth, 6) AS quality, days >= 3 AND periods >= 3 AND lessons >= 3 AND worth >= 0.45 AS ok FROM q",
+)
 def validated_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    return _validated(spark)[1]
+    return _validated(spark, d)[1]
 
 
-SEEN = [  # image, ord, day, period, class, subject, confidence
-    (1, 0, 0, 1, "x", "", 0.4), (2, 0, 0, 1, "x", "s", 0.7), (3, 0, 0, 1, "x", "t", 0.9), (4, 0, 0, 1, "x", "", 0.8), (1, 1, 1, 2, "y", "s", 0.6), (2, 1, 1, 2, "y", "s", 0.3), (1, 2, 2, 3, "z", "", 0.9), (2, 2, 2, 3, "w", "", 0.95), (3, 2, 2, 3, "w", "", 0.2),
-    (1, 3, 3, 1, "v", "", 0.45),
-]
-MERGED = [(0, 1, "x", "s", 0.8, False, True, 2), (1, 2, "y", "s", 0.6, False, False, 0), (2, 3, "z", "", 0.9, True, True, 3), (3, 1, "v", "", 0.45, True, False, 0)]
+def _merged(spark: SparkSession, d: str) -> DataFrame:
+    seen = lessons.valid_slots(slots(spark, d)).withColumn("image", F.col("ord") % 3 + 1).withColumn("subject", pick(["", "s", "s", "", "t"], F.col("ord") % 5))
+    return lessons.merge_readings(seen, "sched", "class_name", "conf", "image", subject="subject")
 
 
-def _merged(spark: SparkSession) -> DataFrame:
-    t = spark.createDataFrame([("a", *r) for r in SEEN], "doc string, image int, ord int, day_idx int, period int, class_name string, subject string, conf double")
-    return lessons.merge_readings(t, "doc", "class_name", "conf", "image", subject="subject")
+MERGED_SQL = (
+    "seen AS (SELECT sched, day_idx, period, class_name, conf, ['', 's', 's', '', 't'][ord % 5 + 1] AS subject, row_number() OVER (PARTITION BY sched, day_idx, period ORDER BY ord % 3, ord) AS i FROM slots WHERE day_idx < 5)",
+    """fold AS (SELECT sched, day_idx, period, i, class_name AS name, subject, conf, conf < 0.5 AS review, 0 AS others FROM seen WHERE i = 1
+  UNION ALL SELECT f.sched, f.day_idx, f.period, s.i, f.name, CASE WHEN same AND f.subject = '' THEN s.subject ELSE f.subject END, CASE WHEN same THEN greatest(f.conf, s.conf) ELSE f.conf END,
+    CASE WHEN NOT same THEN true WHEN s.conf > f.conf THEN s.conf < 0.5 ELSE f.review END, f.others + CASE WHEN same THEN 0 ELSE 1 END
+  FROM fold f JOIN seen s ON s.sched = f.sched AND s.day_idx = f.day_idx AND s.period = f.period AND s.i = f.i + 1, LATERAL (SELECT s.class_name = f.name AND (s.subject = '' OR f.subject = '' OR s.subject = f.subject) AS same))""",
+    "merged AS (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY sched, day_idx, period ORDER BY i DESC) = 1)",
+)
 
 
-@query("merged_subjects", expected("day_idx, period, name, subject, conf, review, conflict, alternatives", MERGED))
+@query(*MERGED_SQL, "SELECT sched, day_idx, period, name, subject, round(conf, 6) AS conf, review, others > 0 AS conflict, CASE WHEN others > 0 THEN others + 1 ELSE 0 END AS alternatives FROM merged")
 def merged_subjects(spark: SparkSession, d: str) -> DataFrame:
-    return _merged(spark).drop("doc")
+    return _merged(spark, d).withColumn("conf", F.round("conf", 6))
 
 
-@query("merge_summary", expected("doc, failed_images, warnings, lessons, days, periods, uncertain, conflicts", [("a", "3,5", "dim,far", 4, 4, 3, 2, 2), ("b", "1", "", 0, 0, 0, 0, 0)]))
+@query(
+    *MERGED_SQL,
+    "image AS (SELECT sched, i, (sched + i) % 4 <> 0 AS ok FROM (SELECT DISTINCT sched FROM slots), range(1, 4) AS r(i))",
+    "told AS (SELECT sched, coalesce(string_agg(i::VARCHAR, ',' ORDER BY i) FILTER (NOT ok), '') AS failed_images, CASE WHEN count(*) FILTER (ok AND i = 2) > 0 THEN 'dim,far' ELSE 'far' END AS warnings FROM image GROUP BY 1)",
+    "k AS (SELECT sched, count(*) AS lessons, count(DISTINCT day_idx) AS days, count(DISTINCT period) AS periods, count(*) FILTER (review) AS uncertain, count(*) FILTER (others > 0) AS conflicts FROM merged GROUP BY 1)",
+    "SELECT * FROM told JOIN k USING (sched)",
+)
 def merge_summary(spark: SparkSession, d: str) -> DataFrame:
-    images = spark.createDataFrame([("a", 1, True, ["far"]), ("a", 2, True, ["dim", "far"]), ("a", 3, False, ["lost"]), ("a", 5, False, None), ("b", 1, False, None)], "doc string, image int, ok boolean, warnings array<string>")
-    facts = lessons.merge_facts(_merged(spark), images, "doc")
+    every = slots(spark, d).select("sched").distinct().withColumn("image", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    told = F.when(F.col("image") == 2, F.array(F.lit("far"), F.lit("dim"))).otherwise(F.array(F.lit("far")))
+    images = every.select("sched", "image", ((F.col("sched") + F.col("image")) % 4 != 0).alias("ok"), told.alias("warnings"))
+    facts = lessons.merge_facts(_merged(spark, d), images, "sched")
     return facts.withColumn("failed_images", F.concat_ws(",", F.col("failed_images").cast("array<string>"))).withColumn("warnings", F.concat_ws(",", "warnings"))
 
 
-SIDE = "doc string, day_idx int, period int, name string"
+SIDES_SQL = "side AS (SELECT sched, day_idx, period, ord % 2 AS s, arg_min(class_name, ord) AS name FROM slots WHERE day_idx < 5 GROUP BY ALL)"
 
 
-@query("lesson_mistakes", expected("day_idx, period, want, got", [(0, 2, "b", "x"), (1, 1, "c", None), (2, 2, None, "d")]))
+@query(SIDES_SQL, "SELECT coalesce(a.sched, b.sched) AS sched, coalesce(a.day_idx, b.day_idx) AS day_idx, coalesce(a.period, b.period) AS period, a.name AS want, b.name AS got FROM (FROM side WHERE s = 0) a FULL JOIN (FROM side WHERE s = 1) b ON a.sched = b.sched AND a.day_idx = b.day_idx AND a.period = b.period WHERE a.name IS DISTINCT FROM b.name")
 def lesson_mistakes(spark: SparkSession, d: str) -> DataFrame:
-    want = spark.createDataFrame([("a", 0, 1, "a"), ("a", 0, 2, "b"), ("a", 1, 1, "c")], SIDE)
-    got = spark.createDataFrame([("a", 0, 1, "a"), ("a", 0, 2, "x"), ("a", 2, 2, "d")], SIDE)
-    return lessons.mistakes(want, got, "doc", "name").drop("doc")
+    s = lessons.valid_slots(slots(spark, d))
+    sides = [lessons.first_wins(s.where(f"ord % 2 = {i}"), ["sched", "day_idx", "period"], "class_name") for i in (0, 1)]
+    return lessons.mistakes(*sides, "sched", "class_name")
 
 
-@query("class_colors", expected("class_key, color", [("x", "#222222"), ("y", "#8fd3ad"), ("z", "#e6e8de")]))
+@query(
+    "seen AS (SELECT sched, class_name, min(ord) AS ord FROM slots GROUP BY ALL)",
+    f"usual AS (SELECT sched, class_name, {sql_list(COLORS)}[(row_number() OVER (PARTITION BY sched ORDER BY ord) - 1) % 3 + 1] AS color FROM seen WHERE class_name NOT LIKE '3%')",
+    "SELECT sched, class_name, CASE WHEN sched % 3 = 0 AND class_name LIKE '2%' THEN '#222222' ELSE coalesce(color, '#e6e8de') END AS color FROM seen LEFT JOIN usual USING (sched, class_name)",
+)
 def class_colors(spark: SparkSession, d: str) -> DataFrame:
-    make = lambda *rows: spark.createDataFrame(list(rows), "doc int, class_key string, color string")
-    rows = spark.createDataFrame([(1, "x"), (1, "y"), (1, "z")], "doc int, class_key string")
-    return lessons.colored(rows, "doc", "class_key", make((1, "x", "#111111"), (1, "y", "#8fd3ad")), make((1, "x", "#222222"))).drop("doc")
+    s = slots(spark, d)
+    usual = lessons.classes_in_order(s.where("class_name not like '3%'"), "sched", "class_name", "class_name", COLORS)
+    rows = s.select("sched", "class_name").distinct()
+    own = rows.where("sched % 3 = 0 and class_name like '2%'").withColumn("color", F.lit("#222222"))
+    return lessons.colored(rows, "sched", "class_name", usual.select("sched", "class_name", "color"), own)
 
 
-@query("default_hours", expected("doc, start_hour, end_hour", [(1, 8, 12), (2, 8, 15), (3, 10, 12), (4, 8, 12), (5, 23, 24)]))
+@query(
+    "k AS (SELECT sched, day_idx, min(minute) AS a, max(least(minute + 50, 1440)) AS b FROM slots WHERE sched % 4 <> 0 GROUP BY ALL)",
+    "SELECT sched, day_idx, coalesce(a // 60, 8)::INT AS start_hour, (CASE WHEN a IS NULL THEN 12 ELSE least(24, greatest(ceil(b / 60), a // 60 + 1)) END)::INT AS end_hour FROM (SELECT DISTINCT sched, day_idx FROM slots) LEFT JOIN k USING (sched, day_idx)",
+)
 def default_hours(spark: SparkSession, d: str) -> DataFrame:
-    t = spark.createDataFrame([(1, 480, 590), (1, 600, 710), (2, 480, 590), (2, 780, 880), (3, 615, 665), (5, 1435, 1440)], "doc int, start int, end int")
-    return lessons.hours(t, spark.range(1, 6).select(F.col("id").cast("int").alias("doc")), ["doc"])
+    rows = slots(spark, d).select("sched", "day_idx", F.col("minute").alias("start"), F.least(F.col("minute") + 50, F.lit(1440)).alias("end"))
+    return lessons.hours(rows.where("sched % 4 <> 0"), rows, ["sched", "day_idx"])
 
 
-@query("weekend_days", expected("doc, day_idx", [*[(i, k) for i in (1, 2, 3) for k in range(5)], (2, 6)]))
+@query("SELECT sched, d AS day_idx FROM (SELECT DISTINCT sched FROM slots), range(5) AS r(d) UNION ALL SELECT DISTINCT sched, day_idx FROM slots WHERE day_idx >= 5 AND minute % 97 = sched")
 def weekend_days(spark: SparkSession, d: str) -> DataFrame:
-    used = spark.createDataFrame([(1, 1), (2, 6), (2, 6)], "doc int, day_idx int")
-    return lessons.active_days(used, spark.range(1, 4).select(F.col("id").cast("int").alias("doc")), "doc")
+    s = slots(spark, d)
+    return lessons.active_days(s.where("minute % 97 = sched"), s, "sched")
 
 
-@query("week_boxes", "SELECT p AS period, d AS day_idx, round(1200 - 40 - 120 - (1200 - 80 - 120) / 5 * (d + 1), 6) AS x, round(300 + 250.0 * (p - 1), 6) AS y, 200.0::DOUBLE AS w, 250.0::DOUBLE AS h FROM range(1, 8) a(p), range(0, 5) b(d)")
+@query("SELECT DISTINCT sched, period, day_idx, round(1200 - 40 - 120 - (1200 - 80 - 120) / 5 * (day_idx + 1), 6) AS x, round(300 + 250.0 * (period - 1), 6) AS y, 200.0::DOUBLE AS w, 250.0::DOUBLE AS h FROM slots WHERE day_idx < 5")
 def week_boxes(spark: SparkSession, d: str) -> DataFrame:
-    laid = lessons.boxes(lessons.empty_grid(spark), 1200.0, 40.0, 120.0, 300.0, 250.0)
-    return laid.select("period", "day_idx", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "w", "h")
+    grid = lessons.valid_slots(slots(spark, d)).select("sched", "period", "day_idx").distinct()
+    laid = lessons.boxes(grid, 1200.0, 40.0, 120.0, 300.0, 250.0)
+    return laid.select("sched", "period", "day_idx", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "w", "h")
 
 
-DESIGN = "doc int, period int, day_idx int, subject string, classroom string, occupied boolean, review boolean, conflict boolean"
-CELLS = [(1, 1, 0, "s", "x", True, True, True), (1, 1, 1, "", "", False, False, False), (1, 2, 0, "", "y", True, True, False), (1, 2, 1, "", "", False, False, False), (2, 1, 0, "", "", False, False, False)]
+def _designs(spark: SparkSession, d: str) -> DataFrame:
+    """A design for each schedule: first classes of its slots; a slot of many readings is a conflict."""
+    first = lessons.valid_slots(slots(spark, d)).groupBy("sched", "period", "day_idx").agg(F.min_by("class_name", "ord").alias("classroom"), F.count("*").alias("n"), F.min("ord").alias("ord"))
+    filled = F.col("ord") % 3 != 0
+    return first.select(
+        "sched", "period", "day_idx", F.lit("").alias("subject"), F.when(filled, F.col("classroom")).otherwise("").alias("classroom"), filled.alias("occupied"), (F.col("n") % 2 == 1).alias("review"),
+        ((F.col("n") % 7 == 6) & (F.col("sched") % 2 == 0)).alias("conflict"),
+    )
 
 
-@query("design_gates", expected("doc, lessons, can_apply, can_export", [(1, 2, False, False), (2, 0, True, False), (3, 0, True, False)]))
-def design_gates(spark: SparkSession, d: str) -> DataFrame:
-    states = spark.createDataFrame([(1, "photo"), (2, "manual"), (3, "empty")], "doc int, source string")
-    return lessons.grid_gates(spark.createDataFrame(CELLS, DESIGN), states, "doc")
+DESIGN_SQL = "design AS (SELECT sched, period, day_idx, '' AS subject, CASE WHEN min(ord) % 3 <> 0 THEN arg_min(class_name, ord) ELSE '' END AS classroom, min(ord) % 3 <> 0 AS occupied, count(*) % 2 = 1 AS review, count(*) % 7 = 6 AND sched % 2 = 0 AS conflict FROM slots WHERE day_idx < 5 GROUP BY sched, period, day_idx)"
 
 
-EDITED = [(1, 1, 0, "s", "z", True, False, False), (1, 1, 1, "", "", False, False, False), (1, 2, 0, "", "", False, False, False), (1, 2, 1, "", "", False, False, False), (1, 3, 0, "", "", False, False, False), (1, 3, 1, "", "", False, False, False), (2, 1, 0, "", "", False, False, False), (2, 2, 0, "", "", False, False, False), (2, 3, 0, "", "", False, False, False)]
+@query(DESIGN_SQL, "SELECT sched, count(*) FILTER (occupied) AS lessons, count(*) FILTER (conflict) = 0 AS can_apply, count(*) FILTER (occupied) > 0 AND sched % 3 <> 0 AS can_export FROM design GROUP BY sched")
+def design_gates(spark: SparkSession, d: str) -> DataFrame:
+    states = slots(spark, d).select("sched").distinct().withColumn("source", F.when(F.col("sched") % 3 == 0, "photo").otherwise("manual"))
+    return lessons.grid_gates(_designs(spark, d), states, "sched")
 
 
-@query("design_edits", expected("doc, period, day_idx, subject, classroom, occupied, review, conflict", EDITED))
+@query(
+    DESIGN_SQL,
+    "edited AS (SELECT sched, period, day_idx, subject, CASE WHEN e THEN t ELSE classroom END AS classroom, CASE WHEN e THEN t <> '' ELSE occupied END AS occupied, review AND NOT e AS review, conflict AND NOT e AS conflict FROM (SELECT *, (period + day_idx) % 4 = 0 AS e, CASE WHEN sched % 2 = 0 THEN 'z' ELSE '' END AS t FROM design))",
+    "frame AS (SELECT sched, day_idx, p AS period FROM (SELECT DISTINCT sched, day_idx FROM design), range(1, 10) AS r(p))",
+    "SELECT sched, period, day_idx, coalesce(subject, '') AS subject, coalesce(classroom, '') AS classroom, coalesce(occupied, false) AS occupied, coalesce(review, false) AS review, coalesce(conflict, false) AS conflict FROM frame LEFT JOIN edited USING (sched, day_idx, period)",
+)
 def design_edits(spark: SparkSession, d: str) -> DataFrame:
-    edits = spark.createDataFrame([(1, 1, 0, None, "z"), (1, 2, 0, None, "")], "doc int, period int, day_idx int, subject string, classroom string")
-    return lessons.resized(lessons.patched(spark.createDataFrame(CELLS, DESIGN), edits, "doc"), "doc", 3)
+    grid = _designs(spark, d)
+    edits = grid.where("(period + day_idx) % 4 = 0").select("sched", "period", "day_idx", F.lit(None).cast("string").alias("subject"), F.when(F.col("sched") % 2 == 0, "z").otherwise("").alias("classroom"))
+    return lessons.resized(lessons.patched(grid, edits, "sched"), "sched", 9)
 
 
-LECTURE = "id string, day string, start int, end int, course string, room string, needs_review boolean"
+def _lectures(spark: SparkSession, d: str) -> DataFrame:
+    return slots(spark, d).select(F.col("ord").cast("string").alias("id"), pick(DAYS, F.col("day_idx")).alias("day"), F.col("minute").alias("start"), (F.col("minute") + 50).alias("end"), F.col("class_name").alias("course"), F.lit(None).cast("string").alias("room"), (F.col("ord") % 2 == 0).alias("needs_review"))
 
 
-@query("lecture_edits", expected('id, day, start, "end", course, room, needs_review', [("a", "mon", 500, 560, "A2", None, False), ("c", "tue", 600, 650, "C", None, True), ("d", "sat", 700, 750, "D", "r", False)]))
+@query(
+    f"SELECT ord::VARCHAR AS id, {sql_list(DAYS)}[day_idx + 1] AS day, minute + CASE WHEN ord % 10 = 0 THEN 5 ELSE 0 END AS start, minute + CASE WHEN ord % 10 = 0 THEN 65 ELSE 50 END AS \"end\", class_name || CASE WHEN ord % 10 = 0 THEN '*' ELSE '' END AS course, CASE WHEN ord % 10 = 0 THEN 'r' END AS room, ord % 10 <> 0 AND ord % 2 = 0 AS needs_review FROM slots WHERE ord % 15 <> 1",
+)
 def lecture_edits(spark: SparkSession, d: str) -> DataFrame:
-    old = spark.createDataFrame([("a", "sun", 480, 530, "A", "1", True), ("b", "mon", 480, 530, "B", None, None), ("c", "tue", 600, 650, "C", None, True)], LECTURE)
-    new = spark.createDataFrame([("a", "mon", 500, 560, "A2", None, True), ("d", "sat", 700, 750, "D", "r", None)], LECTURE)
-    return lectures.in_order(lectures.edited(old, new, spark.createDataFrame([("b",)], "id string"))).na.fill({"needs_review": False})
-
-
-FORMS = [(1, "8:00", "9:00", "x", None), (2, "8:00", "9:00", " ", "no-course"), (3, "8", "9:00", "x", "no-time"), (4, "9:00", "9:00", "x", "end-before-start"), (5, None, "9:00", "x", "no-time")]
+    old = _lectures(spark, d)
+    new = old.where("id % 10 = 0").select("id", "day", (F.col("start") + 5).alias("start"), (F.col("end") + 15).alias("end"), F.concat("course", F.lit("*")).alias("course"), F.lit("r").alias("room"), "needs_review")
+    return lectures.in_order(lectures.edited(old, new, old.where("id % 15 = 1"))).na.fill({"needs_review": False})
 
 
-@query("lecture_forms", expected("id, fault", [(r[0], r[4]) for r in FORMS]))
+@query("SELECT ord, CASE WHEN ord % 7 = 0 THEN 'no-course' WHEN ord % 5 = 0 THEN 'no-time' WHEN ord % 3 = 0 THEN 'end-before-start' END AS fault FROM slots")
 def lecture_forms(spark: SparkSession, d: str) -> DataFrame:
-    t = spark.createDataFrame([r[:4] for r in FORMS], "id int, start string, end string, course string")
-    return t.select("id", lectures.fault(F.col("start"), F.col("end"), F.col("course")).alias("fault"))
+    i, m = F.col("ord"), F.col("minute") % 1380
+    start = F.when(i % 5 == 0, F.when(i % 2 == 0, "8h")).otherwise(text.input_time(m))
+    end = F.when(i % 3 == 0, text.input_time(m)).otherwise(text.input_time(m + 50))
+    return slots(spark, d).select("ord", lectures.fault(start, end, F.when(i % 7 == 0, "  ").otherwise(F.col("class_name"))).alias("fault"))
 
 
-# --- rasters: two images whose pixels follow from their places
+# --- rasters
 
-PIXELS_SQL = "p AS (SELECT i AS img, y, x, ((y * 7 + x * 13 + i * 5) % 11 * 20)::INT AS v FROM range(1, 3) a(i), range(0, 6) b(y), range(0, 9) c(x)), m AS (SELECT img, y, x, (v < 100)::INT AS v FROM p)"
+_PX = (PIXELS_SQL, INK_SQL.format(n=HEIGHT * WIDTH, times=1))
 
 
-def _pixels(spark: SparkSession) -> DataFrame:
-    at = spark.range(2 * 6 * 9).select((F.col("id") / 54).cast("int").alias("i"), (F.col("id") % 54 / 9).cast("int").alias("y"), (F.col("id") % 9).cast("int").alias("x"))
-    return at.select((F.col("i") + 1).alias("img"), "y", "x", ((F.col("y") * 7 + F.col("x") * 13 + (F.col("i") + 1) * 5) % 11 * 20).alias("v"))
-
-
-def _ink(spark: SparkSession) -> DataFrame:
-    return raster.global_mask(_pixels(spark), 100)
-
-
-@query("raster_projection", f"WITH {PIXELS_SQL} SELECT img, y AS pos, sum(v) AS v FROM m GROUP BY 1, 2")
+@query(*_PX, "SELECT img, y AS pos, sum(v) AS v FROM ink GROUP BY 1, 2")
 def raster_projection(spark: SparkSession, d: str) -> DataFrame:
-    return raster.projection(_ink(spark), "y")
+    return raster.projection(ink(spark, d), "y")
 
 
-@query("raster_ink", f"WITH {PIXELS_SQL} SELECT img, sum(v) AS ink, round(avg(v), 6) AS ratio FROM m GROUP BY 1")
+@query(*_PX, "SELECT img, sum(v) AS ink, round(avg(v), 6) AS ratio FROM ink GROUP BY 1")
 def raster_ink(spark: SparkSession, d: str) -> DataFrame:
-    return raster.ink(_ink(spark))
+    return raster.ink(ink(spark, d))
 
 
-@query("raster_rotate", f"WITH {PIXELS_SQL} SELECT img, x AS y, 5 - y AS x, v FROM p")
+@query(*_PX, f"SELECT img, x AS y, {HEIGHT - 1} - y AS x, v FROM px")
 def raster_rotate(spark: SparkSession, d: str) -> DataFrame:
-    return raster.rotate(_pixels(spark), 90)
+    return raster.rotate(pixels(spark, d), 90)
 
 
-@query("raster_crop", f"WITH {PIXELS_SQL} SELECT img, y - 1 AS y, x - 2 AS x, v FROM p WHERE y BETWEEN 1 AND 3 AND x BETWEEN 2 AND 6")
+@query(*_PX, "SELECT img, y - 1 AS y, x - 2 AS x, v FROM px WHERE y BETWEEN 1 AND 13 AND x BETWEEN 2 AND 26")
 def raster_crop(spark: SparkSession, d: str) -> DataFrame:
-    return raster.crop(_pixels(spark), 1, 2, 3, 5)
+    return raster.crop(pixels(spark, d), 1, 2, 13, 25)
 
 
 @query(
-    "raster_longest_run",
-    f"""WITH {PIXELS_SQL}, h AS (SELECT img, y, x, CASE WHEN x - lag(x) OVER (PARTITION BY img, y ORDER BY x) <= 2 THEN 0 ELSE 1 END AS cut FROM m WHERE v = 1),
-r AS (SELECT *, sum(cut) OVER (PARTITION BY img, y ORDER BY x) AS run FROM h), l AS (SELECT img, y, run, max(x) - min(x) + 1 AS n FROM r GROUP BY 1, 2, 3) SELECT img, y, max(n) AS length FROM l GROUP BY 1, 2""",
-)
+    *_PX,
+    "h AS (SELECT img, y, x, CASE WHEN x - lag(x) OVER (PARTITION BY img, y ORDER BY x) <= 2 THEN 0 ELSE 1 END AS cut FROM ink WHERE v = 1)",
+    "r AS (SELECT *, sum(cut) OVER (PARTITION BY img, y ORDER BY x) AS run FROM h)", "l AS (SELECT img, y, run, max(x) - min(x) + 1 AS n FROM r GROUP BY 1, 2, 3)",
+    "SELECT img, y, max(n) AS length FROM l GROUP BY 1, 2",
+)
 def raster_longest_run(spark: SparkSession, d: str) -> DataFrame:
-    return raster.longest_run(_ink(spark), "x", 1)
+    return raster.longest_run(ink(spark, d), "x", 1)
 
 
-@query("raster_xor", f"WITH {PIXELS_SQL} SELECT img, y, x, xor(v, (x % 2)::INT) AS v FROM m")
+@query(*_PX, "SELECT img, y, x, xor(v, (x % 2)::INT) AS v FROM ink")
 def raster_xor(spark: SparkSession, d: str) -> DataFrame:
-    stripes = _pixels(spark).withColumn("v", F.col("x") % 2)
-    return raster.combined(_ink(spark), stripes, lambda a, b: a.bitwiseXOR(b))
+    stripes = pixels(spark, d).withColumn("v", F.col("x") % 2)
+    return raster.combined(ink(spark, d), stripes, lambda a, b: a.bitwiseXOR(b))
