@@ -283,3 +283,15 @@ def best_turn(grid: DataFrame, read: Callable[[DataFrame], DataFrame], angles: t
         now = written(open_.alias("h").join(tried.alias("t"), F.col("h.img") == F.col("t.img"), "left").select(F.col("h.img").alias("img"), *fields), "readings")
         settled, open_ = settled.unionByName(now.where("good")), now.where("not good")
     return settled.unionByName(open_)
+
+
+def inked(cells: DataFrame, mask: DataFrame, keys: list[str], least: int = 12, share: float = 0.0015) -> DataFrame:
+    """``cells`` (img, ``keys``, x, y, w, h) with ink and empty: a cell of fewer than ``least`` pixels, or than ``share`` of its area, is empty.
+
+    A cell meets the ink row by row, so that an image's cells and pixels are not all compared.
+    """
+    rows = cells.select("img", *keys, "x", "w", F.explode(F.sequence(F.col("y").cast("int"), (F.col("y") + F.col("h")).cast("int") - 1)).alias("__y")).distinct()
+    own = mask.where("v = 1").select("img", F.col("y").alias("__y"), F.col("x").alias("__x"))
+    met = rows.join(own, ["img", "__y"]).where((F.col("__x") >= F.col("x")) & (F.col("__x") < F.col("x") + F.col("w"))).groupBy("img", *keys).agg(F.count("*").alias("ink"))
+    out = cells.join(met, ["img", *keys], "left").na.fill(0, ["ink"])
+    return out.withColumn("empty", (F.col("ink") < least) | (F.col("ink") / (F.col("w") * F.col("h")) < share))

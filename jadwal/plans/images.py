@@ -397,15 +397,165 @@ BINARIZED_SQL = _sql(
     "SELECT img, sum(v)::BIGINT AS ink, round(avg(v), 6) AS ratio FROM done GROUP BY 1",
 )
 
+# --- single steps
+
+
+def gray_pixels(spark: SparkSession, d: str) -> DataFrame:
+    v, y, x = F.col("v"), F.col("y"), F.col("x")
+    rgba = pixels(spark, d).select("img", "y", "x", (v * 37 % 256).alias("r"), ((v * 7 + x) % 256).alias("g"), (y * 9 % 256).alias("b"), F.when((x + y) % 3 == 0, 128).otherwise(255).alias("a"))
+    return raster.gray(rgba)
+
+
+_OVER = "(({c}) * a / 255.0::DOUBLE + 255 * (1 - a / 255.0::DOUBLE))"
+GRAY_PIXELS_SQL = _sql(
+    "rgba AS (SELECT img, y, x, v * 37 % 256 AS r, (v * 7 + x) % 256 AS g, y * 9 % 256 AS b, CASE WHEN (x + y) % 3 = 0 THEN 128 ELSE 255 END AS a FROM px)",
+    "SELECT img, y, x, floor(round(0.299::DOUBLE * " + _OVER.format(c="r") + " + 0.587::DOUBLE * " + _OVER.format(c="g") + " + 0.114::DOUBLE * " + _OVER.format(c="b") + ", 9) + 0.5)::INT AS v FROM rgba",
+)
+
+
+def resized_images(spark: SparkSession, d: str) -> DataFrame:
+    return raster.resize(gray(spark, d), 16, 21)
+
+
+_PLACES = "{n} AS (SELECT t, greatest(0, floor(p))::INT AS a, least({old} - 1, greatest(0, floor(p))::INT + 1) AS b, p - greatest(0, floor(p)) AS w FROM (SELECT t, least({old} - 1, (t + 0.5::DOUBLE) * ({old} / {new}::DOUBLE) - 0.5) AS p FROM range({new}) AS r(t)))"
+RESIZED_SQL = _sql(
+    _PLACES.format(n="ys", old=HEIGHT, new=16), _PLACES.format(n="xs", old=WIDTH, new=21),
+    """SELECT g.img, ys.t AS y, xs.t AS x, floor(round(sum(v * CASE WHEN g.y = ys.a AND ys.a = ys.b THEN 1 WHEN g.y = ys.a THEN 1 - ys.w ELSE ys.w END * CASE WHEN g.x = xs.a AND xs.a = xs.b THEN 1 WHEN g.x = xs.a THEN 1 - xs.w ELSE xs.w END), 9) + 0.5)::INT AS v
+  FROM gray g JOIN ys ON g.y IN (ys.a, ys.b) JOIN xs ON g.x IN (xs.a, xs.b) GROUP BY ALL""",
+)
+
+
+def downscaled_images(spark: SparkSession, d: str) -> DataFrame:
+    return raster.downscale(gray(spark, d), 2.5)
+
+
+DOWNSCALED_SQL = _sql("SELECT * FROM (SELECT img, (ceil((y + 1) / 2.5) - 1)::INT AS y, (ceil((x + 1) / 2.5) - 1)::INT AS x, floor(round(avg(v), 9) + 0.5)::INT AS v FROM gray GROUP BY ALL) WHERE y < 9 AND x < 12")
+
+
+def stretched_images(spark: SparkSession, d: str) -> DataFrame:
+    return raster.stretch(gray(spark, d), 0.05, 0.9)
+
+
+STRETCHED_SQL = _sql(
+    "hist AS (SELECT img, v, count(*) AS n FROM gray GROUP BY 1, 2)",
+    "upto AS (SELECT img, v, sum(n) OVER (PARTITION BY img ORDER BY v) AS below, sum(n) OVER (PARTITION BY img ORDER BY v DESC) AS above, sum(n) OVER (PARTITION BY img) AS total FROM hist)",
+    "ends AS (SELECT img, min(v) FILTER (below >= total * 0.05::DOUBLE) AS lo, max(v) FILTER (above >= total * (1 - 0.9::DOUBLE)) AS hi FROM upto GROUP BY 1)",
+    "SELECT img, y, x, (CASE WHEN hi - lo < 30 THEN v ELSE greatest(0, least(255, floor(round((v - lo) * 255 / (hi - lo), 9) + 0.5))) END)::INT AS v FROM gray JOIN ends USING (img)",
+)
+
+
+def _around_sql(source: str, what: str, ry: int, rx: int) -> str:
+    return f"SELECT p.img, p.y, p.x, {what} AS v FROM {source} p JOIN {source} s ON s.img = p.img AND abs(s.y - p.y) <= {ry} AND abs(s.x - p.x) <= {rx} GROUP BY p.img, p.y, p.x"
+
+
+def blurred_images(spark: SparkSession, d: str) -> DataFrame:
+    return raster.blur(gray(spark, d))
+
+
+def widened_ink(spark: SparkSession, d: str) -> DataFrame:
+    return raster.dilate(ink(spark, d, 2), 2, 0)
+
+
+def opened_ink(spark: SparkSession, d: str) -> DataFrame:
+    return raster.opened(ink(spark, d), 1)
+
+
+def adaptive_ink(spark: SparkSession, d: str) -> DataFrame:
+    return raster.adaptive_mask(gray(spark, d), 7, 12)
+
+
+def line_pixels(spark: SparkSession, d: str) -> DataFrame:
+    return raster.lines(ink(spark, d), "x", 6, 1)
+
+
+_LINES_SQL = (
+    "hit AS (SELECT img, y, x, CASE WHEN x - lag(x) OVER (PARTITION BY img, y ORDER BY x) <= 2 THEN 0 ELSE 1 END AS c FROM ink WHERE v = 1)",
+    "run AS (SELECT img, y, min(x) AS a, max(x) AS b FROM (SELECT *, sum(c) OVER (PARTITION BY img, y ORDER BY x) AS k FROM hit) GROUP BY img, y, k HAVING max(x) - min(x) + 1 >= 6)",
+    "drawn AS (SELECT p.img, p.y, p.x, (a IS NOT NULL)::INT AS v FROM px p LEFT JOIN run r ON r.img = p.img AND r.y = p.y AND p.x BETWEEN a AND b)",
+)
+
+
+def text_ink(spark: SparkSession, d: str) -> DataFrame:
+    mask = ink(spark, d)
+    return raster.without_lines(mask, raster.lines(mask, "x", 6, 1), 0)
+
+
+def profile_segments(spark: SparkSession, d: str) -> DataFrame:
+    return raster.segments(_column_profile(spark, d, 2), 1, 2, 2)
+
+
+SEGMENTS_SQL = _sql(
+    "hit AS (SELECT img, x FROM ink GROUP BY 1, 2 HAVING sum(v) > 1)", "cut AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY img ORDER BY x) <= 2 THEN 0 ELSE 1 END AS c FROM hit)",
+    "run AS (SELECT img, min(x) AS first, max(x) AS last FROM (SELECT *, sum(c) OVER (PARTITION BY img ORDER BY x) AS k FROM cut) GROUP BY img, k HAVING max(x) - min(x) + 1 >= 2)",
+    "SELECT *, (lag(last) OVER (PARTITION BY img ORDER BY first) + first) / 2.0::DOUBLE AS before FROM run",
+    times=2,
+)
+
+
+def column_peaks(spark: SparkSession, d: str) -> DataFrame:
+    profile = _column_profile(spark, d, 1)
+    level = profile.groupBy("img").agg(F.avg("v").alias("level"))
+    return raster.line_peaks(profile.join(level, "img"), F.col("level"), 3)
+
+
+PEAKS_SQL = _sql(
+    "profile AS (SELECT img, x AS pos, sum(v) AS v, avg(sum(v)) OVER (PARTITION BY img) AS level FROM ink GROUP BY img, x)",
+    "high AS (SELECT *, pos - row_number() OVER (PARTITION BY img ORDER BY pos) AS k FROM profile WHERE v >= level)",
+    "peak AS (SELECT img, min(pos) AS first, max(pos) AS last, sum(pos * v) / sum(v)::DOUBLE AS at_, max(v)::DOUBLE AS s FROM high GROUP BY img, k)",
+    "numbered AS (SELECT *, row_number() OVER (PARTITION BY img ORDER BY first) AS i FROM peak)",
+    """fold AS (SELECT img, i, [{'first': first, 'last': last, 'at_': at_, 's': s}] AS done FROM numbered WHERE i = 1
+  UNION ALL SELECT f.img, n.i, CASE WHEN n.at_ - t.at_ < 3 THEN f.done[:-2] || [{'first': t.first, 'last': n.last, 'at_': (t.at_ * t.s + n.at_ * n.s) / (t.s + n.s), 's': greatest(t.s, n.s)}] ELSE f.done || [{'first': n.first, 'last': n.last, 'at_': n.at_, 's': n.s}] END
+  FROM (SELECT *, done[-1] AS t FROM fold) f JOIN numbered n ON n.img = f.img AND n.i = f.i + 1)""",
+    "SELECT img, p.first, p.last, round(p.at_, 6) AS \"at\", p.s AS strength FROM (SELECT img, unnest(done) AS p FROM (SELECT img, arg_max(done, i) AS done FROM fold GROUP BY 1))",
+)
+
+
+def inked_cells(spark: SparkSession, d: str) -> DataFrame:
+    mask = ink(spark, d)
+    cells = rulings.build_cells(_lines(spark, d, ROWS), _lines(spark, d, COLUMNS), mask, mask, band=0)
+    return raster.inked(cells, ink(spark, d, 2), ["row", "col", "row_span", "col_span"], 5, 0.12).select("img", "row", "col", "ink", "empty")
+
+
+INKED_SQL = _sql(
+    "cells AS (SELECT * FROM (" + CELLS_SQL + "))",
+    f"more AS (SELECT img, y, x FROM (SELECT *, v * {HEIGHT * WIDTH} > 2 * sum(v) OVER (PARTITION BY img) AS dark FROM px) WHERE dark)",
+    'SELECT img, "row", col, ink, ink < 5 OR ink / (w * h) < 0.12 AS empty FROM (SELECT *, (SELECT count(*) FROM more m WHERE m.img = c.img AND m.x >= c.x AND m.x < c.x + c.w AND m.y >= c.y AND m.y < c.y + c.h) AS ink FROM cells c)',
+)
+
+
+def short_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Each image's ink read as one label: whole, or by its best splits."""
+    mask = ink(spark, d, 2)
+    boxes = glyphs.columns_of(mask, _boxes(mask), [])
+    whole = _scored(spark, d, mask, boxes.drop("cols").withColumn("a", F.col("x0")).withColumn("b", F.col("x1")), ["a", "b"])
+    piece = lambda p: F.struct(p["symbol"].alias("symbol"), p["score"].alias("score"), (p["x1"] - p["x0"] + 1).cast("int").alias("w"), (p["y1"] - p["y0"] + 1).cast("int").alias("h"))
+    one = whole.select("img", F.lit(1).alias("n"), F.array(piece(F.struct(*glyphs.BOX, "symbol", "score"))).alias("pieces"))
+    split = glyphs.search_splits(boxes, [], lambda pieces: _scored(spark, d, mask, pieces, ["a", "b"])).select("img", "n", F.transform("pieces", piece).alias("pieces"))
+    ways = one.unionByName(split).groupBy("img").agg(F.array_sort(F.collect_list(F.struct("n", "pieces"))).alias("ways"))
+    read = glyphs.readings(ways.select("img", F.array(F.transform("ways", lambda w: w["pieces"])).alias("alternatives")), ["img"])
+    return read.select("img", "text", F.round("confidence", 6).alias("confidence"), "glyphs")
+
+
+LABELS_SQL = SEARCHED_SQL[: SEARCHED_SQL.rindex("scored AS (")].replace("ways AS (SELECT img, 2 AS n", "ways AS (SELECT img, 1 AS n, -1 AS i, -1 AS j, [[x0, x1]] AS spans FROM box UNION ALL SELECT img, 2 AS n") + """scored AS (
+  SELECT img, n, i, j, reverse(string_agg(label::VARCHAR, '' ORDER BY nth DESC)) AS label, avg(score) AS mean, min(score) AS low, round(0.7 * avg(score) + 0.3 * min(score), 9) AS s FROM parts JOIN named USING (img, a, b) GROUP BY img, n, i, j HAVING count(*) = n),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY img, n ORDER BY s DESC, i, j) = 1),
+chosen AS (SELECT *, round(0.7 * mean + 0.3 * low + CASE WHEN n <= 2 THEN 0.08 ELSE 0 END - (n - 1) * 0.05, 9) AS total FROM best QUALIFY row_number() OVER (PARTITION BY img ORDER BY total DESC, n) = 1)
+SELECT img, label AS "text", round(greatest(0, least(1, (0.6 * mean + 0.4 * low - 0.45) / 0.4)), 6) AS confidence, n AS glyphs FROM chosen"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         image_skew, ruled_cells, image_homographies, warped_images, schedule_bands, restored_lines, outer_lines, grouped_orders, valley_cuts, glyph_samples, searched_cuts, restored_order, best_turns,
-        table_corners, binarized_ink,
+        table_corners, binarized_ink, gray_pixels, resized_images, downscaled_images, stretched_images, blurred_images, widened_ink, opened_ink, adaptive_ink, line_pixels, text_ink, profile_segments,
+        column_peaks, inked_cells, short_labels,
     )
 }
 ORACLE = {
     "image_skew": SKEW_SQL, "ruled_cells": CELLS_SQL, "image_homographies": HOMOGRAPHY_SQL, "warped_images": WARP_SQL, "schedule_bands": BANDS_SQL, "restored_lines": RESTORED_SQL, "outer_lines": OUTER_SQL,
     "grouped_orders": GROUPS_SQL, "valley_cuts": VALLEY_SQL, "glyph_samples": SAMPLES_SQL, "searched_cuts": SEARCHED_SQL, "restored_order": ORDER_SQL, "best_turns": TURN_SQL, "table_corners": CORNERS_SQL,
-    "binarized_ink": BINARIZED_SQL,
+    "binarized_ink": BINARIZED_SQL, "gray_pixels": GRAY_PIXELS_SQL, "resized_images": RESIZED_SQL, "downscaled_images": DOWNSCALED_SQL, "stretched_images": STRETCHED_SQL,
+    "blurred_images": _sql(_around_sql("gray", "floor(round(avg(s.v), 9) + 0.5)::INT", 1, 1)), "widened_ink": _sql(_around_sql("ink", "max(s.v)", 0, 2), times=2),
+    "opened_ink": _sql(f"worn AS ({_around_sql('ink', 'min(s.v)', 1, 1)})", _around_sql("worn", "max(s.v)", 1, 1)), "adaptive_ink": _sql(_around_sql("gray", "(any_value(p.v) < avg(s.v) - 12)::INT", 3, 3)),
+    "line_pixels": _sql(*_LINES_SQL, "SELECT * FROM drawn"), "text_ink": _sql(*_LINES_SQL, "SELECT img, y, x, ink.v * (1 - drawn.v) AS v FROM ink JOIN drawn USING (img, y, x)"), "profile_segments": SEGMENTS_SQL,
+    "column_peaks": PEAKS_SQL, "inked_cells": INKED_SQL, "short_labels": LABELS_SQL,
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from jadwal.functions import text
 from jadwal.operators import cells, choices, lectures, lessons, raster, schedule, splits
 from jadwal.plans.images import HEIGHT, INK_SQL, PIXELS_SQL, WIDTH, ink, pixels
 from jadwal.plans.slots import SLOTS_SQL, slots, table
-from jadwal.sources import responses
+from jadwal.sources import designs, responses
+from jadwal.storage import shared_dir
 
 REPLY_ROWS = 40  # events of one stored reply
 
@@ -440,6 +443,53 @@ def lecture_forms(spark: SparkSession, d: str) -> DataFrame:
     return slots(spark, d).select("ord", lectures.fault(start, end, F.when(i % 7 == 0, "  ").otherwise(F.col("class_name"))).alias("fault"))
 
 
+@query("SELECT sched, count(DISTINCT day_idx) >= 3 AND count(DISTINCT period) FILTER (conf >= 0.9) >= 3 AS good FROM slots GROUP BY 1")
+def good_passes(spark: SparkSession, d: str) -> DataFrame:
+    seen = slots(spark, d).groupBy("sched").agg(F.count_distinct("day_idx").alias("days"), F.count_distinct(F.when(F.col("conf") >= 0.9, F.col("period"))).alias("periods"))
+    return seen.select("sched", lessons.pass_is_good(F.col("days"), F.col("periods")).alias("good"))
+
+
+def _found(spark: SparkSession, d: str) -> DataFrame:
+    reads, grids = _week_tables(spark, d)
+    sure = F.when((F.col("row") > 0) & (F.col("col") < 7), 50.0 + (F.col("doc_id") * 7 + F.col("ord")) % 50).otherwise(F.col("ocr_confidence"))
+    return schedule.lessons(cells.classify(reads.withColumn("ocr_confidence", sure)), grids)
+
+
+# a class of a digit and a letter scores 1, of two digits 0.85; a day's name 1, a period's digit 0.95; labels are read with 0.9
+@query(
+    f"first AS (SELECT sched, day_idx, period, {ARABIC_SQL.format('arg_min(class_name, ord)')} AS class_name FROM slots WHERE day_idx < 5 AND period <= 7 GROUP BY ALL)",
+    f"SELECT sched AS doc_id, {sql_list(DAYS)}[day_idx + 1] AS day, period, round((0.55 * (CASE WHEN class_name LIKE '%/١' THEN 0.85 ELSE 1.0 END * 0.85 + 0.1) + 0.45 * (50 + (sched * 7 + (day_idx + 1) * 100 + 7 - period) % 50) / 100) * (0.85 + 0.15 * (0.95 * 0.6 + 0.9 * 0.4)), 4) AS confidence FROM first",
+)
+def lesson_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return schedule.in_order(_found(spark, d)).select("doc_id", "day", "period", F.round("confidence", 4).alias("confidence"))
+
+
+@query(
+    "f AS (SELECT DISTINCT sched, day_idx, period FROM slots WHERE day_idx < 5 AND period <= 7)",
+    f"SELECT sched AS doc_id, array_to_string(list_transform(list_sort(list(DISTINCT day_idx)), lambda i: {sql_list(DAYS)}[i + 1]), ',') AS days, array_to_string(list_sort(list(DISTINCT period)), ',') AS periods FROM f GROUP BY sched",
+)
+def labels_read(spark: SparkSession, d: str) -> DataFrame:
+    told = schedule.labels_read(_found(spark, d))
+    return told.select("doc_id", F.concat_ws(",", "days").alias("days"), F.concat_ws(",", F.col("periods").cast("array<string>")).alias("periods"))
+
+
+@query(
+    "k AS (SELECT sched, day_idx, count(*) AS n FROM slots GROUP BY ALL)", "t AS (SELECT sched, count(*) AS n, array_to_string(list(n ORDER BY day_idx), ',') AS grid FROM k GROUP BY 1)",
+    "SELECT sched::VARCHAR AS owner, CASE WHEN sched % 2 = 0 THEN 1 ELSE 2 END AS saved_at, grid || CASE WHEN sched % 2 = 0 THEN '' ELSE ',new' END AS grid, CASE WHEN sched % 3 = 0 THEN 'mine' ELSE 'My week' END AS title FROM t WHERE sched % 5 <> 4 AND sched % 7 <> 6",
+)
+def stored_designs(spark: SparkSession, d: str) -> DataFrame:
+    """Designs that are saved, saved again, cleared, or of another version, as loading finds them."""
+    counts = slots(spark, d).groupBy("sched", "day_idx").agg(F.count("*").alias("n"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("day_idx", "n"))), lambda x: x["n"].cast("string"))
+    grid = counts.groupBy("sched").agg(rows.alias("rows"))
+    state = lambda body: F.to_json(F.struct(F.when(F.col("sched") % 7 == 6, 2).otherwise(1).alias("version"), F.array(body).alias("grid"), F.when(F.col("sched") % 3 == 0, "mine").alias("title")))
+    path = f"{shared_dir(spark)}/designs-{uuid.uuid4().hex}"
+    designs.save(grid.select(F.col("sched").alias("owner"), F.lit(1).alias("saved_at"), state(F.col("rows")).alias("json")), path)
+    designs.save(grid.where("sched % 2 = 1").select(F.col("sched").alias("owner"), F.lit(2).alias("saved_at"), state(F.concat("rows", F.array(F.lit("new")))).alias("json")), path)
+    designs.clear(grid.where("sched % 5 = 4").select(F.col("sched").alias("owner"), F.lit(3).alias("saved_at")), path)
+    return designs.load(spark, path, {"title": "My week"}).select("owner", "saved_at", F.array_join(F.flatten("grid"), ",").alias("grid"), "title")
+
+
 # --- rasters
 
 _PX = (PIXELS_SQL, INK_SQL.format(n=HEIGHT * WIDTH, times=1))

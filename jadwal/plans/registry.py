@@ -198,6 +198,10 @@ def grid_components(spark: SparkSession, d: str) -> DataFrame:
     return grid.components(_mask(spark, d), 24)
 
 
+def components_by_size(spark: SparkSession, d: str) -> DataFrame:
+    return grid.by_size(grid.components(_mask(spark, d), 24))
+
+
 def template_dice(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     return numeric.template_scores(e, e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("t")), "vec_id", "embedding")
@@ -225,9 +229,9 @@ QUERIES = {
     for f in (
         slot_first_wins, class_key_canonical, section_style_fix, digit_pair_swap, confidence_bands, schedule_quality, week_grid_pivot, source_merge_conflicts, period_gap_fill, direction_vote,
         time_rank_periods, axis_choice, palette_assignment, hour_range, active_days, interval_clip_layout, accuracy_score, clock_extract, token_letters, noise_strip, json_ingest, fuzzy_best_match,
-        upper_median, otsu_threshold, percentile_stretch, peak_islands, center_clusters, nearest_center, integral_box_mean, dilate_erode_grid, grid_components, template_dice, cell_spans_to_slots,
+        upper_median, otsu_threshold, percentile_stretch, peak_islands, center_clusters, nearest_center, integral_box_mean, dilate_erode_grid, grid_components, template_dice, cell_spans_to_slots, components_by_size,
     )
 }
 QUERIES["flagship"] = flagship
 QUERIES |= images.QUERIES | readings.QUERIES
-ORACLE = TABLE_SQL | images.ORACLE | readings.ORACLE
+ORACLE = TABLE_SQL | {"components_by_size": TABLE_SQL["grid_components"]} | images.ORACLE | readings.ORACLE
