@@ -6,8 +6,8 @@ A byte goes when it lies in a ``span``-byte string that also starts in a documen
 2. Every span-byte window has an anchor: the gram with the smallest hash in it, so equal windows have equal
    anchors at equal offsets. The windows of one anchor form a context. Contexts are dealt by their anchor's hash
    over buckets of bounded size.
-   An anchor with very many contexts would fill its bucket: a first pass counts contexts by anchor, and the contexts of such
-   anchors are dealt by their own hash instead.
+   An anchor with very many contexts would fill its bucket: a first pass over a fixed share of the documents counts contexts by
+   anchor, and the contexts of anchors above a limit that does not depend on the size are dealt by their own hash instead.
 3. Equal contexts collapse to their smallest document, in each batch first, so that a frequent line sends a bucket one
    entry a batch; a later document's context is repeated throughout.
 4. Where an anchor has several contexts, a window may also occur in another one. Those contexts are sharded by
@@ -38,7 +38,8 @@ FLUSH_BYTES = 20 << 20
 BUCKET_BYTES = 12 << 20  # of input text a bucket
 SHARD_BYTES = 1 << 20
 MANY_CONTEXTS = 5000
-HEAVY_ANCHORS = 1_000_000  # at most so many anchors are counted as heavy, eight bytes each
+DEALT_CONTEXTS = 500_000  # contexts of one anchor that are dealt together, about 15 MB
+SAMPLE_PART = 16
 FREQUENT = 4096  # occurrences of a window whose rows are not shuffled by it
 BROADCAST_ROWS = 500_000  # of at most four numbers each
 
@@ -160,12 +161,14 @@ def _texts(docs: DataFrame, span: int) -> DataFrame:
     return docs.select("doc_id", "tid", F.col("text").cast("binary")).where(F.octet_length("text") >= span)
 
 
-def heavy_anchors(docs: DataFrame, least: int, span: int, gram: int) -> np.ndarray:
-    """The hashes of the anchors with more than ``least`` contexts, in order.
+def heavy_anchors(docs: DataFrame, most: int, span: int, gram: int, part: int | None = None) -> np.ndarray:
+    """The hashes of the anchors with more than about ``most`` contexts, in order.
 
-    Each batch counts its distinct contexts by anchor and passes on the counts of two and more, so an anchor that is left out has at
-    most ``least`` contexts and one more for each batch.
+    They are counted on every ``part``-th document (SAMPLE_PART), single contexts included, so it does not matter over how many batches an anchor's contexts
+    are spread. The limit is the same at every size: an anchor that is left out has about ``most`` contexts at most, and as each of those found has
+    more, their number is a fixed small share of the text (eight bytes for ``most`` contexts).
     """
+    part = part or SAMPLE_PART
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, h, context, _, _ in _context_batches(batches, span, gram):
@@ -173,11 +176,11 @@ def heavy_anchors(docs: DataFrame, least: int, span: int, gram: int) -> np.ndarr
             h, context = h[order], context[order]
             h = h[np.append(True, (h[1:] != h[:-1]) | (context[1:] != context[:-1]))]
             first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            n = np.diff(np.append(first, len(h)))
-            yield pa.RecordBatch.from_arrays([pa.array(h[first][n > 1].view("i8")), pa.array(n[n > 1])], ["h", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[first].view("i8")), pa.array(np.diff(np.append(first, len(h))))], ["h", "n"])
 
-    counts = _texts(docs, span).mapInArrow(work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    found = counts.where(F.col("n") > least).select("h").toArrow().column("h").to_numpy()
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", "tid"), F.lit(part)) == 0)
+    counts = _texts(sample, span).mapInArrow(work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") * part > most).select("h").toArrow().column("h").to_numpy()
     return np.sort(found.astype("i8").view("u8"))
 
 
@@ -229,7 +232,7 @@ def _flat(t: pa.Table, name: str, dtype: str) -> np.ndarray:
 def shared_contexts(docs: DataFrame, buckets: int, span: int, gram: int, many: int) -> DataFrame:
     """Rows of FOUND: intervals repeated because an earlier document has the whole context; and, with ``n`` contexts of its
     anchor, each context of an anchor with several whose windows are still to be compared (``h`` 0 for heavy anchors)."""
-    heavy = heavy_anchors(docs, max(many, buckets * BUCKET_BYTES // HEAVY_ANCHORS), span, gram)
+    heavy = heavy_anchors(docs, DEALT_CONTEXTS, span, gram)
 
     def meet(t: pa.Table) -> pa.Table:
         low, doc, tid, start = (_flat(t, n, d) for n, d in (("low", "i8"), ("doc", "i8"), ("tid", "i4"), ("start", "i8")))

@@ -219,9 +219,24 @@ def test_an_anchor_with_many_contexts_never_meets_in_one_group(spark, monkeypatc
     assert len(heavy) == 1
     places = suffix_dedup._entries(base, 8, heavy, 50, 24).where("place >= 0").groupBy("place").agg(F.sum(F.size("low")).alias("n"))
     assert places.agg(F.max("n")).first()[0] < 15_000  # the anchor alone has 30,000
-    got = suffix_dedup.without_repeats(table).collect()
     want = brute_removal(rows)
-    assert sorted((tuple(x) for x in got), key=str) == want and sum(w[2] for w in want) > 20_000
+    assert sum(w[2] for w in want) > 20_000
+    for most in (suffix_dedup.DEALT_CONTEXTS, 2000):
+        monkeypatch.setattr(suffix_dedup, "DEALT_CONTEXTS", most)
+        assert sorted((tuple(x) for x in suffix_dedup.without_repeats(table).collect()), key=str) == want
+
+
+def test_heavy_anchor_of_single_contexts(spark):
+    """An anchor with one new context in each of many batches is found, and the limit does not depend on how many texts there are."""
+    r = random.Random(5)
+    phrases = ["".join(r.choice("klmnop") for _ in range(24)) for _ in range(20_000)]
+    phrase = phrases[int(suffix_dedup.Grams(np.frombuffer("".join(phrases).encode(), "u1")).at(24)[::24].argmin())]
+    rows = [(i, "".join(r.choice("klmnop") for _ in range(26)) + phrase + "".join(r.choice("klmnop") for _ in range(26))) for i in range(2400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(80)
+    base = table.withColumn("tid", F.hash("text"))
+    everywhere = suffix_dedup.heavy_anchors(base, 300, 50, 24, part=1)
+    assert len(everywhere) >= 1 and set(suffix_dedup.heavy_anchors(base, 300, 50, 24)) <= set(suffix_dedup.heavy_anchors(base, 100, 50, 24, part=1))
+    assert set(everywhere) & set(suffix_dedup.heavy_anchors(base, 300, 50, 24))
 
 
 def brute_removal(rows, span=50):
