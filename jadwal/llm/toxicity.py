@@ -16,16 +16,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jadwal.llm.common import table, text_slices
+from jadwal.llm.common import table, text_slices, written
 from jadwal.shipping import ship
 
 ROWS, DIM, FILTERS, WIDTHS = 1 << 15, 16, 8, (1, 2, 3)
 PREFIXES = (4, 5, 6)  # bytes
 TRAIN_PER_CLASS = {1: 1500, 0: 3000}  # the bound on the labelled sample
+TRAIN_BYTES = 64 << 20  # and on its texts together
 LEAST_THRESHOLD_ROWS = 60
 LEAST_DOCUMENTS = 3  # of the sample that hold a feature which is to have an embedding
 CACHE_WORDS, CACHE_BYTES = 80_000, 12 << 20  # the words that a worker keeps
@@ -263,8 +264,8 @@ def held_out(doc_id) -> F.Column:  # type: ignore[name-defined]
 def fitted(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] | None = None) -> tuple[Network, DataFrame, float | None]:
     """A network that is not calibrated yet, the labels to calibrate it with, and the share of toxic labels.
 
-    Four in five labelled rows that are not held out may train: per class, those with the smallest hash of their id.
-    All others, also those beyond the bound, calibrate.
+    Four in five labelled rows that are not held out may train: per class, those with the smallest hash of their id, and of their texts, in the order of
+    the hash, as many as have ``TRAIN_BYTES`` together; only those reach the driver. All other labels, also those beyond the first bound, calibrate.
     """
     bounds = per_class or TRAIN_PER_CLASS
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id", "toxic")
@@ -277,7 +278,10 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] | None
         ids = own if ids is None else ids.unionByName(own)
     rest = known.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_anti")
     lang = F.coalesce("lang", F.lit("")) if "lang" in docs.columns else F.lit("")
-    rows = sorted(tuple(r) for r in docs.select("doc_id", "text", lang).join(F.broadcast(ids), "doc_id").where("text is not null").collect())
+    drawn = docs.select("doc_id", "text", lang.alias("lang")).join(F.broadcast(ids), "doc_id").where("text is not null").withColumn("h", F.xxhash64(F.lit("sample"), "doc_id", "text", "lang"))
+    sizes = drawn.select("doc_id", "h", F.octet_length("text").alias("bytes")).orderBy("h", "doc_id").limit(sum(bounds.values()))
+    fits = sizes.withColumn("upto", F.sum("bytes").over(Window.partitionBy().orderBy("h", "doc_id"))).where(F.col("upto") <= TRAIN_BYTES)  # over the few rows of the sample
+    rows = sorted(tuple(r) for r in drawn.join(F.broadcast(fits.select("doc_id", "h").distinct()), ["doc_id", "h"]).select("doc_id", "text", "lang", "toxic").collect())
     if not rows or share in (None, 0.0, 1.0):
         net = Network.start(np.random.default_rng(0))
         net.scale = (1e-3, -4.0 if not share else 4.0)
@@ -287,7 +291,7 @@ def fitted(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] | None
 
 
 def raw_scores(docs: DataFrame, net: Network) -> DataFrame:
-    """doc_id, lang and raw score of the documents, without their texts."""
+    """doc_id, lang, known (there are an id and a text) and raw score of the documents, without their texts; null texts are as empty ones."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,12 +299,13 @@ def raw_scores(docs: DataFrame, net: Network) -> DataFrame:
         for batch in batches:
             for part in text_slices(batch, 2, DOCS_AT_ONCE):
                 raw = shared.value.raw(*words.encode(part.column(2).to_pylist()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(raw.astype("f8"))], ["doc_id", "lang", "raw"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(raw.astype("f8"))], ["doc_id", "lang", "known", "raw"])
 
     ship(docs.sparkSession)
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
-    rows = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), lang, "text")
-    return rows.mapInArrow(work, "doc_id long, lang string, raw double")
+    known = (F.col("text").isNotNull() & F.col("doc_id").isNotNull()).alias("known")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang, "text", known)
+    return rows.mapInArrow(work, "doc_id long, lang string, known boolean, raw double")
 
 
 def histogram_of(raw: DataFrame, rest: DataFrame) -> list[tuple[str | None, int, int, int]]:
@@ -314,10 +319,32 @@ def train(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] | None =
     """A network from a bounded sample of the labels, calibrated on all other labels that are not held out."""
     net, rest, share = fitted(docs, labels, per_class)
     if share is not None:
-        calibrate(net, histogram_of(raw_scores(docs, net), rest), share)
+        calibrate(net, histogram_of(raw_scores(docs.where("text is not null and doc_id is not null"), net), rest), share)
     return net
 
 
+def threshold(net: Network, bar: float, has_lang: bool) -> Column:
+    """The language's threshold, else ``bar``."""
+    limit = F.lit(bar)
+    for lang, t in sorted(net.thresholds.items()) if has_lang else ():
+        limit = F.when(F.col("lang") == lang, t).otherwise(limit)
+    return limit
+
+
+def judged(docs: DataFrame, labels: DataFrame, bar: float = 0.3) -> DataFrame:
+    """doc_id, score, toxic of every row of ``docs``, by a network trained on them; without their texts.
+
+    The texts are encoded once: the raw scores are written, calibrate the network, and become the scores, which are a monotone map of them.
+    """
+    net, rest, share = fitted(docs, labels)
+    raw = written(raw_scores(docs, net), "raw-scores")
+    if share is not None:
+        calibrate(net, histogram_of(raw.where("known"), rest), share)
+    a, b = net.scale
+    score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("raw") * a + b))))
+    return raw.withColumn("score", score).select("doc_id", "score", (F.col("score") >= threshold(net, bar, True)).alias("toxic"))
+
+
 def score_documents(docs: DataFrame, net: Network, bar: float = 0.3, score: str = "toxicity", flag: str = "toxic") -> DataFrame:
     """``docs`` with columns ``score`` and ``flag`` (the score reaches the language's threshold, else ``bar``).
 
@@ -339,15 +366,9 @@ def score_documents(docs: DataFrame, net: Network, bar: float = 0.3, score: str
 
     ship(docs.sparkSession)
     out = docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))
-    limit = F.lit(bar)
-    if "lang" in docs.columns:
-        for lang, t in sorted(net.thresholds.items()):
-            limit = F.when(F.col("lang") == lang, t).otherwise(limit)
-    return out.withColumn(flag, F.col(score) >= limit)
+    return out.withColumn(flag, F.col(score) >= threshold(net, bar, "lang" in docs.columns))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    net = train(docs, labels)
-    scored = score_documents(docs.select("doc_id", "lang", "text"), net)
-    return scored.select("doc_id", held_out("doc_id").alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"), "toxic")
+    scored = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "toxic")

@@ -652,3 +652,24 @@ def test_url_filter(spark):
     big = url_filter.filter_urls(pages, url_filter.production_list(spark), broadcast_rows=0).orderBy("page_id").collect()
     assert [r["verdict"] for r in big] == [r["verdict"] for r in rows]
     assert url_filter.filter_urls(pages.limit(0), url_filter.production_list(spark)).count() == 0
+
+
+def test_toxicity_scores_once(spark):
+    """One encoding gives the scores that training and scoring apart give, for every row."""
+    rows = [(i, " ".join(["bad" if i % 3 == 0 else "good", *words(i, 6).split()]), "en", int(i % 3 == 0)) for i in range(300)] + [(None, "bad", "en", None), (400, None, "fr", None), (401, "", None, None), (0, "bad", "en", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    labels = docs.select("doc_id", "toxic").where("toxic is not null").distinct()
+    docs = docs.drop("toxic")
+    apart = toxicity.score_documents(docs, toxicity.train(docs, labels)).select("doc_id", F.round("toxicity", 4), "toxic")
+    once = toxicity.judged(docs, labels).select("doc_id", F.round("score", 4), "toxic")
+    assert sorted(map(tuple, once.collect()), key=str) == sorted(map(tuple, apart.collect()), key=str)
+
+
+def test_toxicity_sample_is_bounded_by_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "bad " * 50 if i % 2 else "good " * 50, i % 2) for i in range(200)], "doc_id long, text string, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y: seen.append(sum(map(len, texts))) or toxicity.Network.start(np.random.default_rng(0)))
+    for limit in (3000, 1 << 20):
+        monkeypatch.setattr(toxicity, "TRAIN_BYTES", limit)
+        toxicity.fitted(docs.drop("toxic"), docs.select("doc_id", "toxic"))
+    assert 0 < seen[0] <= 3000 < seen[1]
