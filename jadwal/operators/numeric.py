@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
 MOST_TEMPLATES = 10_000
+MOST_CENTRES = 10_000
 
 
 def upper_median(rows: DataFrame, key: str, value: str, bins: int = 4096) -> DataFrame:
@@ -89,7 +89,12 @@ def clusters(rows: DataFrame, value: str, tolerance: float, stretch: int = 4096)
 
 
 def nearest(rows: DataFrame, value: str, centres: DataFrame) -> DataFrame:
-    """``rows`` with the nearest centre (idx, centre); of equally near ones the lower idx. Centres are few."""
+    """``rows`` with the nearest centre (idx, centre); of equally near ones the lower idx.
+
+    Centres are the lines of a grid: at most MOST_CENTRES, which is checked before they are sent to every task.
+    """
+    if centres.limit(MOST_CENTRES + 1).count() > MOST_CENTRES:
+        raise ValueError(f"at most {MOST_CENTRES} centres")
     listed = centres.agg(F.array_sort(F.collect_list(F.struct("idx", F.col("centre").cast("double").alias("centre")))).alias("__centres"))
     best = F.array_min(F.transform("__centres", lambda c: F.struct(F.abs(F.col(value) - c["centre"]).alias("distance"), c["idx"].alias("idx"), c["centre"].alias("centre"))))
     return rows.crossJoin(F.broadcast(listed)).withColumn("__best", best).withColumn("idx", F.col("__best.idx")).withColumn("centre", F.col("__best.centre")).drop("__best", "__centres")
