@@ -24,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jadwal.llm.common import table, text_slices, written
+from jadwal.llm.common import partitions, table, text_slices, written
 from jadwal.shipping import ship
 
 LENGTH = 2048
 END_ID = 1
 GROUP_PIECES = 8192
+REPEATS = 65_536  # equal rows that one task tells apart
 CACHE_WORDS, CACHE_BYTES = 150_000, 24 << 20  # the words and ids that a worker keeps
 DOCS_AT_ONCE = 512
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -170,14 +171,24 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
     return sequence, offset
 
 
+def numbered(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with ``copy``: 0, 1, ... among equal rows. Equal rows are counted before they are told apart, so that they never meet in one task."""
+    counted = written(pieces.groupBy(*pieces.columns).agg(F.count("*").alias("__m")), "distinct-pieces")
+    chunks = counted.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("__m") - 1) / REPEATS))))
+    if not counted.where(F.col("__m") > REPEATS).isEmpty():
+        chunks = chunks.repartition(partitions(pieces.sparkSession))
+    last = F.least(F.col("__m"), (F.col("__chunk") + 1) * REPEATS) - 1
+    return chunks.select(*pieces.columns, F.explode(F.sequence(F.col("__chunk") * REPEATS, last)).alias("copy"))
+
+
 def pack(pieces: DataFrame, length: int = LENGTH, group_pieces: int = GROUP_PIECES, seed: int = 7) -> DataFrame:
     """``pieces`` (PIECES) with sequence_id and offset; no piece is longer than ``length``.
 
-    Groups are drawn by a hash of the row's place in the written table, so neither repeated rows nor
-    one document's pieces can fill a group.
+    Groups are drawn by a hash of the row and of its number among equal rows, so neither repeated rows nor one document's pieces
+    can fill a group, and the same pieces get the same sequences however their files are laid out.
     """
     groups = max(1, -(-pieces.count() // group_pieces))
-    drawn = pieces.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(groups)))
+    drawn = numbered(pieces).withColumn("group", F.pmod(F.xxhash64(F.lit(seed), *pieces.columns, "copy"), F.lit(groups))).drop("copy")
 
     def one(t: pa.Table) -> pa.Table:
         order = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])

@@ -345,6 +345,15 @@ def test_first_fit_decreasing():
         bins[k] += lengths[i]
 
 
+def test_packing_does_not_depend_on_files(spark, monkeypatch):
+    monkeypatch.setattr(packing, "REPEATS", 20)
+    rows = [(i % 150, 0, 1 + i * 37 % 900, i % 150, 1) for i in range(300)] + [(7, 0, 260, 7, 1)] * 90
+    one = spark.createDataFrame(rows, packing.PIECES).coalesce(1)
+    other = spark.createDataFrame(rows[::-1], packing.PIECES).repartition(5)
+    a, b = (sorted(map(tuple, packing.pack(t, group_pieces=64).collect())) for t in (one, other))
+    assert a == b and len(a) == len(rows)
+
+
 def test_packing_of_nothing(empty):
     assert packing.pack_documents(empty).count() == 0
 
