@@ -113,11 +113,35 @@ OTHERS = [
     "Licensed under the Open Software License version 3.0.",
     "Use of this file is governed by the terms of your agreement with the vendor.",
     "A driver must carry a licence and show it on demand.",
+    "Apache is the name of a people, of a county and of a web server.",
+    "He taught at MIT before the common era of open networks.",
     "The hotel has two reserved seats and the general public may use this entrance.",
     "They have the right to redistribute the seats under these conditions.",
     "Copyright law grants authors rights to their works in all countries.",
     "The version of this program is listed in the file, see above for the conditions.",
 ]
+#: Short notices, as training rows only: every pattern with some names of every family, and with names of other licences for the unknown class.
+PATTERNS = [
+    "Licensed under {}", "Licensed under the {}.", "Released under {}.", "Released under the terms of the {}.", "Distributed under the {} license.", "Distributed under {}", "License: {}", "Licence: {}",
+    "{} License", "{} licence", "Everything in this repository is {} licensed.", "All code here is {}-licensed unless stated otherwise", "Published under a {} license", "Available under the {} license, see the file",
+    "You may use this under the {} license", "Made available under the terms of the {}", "Provided under {} terms", "The package is covered by the {}.", "Publié sous licence {}", "Logiciel distribué sous la licence {}",
+    "Lizenziert unter der {} Lizenz", "Steht unter der {}-Lizenz", "Veröffentlicht unter {}", "Distribuido bajo la licencia {}", "Con licencia {}", "License ({}) applies", "open source under {}", "dual use allowed by the {}",
+]
+NAMES = {
+    "apache-2.0": ["Apache 2.0", "Apache-2.0", "Apache License 2.0", "Apache License, Version 2.0", "Apache Licence 2", "Apache Software License 2.0"],
+    "mit": ["MIT", "MIT License", "MIT/Expat", "MIT (Expat)", "MIT licence"],
+    "gpl": ["GPL", "GPLv2", "GPLv3", "GPL-3.0", "GPL 2.0 or later", "GNU GPL", "GNU GPL v3", "GNU General Public License", "GNU General Public License version 2", "GNU General Public License v3.0 or later"],
+    "bsd": ["BSD", "BSD-3-Clause", "BSD 2-Clause", "three-clause BSD", "new BSD", "simplified BSD", "BSD-style", "modified BSD"],
+    "cc-by": ["CC BY 4.0", "CC-BY 3.0", "CC BY-SA 4.0", "CC-BY-SA", "Creative Commons Attribution 4.0", "Creative Commons Attribution-ShareAlike 3.0"],
+    "cc-by-nc": ["CC BY-NC 4.0", "CC-BY-NC", "CC BY-NC-SA 3.0", "CC BY-NC-ND", "Creative Commons Attribution-NonCommercial 4.0", "Creative Commons NonCommercial"],
+    UNKNOWN: [
+        "LGPL", "LGPL-2.1", "LGPLv3", "GNU LGPL", "GNU Lesser General Public License", "GNU Lesser General Public License version 2.1", "GNU Library General Public License", "AGPL", "AGPL-3.0", "AGPLv3",
+        "GNU AGPL", "GNU Affero General Public License", "GNU Affero General Public License version 3", "GNU Free Documentation License", "Mozilla Public License 2.0", "MPL 2.0", "zlib", "ISC", "Unlicense",
+        "Eclipse Public License", "EPL 2.0", "Boost Software License", "Artistic License", "CC0", "CC BY-ND 4.0", "Creative Commons NoDerivatives", "Microsoft Public License", "European Union Public Licence",
+        "PostgreSQL License", "Python Software Foundation License", "SIL Open Font License", "vendor", "standard terms", "usual",
+    ],
+}
+NAMES_A_PATTERN = {UNKNOWN: 14}  # of every family 6
 FAMILIES = [*TEMPLATES, UNKNOWN]
 SPLIT = r"[^\p{L}\p{N}]+"
 #: Blank lines (with comment signs only), or the end of a line that ends a sentence.
@@ -215,6 +239,11 @@ def _training_texts(ordinary: list[list[str]], copies: int, rng: np.random.Gener
                     lost = set(rng.permutation(telling)[: max(len(telling) - len(telling) // 4, 1)].tolist())
                     texts.append(placed([around[rng.integers(0, len(around))] if w in lost else w for w in ws], c))
                     labels.append(unknown)
+    for at, pattern in enumerate(PATTERNS):
+        for family, names in NAMES.items():
+            for c in range(NAMES_A_PATTERN.get(family, 6)):
+                texts.append(placed(_words(pattern.format(names[(at * 5 + c) % len(names)])), (c + at) % 3))
+                labels.append(FAMILIES.index(family))
     for other in OTHERS:
         texts += [placed([w for w in _words(other) if c < 4 or rng.random() > 0.08], c) for c in range(copies)]
         labels += [unknown] * copies
@@ -228,12 +257,13 @@ def fit(ordinary: list[list[str]], copies: int = 16, rounds: int = 250, l1: floa
     texts, labels = _training_texts(ordinary, copies, rng)
     y = np.array(labels)
     grams = [_grams(ws) for ws in texts]
-    known = set().union(*[_grams(_words(t)) for t in [*OTHERS, *sum(TEMPLATES.values(), [])]])
+    short = {f: [_words(p.format(n)) for p in PATTERNS for n in names] for f, names in NAMES.items()}
+    known = set().union(*[_grams(_words(t)) for t in [*OTHERS, *sum(TEMPLATES.values(), [])]], *[_grams(ws) for rows in short.values() for ws in rows])
     seen: dict[str, int] = {}
     for gs in grams[len(texts) - len(ordinary) :]:
         for g in gs:
             seen[g] = seen.get(g, 0) + 1
-    in_templates = set().union(*[_grams(_words(t)) for ts in TEMPLATES.values() for t in ts])
+    in_templates = set().union(*[_grams(_words(t)) for ts in TEMPLATES.values() for t in ts], *[_grams(ws) for f, rows in short.items() if f != UNKNOWN for ws in rows])
     common = {g for g, n in seen.items() if n * 100 >= len(ordinary) and g.count(" ") < 2}  # grams of ordinary text
     vocabulary = {g: i for i, g in enumerate(sorted(known | common))}
     silent = np.array([g in common or g not in in_templates for g in vocabulary])  # these speak for no family

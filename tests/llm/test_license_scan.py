@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jadwal.llm import license_scan as scan_of
+from notices import NO_FAMILY, NOTICES
 
 MIT = [
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
@@ -129,3 +130,16 @@ def test_of_nothing_and_training_from_a_table(spark, model):
     assert scan_of.scan(docs_of(spark, ["All rights reserved."]), nothing).count() == 1
     trained = scan_of.train(docs_of(spark, [" ".join(plain(i, 40)) for i in range(200)]), n=100)
     assert [r["family"] for r in scan_of.scan(docs_of(spark, ["some words\nLicensed under CC BY 4.0."]), trained).collect()] == ["cc-by"]
+
+
+def test_unseen_notices(spark):
+    """Notices that no template contains, other licences, and ordinary sentences."""
+    model = scan_of.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    texts = [(f, t) for f, ts in NOTICES.items() for t in ts] + [(None, t) for t in NO_FAMILY]
+    found = {r["doc_id"]: r["family"] for r in scan_of.scan(docs_of(spark, [t for _, t in texts]), model).collect() if r["family"] != scan_of.UNKNOWN}
+    wanted = {i: f for i, (f, _) in enumerate(texts) if f}
+    right = sum(found.get(i) == f for i, f in wanted.items())
+    wrong = [texts[i] for i in found if i not in wanted]
+    assert right >= 0.9 * len(wanted) and len(wanted) >= 40
+    assert len(wrong) <= 1, wrong
+    assert not [t for _, t in wrong if "GPL" in t or "Lesser" in t or "Affero" in t]
