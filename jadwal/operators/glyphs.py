@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jadwal.functions.columns import let
+from jadwal.operators import grid, raster
 from jadwal.operators.skew import half_up
 from jadwal.storage import written
 
@@ -242,3 +243,54 @@ def readings(groups: DataFrame, keys: list[str], most: int = 6) -> DataFrame:
     label = F.when(F.col("word"), None).when(F.col("dashes"), "").when(F.col("text").rlike("[0-9٠-٩]"), F.col("text"))
     out = ended.select(*keys, label.alias("text"), F.when(label.isNotNull(), F.when(F.col("dashes"), 0.9).otherwise(sure)).alias("confidence"), F.when(label.isNotNull(), F.size("pieces")).alias("glyphs"))
     return groups.select(*keys).join(out, keys, "left")
+
+
+def with_hamza(symbol: Column, parts: Column) -> Column:
+    """A vertical stroke of several parts is an alef with a mark, not a one."""
+    return F.when((parts >= 2) & symbol.isin(ONES), "أ").otherwise(symbol)
+
+
+def recognize(gray: DataFrame, templates: DataFrame, most: int = 6, side: int = 24) -> DataFrame:
+    """img, text, confidence, glyphs: the short label on each image (img, y, x, v), or null where it is none that can be read.
+
+    Ink is what is darker than the image's own threshold, which must lie between 40 and 230. Specks go, components that lie above each other are one group, and
+    more than ``most`` groups are a word. A group is read whole, in its parts, or cut at thin columns; a wide one that no template fits well, also by
+    searching its cuts. Every piece of every image is sampled and matched in one pass.
+    """
+    level = raster.otsu_levels(gray).where("level between 40 and 230")
+    mask = gray.join(level, "img").select("img", "y", "x", (F.col("v") < F.col("level")).cast("int").alias("v"))
+    shape = grid.labelled(mask).groupBy("img", "label").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.count("*").alias("area")).where("area >= 3")
+    high = F.col("y1") - F.col("y0") + 1
+    largest = shape.groupBy("img").agg(F.max("area").alias("top"), F.max(high).alias("tall"))
+    kept = shape.join(largest, "img").where((F.col("area") >= F.col("top") * 0.01) & (high >= F.greatest(F.lit(2.0), F.col("tall") * 0.08))).select("img", *[F.col(c).cast("int").alias(c) for c in BOX])
+    listed = group_components(kept, ["img"]).where(F.size("groups") <= most)
+    line = F.array_max(F.transform("groups", lambda g: g["y1"] - g["y0"] + 1))
+    groups = listed.select("img", line.alias("line"), F.posexplode(F.reverse("groups")).alias("g", "b")).select("img", "line", "g", "b.*")
+    whole = written(columns_of(mask, groups, ["g"]), "label-groups")
+    valleys = written(valley_splits(whole).select("img", "g", "splits"), "valleys")
+    lines = whole.select("img", "g", "line")
+
+    def score(pieces: DataFrame, names: list[str]) -> DataFrame:
+        aspect = (F.col("x1") - F.col("x0") + 1) / (F.col("y1") - F.col("y0") + 1)
+        shaped = pieces.join(lines, ["img", "g"]).select("img", "g", *names, *BOX, aspect.alias("aspect"), ((F.col("y1") - F.col("y0") + 1) / F.col("line")).alias("height"))
+        drawn = samples(mask, shaped, ["g", *names], side).join(shaped.drop(*BOX), ["img", "g", *names])
+        return shaped.drop("aspect", "height").join(matched(drawn, templates, ["img", "g", *names]), ["img", "g", *names])
+
+    own = F.struct(*BOX)
+    parts = F.when(F.size("parts").between(2, 3), F.array(F.reverse(F.array_sort("parts")))).otherwise(F.array().cast("array<array<struct<x0:int,y0:int,x1:int,y1:int,area:bigint>>>"))
+    plain = whole.select("img", "g", F.array(F.array(own)).alias("a"), parts.alias("b")).join(valleys, ["img", "g"])
+    box = "array<array<struct<x0:int,y0:int,x1:int,y1:int,area:bigint>>>"
+    ways = plain.select("img", "g", F.posexplode(F.concat(F.col("a").cast(box), F.col("b").cast(box), F.col("splits").cast(box))).alias("way", "pieces")).select("img", "g", "way", F.posexplode("pieces").alias("at", "p"))
+    ways = written(ways.select("img", "g", "way", "at", "p.*"), "ways")
+    read = written(score(ways, ["way", "at"]), "read-pieces")
+    weak = read.where("way = 0 and score < 0.8").select("img", "g")
+    wide = whole.where(F.col("x1") - F.col("x0") + 1 >= 1.15 * (F.col("y1") - F.col("y0") + 1)).join(weak, ["img", "g"], "left_semi")
+    searched = search_splits(wide, ["g"], lambda pieces: score(pieces, ["a", "b"]))
+    found = searched.select("img", "g", (1000 + F.col("n")).alias("way"), F.posexplode("pieces").alias("at", "p")).select("img", "g", "way", "at", *[F.col(f"p.{c}").alias(c) for c in (*BOX, "symbol", "score")])
+    told = read.select("img", "g", "way", "at", *BOX, "symbol", "score").unionByName(found).join(whole.select("img", "g", F.size("parts").alias("n")), ["img", "g"])
+    symbol = F.when(F.col("way") == 0, with_hamza(F.col("symbol"), F.col("n"))).otherwise(F.col("symbol"))
+    piece = F.struct("at", symbol.alias("symbol"), "score", (F.col("x1") - F.col("x0") + 1).cast("int").alias("w"), (F.col("y1") - F.col("y0") + 1).cast("int").alias("h"))
+    one = told.groupBy("img", "g", "way").agg(F.transform(F.array_sort(F.collect_list(piece)), lambda p: F.struct(p["symbol"].alias("symbol"), p["score"].alias("score"), p["w"].alias("w"), p["h"].alias("h"))).alias("pieces"))
+    alternatives = one.groupBy("img", "g").agg(F.transform(F.array_sort(F.collect_list(F.struct("way", "pieces"))), lambda w: w["pieces"]).alias("ways"))
+    labels = alternatives.groupBy("img").agg(F.transform(F.array_sort(F.collect_list(F.struct("g", "ways"))), lambda g: g["ways"]).alias("alternatives"))
+    return gray.select("img").distinct().join(readings(labels, ["img"], most), "img", "left")
