@@ -41,7 +41,10 @@ STAGES = [("ابتدائي", ["ابتدائي", "ابتدايي", "ابتدائ
 HEADERS = [("header", ["اليوم", "الايام", "اليومالحصه", "الحصهاليوم", "يوم", "الوقت", "الزمن", "التوقيت", "الفسحه", "الصلاه", "الطابور"])]
 STANDBY = [("standby", ["منتظر", "انتظار", "الانتظار", "احتياط", "مناوبه", "نتظر", "نتظ", "نتض", "متظر"])]
 PERIOD_WORDS = ["الحصه", "حصه", "ح", "حصة", "الحصة"]
-SECTIONS = {"ا": "أ", "ب": "ب", "ج": "ج", "د": "د", "ه": "هـ", "و": "و", "ز": "ز", "ح": "ح", "ط": "ط", "ي": "ي", "a": "أ", "b": "ب", "c": "ج", "d": "د", "e": "هـ", "f": "و"}
+SECTIONS = {
+    "ا": "أ", "ب": "ب", "ج": "ج", "د": "د", "ه": "هـ", "و": "و", "ز": "ز", "ح": "ح", "ط": "ط", "ي": "ي", "a": "أ", "b": "ب", "c": "ج", "d": "د",
+    "e": "هـ", "f": "و"
+}
 SUBJECTS = [
     ("رياضيات", ["رياضيات", "الرياضيات", "رياضبات", "رياضيان"]),
     ("علوم", ["علوم", "العلوم"]),
@@ -83,4 +86,6 @@ CATEGORIES = {"day": DAYS, "ordinal": ORDINALS, "grade": GRADES, "stage": STAGES
 def lexicon(spark: SparkSession) -> DataFrame:
     """category, key, variant, ord."""
     rows = [{"category": c, "key": k, "variant": v} for c, entries in CATEGORIES.items() for k, vs in entries for v in vs]
-    return spark.range(1).select(F.posexplode(F.from_json(F.lit(json.dumps(rows)), "array<struct<category:string,key:string,variant:string>>")).alias("ord", "e")).select("e.*", "ord")
+    return spark.range(1).select(
+        F.posexplode(F.from_json(F.lit(json.dumps(rows)), "array<struct<category:string,key:string,variant:string>>")).alias("ord", "e")
+    ).select("e.*", "ord")

@@ -10,7 +10,9 @@ def direction_vote(labels: DataFrame, group: list[str], position: str, value: st
     """inc, dec and step per line: do labels mostly rise (equal neighbours count as falling) along the positions?"""
     before = F.lag(value).over(Window.partitionBy(*group).orderBy(position))
     marked = labels.withColumn("__before", before).where(F.col("__before").isNotNull())
-    counts = marked.groupBy(*group).agg(F.count_if(F.col(value) > F.col("__before")).alias("inc"), F.count_if(F.col(value) <= F.col("__before")).alias("dec"))
+    counts = marked.groupBy(*group).agg(
+        F.count_if(F.col(value) > F.col("__before")).alias("inc"), F.count_if(F.col(value) <= F.col("__before")).alias("dec")
+    )
     return counts.withColumn("step", F.when(F.col("inc") >= F.col("dec"), 1).otherwise(-1))
 
 
@@ -36,7 +38,9 @@ def fill_gaps(lines: DataFrame, group: list[str], low: int = 1, high: int = 12,
     before = F.col("a").isNull() & (F.col("n") >= 2) & (F.coalesce("hole_after", F.lit(1 << 30)) > F.col("b.pos")) & back.between(low, high)
     value = F.when(F.col("label").isNotNull(), F.col("label")).when(inner | after, ahead).when(before, back)
     sure = F.when(F.col("label").isNotNull(), 1.0).when(inner, 0.55).otherwise(0.5)
-    return t.select(*group, "pos", value.alias("value"), F.col("label").isNull().alias("inferred"), sure.alias("confidence")).where("value is not null")
+    return t.select(
+        *group, "pos", value.alias("value"), F.col("label").isNull().alias("inferred"), sure.alias("confidence")
+    ).where("value is not null")
 
 
 def rank_by_clock(headers: DataFrame, group: list[str]) -> DataFrame:
@@ -49,7 +53,9 @@ def rank_by_clock(headers: DataFrame, group: list[str]) -> DataFrame:
     t = headers.withColumn("i", F.row_number().over(w)).withColumn("n", F.count("*").over(every)).where("n >= 3")
     before = F.last("label", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     t = t.withColumn("slip", F.col("label").isNotNull() & before.isNotNull() & (F.col("label") <= before))
-    t = t.withColumn("ok", ~F.max("slip").over(every)).withColumn("anchor", F.min(F.when(F.col("label").isNotNull(), F.struct("i", "label"))).over(every))
+    t = t.withColumn("ok", ~F.max("slip").over(every)).withColumn(
+        "anchor", F.min(F.when(F.col("label").isNotNull(), F.struct("i", "label"))).over(every)
+    )
     rank = F.when(F.col("ok") & F.col("anchor").isNotNull(), F.col("anchor.label") + F.col("i") - F.col("anchor.i")).otherwise(F.col("i"))
     value = F.when(F.col("ok") & F.col("label").isNotNull(), F.col("label")).otherwise(rank)
     return t.select(*group, "pos", value.cast("int").alias("value"), "ok").where(F.col("value").between(1, 12))
@@ -67,6 +73,11 @@ def axis_scores(labels: DataFrame, group: str) -> DataFrame:
         F.count_distinct(F.when(day, F.col("value"))).alias("days"), F.count_distinct(F.when(period, F.col("value"))).alias("periods"),
     )
     score = 2.0 * F.col("days_read") + 1.5 * F.col("periods_read") + F.col("days") + F.col("periods")
-    both = s.withColumn("score", score).groupBy(group).agg(F.max(F.when(F.col("orientation") == "rows", F.col("score"))).alias("rows_score"), F.max(F.when(F.col("orientation") == "columns", F.col("score"))).alias("columns_score"))
+    both = s.withColumn("score", score).groupBy(group).agg(
+        F.max(F.when(F.col("orientation") == "rows", F.col("score"))).alias("rows_score"),
+        F.max(F.when(F.col("orientation") == "columns", F.col("score"))).alias("columns_score")
+    )
     r, c = F.coalesce("rows_score", F.lit(-1.0)), F.coalesce("columns_score", F.lit(-1.0))
-    return both.select(group, r.alias("rows_score"), c.alias("columns_score"), F.when(c > r, "days-in-columns").otherwise("days-in-rows").alias("orientation"))
+    return both.select(
+        group, r.alias("rows_score"), c.alias("columns_score"), F.when(c > r, "days-in-columns").otherwise("days-in-rows").alias("orientation")
+    )

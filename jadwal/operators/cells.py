@@ -80,9 +80,19 @@ def stage_words(tokens: Column) -> Column:
 def phrases(tokens: Column) -> Column:
     """(phrase, first, size) of one to three neighbouring tokens, longer ones first at equal places."""
     place = F.transform(tokens, lambda t, i: i)
-    spans = F.flatten(F.transform(place, lambda i: F.transform(F.array(*[F.lit(n) for n in (1, 2, 3)]), lambda n: F.struct(i.alias("first"), n.alias("size")))))
+    spans = F.flatten(
+        F.transform(place, lambda i: F.transform(F.array(*[F.lit(n) for n in (1, 2, 3)]), lambda n: F.struct(i.alias("first"), n.alias("size"))))
+    )
     fit = F.filter(spans, lambda s: s["first"] + s["size"] <= F.size(tokens))
-    named = F.transform(fit, lambda s: F.struct(F.array_join(F.filter(F.transform(F.slice(tokens, s["first"] + 1, s["size"]), lambda t: text.letters_only(t)), lambda t: t != ""), " ").alias("phrase"), s["first"].alias("first"), s["size"].alias("size")))
+    named = F.transform(
+        fit,
+        lambda s: F.struct(
+            F.array_join(
+                F.filter(F.transform(F.slice(tokens, s["first"] + 1, s["size"]), lambda t: text.letters_only(t)), lambda t: t != ""), " "
+            ).alias("phrase"),
+            s["first"].alias("first"), s["size"].alias("size")
+        )
+    )
     return F.filter(named, lambda p: F.length(F.regexp_replace(p["phrase"], " ", "")) >= 3)
 
 
@@ -100,24 +110,39 @@ def matched(rows: DataFrame, key: str, words: dict[str, Column]) -> DataFrame:
     pairs = asked.select("category", "word").distinct().join(F.broadcast(lexicon(rows.sparkSession)), "category")
     scored = similar_pairs(pairs, "word", "variant", LEAST)
     best = scored.groupBy("category", "word").agg(F.max_by(F.struct("key", "score"), F.struct("score", -F.col("ord"))).alias("m"))
-    entries = asked.join(best, ["category", "word"]).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "category", "word"), "m"))).alias("__m"))
-    return written(rows.join(entries, key, "left").withColumn("matches", F.coalesce("__m", F.create_map().cast(f"map<string,{MATCH}>"))).drop("__m"), "matches")
+    entries = asked.join(best, ["category", "word"]).groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "category", "word"), "m"))).alias("__m")
+    )
+    return written(
+        rows.join(entries, key, "left").withColumn("matches", F.coalesce("__m", F.create_map().cast(f"map<string,{MATCH}>"))).drop("__m"), "matches"
+    )
 
 
 # --- rules
 
 
 def match_day(norm: Column, matches: Column) -> Column:
-    return _best(F.transform(F.filter(day_words(norm), lambda w: F.length(w) >= 3), lambda w: look(matches, "day", w, F.when(F.length(w) <= 4, 0.75).otherwise(0.66))))
+    return _best(
+        F.transform(
+            F.filter(day_words(norm), lambda w: F.length(w) >= 3), lambda w: look(matches, "day", w, F.when(F.length(w) <= 4, 0.75).otherwise(0.66))
+        )
+    )
 
 
 def _period(key: Column, score: Column | float) -> Column:
     n = key.cast("int")
-    return F.when(n.between(1, 12), F.struct(n.alias("period"), F.lit(score).cast("double").alias("score") if isinstance(score, float) else score.alias("score")))
+    return F.when(
+        n.between(1, 12),
+        F.struct(n.alias("period"), F.lit(score).cast("double").alias("score") if isinstance(score, float) else score.alias("score"))
+    )
 
 
 def _ordinal(toks: Column, matches: Column, size: int, least: float) -> Column:
-    return _best(F.transform(F.filter(F.transform(toks, lambda t: text.letters_only(t)), lambda w: F.length(w) >= size), lambda w: look(matches, "ordinal", w, least)))
+    return _best(
+        F.transform(
+            F.filter(F.transform(toks, lambda t: text.letters_only(t)), lambda w: F.length(w) >= size), lambda w: look(matches, "ordinal", w, least)
+        )
+    )
 
 
 def match_period_line(line: Column, matches: Column) -> Column:
@@ -157,9 +182,13 @@ def digit_class(line: Column) -> Column:
     """Forms with digits: 2/b, b/2, 3/1, 2b or b2, in this order."""
     sep, letter = r" *[/-] *", f"[{SECTION}a-fA-F]"
     forms = [
-        (rf"(?<![0-9])([0-9]{{1,2}}){sep}({letter})(?![{AR}a-zA-Z])", True, 1.0), (rf"(?<![{AR}a-zA-Z])({letter}){sep}([0-9]{{1,2}})(?![0-9])", False, 0.95),
+        (rf"(?<![0-9])([0-9]{{1,2}}){sep}({letter})(?![{AR}a-zA-Z])", True, 1.0), (
+            rf"(?<![{AR}a-zA-Z])({letter}){sep}([0-9]{{1,2}})(?![0-9])", False, 0.95
+        ),
         (r"(?<![0-9])([0-9]{1,2}) *[/-] *([0-9]{1,2})(?![0-9])", None, 0.85),
-        (rf"(?<![0-9{AR}])([0-9]{{1,2}}) ?([{SECTION}])(?![{AR}])", True, 0.65), (rf"(?<![{AR}])([{SECTION}]) ?([0-9]{{1,2}})(?![0-9{AR}])", False, 0.65),
+        (rf"(?<![0-9{AR}])([0-9]{{1,2}}) ?([{SECTION}])(?![{AR}])", True, 0.65), (
+            rf"(?<![{AR}])([{SECTION}]) ?([0-9]{{1,2}})(?![0-9{AR}])", False, 0.65
+        ),
     ]
     out = []
     for pattern, digit_first, score in forms:
@@ -167,13 +196,19 @@ def digit_class(line: Column) -> Column:
         grade, part = (a, b) if digit_first in (True, None) else (b, a)
         shown = text.to_arabic_digits(part.cast("int")) if digit_first is None else _section(part)
         fits = grade.cast("int").between(1, 12) & (part.cast("int").between(1, 20) if digit_first is None else F.lit(True))
-        out.append(F.when((a != "") & fits, _class(F.concat(text.to_arabic_digits(grade.cast("int")), F.lit("/"), shown), score, replace_first(line, pattern))))
+        out.append(
+            F.when(
+                (a != "") & fits, _class(F.concat(text.to_arabic_digits(grade.cast("int")), F.lit("/"), shown), score, replace_first(line, pattern))
+            )
+        )
     return F.coalesce(*out)
 
 
 def _worded(grade: Column, stage: Column, section: Column) -> Column:
     head = F.concat_ws(" ", grade, stage)
-    return F.when(section.isNull(), head).when(section.rlike("^[٠-٩0-9]+$"), F.concat(head, F.lit("/"), section)).otherwise(F.concat(head, F.lit(" "), section))
+    return F.when(section.isNull(), head).when(section.rlike("^[٠-٩0-9]+$"), F.concat(head, F.lit("/"), section)).otherwise(
+        F.concat(head, F.lit(" "), section)
+    )
 
 
 def _tok(toks: Column, i: Column | int) -> Column:
@@ -191,7 +226,10 @@ def match_stage(toks: Column, i: Column, matches: Column) -> Column:
         short = look(matches, "stage", F.regexp_replace(word, ".$", ""), 0.9)
         whole = look(matches, "stage", word, 0.75)
         make = lambda m, section: F.struct(m["key"].alias("stage"), section.cast("string").alias("section"), F.lit(used).alias("used"))
-        tries = [F.when((F.length(word) > 3) & last.rlike(f"[{SECTION}]") & short.isNotNull(), make(short, _section(last))), F.when((F.length(word) > 1) & whole.isNotNull(), make(whole, F.lit(None)))]
+        tries = [
+            F.when((F.length(word) > 3) & last.rlike(f"[{SECTION}]") & short.isNotNull(), make(short, _section(last))),
+            F.when((F.length(word) > 1) & whole.isNotNull(), make(whole, F.lit(None)))
+        ]
         if used == 1:
             tries.insert(0, F.when((head != "") & glued.isNotNull(), make(glued, text.to_arabic_digits(digits))))
         return F.coalesce(*tries)
@@ -230,13 +268,29 @@ def worded_class(s: Column, matches: Column, bare_allowed: bool = False) -> Colu
             full = F.struct(named.alias("name"), score.alias("score"), _without(toks, start, end).alias("rest"))
             return F.when(~alone, full).when(F.lit(bare_allowed), _class(grade["key"], 0.6, _without(toks, i, i + 1)))
 
-        direct = F.when((glued != "") & ~word.startswith("ال"), _class(_worded(grade["key"], F.lit(None), text.to_arabic_digits(glued)), 0.9, _without(toks, start, i + 1)))
+        direct = F.when(
+            (glued != "") & ~word.startswith("ال"),
+            _class(_worded(grade["key"], F.lit(None), text.to_arabic_digits(glued)), 0.9, _without(toks, start, i + 1))
+        )
         stage = match_stage(toks, i + 1, matches)
-        number = F.when(stage.isNull() & bare & small(after), _class(_worded(grade["key"], F.lit(None), text.to_arabic_digits(after)), 0.95, _without(toks, start, i + 2)))
+        number = F.when(
+            stage.isNull() & bare & small(after),
+            _class(_worded(grade["key"], F.lit(None), text.to_arabic_digits(after)), 0.95, _without(toks, start, i + 2))
+        )
         return F.when((word != "") & grade.isNotNull(), F.coalesce(direct, number, let(stage, with_stage)))
 
     def rescued(toks: Column, i: Column) -> Column:
-        back = F.transform(F.array(*[F.lit(k) for k in (1, 2, 3)]), lambda k: F.struct(look(matches, "grade", F.when((i - k >= 0) & (F.length(text.letters_only(_tok(toks, i - k))) >= 2), text.letters_only(_tok(toks, i - k))).otherwise(""), 0.5).alias("g"), (i - k).alias("at")))
+        back = F.transform(
+            F.array(*[F.lit(k) for k in (1, 2, 3)]),
+            lambda k: F.struct(
+                look(
+                    matches, "grade",
+                    F.when((i - k >= 0) & (F.length(text.letters_only(_tok(toks, i - k))) >= 2), text.letters_only(_tok(toks, i - k))).otherwise(""),
+                    0.5
+                ).alias("g"),
+                (i - k).alias("at")
+            )
+        )
 
         def build(st: Column) -> Column:
             grade = first_of(back, lambda b: b["g"].isNotNull())
@@ -244,7 +298,9 @@ def worded_class(s: Column, matches: Column, bare_allowed: bool = False) -> Colu
             letter, number = nxt.rlike(f"^[{SECTION}]$"), small(nxt)
             section = F.coalesce(st["section"], F.when(letter, _section(nxt)).when(number, text.to_arabic_digits(nxt)))
             end = i + st["used"] + F.when(letter | number, 1).otherwise(0)
-            return F.when(st.isNotNull() & grade.isNotNull(), _class(_worded(grade["g"]["key"], st["stage"], section), 0.6, _without(toks, grade["at"], end)))
+            return F.when(
+                st.isNotNull() & grade.isNotNull(), _class(_worded(grade["g"]["key"], st["stage"], section), 0.6, _without(toks, grade["at"], end))
+            )
 
         return let(match_stage(toks, i, matches), build)
 
@@ -260,17 +316,49 @@ def parse_class(norm: Column, matches: Column, bare_allowed: bool = False) -> Co
     """(name, score, rest): words win when a stage or class word is there, or with the better score."""
     s = flat(norm)
     ls = lines_of(norm)
-    per_line = F.transform(ls, lambda x, i: let(digit_class(x), lambda d: F.when(d.isNotNull(), F.struct(d["name"].alias("name"), d["score"].alias("score"), F.array_join(F.concat(F.slice(ls, F.lit(1), i), F.array(d["rest"]), F.slice(ls, i + 2, F.size(ls))), " ").alias("rest")))))
+    per_line = F.transform(
+        ls, lambda x,
+        i: let(
+            digit_class(x),
+            lambda d: F.when(
+                d.isNotNull(),
+                F.struct(
+                    d["name"].alias("name"), d["score"].alias("score"),
+                    F.array_join(F.concat(F.slice(ls, F.lit(1), i), F.array(d["rest"]), F.slice(ls, i + 2, F.size(ls))), " ").alias("rest")
+                )
+            )
+        )
+    )
     digits = F.when(F.size(ls) > 1, _best(per_line)).otherwise(digit_class(s))
-    return let(F.struct(digits.alias("d"), worded_class(s, matches).alias("w"), worded_class(s, matches, bare_allowed).alias("b")), lambda x: F.when(s.rlike("متوسط|ابتدائ|ثانوي|صف") & x["w"].isNotNull(), x["w"]).when(x["b"].isNotNull() & (x["d"].isNull() | (x["b"]["score"] > x["d"]["score"])), x["b"]).otherwise(x["d"]))
+    return let(
+        F.struct(digits.alias("d"), worded_class(s, matches).alias("w"), worded_class(s, matches, bare_allowed).alias("b")),
+        lambda x: F.when(s.rlike("متوسط|ابتدائ|ثانوي|صف") & x["w"].isNotNull(), x["w"]).when(
+            x["b"].isNotNull() & (x["d"].isNull() | (x["b"]["score"] > x["d"]["score"])), x["b"]
+        ).otherwise(x["d"])
+    )
 
 
 def match_subject(s: Column, matches: Column) -> Column:
     """(key, score, rest): the best phrase; of equals the longer one."""
 
     def rules(toks: Column) -> Column:
-        scored = F.transform(phrases(toks), lambda p: let(look(matches, "subject", p["phrase"], F.when(F.length(p["phrase"]) <= 4, 0.8).otherwise(0.72)), lambda m: F.struct((m["score"] + p["size"] * 1e-9).alias("score"), m["key"].alias("key"), m["score"].alias("plain"), p["first"].alias("first"), p["size"].alias("size"))))
-        return let(_best(scored), lambda b: F.when(b.isNotNull(), F.struct(b["key"].alias("key"), b["plain"].alias("score"), _without(toks, b["first"], b["first"] + b["size"]).alias("rest"))))
+        scored = F.transform(
+            phrases(toks),
+            lambda p: let(
+                look(matches, "subject", p["phrase"], F.when(F.length(p["phrase"]) <= 4, 0.8).otherwise(0.72)),
+                lambda m: F.struct(
+                    (m["score"] + p["size"] * 1e-9).alias("score"), m["key"].alias("key"), m["score"].alias("plain"), p["first"].alias("first"),
+                    p["size"].alias("size")
+                )
+            )
+        )
+        return let(
+            _best(scored),
+            lambda b: F.when(
+                b.isNotNull(),
+                F.struct(b["key"].alias("key"), b["plain"].alias("score"), _without(toks, b["first"], b["first"] + b["size"]).alias("rest"))
+            )
+        )
 
     return let(text.tokens(flat(s)), rules)
 
@@ -285,18 +373,32 @@ def labels(texts: DataFrame, body: str) -> DataFrame:
     """For each distinct text what it is as a label: ``body``, name (of a class or standby, bare grades allowed), class_name and
     class_score (bare grades not allowed), period, period_score, day, day_score, subject, subject_score, timed, letters, numbered."""
     ship(texts.sparkSession)
-    t = written(texts.select(F.col(body).alias("raw")).where(F.col(body).isNotNull()).distinct().withColumn("norm", text.normalize_arabic(F.col("raw"))), "texts")
+    t = written(
+        texts.select(F.col(body).alias("raw")).where(F.col(body).isNotNull()).distinct().withColumn("norm", text.normalize_arabic(F.col("raw"))),
+        "texts"
+    )
     norm, toks = F.col("norm"), text.tokens(flat(F.col("norm")))
     words = F.transform(toks, lambda x: text.letters_only(x))
     found = matched(t, "raw", {
-        "day": day_words(norm), "ordinal": F.flatten(F.transform(lines_of(norm), lambda x: F.transform(period_tokens(x), lambda p: text.letters_only(p)))), "grade": words, "stage": stage_words(toks),
-        "standby": F.array(F.regexp_extract(F.trim(flat(norm)), rf"^(?:حصه *)?([{AR}]{{3,8}}) *([0-9]{{1,2}})?$", 1)), "subject": F.transform(phrases(toks), lambda p: p["phrase"]),
+        "day": day_words(norm), "ordinal": F.flatten(
+            F.transform(lines_of(norm), lambda x: F.transform(period_tokens(x), lambda p: text.letters_only(p)))
+        ), "grade": words, "stage": stage_words(toks),
+        "standby": F.array(
+            F.regexp_extract(F.trim(flat(norm)), rf"^(?:حصه *)?([{AR}]{{3,8}}) *([0-9]{{1,2}})?$", 1)
+        ), "subject": F.transform(phrases(toks), lambda p: p["phrase"]),
     })
     m = F.col("matches")
-    read = found.select("raw", "norm", standby(norm, m).alias("w"), parse_class(norm, m, True).alias("b"), parse_class(norm, m).alias("c"), match_period(norm, m).alias("p"), match_day(norm, m).alias("d"), match_subject(norm, m).alias("s"))
+    read = found.select(
+        "raw", "norm", standby(norm, m).alias("w"), parse_class(norm, m, True).alias("b"), parse_class(norm, m).alias("c"),
+        match_period(norm, m).alias("p"), match_day(norm, m).alias("d"), match_subject(norm, m).alias("s")
+    )
     return read.select(
-        F.col("raw").alias(body), F.coalesce("w", "b.name").alias("name"), F.col("c.name").alias("class_name"), F.col("c.score").alias("class_score"), "p.period", F.col("p.score").alias("period_score"), F.col("d.key").alias("day"),
-        F.col("d.score").alias("day_score"), F.col("s.key").alias("subject"), F.col("s.score").alias("subject_score"), norm.rlike("[0-9]{1,2}[:.][0-9]{2}").alias("timed"),
+        F.col("raw").alias(body), F.coalesce("w", "b.name").alias("name"), F.col("c.name").alias("class_name"), F.col("c.score").alias("class_score"), "p.period", F.col("p.score").alias("period_score"), F.col(
+            "d.key"
+        ).alias("day"),
+        F.col("d.score").alias("day_score"), F.col("s.key").alias("subject"), F.col("s.score").alias("subject_score"), norm.rlike(
+            "[0-9]{1,2}[:.][0-9]{2}"
+        ).alias("timed"),
         F.length(F.regexp_replace(norm, f"[^{AR}]", "")).alias("letters"), norm.rlike("[0-9]").alias("numbered"),
     )
 
@@ -310,17 +412,25 @@ def classify(cells: DataFrame, body: str = "text", ocr: str = "ocr_confidence")
     ship(cells.sparkSession)
     texts = cells.select(F.col(body).alias("raw")).distinct().withColumn("plain", text.nfkc(F.col("raw")))
     by_line = F.transform(F.split(F.coalesce("plain", F.lit("")), "\n"), lambda x: text.strip_noise(text.fold(x)))
-    texts = texts.select("raw", F.sha2(F.coalesce("raw", F.lit("\x00")), 256).alias("id"), text.fold(F.col("plain")).alias("norm"), by_line.alias("line_norms"))
+    texts = texts.select(
+        "raw", F.sha2(F.coalesce("raw", F.lit("\x00")), 256).alias("id"), text.fold(F.col("plain")).alias("norm"), by_line.alias("line_norms")
+    )
     texts = written(texts.withColumn("cleaned", text.strip_noise(F.col("norm"))), "texts")
     norm, cleaned = F.col("norm"), F.col("cleaned")
     toks = text.tokens(flat(cleaned))
     first = matched(texts, "id", {
-        "day": day_words(norm), "ordinal": F.flatten(F.transform(lines_of(norm), lambda x: F.transform(period_tokens(x), lambda t: text.letters_only(t)))),
+        "day": day_words(norm), "ordinal": F.flatten(
+            F.transform(lines_of(norm), lambda x: F.transform(period_tokens(x), lambda t: text.letters_only(t)))
+        ),
         "grade": F.transform(toks, lambda t: text.letters_only(t)), "stage": stage_words(toks), "header": F.array(text.letters_only(flat(norm))),
         "standby": F.array(F.regexp_extract(F.trim(flat(cleaned)), rf"^(?:حصه *)?([{AR}]{{3,8}}) *([0-9]{{1,2}})?$", 1)),
     })
     m = F.col("matches")
-    first = first.select("id", "raw", "norm", "cleaned", "line_norms", match_day(norm, m).alias("d"), match_period(norm, m).alias("p"), parse_class(cleaned, m).alias("c"), worded_class(flat(cleaned), m, True).alias("bare"), standby(cleaned, m).alias("standby"), look(m, "header", text.letters_only(flat(norm)), 0.8).isNotNull().alias("header"))
+    first = first.select(
+        "id", "raw", "norm", "cleaned", "line_norms", match_day(norm, m).alias("d"), match_period(norm, m).alias("p"),
+        parse_class(cleaned, m).alias("c"), worded_class(flat(cleaned), m, True).alias("bare"), standby(cleaned, m).alias("standby"),
+        look(m, "header", text.letters_only(flat(norm)), 0.8).isNotNull().alias("header")
+    )
     first = written(first.withColumn("rest", F.coalesce("c.rest", "cleaned")), "read-texts")
     second = matched(first, "id", {"subject": F.transform(phrases(text.tokens(flat(F.col("rest")))), lambda p: p["phrase"])})
     t = second.withColumn("s", match_subject(F.col("rest"), F.col("matches"))).drop("matches")
@@ -341,14 +451,19 @@ def classify(cells: DataFrame, body: str = "text", ocr: str = "ocr_confidence")
         spelled = F.array_join(words, " ")
         raw = F.split(F.coalesce(body, F.lit("")), "\n")
         whole = F.get(F.filter(raw, lambda x, i: F.forall(words, lambda w: F.contains(F.get(F.col("line_norms"), i), w))), F.lit(0))
-        return F.when(F.length(text.letters_only(spelled)) >= 3, F.substring(F.trim(F.regexp_replace(F.coalesce(whole, spelled), CLOCK_RANGE, "")), 1, 60))
+        return F.when(
+            F.length(text.letters_only(spelled)) >= 3, F.substring(F.trim(F.regexp_replace(F.coalesce(whole, spelled), CLOCK_RANGE, "")), 1, 60)
+        )
 
     title = let(left, as_read)
     no_digit = ~norm.rlike("[0-9]")
 
     def cell(kind: str, score: Column | float, **values: Column) -> Column:
         types = {"day": "string", "period": "int", "class_name": "string", "subject": "string", "room": "string", "minutes": "int"}
-        return F.struct(F.lit(kind).alias("kind"), (F.lit(score) if isinstance(score, float) else score).cast("double").alias("parse_confidence"), *[(values[k] if k in values else F.lit(None)).cast(v).alias(k) for k, v in types.items()])
+        return F.struct(
+            F.lit(kind).alias("kind"), (F.lit(score) if isinstance(score, float) else score).cast("double").alias("parse_confidence"),
+            *[(values[k] if k in values else F.lit(None)).cast(v).alias(k) for k, v in types.items()]
+        )
 
     rules = [
         (~text.has_content(norm), cell("empty", 1.0)),
@@ -357,7 +472,13 @@ def classify(cells: DataFrame, body: str = "text", ocr: str = "ocr_confidence")
         (d.isNotNull() & (size <= 3) & c.isNull() & (day_score >= period_score), cell("day", d["score"], day=d["key"])),
         ((day_score >= 0.85) & (long_words <= 1) & s.isNull(), cell("day", d["score"] * 0.9, day=d["key"])),
         (p.isNotNull() & s.isNull() & (size <= 4), cell("period", p["score"], period=p["period"], minutes=time)),
-        (c.isNotNull(), cell("lesson", F.least(F.lit(1.0), c["score"] * 0.85 + F.when(s.isNotNull(), 0.15).otherwise(0.1)), class_name=c["name"], subject=F.coalesce(s["key"], title), room=F.when(room != "", F.trim(room)))),
+        (
+            c.isNotNull(),
+            cell(
+                "lesson", F.least(F.lit(1.0), c["score"] * 0.85 + F.when(s.isNotNull(), 0.15).otherwise(0.1)), class_name=c["name"],
+                subject=F.coalesce(s["key"], title), room=F.when(room != "", F.trim(room))
+            )
+        ),
         (s.isNotNull(), cell("lesson", s["score"] * 0.7, subject=s["key"])),
         (norm.rlike(TIME) & (letters <= 2), cell("other", 0.9, minutes=time)),
         (no_digit & (letters <= 3), cell("empty", 0.6)),

@@ -55,7 +55,9 @@ def components(grid: DataFrame, width: int) -> DataFrame:
     """area and bounds of the 8-connected components of v = 1, labelled by their smallest y * width + x."""
     cells = grid.where("v = 1").select((F.col("y") * width + F.col("x")).cast("long").alias("id"), "y", "x")
     labels = connected(cells, _next_door(cells, []), [])
-    return cells.join(labels, "id").groupBy("label").agg(F.count("*").alias("area"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
+    return cells.join(labels, "id").groupBy("label").agg(
+        F.count("*").alias("area"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1")
+    )
 
 
 SIDE = 1 << 20  # no image has a longer side

@@ -19,7 +19,9 @@ def fault(start: Column, end: Column, course: Column) -> Column:
 
 def edited(lectures: DataFrame, changes: DataFrame, removed: DataFrame) -> DataFrame:
     """``lectures`` with ``changes`` put in by id (an edited lecture asks for no review) and the ids of ``removed`` taken out."""
-    kept = lectures.join(changes.select("id"), "id", "left_anti").unionByName(changes.withColumn("needs_review", F.lit(None).cast("boolean")).select(*lectures.columns))
+    kept = lectures.join(changes.select("id"), "id", "left_anti").unionByName(
+        changes.withColumn("needs_review", F.lit(None).cast("boolean")).select(*lectures.columns)
+    )
     return kept.join(removed.select("id"), "id", "left_anti").select(*lectures.columns)
 
 

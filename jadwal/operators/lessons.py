@@ -44,7 +44,9 @@ def swap_digit_pairs(rows: DataFrame, group: str, name: str, plain: str | None =
 
 
 def fix_section_style(
-    rows: DataFrame, group: str, name: str, alef: str = "ا", written: str = "أ", one: str = "١", letter: str = r"[ء-ي]+", plain: str | None = None, shown: Callable[[Column], Column] = lambda c: c
+    rows: DataFrame, group: str, name: str, alef: str = "ا", written: str = "أ", one: str = "١", letter: str = r"[ء-ي]+", plain: str | None = None, shown: Callable[
+        [Column], Column
+    ] = lambda c: c
 ) -> DataFrame:
     """``rows`` with ``fixed``: a bare alef and the digit one are read as what most sections of the schedule are."""
     grade, section = (F.regexp_extract(plain or name, r"^([0-9]{1,2})/([^ \n]+)$", i) for i in (1, 2))
@@ -54,7 +56,9 @@ def fix_section_style(
     many = F.col("n") >= 3
     to_letter = many & (F.col("letters") > F.col("digits")) & (F.col("letters") >= 2) & section.isin("1", alef)
     to_digit = many & (F.col("digits") > F.col("letters")) & (F.col("digits") >= 2) & (section == alef)
-    fixed = F.when(to_letter, F.concat(shown(grade), F.lit(f"/{written}"))).when(to_digit, F.concat(shown(grade), F.lit(f"/{one}"))).otherwise(F.col(name))
+    fixed = F.when(to_letter, F.concat(shown(grade), F.lit(f"/{written}"))).when(
+        to_digit, F.concat(shown(grade), F.lit(f"/{one}"))
+    ).otherwise(F.col(name))
     return rows.join(style, group, "left").withColumn("fixed", fixed).drop("n", "letters", "digits")
 
 
@@ -69,11 +73,15 @@ def validated(rows: DataFrame, axes: DataFrame, group: str) -> tuple[DataFrame,
     valid = F.coalesce(F.col("period").between(1, PERIODS), F.lit(False))
     key = lambda c: text.class_key(text.normalize_arabic(F.coalesce(c, F.lit(""))))
     good = rows.where(valid).withColumn("__key", key(F.col("class_name")))
-    named = canonical_classes(good.where("class_name <> ''"), group, "__key", "class_name", "conf").withColumn("class_name", F.col("label")).drop("label")
+    named = canonical_classes(
+        good.where("class_name <> ''"), group, "__key", "class_name", "conf"
+    ).withColumn("class_name", F.col("label")).drop("label")
     good = named.unionByName(good.where("class_name = '' or class_name is null"))
     for repair in (swap_digit_pairs, fix_section_style):
         plain = good.withColumn("__plain", text.normalize_arabic(F.coalesce("class_name", F.lit(""))))
-        good = repair(plain, group, "class_name", plain="__plain", shown=text.to_arabic_digits).withColumn("class_name", F.col("fixed")).drop("fixed", "__plain")
+        good = repair(
+            plain, group, "class_name", plain="__plain", shown=text.to_arabic_digits
+        ).withColumn("class_name", F.col("fixed")).drop("fixed", "__plain")
     good = good.select(*rows.columns)
     sure = F.col("conf")
     seen = rows.groupBy(group).agg(
@@ -82,7 +90,9 @@ def validated(rows: DataFrame, axes: DataFrame, group: str) -> tuple[DataFrame,
     )
     facts = axes.join(seen, group, "left").na.fill(0, ["lessons", "dropped", "recognised", "with_class"])
     q = quality(*[F.col(x) for x in ("days", "periods", "lessons", "recognised", "with_class")])
-    return good, facts.select(group, "lessons", "dropped", F.round(q, 6).alias("quality"), accepted(F.col("days"), F.col("periods"), F.col("lessons"), q).alias("ok"))
+    return good, facts.select(
+        group, "lessons", "dropped", F.round(q, 6).alias("quality"), accepted(F.col("days"), F.col("periods"), F.col("lessons"), q).alias("ok")
+    )
 
 
 def accepted(days: Column, periods: Column, lessons: Column, worth: Column) -> Column:
@@ -101,7 +111,9 @@ def final_score(assignment: Column, lessons: Column) -> Column:
 
 def confidence_counts(rows: DataFrame, group: str, conf: str) -> DataFrame:
     c = F.col(conf)
-    return rows.groupBy(group).agg(F.count_if(c >= 0.8).alias("high"), F.count_if((c >= 0.5) & (c < 0.8)).alias("medium"), F.count_if(c < 0.5).alias("low"))
+    return rows.groupBy(group).agg(
+        F.count_if(c >= 0.8).alias("high"), F.count_if((c >= 0.5) & (c < 0.8)).alias("medium"), F.count_if(c < 0.5).alias("low")
+    )
 
 
 def quality(days: Column, periods: Column, lessons: Column, recognised: Column, with_class: Column) -> Column:
@@ -132,9 +144,14 @@ def merge_readings(rows: DataFrame, group: str, name: str, conf: str, source: st
     """
     keys, at = [group, "day_idx", "period"], F.struct(F.col(source).alias("s"), F.col(ord_).alias("o"))
     taught = F.coalesce(F.col(subject), F.lit("")) if subject else F.lit("")
-    items = rows.select(*keys, F.col(name).alias("name"), taught.alias("subject"), F.col(conf).alias("conf"), at.alias("at"), F.struct(-F.col(source), -F.col(ord_)).alias("__back"))
+    items = rows.select(
+        *keys, F.col(name).alias("name"), taught.alias("subject"), F.col(conf).alias("conf"), at.alias("at"),
+        F.struct(-F.col(source), -F.col(ord_)).alias("__back")
+    )
     kinds = items.groupBy(*keys, "name", "subject").agg(
-        F.count("*").alias("n"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.max("conf").alias("top"), F.max_by("at", F.struct("conf", "__back")).alias("top_at")
+        F.count("*").alias("n"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.max("conf").alias("top"), F.max_by(
+            "at", F.struct("conf", "__back")
+        ).alias("top_at")
     )
     slot = Window.partitionBy(*keys)
     in_order = slot.orderBy("first_at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -144,7 +161,9 @@ def merge_readings(rows: DataFrame, group: str, name: str, conf: str, source: st
     same = F.col("name").eqNullSafe(F.col("own")) & ((F.col("subject") == "") | (F.col("subject") == F.col("filled")))
     merged = kinds.groupBy(*keys).agg(
         F.first("own").alias("name"), F.first("filled").alias("subject"), F.max(F.when(same, F.col("top"))).alias("conf"),
-        F.min(F.when(same, F.struct(-F.col("top"), F.col("top_at").alias("at"))))["at"].alias("raised"), F.max(F.when(~same, F.col("last_at"))).alias("clash"),
+        F.min(
+            F.when(same, F.struct(-F.col("top"), F.col("top_at").alias("at")))
+        )["at"].alias("raised"), F.max(F.when(~same, F.col("last_at"))).alias("clash"),
         F.coalesce(F.sum(F.when(~same, F.col("n"))), F.lit(0)).alias("others"),
     )
     review = F.coalesce(F.col("clash") > F.col("raised"), F.lit(False)) | (F.col("conf") < 0.5)
@@ -158,7 +177,9 @@ def merge_facts(merged: DataFrame, images: DataFrame, group: str) -> DataFrame:
     ``images`` has group, image (from 1), ok, and warnings (a list, of images that are ok).
     """
     slots = merged.groupBy(group).agg(
-        F.count("*").alias("lessons"), F.count_distinct("day_idx").alias("days"), F.count_distinct("period").alias("periods"), F.count_if("review").alias("uncertain"), F.count_if("conflict").alias("conflicts")
+        F.count("*").alias("lessons"), F.count_distinct("day_idx").alias("days"), F.count_distinct("period").alias("periods"), F.count_if("review").alias("uncertain"), F.count_if("conflict").alias(
+            "conflicts"
+        )
     )
     told = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("ok"), F.col("warnings"))))))
     seen = images.groupBy(group).agg(F.array_sort(F.collect_set(F.when(~F.col("ok"), F.col("image")))).alias("failed_images"), told.alias("warnings"))
@@ -169,18 +190,25 @@ def accuracy(expected: DataFrame, actual: DataFrame, group: str, name: str) -> D
     """Per schedule: correct, expected and extra slots, and correct / max(1, expected + extra)."""
     keys = [group, "day_idx", "period"]
     both = expected.select(*keys, F.col(name).alias("want")).join(actual.select(*keys, F.col(name).alias("got")), keys, "full_outer")
-    counts = both.groupBy(group).agg(F.count_if(F.col("want") == F.col("got")).alias("correct"), F.count("want").alias("expected"), F.count_if(F.col("want").isNull()).alias("extra"))
+    counts = both.groupBy(group).agg(
+        F.count_if(F.col("want") == F.col("got")).alias("correct"), F.count("want").alias("expected"),
+        F.count_if(F.col("want").isNull()).alias("extra")
+    )
     return counts.withColumn("accuracy", F.round(F.col("correct") / F.greatest(F.lit(1), F.col("expected") + F.col("extra")), 6))
 
 
 def spans_to_slots(cells: DataFrame, group: str) -> DataFrame:
     """Cells (row, col, row_span, col_span, ord, name, conf) to slots: the spans are unfolded, the later cell covers
     a place, and a slot takes its first class and the mean confidence of its cells with text."""
-    places = cells.withColumn("r", F.explode(F.sequence("row", F.col("row") + F.col("row_span") - 1))).withColumn("c", F.explode(F.sequence("col", F.col("col") + F.col("col_span") - 1)))
+    places = cells.withColumn("r", F.explode(F.sequence("row", F.col("row") + F.col("row_span") - 1))).withColumn(
+        "c", F.explode(F.sequence("col", F.col("col") + F.col("col_span") - 1))
+    )
     top = places.groupBy(group, "r", "c").agg(F.max_by(F.struct("ord", "name", "conf"), "ord").alias("cell"))
     text = F.col("cell.name") != ""
     return top.groupBy(group, F.pmod("c", F.lit(7)).alias("day_idx"), (F.pmod("r", F.lit(12)) + 1).alias("period")).agg(
-        F.min_by("cell.name", F.when(text, F.col("cell.ord"))).alias("name"), F.round(F.avg(F.when(text, F.col("cell.conf"))), 6).alias("conf"), F.count_if(text).alias("cells")
+        F.min_by("cell.name", F.when(text, F.col("cell.ord"))).alias("name"), F.round(
+            F.avg(F.when(text, F.col("cell.conf"))), 6
+        ).alias("conf"), F.count_if(text).alias("cells")
     )
 
 
@@ -188,7 +216,9 @@ def classes_in_order(rows: DataFrame, group: str, key: str, name: str, palette:
     """Distinct classes of a schedule in order of appearance, with a colour each."""
     seen = rows.groupBy(group, key).agg(F.min_by(name, ord_).alias("label"), F.min(ord_).alias("first_ord"))
     place = F.row_number().over(Window.partitionBy(group).orderBy("first_ord")) - 1
-    return seen.withColumn("place", place).withColumn("color", F.get(F.array(*[F.lit(c) for c in palette]), F.pmod("place", F.lit(len(palette))))).select(group, key, "label", "place", "color")
+    return seen.withColumn("place", place).withColumn(
+        "color", F.get(F.array(*[F.lit(c) for c in palette]), F.pmod("place", F.lit(len(palette))))
+    ).select(group, key, "label", "place", "color")
 
 
 def colored(rows: DataFrame, group: str, key: str, classes: DataFrame, overrides: DataFrame | None = None, fallback: str = "#e6e8de") -> DataFrame:
@@ -210,7 +240,9 @@ def mistakes(expected: DataFrame, actual: DataFrame, group: str, name: str) -> D
 def hours(lectures: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
     """start_hour and end_hour of every row of ``groups`` by its lectures (start and end in minutes); 8 to 12 without any."""
     first, last = F.floor(F.min("start") / 60), F.ceil(F.max("end") / 60)
-    seen = lectures.groupBy(*keys).agg(F.greatest(F.lit(0), first).cast("int").alias("start_hour"), F.least(F.lit(24), F.greatest(last, first + 1)).cast("int").alias("end_hour"))
+    seen = lectures.groupBy(*keys).agg(
+        F.greatest(F.lit(0), first).cast("int").alias("start_hour"), F.least(F.lit(24), F.greatest(last, first + 1)).cast("int").alias("end_hour")
+    )
     return groups.select(*keys).distinct().join(seen, keys, "left").na.fill({"start_hour": 8, "end_hour": 12})
 
 
@@ -226,7 +258,9 @@ def active_days(used: DataFrame, groups: DataFrame, key: str) -> DataFrame:
 def empty_grid(spark: SparkSession, periods: int = 7, days: int = DAYS) -> DataFrame:
     """period, day_idx, subject, classroom of an empty week."""
     cells = F.explode(F.sequence(F.lit(1), F.lit(periods))), F.explode(F.sequence(F.lit(0), F.lit(days - 1)))
-    return spark.range(1).select(cells[0].alias("period")).select("period", cells[1].alias("day_idx"), F.lit("").alias("subject"), F.lit("").alias("classroom"))
+    return spark.range(1).select(cells[0].alias("period")).select(
+        "period", cells[1].alias("day_idx"), F.lit("").alias("subject"), F.lit("").alias("classroom")
+    )
 
 
 def is_filled() -> Column:
@@ -237,7 +271,9 @@ def grid_gates(grid: DataFrame, states: DataFrame, group: str) -> DataFrame:
     """Per design of ``states`` (group, source): filled cells, whether it may be applied (no conflict) and exported (reviewed)."""
     seen = grid.groupBy(group).agg(F.count_if(is_filled()).alias("lessons"), F.count_if("conflict").alias("conflicts"))
     joined = states.join(seen, group, "left").na.fill(0, ["lessons", "conflicts"])
-    return joined.select(group, "lessons", (F.col("conflicts") == 0).alias("can_apply"), ((F.col("lessons") > 0) & (F.col("source") != "photo")).alias("can_export"))
+    return joined.select(
+        group, "lessons", (F.col("conflicts") == 0).alias("can_apply"), ((F.col("lessons") > 0) & (F.col("source") != "photo")).alias("can_export")
+    )
 
 
 def patched(grid: DataFrame, edits: DataFrame, group: str) -> DataFrame:
@@ -261,4 +297,6 @@ def resized(grid: DataFrame, group: str, periods: int) -> DataFrame:
 def boxes(grid: DataFrame, width: float, margin: float, label_width: float, top: float, row_height: float, days: int = DAYS) -> DataFrame:
     """x, y, w, h of every cell (period, day_idx) of a week laid out from right to left, with the labels on the right."""
     column = (width - 2 * margin - label_width) / days
-    return grid.withColumn("x", width - margin - label_width - column * (F.col("day_idx") + 1)).withColumn("y", top + row_height * (F.col("period") - 1)).withColumn("w", F.lit(column)).withColumn("h", F.lit(row_height))
+    return grid.withColumn("x", width - margin - label_width - column * (F.col("day_idx") + 1)).withColumn(
+        "y", top + row_height * (F.col("period") - 1)
+    ).withColumn("w", F.lit(column)).withColumn("h", F.lit(row_height))

@@ -23,7 +23,9 @@ def upper_median(rows: DataFrame, key: str, value: str, bins: int = 4096) -> Dat
     upto = Window.partitionBy(key).orderBy("bin")
     cumulative = binned.groupBy(key, "bin", "n").count().withColumn("upto", F.sum("count").over(upto))
     target = F.floor(F.col("n") / 2)
-    chosen = cumulative.where((F.col("upto") > target) & (F.col("upto") - F.col("count") <= target)).select(key, "bin", (target - F.col("upto") + F.col("count")).alias("skip"))
+    chosen = cumulative.where((F.col("upto") > target) & (F.col("upto") - F.col("count") <= target)).select(
+        key, "bin", (target - F.col("upto") + F.col("count")).alias("skip")
+    )
     inside = binned.join(chosen, [key, "bin"]).groupBy(key, "skip", value).count()
     seen = inside.withColumn("upto", F.sum("count").over(Window.partitionBy(key).orderBy(value)))
     return seen.where((F.col("upto") > F.col("skip")) & (F.col("upto") - F.col("count") <= F.col("skip"))).select(key, F.col(value).alias("median"))
@@ -41,11 +43,16 @@ def otsu(hist: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy().orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy()
-    t = hist.select("level", "n", F.sum("n").over(w).alias("wb"), F.sum(F.col("n") * F.col("level")).over(w).alias("sb"), F.sum("n").over(every).alias("total"), F.sum(F.col("n") * F.col("level")).over(every).alias("whole"))
+    t = hist.select(
+        "level", "n", F.sum("n").over(w).alias("wb"), F.sum(F.col("n") * F.col("level")).over(w).alias("sb"), F.sum("n").over(every).alias("total"),
+        F.sum(F.col("n") * F.col("level")).over(every).alias("whole")
+    )
     wf = F.col("total") - F.col("wb")
     gap = F.col("sb") / F.col("wb") - (F.col("whole") - F.col("sb")) / wf
     between = F.when(wf > 0, F.col("wb").cast("double") * wf * gap * gap)
-    return t.select("level", F.round(between, 2).alias("between")).where("between > 0").agg(F.coalesce(F.max_by("level", F.struct("between", -F.col("level"))), F.lit(127)).alias("threshold"))
+    return t.select("level", F.round(between, 2).alias("between")).where("between > 0").agg(
+        F.coalesce(F.max_by("level", F.struct("between", -F.col("level"))), F.lit(127)).alias("threshold")
+    )
 
 
 def percentile_cut(hist: DataFrame, low: float, high: float, least: int = 30) -> DataFrame:
@@ -54,7 +61,10 @@ def percentile_cut(hist: DataFrame, low: float, high: float, least: int = 30) ->
     below = F.sum("n").over(Window.partitionBy().orderBy("level").rowsBetween(Window.unboundedPreceding, 0))
     above = F.sum("n").over(Window.partitionBy().orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0))
     t = hist.select("level", below.alias("below"), above.alias("above"), F.sum("n").over(every).alias("total"))
-    ends = t.agg(F.min(F.when(F.col("below") >= F.col("total") * low, F.col("level"))).alias("lo"), F.max(F.when(F.col("above") >= F.col("total") * (1 - high), F.col("level"))).alias("hi"))
+    ends = t.agg(
+        F.min(F.when(F.col("below") >= F.col("total") * low, F.col("level"))).alias("lo"),
+        F.max(F.when(F.col("above") >= F.col("total") * (1 - high), F.col("level"))).alias("hi")
+    )
     return ends.withColumn("stretched", F.col("hi") - F.col("lo") >= least)
 
 
@@ -65,7 +75,10 @@ def peak_islands(profile: DataFrame, threshold: Column) -> DataFrame:
     """
     high = profile.where(F.col("v") >= threshold)
     run = high.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy().orderBy("pos")))
-    return run.groupBy("run").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.max("v").alias("strength"), F.round(F.sum(F.col("pos") * F.col("v")) / F.sum("v"), 6).alias("centre")).drop("run")
+    return run.groupBy("run").agg(
+        F.min("pos").alias("first"), F.max("pos").alias("last"), F.max("v").alias("strength"),
+        F.round(F.sum(F.col("pos") * F.col("v")) / F.sum("v"), 6).alias("centre")
+    ).drop("run")
 
 
 def clusters(rows: DataFrame, value: str, tolerance: float, stretch: int = 4096) -> DataFrame:
@@ -75,7 +88,9 @@ def clusters(rows: DataFrame, value: str, tolerance: float, stretch: int = 4096)
     stretches' borders are joined up over one row a stretch, so no window sees all rows or all bins.
     """
     exact = F.col(value).cast("decimal(38,6)")
-    bins = rows.where(F.col(value).isNotNull()).groupBy(F.floor(F.col(value) / tolerance).alias("bin")).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("n"), F.sum(exact).alias("total"))
+    bins = rows.where(F.col(value).isNotNull()).groupBy(F.floor(F.col(value) / tolerance).alias("bin")).agg(
+        F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("n"), F.sum(exact).alias("total")
+    )
     w = Window.partitionBy("part").orderBy("bin")
     placed = bins.withColumn("part", F.floor(F.col("bin") / stretch))
     cut = placed.withColumn("cut", F.when(F.col("lo") - F.lag("hi").over(w) > tolerance, 1).otherwise(0)).withColumn("inner", F.sum("cut").over(w))
@@ -85,7 +100,10 @@ def clusters(rows: DataFrame, value: str, tolerance: float, stretch: int = 4096)
     before = F.sum(F.col("border") + F.coalesce("earlier", F.lit(0))).over(order)
     offsets = ends.withColumn("border", border).withColumn("earlier", F.lag("cuts").over(order)).select("part", before.alias("offset"))
     numbered = cut.join(offsets, "part").withColumn("cluster", F.col("offset") + F.col("inner"))
-    return numbered.groupBy("cluster").agg(F.min("lo").alias("first"), F.max("hi").alias("last"), F.sum("n").alias("n"), F.round(F.sum("total").cast("double") / F.sum("n"), 4).alias("mean")).drop("cluster")
+    return numbered.groupBy("cluster").agg(
+        F.min("lo").alias("first"), F.max("hi").alias("last"), F.sum("n").alias("n"),
+        F.round(F.sum("total").cast("double") / F.sum("n"), 4).alias("mean")
+    ).drop("cluster")
 
 
 def nearest(rows: DataFrame, value: str, centres: DataFrame) -> DataFrame:
@@ -96,8 +114,14 @@ def nearest(rows: DataFrame, value: str, centres: DataFrame) -> DataFrame:
     if centres.limit(MOST_CENTRES + 1).count() > MOST_CENTRES:
         raise ValueError(f"at most {MOST_CENTRES} centres")
     listed = centres.agg(F.array_sort(F.collect_list(F.struct("idx", F.col("centre").cast("double").alias("centre")))).alias("__centres"))
-    best = F.array_min(F.transform("__centres", lambda c: F.struct(F.abs(F.col(value) - c["centre"]).alias("distance"), c["idx"].alias("idx"), c["centre"].alias("centre"))))
-    return rows.crossJoin(F.broadcast(listed)).withColumn("__best", best).withColumn("idx", F.col("__best.idx")).withColumn("centre", F.col("__best.centre")).drop("__best", "__centres")
+    best = F.array_min(
+        F.transform(
+            "__centres", lambda c: F.struct(F.abs(F.col(value) - c["centre"]).alias("distance"), c["idx"].alias("idx"), c["centre"].alias("centre"))
+        )
+    )
+    return rows.crossJoin(F.broadcast(listed)).withColumn("__best", best).withColumn("idx", F.col("__best.idx")).withColumn("centre", F.col("__best.centre")).drop(
+        "__best", "__centres"
+    )
 
 
 def template_scores(samples: DataFrame, templates: DataFrame, key: str, vector: str) -> DataFrame:
@@ -110,4 +134,6 @@ def template_scores(samples: DataFrame, templates: DataFrame, key: str, vector:
     product = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     pairs = samples.select(key, vector).crossJoin(F.broadcast(templates.select("label", "t")))
     score = 2 * product(vector, "t") / (product(vector, vector) + product("t", "t") + 1e-6)
-    return pairs.withColumn("score", F.round(score, 6)).groupBy(key).agg(F.max_by(F.struct("label", "score"), F.struct("score", -F.col("label"))).alias("m")).select(key, F.col("m.label").alias("template"), "m.score")
+    return pairs.withColumn("score", F.round(score, 6)).groupBy(key).agg(F.max_by(F.struct("label", "score"), F.struct("score", -F.col("label"))).alias("m")).select(
+        key, F.col("m.label").alias("template"), "m.score"
+    )

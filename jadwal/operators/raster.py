@@ -81,9 +81,13 @@ def _corners(place: str, old: str, new: int) -> Column:
 
 def resize(grid: DataFrame, height: int, width: int) -> DataFrame:
     """Bilinear, by pixel centres."""
-    frame = sides(grid).withColumn("ty", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("tx", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    frame = sides(grid).withColumn("ty", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn(
+        "tx", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))
+    )
     asked = frame.withColumn("cy", _corners("ty", "h", height)).withColumn("cx", _corners("tx", "w", width))
-    asked = asked.select("img", "ty", "tx", F.col("cy.at").alias("y"), F.col("cx.at").alias("x"), (F.col("cy.weight") * F.col("cx.weight")).alias("weight"))
+    asked = asked.select(
+        "img", "ty", "tx", F.col("cy.at").alias("y"), F.col("cx.at").alias("x"), (F.col("cy.weight") * F.col("cx.weight")).alias("weight")
+    )
     sums = asked.join(grid, PIXEL).groupBy("img", "ty", "tx").agg(_rounded(F.sum(F.col("weight") * F.col("v"))).alias("v"))
     return sums.select("img", F.col("ty").alias("y"), F.col("tx").alias("x"), "v")
 
@@ -153,7 +157,9 @@ def runs(hits: DataFrame, group: list[str], pos: str, gap: int) -> DataFrame:
     """first and last of the runs of positions, across at most ``gap`` missing ones."""
     w = Window.partitionBy(*group).orderBy(pos)
     cut = F.when(F.col(pos) - F.lag(pos).over(w) <= gap + 1, 0).otherwise(1)
-    return hits.select(*group, pos, cut.alias("__cut")).withColumn("run", F.sum("__cut").over(w)).groupBy(*group, "run").agg(F.min(pos).alias("first"), F.max(pos).alias("last"))
+    return hits.select(*group, pos, cut.alias("__cut")).withColumn("run", F.sum("__cut").over(w)).groupBy(*group, "run").agg(
+        F.min(pos).alias("first"), F.max(pos).alias("last")
+    )
 
 
 def lines(mask: DataFrame, axis: str, least: int, gap: int = 2) -> DataFrame:
@@ -166,7 +172,9 @@ def lines(mask: DataFrame, axis: str, least: int, gap: int = 2) -> DataFrame:
 
 def longest_run(mask: DataFrame, axis: str, gap: int) -> DataFrame:
     """Per line along ``axis`` its longest run, gaps counted."""
-    return runs(mask.where("v = 1"), ["img", FILL[axis]], axis, gap).groupBy("img", FILL[axis]).agg(F.max(F.col("last") - F.col("first") + 1).alias("length"))
+    return runs(mask.where("v = 1"), ["img", FILL[axis]], axis, gap).groupBy("img", FILL[axis]).agg(
+        F.max(F.col("last") - F.col("first") + 1).alias("length")
+    )
 
 
 def projection(mask: DataFrame, axis: str) -> DataFrame:
@@ -186,7 +194,10 @@ def line_peaks(profile: DataFrame, threshold: Column, distance: float) -> DataFr
     w = Window.partitionBy("img").orderBy("pos")
     high = profile.where(F.col("v") >= threshold).withColumn("run", F.col("pos") - F.row_number().over(w))
     weight = F.sum(F.col("pos") * F.col("v")) / F.sum("v")
-    peaks = high.groupBy("img", "run").agg(F.min("pos").cast("int").alias("first"), F.max("pos").cast("int").alias("last"), weight.cast("double").alias("at"), F.max("v").cast("double").alias("strength"))
+    peaks = high.groupBy("img", "run").agg(
+        F.min("pos").cast("int").alias("first"), F.max("pos").cast("int").alias("last"), weight.cast("double").alias("at"),
+        F.max("v").cast("double").alias("strength")
+    )
     listed = peaks.groupBy("img").agg(F.array_sort(F.collect_list(F.struct("first", "last", "at", "strength"))).alias("peaks"))
 
     def joined(done: Column, p: Column) -> Column:
@@ -203,7 +214,9 @@ def line_peaks(profile: DataFrame, threshold: Column, distance: float) -> DataFr
 def segments(profile: DataFrame, threshold: float, gap: int, least: int) -> DataFrame:
     """Stretches of the profile (img, pos, v) above the threshold, ``gap`` empty places apart and ``least`` long, with ``before``: the boundary to the previous one (null for an image's first)."""
     found = runs(profile.where(F.col("v") > threshold), ["img"], "pos", gap - 1).where(F.col("last") - F.col("first") + 1 >= least)
-    return found.select("img", "first", "last", ((F.lag("last").over(Window.partitionBy("img").orderBy("first")) + F.col("first")) / 2).alias("before"))
+    return found.select(
+        "img", "first", "last", ((F.lag("last").over(Window.partitionBy("img").orderBy("first")) + F.col("first")) / 2).alias("before")
+    )
 
 
 def text_bands(profile: DataFrame, keys: list[str], gap: int = 3) -> DataFrame:
@@ -232,7 +245,10 @@ def otsu_levels(grid: DataFrame) -> DataFrame:
     counts = grid.groupBy("img", "v").agg(F.count("*").alias("n"))
     upto, every = Window.partitionBy("img").orderBy("v").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("img")
     mass = F.col("n") * F.col("v")
-    t = counts.select("img", "v", F.sum("n").over(upto).alias("wb"), F.sum(mass).over(upto).alias("sb"), F.sum("n").over(every).alias("total"), F.sum(mass).over(every).alias("whole"))
+    t = counts.select(
+        "img", "v", F.sum("n").over(upto).alias("wb"), F.sum(mass).over(upto).alias("sb"), F.sum("n").over(every).alias("total"),
+        F.sum(mass).over(every).alias("whole")
+    )
     wf = F.col("total") - F.col("wb")
     apart = F.col("sb") / F.col("wb") - (F.col("whole") - F.col("sb")) / wf
     between = F.when(wf > 0, F.round(F.col("wb").cast("double") * wf * apart * apart, 2))
@@ -259,7 +275,9 @@ def binarize(grid: DataFrame, constant: float = 10, window: int | None = None, r
         dark, light = adaptive_mask(plain, r["__window"], constant), adaptive_mask(plain.withColumn("v", 255 - F.col("v")), r["__window"], constant)
         solid = opened(own.select(*PIXEL, (F.col("v") < F.col("__level")).cast("int").alias("v")), r["__radius"])
         name = lambda m, n: m.withColumnRenamed("v", n)
-        all_ = name(dark, "dark").join(name(light, "light"), PIXEL).join(name(dilate(solid, edge, edge), "outer"), PIXEL).join(name(erode(solid, edge, edge), "inner"), PIXEL)
+        all_ = name(dark, "dark").join(name(light, "light"), PIXEL).join(name(dilate(solid, edge, edge), "outer"), PIXEL).join(
+            name(erode(solid, edge, edge), "inner"), PIXEL
+        )
         done.append(all_.select(*PIXEL, F.when(F.col("inner") == 1, F.col("light")).when(F.col("outer") == 1, 1).otherwise(F.col("dark")).alias("v")))
     return reduce(DataFrame.unionByName, done) if done else grid.select(*PIXEL, "v")
 
@@ -280,7 +298,9 @@ def best_turn(grid: DataFrame, read: Callable[[DataFrame], DataFrame], angles: t
         tried = read(rotate(grid.join(open_.select("img"), "img", "left_semi"), angle)).withColumn("angle", F.lit(angle))
         better = (F.col("t.days") >= 2) & (F.col("t.periods") >= 1) & (F.col("t.score") > F.col("h.score"))
         fields = [F.when(F.coalesce(better, F.lit(False)), F.col(f"t.{c}")).otherwise(F.col(f"h.{c}")).alias(c) for c in held.columns if c != "img"]
-        now = written(open_.alias("h").join(tried.alias("t"), F.col("h.img") == F.col("t.img"), "left").select(F.col("h.img").alias("img"), *fields), "readings")
+        now = written(
+            open_.alias("h").join(tried.alias("t"), F.col("h.img") == F.col("t.img"), "left").select(F.col("h.img").alias("img"), *fields), "readings"
+        )
         settled, open_ = settled.unionByName(now.where("good")), now.where("not good")
     return settled.unionByName(open_)
 
@@ -290,8 +310,12 @@ def inked(cells: DataFrame, mask: DataFrame, keys: list[str], least: int = 12, s
 
     A cell meets the ink row by row, so that an image's cells and pixels are not all compared.
     """
-    rows = cells.select("img", *keys, "x", "w", F.explode(F.sequence(F.col("y").cast("int"), (F.col("y") + F.col("h")).cast("int") - 1)).alias("__y")).distinct()
+    rows = cells.select(
+        "img", *keys, "x", "w", F.explode(F.sequence(F.col("y").cast("int"), (F.col("y") + F.col("h")).cast("int") - 1)).alias("__y")
+    ).distinct()
     own = mask.where("v = 1").select("img", F.col("y").alias("__y"), F.col("x").alias("__x"))
-    met = rows.join(own, ["img", "__y"]).where((F.col("__x") >= F.col("x")) & (F.col("__x") < F.col("x") + F.col("w"))).groupBy("img", *keys).agg(F.count("*").alias("ink"))
+    met = rows.join(own, ["img", "__y"]).where(
+        (F.col("__x") >= F.col("x")) & (F.col("__x") < F.col("x") + F.col("w"))
+    ).groupBy("img", *keys).agg(F.count("*").alias("ink"))
     out = cells.join(met, ["img", *keys], "left").na.fill(0, ["ink"])
     return out.withColumn("empty", (F.col("ink") < least) | (F.col("ink") / (F.col("w") * F.col("h")) < share))

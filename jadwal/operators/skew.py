@@ -21,7 +21,9 @@ def _variances(points: DataFrame, *more: str) -> DataFrame:
     turned = points.select("img", "h", *more, F.explode("degs").alias("deg"), "y", "x", "w")
     angle = F.radians("deg")
     row = half_up(-(F.col("x") - F.col("w") / 2) * F.sin(angle) + (F.col("y") - F.col("h") / 2) * F.cos(angle) + F.col("h") / 2)
-    sums = turned.select("img", "h", *more, "deg", row.alias("row")).where("row >= 0 and row < h").groupBy("img", "h", *more, "deg", "row").agg(F.count("*").alias("n"))
+    sums = turned.select("img", "h", *more, "deg", row.alias("row")).where("row >= 0 and row < h").groupBy("img", "h", *more, "deg", "row").agg(
+        F.count("*").alias("n")
+    )
     return sums.groupBy("img", *more, "deg").agg((F.first("h") * F.sum(F.col("n") * F.col("n")) - F.sum("n") * F.sum("n")).alias("var"))
 
 
@@ -33,19 +35,28 @@ def estimate_skew(mask: DataFrame, side: int = 700, least: int = 200, widest: in
     times that of the upright image. Images of fewer than ``least`` points, or without any ink, have skew 0.
     """
     factor = F.greatest(F.lit(1), half_up(F.greatest("h", "w") / side))
-    inside = mask.join(raster.sides(mask).withColumn("f", factor), "img").where((F.col("v") == 1) & (F.col("y") % F.col("f") == 0) & (F.col("x") % F.col("f") == 0))
+    inside = mask.join(raster.sides(mask).withColumn("f", factor), "img").where(
+        (F.col("v") == 1) & (F.col("y") % F.col("f") == 0) & (F.col("x") % F.col("f") == 0)
+    )
     part = lambda c: F.floor(F.col(c) / F.col("f")).alias(c)
     points = inside.select("img", part("y"), part("x"), part("h"), part("w")).where("y < h and x < w")
     tried = _variances(points.withColumn("degs", F.sequence(F.lit(-widest), F.lit(widest)).cast("array<double>")))
     best = F.max_by(F.struct("deg", "var"), F.struct("var", F.col("deg") == 0, -F.col("deg")))
     coarse = tried.groupBy("img").agg(best.alias("best"), F.coalesce(F.max(F.when(F.col("deg") == 0, F.col("var"))), F.lit(0)).alias("upright"))
-    leaning = coarse.where("best.deg <> 0").select("img", F.transform(F.sequence(F.lit(-3), F.lit(12)), lambda k: F.col("best.deg") + k / 4).alias("degs"))
+    leaning = coarse.where("best.deg <> 0").select(
+        "img", F.transform(F.sequence(F.lit(-3), F.lit(12)), lambda k: F.col("best.deg") + k / 4).alias("degs")
+    )
     finer = _variances(points.join(leaning, "img")).groupBy("img").agg(F.array_sort(F.collect_list(F.struct("deg", "var"))).alias("finer"))  # 16 angles an image
     step = lambda s, a: F.when((a["deg"] <= s["deg"] + 0.75) & (a["var"] > s["var"]), a).otherwise(s)
-    ends = coarse.join(finer, "img", "left").withColumn("end", F.aggregate(F.coalesce("finer", F.array().cast("array<struct<deg:double,var:bigint>>")), F.col("best"), step))
+    ends = coarse.join(finer, "img", "left").withColumn(
+        "end", F.aggregate(F.coalesce("finer", F.array().cast("array<struct<deg:double,var:bigint>>")), F.col("best"), step)
+    )
     clear = (F.col("points") >= least) & (F.col("end.var") * 5 >= F.col("upright") * 6) & (F.abs("end.deg") >= 1)
     images = mask.select("img").distinct().join(points.groupBy("img").agg(F.count("*").alias("points")), "img", "left").join(ends, "img", "left")
-    return images.select("img", F.coalesce("points", F.lit(0)).alias("points"), F.coalesce("best.deg", F.lit(0.0)).alias("coarse"), F.when(clear, F.col("end.deg")).otherwise(0.0).alias("skew"))
+    return images.select(
+        "img", F.coalesce("points", F.lit(0)).alias("points"), F.coalesce("best.deg", F.lit(0.0)).alias("coarse"),
+        F.when(clear, F.col("end.deg")).otherwise(0.0).alias("skew")
+    )
 
 
 def edge_coverage(mask: DataFrame, edges: DataFrame, keys: list[str], band: int) -> DataFrame:
@@ -72,7 +83,9 @@ def table_quads(mask: DataFrame, least: int = 400, skip_full: bool = False) -> D
     spread = raster.dilate(mask, 1, 1).where("v = 1")
     labelled = grid.labelled(spread)
     cells = labelled.withColumn("ord", F.col("y").cast("long") * grid.SIDE + F.col("x"))
-    shape = cells.groupBy("img", "label").agg(F.count("*").alias("area"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
+    shape = cells.groupBy("img", "label").agg(
+        F.count("*").alias("area"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1")
+    )
     bw, bh = F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1
     large = (F.col("area") >= least) & (bw * bh >= F.col("h") * F.col("w") * 0.12) & (bw >= F.col("w") * 0.3) & (bh >= F.col("h") * 0.15)
     if skip_full:
@@ -81,12 +94,24 @@ def table_quads(mask: DataFrame, least: int = 400, skip_full: bool = False) -> D
     corners = grid.corners(cells.join(fit.select("img", "label"), ["img", "label"], "left_semi"), ["img", "label"])
     away = lambda a, b: F.sqrt(F.pow(F.col(f"{a}.x") - F.col(f"{b}.x"), 2) + F.pow(F.col(f"{a}.y") - F.col(f"{b}.y"), 2))
     alike = lambda p, q: F.least(p, q) / F.greatest(p, q) >= 0.6
-    even = alike(away("top_left", "top_right"), away("bottom_left", "bottom_right")) & alike(away("top_left", "bottom_left"), away("top_right", "bottom_right"))
+    even = alike(away("top_left", "top_right"), away("bottom_left", "bottom_right")) & alike(
+        away("top_left", "bottom_left"), away("top_right", "bottom_right")
+    )
     first = F.max_by(F.struct("label", "top_left", "top_right", "bottom_right", "bottom_left", "h", "w"), F.struct("bounds", -F.col("label")))
     chosen = corners.join(fit, ["img", "label"]).where(even).groupBy("img").agg(first.alias("q")).select("img", "q.*")
     names = ["top_left", "top_right", "bottom_right", "bottom_left"]
-    sides = F.array(*[F.struct(F.lit(i).alias("edge"), F.col(f"{a}.x").alias("ax"), F.col(f"{a}.y").alias("ay"), F.col(f"{b}.x").alias("bx"), F.col(f"{b}.y").alias("by")) for i, (a, b) in enumerate(zip(names, names[1:] + names[:1], strict=True))])
-    edges = chosen.withColumn("band", F.greatest(F.lit(3), half_up(F.greatest("w", "h") * 0.008)).cast("int")).select("img", "band", F.explode(sides).alias("e")).select("img", "band", "e.*")
+    sides = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("edge"), F.col(f"{a}.x").alias("ax"), F.col(f"{a}.y").alias("ay"), F.col(f"{b}.x").alias("bx"),
+                F.col(f"{b}.y").alias("by")
+            ) for i,
+            (a, b) in enumerate(zip(names, names[1:] + names[:1], strict=True))
+        ]
+    )
+    edges = chosen.withColumn("band", F.greatest(F.lit(3), half_up(F.greatest("w", "h") * 0.008)).cast("int")).select(
+        "img", "band", F.explode(sides).alias("e")
+    ).select("img", "band", "e.*")
     covered = None
     for band in sorted(r["band"] for r in edges.select("band").distinct().collect()):  # the image sizes' few bands
         part = edge_coverage(mask, edges.where(F.col("band") == band), ["img", "edge"], band)

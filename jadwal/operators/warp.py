@@ -26,7 +26,9 @@ def solved(matrix: Column) -> Column:
             top = m[p]
             swapped = F.transform(m, lambda row, i: F.when(i == col, top).when(i == p, m[col]).otherwise(row))
             less = lambda row: F.zip_with(row, top, lambda a, b: a - row[col] / top[col] * b)
-            return F.when(F.abs(top[col]) >= SMALL, F.transform(swapped, lambda row, i: F.when((i == col) | (row[col] == 0), row).otherwise(less(row))))
+            return F.when(
+                F.abs(top[col]) >= SMALL, F.transform(swapped, lambda row, i: F.when((i == col) | (row[col] == 0), row).otherwise(less(row)))
+            )
 
         return F.when(m.isNotNull(), let(pivot, with_pivot))
 
@@ -39,7 +41,13 @@ def homography(source: Column, target: Column) -> Column:
 
     def rows(p: Column, q: Column) -> Column:
         one, zero = F.lit(1.0), F.lit(0.0)
-        line = lambda u, first: F.array(*[c.cast("double") for c in ((p["x"], p["y"], one, zero, zero, zero) if first else (zero, zero, zero, p["x"], p["y"], one)) + (-u * p["x"], -u * p["y"], u)])
+        line = lambda u, first: F.array(
+            *[
+                c.cast("double") for c in (
+                    (p["x"], p["y"], one, zero, zero, zero) if first else (zero, zero, zero, p["x"], p["y"], one)
+                ) + (-u * p["x"], -u * p["y"], u)
+            ]
+        )
         return F.array(line(q["x"], True), line(q["y"], False))
 
     found = solved(F.flatten(F.zip_with(source, target, rows)))
@@ -58,10 +66,21 @@ def sampled(grid: DataFrame, asked: DataFrame, fill: int = 255) -> DataFrame:
     A null place is outside.
     """
     size = sides(grid)
-    placed = asked.join(size, "img").withColumn("inside", F.coalesce((F.col("sx") >= 0) & (F.col("sy") >= 0) & (F.col("sx") <= F.col("w") - 1) & (F.col("sy") <= F.col("h") - 1), F.lit(False)))
-    place = lambda s, n: F.array(F.struct(F.floor(s).alias("at"), (1 - (F.col(s) - F.floor(s))).alias("share")), F.struct(F.least(F.col(n) - 1, F.floor(s) + 1).alias("at"), (F.col(s) - F.floor(s)).alias("share")))
-    four = placed.where("inside").select(*PIXEL, F.explode(place("sy", "h")).alias("cy"), "sx", "w").select(*PIXEL, "cy", F.explode(place("sx", "w")).alias("cx"))
-    four = four.select("img", F.col("y").alias("ty"), F.col("x").alias("tx"), F.col("cy.at").cast("int").alias("y"), F.col("cx.at").cast("int").alias("x"), (F.col("cy.share") * F.col("cx.share")).alias("share"))
+    placed = asked.join(size, "img").withColumn(
+        "inside",
+        F.coalesce((F.col("sx") >= 0) & (F.col("sy") >= 0) & (F.col("sx") <= F.col("w") - 1) & (F.col("sy") <= F.col("h") - 1), F.lit(False))
+    )
+    place = lambda s, n: F.array(
+        F.struct(F.floor(s).alias("at"), (1 - (F.col(s) - F.floor(s))).alias("share")),
+        F.struct(F.least(F.col(n) - 1, F.floor(s) + 1).alias("at"), (F.col(s) - F.floor(s)).alias("share"))
+    )
+    four = placed.where("inside").select(*PIXEL, F.explode(place("sy", "h")).alias("cy"), "sx", "w").select(
+        *PIXEL, "cy", F.explode(place("sx", "w")).alias("cx")
+    )
+    four = four.select(
+        "img", F.col("y").alias("ty"), F.col("x").alias("tx"), F.col("cy.at").cast("int").alias("y"), F.col("cx.at").cast("int").alias("x"),
+        (F.col("cy.share") * F.col("cx.share")).alias("share")
+    )
     sums = four.join(grid, PIXEL).groupBy("img", "ty", "tx").agg(F.floor(F.round(F.sum(F.col("share") * F.col("v")), 6) + 0.5).cast("int").alias("v"))
     sums = sums.select("img", F.col("ty").alias("y"), F.col("tx").alias("x"), "v")
     return asked.select(*PIXEL).join(sums, PIXEL, "left").select(*PIXEL, F.coalesce("v", F.lit(fill)).alias("v"))

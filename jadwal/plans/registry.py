@@ -27,12 +27,16 @@ def _keyed(spark: SparkSession, d: str) -> DataFrame:
 
 def class_key_canonical(spark: SparkSession, d: str) -> DataFrame:
     labelled = lessons.canonical_classes(_keyed(spark, d), "sched", "class_key", "class_raw", "conf")
-    return labelled.groupBy("sched", "class_key", "label").agg(F.count("*").alias("lessons"), F.count_if(F.col("class_raw") != F.col("label")).alias("changed"))
+    return labelled.groupBy("sched", "class_key", "label").agg(
+        F.count("*").alias("lessons"), F.count_if(F.col("class_raw") != F.col("label")).alias("changed")
+    )
 
 
 def section_style_fix(spark: SparkSession, d: str) -> DataFrame:
     first = lessons.first_wins(lessons.valid_slots(slots(spark, d)), SLOT, "class_name")
-    return lessons.fix_section_style(first, "sched", "class_name", alef="a", written="A", one="1", letter="[a-z]+").select(*SLOT, "class_name", "fixed")
+    return lessons.fix_section_style(
+        first, "sched", "class_name", alef="a", written="A", one="1", letter="[a-z]+"
+    ).select(*SLOT, "class_name", "fixed")
 
 
 def digit_pair_swap(spark: SparkSession, d: str) -> DataFrame:
@@ -49,14 +53,18 @@ def schedule_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def week_grid_pivot(spark: SparkSession, d: str) -> DataFrame:
-    named = slots(spark, d).select("sched", "period", F.get(F.array(*[F.lit(x) for x in ("sun", "mon", "tue", "wed", "thu", "fri", "sat")]), "day_idx").alias("day"))
+    named = slots(spark, d).select(
+        "sched", "period", F.get(F.array(*[F.lit(x) for x in ("sun", "mon", "tue", "wed", "thu", "fri", "sat")]), "day_idx").alias("day")
+    )
     return named.groupBy("sched", "period").pivot("day", ["sun", "mon", "tue", "wed", "thu"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def source_merge_conflicts(spark: SparkSession, d: str) -> DataFrame:
     readings = lessons.valid_slots(slots(spark, d)).withColumn("image", F.col("ord") % 3)
     merged = lessons.merge_readings(readings, "sched", "class_name", "conf", "image")
-    return merged.select(*SLOT, "name", F.round("conf", 6).alias("conf"), "review", "conflict", F.col("alternatives").cast("long").alias("alternatives"))
+    return merged.select(
+        *SLOT, "name", F.round("conf", 6).alias("conf"), "review", "conflict", F.col("alternatives").cast("long").alias("alternatives")
+    )
 
 
 def _line(spark: SparkSession, d: str) -> DataFrame:
@@ -64,8 +72,12 @@ def _line(spark: SparkSession, d: str) -> DataFrame:
     counted = slots(spark, d).groupBy("sched", "day_idx", "period").agg(F.count("*").alias("n"))
     label = F.col("period") + F.when((F.col("sched") % 2 == 1) & (F.col("period") > 6), 1).otherwise(0)
     frame = counted.select("sched", "day_idx").distinct().withColumn("pos", F.explode(F.sequence(F.lit(1), F.lit(12))))
-    seen = counted.select("sched", "day_idx", F.col("period").alias("pos"), F.when(F.col("n") % 3 != 0, label).alias("label"), F.lit(True).alias("seen"))
-    return frame.join(seen, ["sched", "day_idx", "pos"], "left").select("sched", "day_idx", "pos", "label", F.coalesce("seen", F.lit(False)).alias("is_data"))
+    seen = counted.select(
+        "sched", "day_idx", F.col("period").alias("pos"), F.when(F.col("n") % 3 != 0, label).alias("label"), F.lit(True).alias("seen")
+    )
+    return frame.join(seen, ["sched", "day_idx", "pos"], "left").select(
+        "sched", "day_idx", "pos", "label", F.coalesce("seen", F.lit(False)).alias("is_data")
+    )
 
 
 def period_gap_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -85,7 +97,12 @@ def time_rank_periods(spark: SparkSession, d: str) -> DataFrame:
 def axis_choice(spark: SparkSession, d: str) -> DataFrame:
     s = slots(spark, d).withColumn("orientation", F.when(F.col("ord") % 2 == 0, "rows").otherwise("columns"))
     days = s.select("sched", "orientation", F.lit("day").alias("kind"), F.col("day_idx").alias("value"), (F.col("ord") % 6).alias("pos"))
-    return axes.axis_scores(days.unionByName(s.select("sched", "orientation", F.lit("period").alias("kind"), F.col("period").alias("value"), (F.col("ord") % 7).alias("pos"))), "sched")
+    return axes.axis_scores(
+        days.unionByName(
+            s.select("sched", "orientation", F.lit("period").alias("kind"), F.col("period").alias("value"), (F.col("ord") % 7).alias("pos"))
+        ),
+        "sched"
+    )
 
 
 def palette_assignment(spark: SparkSession, d: str) -> DataFrame:
@@ -112,7 +129,9 @@ def interval_clip_layout(spark: SparkSession, d: str) -> DataFrame:
     usual = lessons.hours(inside, inside, ["sched", "day_idx"])
     lo, hi = F.col("start_hour") * 60, F.col("end_hour") * 60
     top, bottom = F.greatest("start", lo), F.least("end", hi)
-    return rows.join(usual, ["sched", "day_idx"]).where((F.col("end") > lo) & (F.col("start") < hi)).select("ord", "sched", "day_idx", (top - lo).alias("top"), F.greatest(bottom - top, F.lit(36)).alias("height"))
+    return rows.join(usual, ["sched", "day_idx"]).where((F.col("end") > lo) & (F.col("start") < hi)).select(
+        "ord", "sched", "day_idx", (top - lo).alias("top"), F.greatest(bottom - top, F.lit(36)).alias("height")
+    )
 
 
 def accuracy_score(spark: SparkSession, d: str) -> DataFrame:
@@ -126,7 +145,9 @@ def clock_extract(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_letters(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", F.size(text.tokens(F.col("p_name"))).alias("n_tokens"), text.letters_only(F.col("p_name")).alias("letters"))
+    return table(spark, d, "part").select(
+        "p_partkey", F.size(text.tokens(F.col("p_name"))).alias("n_tokens"), text.letters_only(F.col("p_name")).alias("letters")
+    )
 
 
 def noise_strip(spark: SparkSession, d: str) -> DataFrame:
@@ -140,7 +161,9 @@ def json_ingest(spark: SparkSession, d: str) -> DataFrame:
 
 def fuzzy_best_match(spark: SparkSession, d: str) -> DataFrame:
     words = table(spark, d, "part").select(F.explode(text.tokens(F.lower("p_name"))).alias("word"))
-    lexicon = spark.range(1).select(F.posexplode(F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("variant")) for k, v in TYPOS])).alias("ord", "e")).select("ord", "e.*")
+    lexicon = spark.range(1).select(
+        F.posexplode(F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("variant")) for k, v in TYPOS])).alias("ord", "e")
+    ).select("ord", "e.*")
     return fuzzy.best_match(words, "word", lexicon, 0.6).select("text", "key", "variant", F.round("score", 6).alias("score"))
 
 
@@ -172,7 +195,9 @@ def center_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 def nearest_center(spark: SparkSession, d: str) -> DataFrame:
     centres = table(spark, d, "nation").select(F.col("n_nationkey").alias("idx"), (F.col("n_nationkey") * 20000.0).alias("centre"))
-    return numeric.nearest(table(spark, d, "orders"), "o_totalprice", centres).groupBy("idx").agg(F.count("*").alias("n"), F.round(F.max(F.abs(F.col("o_totalprice") - F.col("centre"))), 4).alias("farthest"))
+    return numeric.nearest(table(spark, d, "orders"), "o_totalprice", centres).groupBy("idx").agg(
+        F.count("*").alias("n"), F.round(F.max(F.abs(F.col("o_totalprice") - F.col("centre"))), 4).alias("farthest")
+    )
 
 
 def _grid(spark: SparkSession, d: str) -> DataFrame:
@@ -209,7 +234,10 @@ def template_dice(spark: SparkSession, d: str) -> DataFrame:
 
 def _cells(spark: SparkSession, d: str) -> DataFrame:
     s = slots(spark, d)
-    return s.select("sched", "ord", (F.col("period") - 1).alias("row"), F.col("day_idx").alias("col"), (F.col("ord") % 2 + 1).cast("int").alias("row_span"), (F.col("ord") % 3 + 1).cast("int").alias("col_span"), F.when(F.col("ord") % 5 == 0, "").otherwise(F.col("class_name")).alias("name"), "conf")
+    return s.select(
+        "sched", "ord", (F.col("period") - 1).alias("row"), F.col("day_idx").alias("col"), (F.col("ord") % 2 + 1).cast("int").alias("row_span"),
+        (F.col("ord") % 3 + 1).cast("int").alias("col_span"), F.when(F.col("ord") % 5 == 0, "").otherwise(F.col("class_name")).alias("name"), "conf"
+    )
 
 
 def cell_spans_to_slots(spark: SparkSession, d: str) -> DataFrame:
@@ -227,9 +255,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        slot_first_wins, class_key_canonical, section_style_fix, digit_pair_swap, confidence_bands, schedule_quality, week_grid_pivot, source_merge_conflicts, period_gap_fill, direction_vote,
-        time_rank_periods, axis_choice, palette_assignment, hour_range, active_days, interval_clip_layout, accuracy_score, clock_extract, token_letters, noise_strip, json_ingest, fuzzy_best_match,
-        upper_median, otsu_threshold, percentile_stretch, peak_islands, center_clusters, nearest_center, integral_box_mean, dilate_erode_grid, grid_components, template_dice, cell_spans_to_slots, components_by_size,
+        slot_first_wins, class_key_canonical, section_style_fix, digit_pair_swap, confidence_bands, schedule_quality, week_grid_pivot,
+        source_merge_conflicts, period_gap_fill, direction_vote,
+        time_rank_periods, axis_choice, palette_assignment, hour_range, active_days, interval_clip_layout, accuracy_score, clock_extract,
+        token_letters, noise_strip, json_ingest, fuzzy_best_match,
+        upper_median, otsu_threshold, percentile_stretch, peak_islands, center_clusters, nearest_center, integral_box_mean, dilate_erode_grid,
+        grid_components, template_dice, cell_spans_to_slots, components_by_size,
     )
 }
 QUERIES["flagship"] = flagship

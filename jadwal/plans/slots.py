@@ -17,9 +17,16 @@ def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     section = F.when(F.col("user_id") % 5 == 0, "1").otherwise(F.get(F.array(*[F.lit(c) for c in "abcd"]), (F.col("user_id") % 4).cast("int")))
     mark = F.get(F.array(*[F.lit(c) for c in ("/", " / ", "-", "\\")]), (F.col("event_id") % 4).cast("int"))
     return e.select(
-        F.col("event_id").alias("ord"), (F.col("user_id") % 20).alias("sched"), (F.dayofweek("ts") - 1).alias("day_idx"), (F.hour("ts") * 60 + F.minute("ts")).alias("minute"),
-        (F.hour("ts") % 12 + 1).alias("period"), (F.col("event_id") % 101 / F.lit(100.0)).alias("conf"), F.concat(grade, mark, section).alias("class_raw"), F.concat(grade, F.lit("/"), section).alias("class_name"),
-        F.concat((F.col("user_id") % 4 + 1).cast("string"), F.lit("/"), F.when(F.col("user_id") % 2 == 0, F.col("user_id") % 20 + 1).otherwise(F.col("user_id") % 5 + 1).cast("string")).alias("pair_name"),
+        F.col("event_id").alias("ord"), (F.col("user_id") % 20).alias("sched"), (F.dayofweek("ts") - 1).alias("day_idx"), (
+            F.hour("ts") * 60 + F.minute("ts")
+        ).alias("minute"),
+        (F.hour("ts") % 12 + 1).alias("period"), (F.col("event_id") % 101 / F.lit(100.0)).alias("conf"), F.concat(grade, mark, section).alias("class_raw"), F.concat(
+            grade, F.lit("/"), section
+        ).alias("class_name"),
+        F.concat(
+            (F.col("user_id") % 4 + 1).cast("string"), F.lit("/"),
+            F.when(F.col("user_id") % 2 == 0, F.col("user_id") % 20 + 1).otherwise(F.col("user_id") % 5 + 1).cast("string")
+        ).alias("pair_name"),
     )
 
 

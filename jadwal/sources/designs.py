@@ -12,7 +12,9 @@ STATE = "owner string, saved_at long, json string"
 
 def save(designs: DataFrame, path: str) -> None:
     """Append states (owner, saved_at, json) to the table at ``path``."""
-    designs.select(F.col("owner").cast("string").alias("owner"), F.col("saved_at").cast("long").alias("saved_at"), "json").write.mode("append").parquet(path)
+    designs.select(
+        F.col("owner").cast("string").alias("owner"), F.col("saved_at").cast("long").alias("saved_at"), "json"
+    ).write.mode("append").parquet(path)
 
 
 def clear(owners: DataFrame, path: str) -> None:
