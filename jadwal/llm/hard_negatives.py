@@ -39,7 +39,9 @@ def labelled_cells(df: DataFrame, id_col: str, vec_col: str, label: Column, scal
     v = F.col(vec_col).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = df.where(F.col(id_col).isNotNull() & v.isNotNull()).where(fine)
-    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), label.cast("long").alias("label"), F.transform(v, lambda x: F.floor(x * scale)).alias("cells")).where("label is not null")
+    rows = rows.select(
+        F.col(id_col).cast("long").alias("vec_id"), label.cast("long").alias("label"), F.transform(v, lambda x: F.floor(x * scale)).alias("cells")
+    ).where("label is not null")
     return rows.groupBy("vec_id").agg(F.min(F.struct("label", "cells")).alias("r")).select("vec_id", "r.label", "r.cells")
 
 
@@ -107,10 +109,17 @@ def _bounds(anchors: DataFrame, pivots: Pivots, group: list[str]) -> DataFrame:
             for i, name in enumerate(known):
                 own = near[which.ravel() == i]
                 columns = {g: pa.array([int(v)] * len(pivots.at), pa.int64()) for g, v in zip(group, name, strict=True)}
-                yield pa.RecordBatch.from_pydict(columns | {"pivot": pa.array(range(len(pivots.at)), pa.int32()), "most": own.max(0), "least": own.min(0), "norm": np.full(len(pivots.at), norm[which.ravel() == i].max())})
+                yield pa.RecordBatch.from_pydict(
+                    columns | {
+                        "pivot": pa.array(range(len(pivots.at)), pa.int32()), "most": own.max(0), "least": own.min(0),
+                        "norm": np.full(len(pivots.at), norm[which.ravel() == i].max())
+                    }
+                )
 
     schema = ", ".join(f"{g} long" for g in group) + ", pivot int, most double, least double, norm double"
-    return anchors.select(*group, "cells").mapInArrow(work, schema).groupBy(*group, "pivot").agg(F.max("most").alias("most"), F.min("least").alias("least"), F.max("norm").alias("norm"))
+    return anchors.select(*group, "cells").mapInArrow(work, schema).groupBy(*group, "pivot").agg(
+        F.max("most").alias("most"), F.min("least").alias("least"), F.max("norm").alias("norm")
+    )
 
 
 def _joined(anchors: DataFrame, served: DataFrame, group: list[str], chunks: int, work: Callable, schema: str) -> DataFrame:
@@ -137,9 +146,13 @@ def _positives(anchors: DataFrame, rows: DataFrame, pivots: Pivots, k: int, chun
     anchors = written(_groups(anchors, ["label"], group_anchors), "anchors")
     bounds = written(_bounds(anchors, pivots, group), "anchor-bounds")
     # an anchor may be among the rows nearest to a pivot, so one more than k of them is looked at
-    closest = rows.select("label", "pivot", "away", F.row_number().over(Window.partitionBy("label", "pivot").orderBy("away")).alias("i")).where(F.col("i") <= k + 1)
+    closest = rows.select(
+        "label", "pivot", "away", F.row_number().over(Window.partitionBy("label", "pivot").orderBy("away")).alias("i")
+    ).where(F.col("i") <= k + 1)
     sure = bounds.join(closest, ["label", "pivot"]).withColumn("score", F.col("least") - F.col("norm") * F.col("away"))
-    kth = sure.withColumn("i", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("score")))).where(F.col("i") == k + 1).select(*group, F.col("score").alias("need"))
+    kth = sure.withColumn(
+        "i", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("score")))
+    ).where(F.col("i") == k + 1).select(*group, F.col("score").alias("need"))
     asked = bounds.join(kth, group, "left").select(*group, "pivot", "most", "norm", "need")
     may = F.col("need").isNull() | (F.col("most") + F.col("norm") * F.col("away") + F.abs("most") * 1e-9 + 1 >= F.col("need"))
     served = _spread(rows, asked, ["label", "pivot"], "vec_id").where(may).select(*group, "vec_id", "cells")
@@ -160,13 +173,17 @@ def _positives(anchors: DataFrame, rows: DataFrame, pivots: Pivots, k: int, chun
     return found.withColumn("i", rank).where(F.col("i") <= k).drop("i")
 
 
-def _negatives(anchors: DataFrame, rows: DataFrame, positives: DataFrame, pivots: Pivots, k: int, low: int, high: int, chunks: int, group_anchors: int) -> DataFrame:
+def _negatives(
+    anchors: DataFrame, rows: DataFrame, positives: DataFrame, pivots: Pivots, k: int, low: int, high: int, chunks: int, group_anchors: int
+) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score."""
     group, dims = ["run", "part"], pivots.at.shape[1]
     mine = positives.groupBy(F.col("anchor_id").alias("vec_id")).agg(F.collect_list(F.struct("positive_id", "score")).alias("positives"))  # at most one a positive
     anchors = written(_groups(anchors.join(mine, "vec_id"), [], group_anchors), "anchors")
     ends = [F.when(F.col("p.score") >= 0, F.col("p.score") * c).otherwise(F.col("p.score") * d) / 100 for c, d in ((low, high), (high, low))]
-    windows = anchors.select(*group, F.explode("positives").alias("p")).groupBy(*group).agg(F.min(F.least(*ends)).alias("from"), F.max(F.greatest(*ends)).alias("to"))
+    windows = anchors.select(*group, F.explode("positives").alias("p")).groupBy(*group).agg(
+        F.min(F.least(*ends)).alias("from"), F.max(F.greatest(*ends)).alias("to")
+    )
     asked = _bounds(anchors, pivots, group).join(windows, group)
     reach = F.col("norm") * F.col("away") + 1
     may = (F.col("most") + reach + F.abs("most") * 1e-9 >= F.col("from")) & (F.col("least") - reach - F.abs("least") * 1e-9 <= F.col("to"))
@@ -185,18 +202,23 @@ def _negatives(anchors: DataFrame, rows: DataFrame, positives: DataFrame, pivots
                 near = np.flatnonzero((label != own[i]) & (score >= min(e[0] for e in ends) // 100) & (score <= -(-max(e[1] for e in ends) // 100)))
                 for p, (least, most) in zip(wanted[i], ends, strict=True):
                     fit = near[(100 * score[near] >= least) & (100 * score[near] <= most)]
-                    out += [(int(asker[i]), p["positive_id"], int(ids[j]), p["score"], int(score[j])) for j in fit[best_first(score[fit], k)].tolist()]
+                    out += [
+                        (int(asker[i]), p["positive_id"], int(ids[j]), p["score"], int(score[j])) for j in fit[best_first(score[fit], k)].tolist()
+                    ]
         names = ("anchor_id", "positive_id", "negative_id", "positive_score", "negative_score")
         return pa.table({n: pa.array([r[p] for r in out], pa.int64()) for p, n in enumerate(names)})
 
     schema = "anchor_id long, positive_id long, negative_id long, positive_score long, negative_score long"
     found = _joined(anchors.select(*group, "vec_id", "label", "cells", "positives"), served, group, chunks, work, schema)
     rank = F.row_number().over(Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("negative_score"), "negative_id"))
-    return found.select("anchor_id", "positive_id", rank.cast("int").alias("rank"), "negative_id", "positive_score", "negative_score").where(F.col("rank") <= k)
+    return found.select(
+        "anchor_id", "positive_id", rank.cast("int").alias("rank"), "negative_id", "positive_score", "negative_score"
+    ).where(F.col("rank") <= k)
 
 
 def hard_negatives(
-    df: DataFrame, id_col: str, vec_col: str, label: Column, anchors: str, scale: int = 256, positives: int = 5, negatives: int = 5, low: int = 80, high: int = 100,
+    df: DataFrame, id_col: str, vec_col: str, label: Column, anchors: str, scale: int = 256, positives: int = 5, negatives: int = 5, low: int = 80,
+    high: int = 100,
     pivots: int = PIVOTS, group_anchors: int = GROUP_ANCHORS, chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score.

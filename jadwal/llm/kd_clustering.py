@@ -30,7 +30,9 @@ def cell_vectors(df: DataFrame, id_col: str, vec_col: str, dims: int, scale: int
     """vec_id, cells: floor(scale * x) of the vectors with ``dims`` components, all finite."""
     v = F.col(vec_col).cast("array<double>")
     fine = (F.size(v) == dims) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return df.where(v.isNotNull()).where(fine).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * scale)).alias("cells"))
+    return df.where(v.isNotNull()).where(fine).select(
+        F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * scale)).alias("cells")
+    )
 
 
 class KdTree:
@@ -54,10 +56,14 @@ class KdTree:
             order[first:last] = order[first:last][np.argpartition(part[:, np.argmax(high - low)], middle)]
             children.append(len(spans))
             spans += [(first, first + middle), (first + middle, last)]
-        return cls([ids[i] for i in order], points[order], np.array(spans, "i8"), np.array(children, "i8"), np.array(boxes, "i8"), np.array(sums, "i8"))
+        return cls(
+            [ids[i] for i in order], points[order], np.array(spans, "i8"), np.array(children, "i8"), np.array(boxes, "i8"), np.array(sums, "i8")
+        )
 
     def row(self) -> dict:
-        return {"ids": self.ids} | {name: np.ascontiguousarray(getattr(self, name), "<i8").tobytes() for name in ("points", "spans", "children", "boxes", "sums")}
+        return {"ids": self.ids} | {
+            name: np.ascontiguousarray(getattr(self, name), "<i8").tobytes() for name in ("points", "spans", "children", "boxes", "sums")
+        }
 
     @classmethod
     def read(cls, row: dict, dims: int) -> KdTree:
@@ -126,7 +132,9 @@ def _moved(trees: DataFrame, centroids: np.ndarray) -> np.ndarray:
                         np.add.at(count, who, 1)
                         np.add.at(total, who, tree.points[first:last])
         some = np.flatnonzero(count)
-        yield pa.RecordBatch.from_pydict({"cluster": pa.array(some, pa.int32()), "n": count[some], "total": pa.array(list(total[some]), pa.list_(pa.int64()))})
+        yield pa.RecordBatch.from_pydict(
+            {"cluster": pa.array(some, pa.int32()), "n": count[some], "total": pa.array(list(total[some]), pa.list_(pa.int64()))}
+        )
 
     parts = trees.mapInArrow(gather, "cluster int, n long, total array<long>").select("cluster", "n", F.posexplode("total").alias("at", "total"))
     moved = centroids.copy()
@@ -144,7 +152,9 @@ def clustered(cells: DataFrame, dims: int, k: int, rounds: int, seed: int = 1) -
     """
     ship(cells.sparkSession)
     trees = written(trees_of(cells, dims), "kd-trees")
-    starts = cells.where("vec_id is not null").select(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256).alias("hash"), "cells").orderBy("hash", "cells").limit(k).collect()
+    starts = cells.where("vec_id is not null").select(
+        F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256).alias("hash"), "cells"
+    ).orderBy("hash", "cells").limit(k).collect()
     centroids = np.array([r["cells"] for r in starts], "i8").reshape(-1, dims)
     if not len(centroids):
         return cells.sparkSession.createDataFrame([], "vec_id long, cluster int, distance long"), centroids
@@ -174,7 +184,9 @@ def kd_clusters(df: DataFrame, id_col: str, vec_col: str, dims: int = 64, scale:
     sums = {r["cluster"]: r["inertia"] for r in found.groupBy("cluster").agg(F.sum("distance").alias("inertia")).collect()}  # one row a centroid
     name = lambda c: hashlib.sha256(",".join(map(str, centroids[c].tolist())).encode()).hexdigest()
     about = [(c, s, sum(sums.values()), name(c)) for c, s in sums.items()]
-    return found.join(F.broadcast(df.sparkSession.createDataFrame(about, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+    return found.join(F.broadcast(df.sparkSession.createDataFrame(about, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")), "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
 
 
 def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,8 +202,10 @@ _MEANS = """SELECT c, coalesce(m, old) AS m FROM (SELECT c, m AS old FROM {means
 
 def _sql(rounds: int = 3) -> str:
     parts = [
-        "kept AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND len(embedding) = 64)",
-        "means0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS m FROM (SELECT sha256('1:' || vec_id) AS h, v FROM kept WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT 16))",
+        "kept AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE "
+        "len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND len(embedding) = 64)",
+        "means0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS m FROM (SELECT sha256('1:' || vec_id) AS h, v FROM kept WHERE vec_id "
+        "IS NOT NULL ORDER BY h, v LIMIT 16))",
     ]
     for i in range(rounds):
         parts += [f"near{i} AS ({_NEAREST.format(means=f'means{i}')})", f"means{i + 1} AS ({_MEANS.format(means=f'means{i}', i=i)})"]
