@@ -34,9 +34,9 @@ from jadwal.shipping import ship
 SPAN = 50
 GRAM = 24
 BATCH_BYTES = 1 << 19
-FLUSH_BYTES = 20 << 20
-BUCKET_BYTES = 12 << 20  # of input text a bucket
-SHARD_BYTES = 1 << 20
+FLUSH_BYTES = 12 << 20
+BUCKET_BYTES = 8 << 20  # of input text a bucket
+SHARD_BYTES = 5 << 17
 MANY_CONTEXTS = 5000
 DEALT_CONTEXTS = 500_000  # contexts of one anchor that are dealt together, about 15 MB
 SAMPLE_PART = 16
