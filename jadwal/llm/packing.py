@@ -206,7 +206,11 @@ def sequences(packed: DataFrame, pieces_with_ids: DataFrame) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
-    """Every document's pieces with their place: PIECES, sequence_id, offset. Empty tables give none."""
+    """Every document's pieces with their place: PIECES, sequence_id, offset. Empty tables give none.
+
+    A text of any length is encoded whole, word by word; what is held of it is the text, its ids, and a bounded cache of words. Its pieces
+    are drawn into groups like all others.
+    """
     if tokenizer_path is None:
         import public_tokenizers
 

@@ -182,3 +182,15 @@ def test_run_of_empty_tables(spark, sf_dir, tmp_path):
 def test_names_that_are_not_taken(spark):
     docs = spark.range(1).withColumn("_toxic", F.lit(1)).withColumn("TOXIC", F.lit(1))
     assert corpus_pipeline.unused("toxic", docs) == "__toxic" and corpus_pipeline.unused("score", docs) == "score"
+
+
+def test_a_very_long_text(spark, tmp_path):
+    """Texts of megabytes, also one without white space, pass all stages whole."""
+    long = " ".join(words(i, 4000) for i in range(90))
+    rows = [(i, words(i, 40), "en", "s", 0) for i in range(40)] + [(100, long, "en", "s", len(long)), (101, "z" * 300_000, "en", "s", 0), (102, "mail me at a.b@example.org " + long[:100_000], None, "s", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0, int(i % 5 == 0)) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, BENCHMARK)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert len(long) > 1_500_000
+    packed = corpus_pipeline.run(spark, str(tmp_path)).where("doc_id >= 100").groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("tokens"), F.max(F.col("start") + F.col("length")).alias("end")).collect()
+    assert {r["doc_id"] for r in packed} == {100, 101, 102} and all(r["n"] == r["tokens"] == r["end"] > 1000 for r in packed)
