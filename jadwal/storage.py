@@ -20,11 +20,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that holds the tables of this application."""
+    return f"{shared_dir(spark)}/jadwal-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a compressed table in the shared folder and read it back.
 
-    Later jobs read the files, so a lost executor costs a reread and not the whole lineage.
+    Later jobs read the files, so a lost executor costs a reread and not the whole lineage. The table stays until ``release``.
     """
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = f"{own_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this application has written; results that still read them cannot be used any more."""
+    jvm, path = spark.sparkContext._jvm, own_dir(spark)
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
