@@ -281,6 +281,16 @@ def university_lectures(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "day", "start", "end", "course", "room", F.coalesce("needs_review", F.lit(False)).alias("needs_review"))
 
 
+@query(
+    "seen AS (SELECT ord // 40 AS doc_id, replace(class_name, '/', '-') AS key, arg_min(class_raw, ord) AS label, min(ord) AS ord FROM slots GROUP BY ALL)",
+    f"SELECT doc_id, key, label, {sql_list(COLORS)}[(row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1) % 3 + 1] AS color FROM seen",
+)
+def reply_courses(spark: SparkSession, d: str) -> DataFrame:
+    """The distinct courses of every forty events, in order of appearance."""
+    rows = slots(spark, d).select(F.floor(F.col("ord") / REPLY_ROWS).alias("doc_id"), F.concat(F.lit(" "), "class_raw").alias("course"), "ord")
+    return responses.courses(rows, COLORS)
+
+
 @query(f"SELECT ord, CASE WHEN ord % 5 <> 4 THEN {sql_list(DAYS)}[day_idx + 1] END AS day FROM slots")
 def day_aliases(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("day_idx")
