@@ -316,26 +316,21 @@ def parse_class(norm: Column, matches: Column, bare_allowed: bool = False) -> Co
     """(name, score, rest): words win when a stage or class word is there, or with the better score."""
     s = flat(norm)
     ls = lines_of(norm)
-    per_line = F.transform(
-        ls, lambda x,
-        i: let(
-            digit_class(x),
-            lambda d: F.when(
-                d.isNotNull(),
-                F.struct(
-                    d["name"].alias("name"), d["score"].alias("score"),
-                    F.array_join(F.concat(F.slice(ls, F.lit(1), i), F.array(d["rest"]), F.slice(ls, i + 2, F.size(ls))), " ").alias("rest")
-                )
-            )
-        )
-    )
-    digits = F.when(F.size(ls) > 1, _best(per_line)).otherwise(digit_class(s))
-    return let(
-        F.struct(digits.alias("d"), worded_class(s, matches).alias("w"), worded_class(s, matches, bare_allowed).alias("b")),
-        lambda x: F.when(s.rlike("متوسط|ابتدائ|ثانوي|صف") & x["w"].isNotNull(), x["w"]).when(
-            x["b"].isNotNull() & (x["d"].isNull() | (x["b"]["score"] > x["d"]["score"])), x["b"]
-        ).otherwise(x["d"])
-    )
+
+    def of_line(line: Column, i: Column) -> Column:
+        others = lambda d: F.concat(F.slice(ls, F.lit(1), i), F.array(d["rest"]), F.slice(ls, i + 2, F.size(ls)))
+        whole = lambda d: F.struct(d["name"].alias("name"), d["score"].alias("score"), F.array_join(others(d), " ").alias("rest"))
+        return let(digit_class(line), lambda d: F.when(d.isNotNull(), whole(d)))
+
+    digits = F.when(F.size(ls) > 1, _best(F.transform(ls, of_line))).otherwise(digit_class(s))
+    readings = [digits.alias("d"), worded_class(s, matches).alias("w")] + ([worded_class(s, matches, True).alias("b")] if bare_allowed else [])
+
+    def chosen(x: Column) -> Column:
+        words = x["b" if bare_allowed else "w"]
+        better = words.isNotNull() & (x["d"].isNull() | (words["score"] > x["d"]["score"]))
+        return F.when(s.rlike("متوسط|ابتدائ|ثانوي|صف") & x["w"].isNotNull(), x["w"]).when(better, words).otherwise(x["d"])
+
+    return let(F.struct(*readings), chosen)
 
 
 def match_subject(s: Column, matches: Column) -> Column:
