@@ -5,10 +5,10 @@ and the pieces are packed by first-fit decreasing, independently in randomised g
 open sequences' free places are the leaves of a tournament tree, so the first sequence that a piece fits
 is found in logarithmic time. Only piece lengths are shuffled for packing, never token ids.
 
-The tokenizer is a byte-pair vocabulary with word ends. Its pre-tokenizer never joins text across white
-space, so a text's ids are its words' ids in order; words are encoded once per worker (bounded cache),
-in bulk, with the vocabulary's merges as ranks. Words on which the short way could differ go to the
-tokenizer itself.
+The tokenizer is a byte-pair vocabulary with word ends. Its pre-tokens are found for many texts at once, by
+the kinds of their code points; Arrow tells them apart, and each distinct one is encoded once per worker
+(bounded cache), in bulk, with the vocabulary's merges as ranks. What could differ that way goes to the
+tokenizer itself: pre-tokens that hold the end mark, and texts with letters that Python does not know yet.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 import json
 import unicodedata
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,12 +32,15 @@ END_ID = 1
 GROUP_PIECES = 8192
 REPEATS = 65_536  # equal rows that one task tells apart
 CACHE_WORDS, CACHE_BYTES = 150_000, 24 << 20  # the words and ids that a worker keeps
-DOCS_AT_ONCE = 512
+DOCS_AT_ONCE, BYTES_AT_ONCE = 1000, 2 << 20  # texts that are encoded together
+LONG = 1 << 20  # a text of more characters is encoded in parts
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
-# The vocabulary's pre-tokenizer pattern.
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-END, GAP = "\x01", "\x02"
+# The vocabulary's pre-tokenizer.
+OTHER, LETTER, SINGLE, SPACE, NEW = range(5)  # NEW: letters and numbers that Python's tables do not have yet
+SHORT = [ord(c) for c in "stmd"]
+LONGER = [ord(a) << 8 | ord(b) for a, b in ("re", "ve", "ll")]
+END, SURROGATE = b"\x01", 0xD800
 
 
 class WordTokenizer:
@@ -49,52 +52,115 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(path)
-        self.pattern = regex.compile(WORD_PATTERN)
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            spec = json.load(f)
+        vocab, added = spec["model"]["vocab"], spec["added_tokens"]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(shown)]
         byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
         ranks = {}
+        self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a pre-token
         for token, i in vocab.items():
-            core, ends = (token[:-4], END.encode()) if token.endswith("</w>") else (token, b"")
+            core, ends = (token[:-4], END) if token.endswith("</w>") else (token, b"")
             if all(c in byte_of for c in core):
                 ranks[bytes(byte_of[c] for c in core) + ends] = i
-        self.gap = ranks[GAP.encode()]
-        self.words = tiktoken.Encoding("words", pat_str=f"[^{END}{GAP}]+{END}|{GAP}", mergeable_ranks=ranks, special_tokens={})
-        self.cache: dict[str, bytes] = {}
+                self.last[i] = bool(ends)
+        self.words = tiktoken.Encoding("words", pat_str="[^\x01]+\x01", mergeable_ranks=ranks, special_tokens={})
+        self.space = regex.compile(r"\s")
+        every = np.arange(0x110000, dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        self.kind = np.full(len(every), OTHER, "u1")
+        for m in regex.finditer(r"(\p{L}+)|(\p{N}+)|(\s+)", every):
+            self.kind[m.start() : m.end()] = m.lastindex
+        known = np.flatnonzero((self.kind == LETTER) | (self.kind == SINGLE))
+        self.kind[[c for c in known.tolist() if unicodedata.category(every[c]) == "Cn"]] = NEW
+        # Tokens that are found in a text as it stands are shown as lone surrogates, which no text holds.
+        self.marks = {t["content"]: chr(SURROGATE + k) for k, t in enumerate(added)}
+        self.kind[SURROGATE : SURROGATE + len(added)] = SINGLE
+        self.marked = {self.marks[t["content"]].encode("utf-8", "surrogatepass"): np.array([t["id"]], "<u4").tobytes() for t in added}
+        self.forget()
+
+    def forget(self) -> None:
+        self.cache: dict[bytes, bytes] = dict(self.marked)
         self.held = 0
 
-    def _parts(self, word: str) -> str | None:
-        """The word's pre-tokens, each with an end mark; None where only the tokenizer itself is sure."""
-        if word.isalpha() and word.isascii():
-            return word.lower() + END
-        if END in word or GAP in word or "Σ" in word or "<|" in word:
-            return None
-        return "".join(x + END for x in self.pattern.findall(unicodedata.normalize("NFC", word).lower()))
-
-    def learn(self, words: Iterable[str]) -> None:
-        parts = [(w, self._parts(w)) for w in words]
-        known = [(w, p) for w, p in parts if p is not None]
-        ids = np.array(self.words.encode_ordinary("".join(p + GAP for _, p in known)), "<u4")
-        at = 0
-        for (w, _), to in zip(known, np.flatnonzero(ids == self.gap), strict=True):
-            self.cache[w] = ids[at:to].tobytes()
-            self.held += len(w) + 4 * (to - at)
-            at = to + 1
-        if odd := [w for w, p in parts if p is None]:
-            for w, e in zip(odd, self.exact.encode_batch(odd, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
-                self.held += len(w) + 4 * len(e.ids)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+    def _normal(self, text: str) -> str:
+        for token, mark in self.marks.items():
+            text = text.replace(token, mark)
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # only Python's lower() has a final sigma
+
+    def _pre_tokens(self, texts: list[str]) -> tuple[pa.Array, np.ndarray, list[int]]:
+        """The pre-tokens of normal texts in order, as UTF-8; how many there are up to the end of each text; which texts hold NEW characters.
+
+        Pre-tokens are runs of letters, single numbers, and runs of other characters. An apostrophe that begins one takes s, t, m, d, re, ve or ll with it.
+        """
+        points = np.frombuffer("\n".join([*texts, "\n"]).encode("utf-32-le", "surrogatepass"), "<u4")
+        kind = self.kind[points]
+        before = np.roll(kind, 1)
+        begins = (kind != before) | (kind == SINGLE)
+        at = np.flatnonzero((points == ord("'")) & (before != OTHER))
+        pair = (points[at + 1] << 8) | (points[at + 2] & 255)
+        for n, fits in ((1, np.isin(points[at + 1], SHORT)), (2, np.isin(pair, LONGER) & (points[at + 2] < 128))):
+            begins[at[fits] + 1] = False
+            begins[at[fits] + n + 1] = True
+        shown = kind != SPACE
+        begins &= shown
+        text_ends = np.cumsum([len(t) + 1 for t in texts])
+        ends = np.searchsorted(np.flatnonzero(begins), text_ends)
+        new = np.unique(np.searchsorted(text_ends, np.flatnonzero(kind == NEW), "right")).tolist()
+        points, starts = points[shown], np.flatnonzero(begins[shown])
+        data = points.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+        if len(data) > len(points):
+            width = 1 + (points > 0x7F).astype("u1") + (points > 0x7FF) + (points > 0xFFFF)
+            starts = (np.cumsum(width, dtype="i8") - width)[starts]
+        offsets = np.append(starts, len(data)).astype("i8")
+        return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]), ends, new
+
+    def learn(self, words: list[bytes]) -> None:
+        """Keep the ids of pre-tokens. One that holds the end mark itself goes to the tokenizer."""
+        known = [w for w in words if END not in w]
+        ids = np.array(self.words.encode_ordinary((END.join(known) + END).decode()) if known else [], "<u4")
+        raw, to = ids.tobytes(), (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+        self.cache.update(zip(known, [raw[a:b] for a, b in zip([0, *to], to)], strict=True))
+        self.held += len(raw) + sum(map(len, words))
+        for w in words if len(known) < len(words) else []:
+            if END in w:
+                self.cache[w] = self._exactly(w.decode())
+
+    def _exactly(self, text: str) -> bytes:
+        return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        words, ends, new = self._pre_tokens([self._normal(t) for t in texts])
+        coded = words.dictionary_encode()
+        found, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         if len(self.cache) > CACHE_WORDS or self.held > CACHE_BYTES:
-            self.cache.clear()
-            self.held = 0
+            self.forget()
         get = self.cache
-        self.learn({w for ws in split for w in ws if w not in get})
-        return [b"".join([get[w] for w in ws]) for ws in split]
+        self.learn([w for w in found if w not in get])
+        ids = [get[w] for w in found]
+        size = np.fromiter(map(len, ids), "i8", len(ids)) // 4
+        counts = size[codes]
+        upto = np.append(0, np.cumsum(counts))
+        at = np.repeat((np.cumsum(size) - size)[codes] - upto[:-1], counts) + np.arange(upto[-1])
+        flat, to = np.frombuffer(b"".join(ids), "<u4")[at].tobytes(), (4 * upto[ends]).tolist()
+        encoded = [flat[a:b] for a, b in zip([0, *to], to)]
+        for i in new:
+            encoded[i] = self._exactly(texts[i])
+        return encoded
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        texts = [t or "" for t in texts]
+        if max(map(len, texts), default=0) <= LONG:
+            return self._ids(texts)
+        return [b"".join(self._ids([part])[0] for part in self._parts(t)) for t in texts]
+
+    def _parts(self, text: str) -> Iterator[str]:
+        """A long text, cut at white space."""
+        at = 0
+        while (m := self.space.search(text, at + LONG)) is not None:
+            yield text[at : m.start()]
+            at = m.start()
+        yield text[at:]
 
 
 @lru_cache(maxsize=1)
@@ -113,7 +179,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, with_ids: bool = False, l
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(tokenizer_path)
         for batch in batches:
-            for part in text_slices(batch, 1, DOCS_AT_ONCE):
+            for part in text_slices(batch, 1, DOCS_AT_ONCE, BYTES_AT_ONCE):
                 rows: list[tuple] = []
                 raw: list[bytes] = []
                 for doc_id, ids in zip(part.column(0).to_pylist(), tok.encode(part.column(1).to_pylist()), strict=True):

@@ -333,6 +333,35 @@ def test_words_encode_as_the_tokenizer_does(text):
     assert np.frombuffer(packing.tokenizer(path).encode([text])[0], "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
 
+def test_any_characters_encode_as_the_tokenizer_does(monkeypatch):
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    signs = "' 's 're 've 'll 'LL 'd 't 'm '' s r e v l \x01 \x02 \0 <| |> <|endoftext|> <|startoftext|> <|ENDOFTEXT|> Σ ς İ ẞ é \u0301 \u0345 Ⓐ Ⅷ ½ 9 12 日本 ก็ 한 😀 Å Ω ﬁ - ... \u088f \u1c89 \ua7cb \U000105c9 \U00016d40".split(" ")
+    r = random.Random(5)
+    texts = ["".join(r.choice([*signs, " ", "\n", "\t", "\x1c", "\x85", "\u3000"]) for _ in range(r.randrange(30))) for _ in range(4000)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    tok = packing.WordTokenizer(path)
+    assert tok.encode(texts) == want
+    monkeypatch.setattr(packing, "LONG", 10)  # in parts
+    assert tok.encode(texts) == want
+    assert tok.encode([]) == [] and tok.encode([None, "", "a"])[:2] == [b"", b""]
+
+
+def test_a_pre_token_is_encoded_once(monkeypatch):
+    import public_tokenizers
+
+    tok = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    learned: list = []
+    monkeypatch.setattr(tok, "learn", lambda words, learn=tok.learn: (learned.extend(words), learn(words)))
+    tok.encode(["Stone, stone; STONE. (stone) stone's"])
+    tok.encode(["A stone."])
+    assert sorted(learned) == sorted(b"stone , ; . ( ) 's a".split())
+
+
 def test_first_fit_decreasing():
     r = np.random.default_rng(3)
     lengths = r.integers(1, 100, 300)
