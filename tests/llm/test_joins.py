@@ -205,6 +205,18 @@ def test_jaccard_join_of_nothing(spark):
     assert jaccard_join.jaccard_components(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()[0][1:] == (0, 1)
 
 
+def test_jaccard_join_broadcasts_little(spark, monkeypatch):
+    """No table that grows with the documents is broadcast when it is large, and every link is found."""
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: (sent.append(df.count()), broadcast(df))[1])
+    n = 17_000
+    pair = lambda i: F.concat_ws(" ", *[F.concat(F.lit(x), (F.col("id") % n).cast("string")) for x in "abcdefghi"], i)
+    df = spark.range(2 * n).select(F.col("id").alias("doc_id"), pair(F.when(F.col("id") < n, F.lit("one"))).alias("text"))
+    got = jaccard_join.jaccard_components(df).select("doc_id", "n_shingles", "component_id").toArrow().to_pydict()
+    assert sent and max(sent) <= 1 << 15
+    assert sorted(zip(*got.values(), strict=True)) == [(i, 6 if i < n else 5, i % n) for i in range(2 * n)]
+
+
 def test_count_tree():
     """The tree admits all pairs that can be linked, and few others."""
     r = np.random.default_rng(1)
